@@ -96,11 +96,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _pass(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
     def find(rows):
-        names = [i for i, _ in sent.value]
-        found_by = matchers(sent.value, window)
+        names = [i for i, _ in items]
+        found_by = matchers(items, window)
         for doc_id, text in rows:
             words = alnum_words(text)
             spans, owners = scan(words, found_by) if words else ([], set())
