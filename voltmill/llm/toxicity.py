@@ -29,9 +29,9 @@ def words(text: bytes | None) -> set[bytes]:
 
 
 def terms(word: bytes) -> tuple[int, ...]:
-    """Hashed terms of a word: itself, and its first four and five letters, as inflected forms share them."""
+    """Hashed terms of a word: itself, and its first three to five letters, as inflected forms share them."""
     w = word.decode(errors="ignore")
-    return tuple({zlib.crc32(f"{k}{w[:k]}".encode()) & ((1 << HASH_BITS) - 1) for k in (99, 5, 4) if len(w) >= k or k == 99})
+    return tuple({zlib.crc32(f"{k}{w[:k]}".encode()) & ((1 << HASH_BITS) - 1) for k in (99, 5, 4, 3) if len(w) >= k or k == 99})
 
 
 @dataclass
