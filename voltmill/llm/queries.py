@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, license_scan, mixing, sql, toxicity
+from . import decontam, fingerprint, langid, license_scan, line_dedup, mixing, secrets, sql, toxicity
 from .text import documents
 
 
@@ -12,6 +12,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.digest(decontam.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,15 +36,21 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.find_licenses(documents(spark, sf_dir)))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.drop_widespread_lines(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_secret_scan,
         op3_source_mixing,
         op5_toxicity,
         op6_benchmark_decontamination,
         op7_document_fingerprints,
         op8_language_id,
         op9_license_scan,
+        op10_line_dedup,
     )
 }
 ORACLE_SQL = sql.ORACLE_SQL

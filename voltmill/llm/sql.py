@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-from . import license_scan
+from . import license_scan, line_dedup
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = rf"regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -56,4 +56,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN lab USING (doc_id)
 """
 
-ORACLE_SQL = {"op6_benchmark_decontamination": OP6, "op9_license_scan": OP9}
+OP10 = f"""
+WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+line AS (SELECT doc_id, source, unnest(l) AS s, unnest(range(len(l))) AS k, len(l) AS n FROM d),
+wide AS (SELECT trim(s) AS t FROM line WHERE trim(s) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+marked AS (SELECT doc_id, s, k, n, trim(s) IN (SELECT t FROM wide) AS gone FROM line),
+kept AS (
+  SELECT doc_id, max(n) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(s, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed,
+       CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256
+FROM kept
+"""
+
+ORACLE_SQL = {"op6_benchmark_decontamination": OP6, "op9_license_scan": OP9, "op10_line_dedup": OP10}
