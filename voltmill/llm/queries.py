@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, license_scan, line_dedup, mixing, secrets, sql, toxicity
+from . import decontam, fingerprint, langid, license_scan, line_dedup, mixing, packing, secrets, sql, toxicity
 from .text import documents
 
 
@@ -20,6 +20,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.hold_out(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_secret_scan,
         op3_source_mixing,
+        op4_token_packing,
         op5_toxicity,
         op6_benchmark_decontamination,
         op7_document_fingerprints,
