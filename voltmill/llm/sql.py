@@ -5,6 +5,27 @@ from . import license_scan, line_dedup
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = rf"regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP1 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+),
+link AS (
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+),
+two AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT two.b, reach.c FROM reach JOIN two ON two.a = reach.a),
+comp AS (SELECT a AS doc_id, min(c) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 OP6 = f"""
 WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
 b AS (SELECT item_id, {ALNUM} AS w FROM benchmark),
@@ -71,4 +92,4 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS
 FROM kept
 """
 
-ORACLE_SQL = {"op6_benchmark_decontamination": OP6, "op9_license_scan": OP9, "op10_line_dedup": OP10}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1, "op6_benchmark_decontamination": OP6, "op9_license_scan": OP9, "op10_line_dedup": OP10}
