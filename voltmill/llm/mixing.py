@@ -199,3 +199,20 @@ def mix(
     return none.join(goal, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """Rows of `docs`, all columns kept, each as often as the mix copies it.
+
+    Rows of one doc_id, source and size share their numbers of copies out, the largest to the first by a hash of text.
+    """
+    names = docs.columns
+    key = lambda i, s, n: F.xxhash64(i.cast("long"), s.cast("string"), n)
+    mixed = mix(docs, doc_id, text, source, **options).filter("copies > 0")
+    by = mixed.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_k")).agg(F.sort_array(F.collect_list("copies"), False).alias("_all"))
+    keyed = docs.select("*", key(F.col(doc_id), F.col(source), word_count(text)).alias("_k"))
+    joined = keyed.join(by.hint("shuffle_hash"), "_k")
+    place = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(F.col(text))))
+    copies = F.coalesce(F.try_element_at("_all", place), F.lit(0).cast("long"))
+    taken = joined.withColumn("_copies", copies).filter("_copies > 0")
+    return taken.select(*[F.col(c) for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")

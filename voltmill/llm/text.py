@@ -77,14 +77,15 @@ def per_row(f: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema,
     return run
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a copy in spark.checkpoint.dir, which survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a folder beside the warehouse."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return at or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
 
-    The session's setting holds; only where it is unset, as in tests, a folder beside the warehouse is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a copy in the shared folder, which survives lost executors."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(at)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
