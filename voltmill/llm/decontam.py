@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import alnum_words, per_row
+from .text import alnum_words, per_row, whole_rows
 
 WINDOW = 10
 BLOCK = 3
@@ -168,4 +168,5 @@ def digest(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, **names) -> DataFrame:
     """Documents of which at most `max_share` of the words lie under benchmark windows, all columns kept."""
     hit = digest(find_contamination(docs, benchmark, **names)).filter(F.col("n_hit") > max_share * F.col("n_words"))
-    return docs.join(hit.select(F.col("doc_id").alias("_hit")), F.col(names.get("doc_id", "doc_id")).eqNullSafe(F.col("_hit")), "left_anti")
+    same = F.col("_row")[names.get("doc_id", "doc_id")].cast("long").eqNullSafe(F.col("_hit"))
+    return whole_rows(docs).join(hit.select(F.col("doc_id").alias("_hit")), same, "left_anti").select("_row.*")

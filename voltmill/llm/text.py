@@ -42,6 +42,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """The rows as one struct `_row`, so that no name of theirs meets one of an operator; `_row.*` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches, text as UTF-8 bytes; one slice of a batch is turned into objects at a time."""
     for batch in batches:
