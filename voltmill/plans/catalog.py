@@ -436,12 +436,16 @@ def coverage_filter(spark, sf):
     return dims.without_outliers(dims.well_covered(t.readings(spark, sf), F.lit(140))).select("event_id")
 
 
-@query()
+@query(f"WITH {t.READINGS} SELECT event_id, timezone('UTC', timezone('Europe/London', reading_time + INTERVAL 180 DAY)) AS reading_time FROM readings")
 def zone_to_utc(spark, sf):
-    return dims.to_utc(t.readings(spark, sf)).select("event_id", "reading_time")
+    summer = t.readings(spark, sf).withColumn("reading_time", F.col("reading_time") + F.make_interval(days=F.lit(180)))
+    return dims.to_utc(summer).select("event_id", "reading_time")
 
 
-@query()
+@query(f"""WITH {t.HOMES}, s AS (SELECT household_id, CAST('0x' || left(md5(household_id), 6) AS BIGINT) % 100 AS k FROM homes),
+g AS (SELECT *, CASE WHEN k < 30 THEN 'Affluent' WHEN k < 60 THEN 'Comfortable' ELSE 'Adversity' END AS acorn_group FROM s)
+SELECT household_id, 'N1-' || substr('ABCDEFGH', k % 8 + 1, 1) AS postcode_area, acorn_group,
+  CAST(CASE acorn_group WHEN 'Affluent' THEN 4 WHEN 'Comfortable' THEN 3 ELSE 2 END AS INTEGER) AS household_size FROM g""")
 def household_labels(spark, sf):
     return dims.labelled(t.homes(spark, sf).select("household_id"))
 
@@ -505,6 +509,9 @@ def book_join_left(spark, sf):
     return joined.groupBy("postcode_area").agg(F.count("*").alias("n"), F.countDistinct("meter_id").alias("meters"))
 
 
-@query()
+@query("""SELECT format('MAC{:06d}', id) AS meter_id,
+  CASE id % 4 WHEN 2 THEN 'missing_kwh' WHEN 3 THEN 'invalid_reading_time' ELSE 'kwh_out_of_range' END AS rejection_type,
+  CASE id % 4 WHEN 0 THEN 'kwh=75.5, expected [0.0,50.0]' WHEN 1 THEN 'kwh=-3.0, expected [0.0,50.0]' WHEN 2 THEN 'kwh is null' ELSE 'reading_time absent or unparseable' END AS rejection_detail
+FROM range(12) r(id)""")
 def fault_fixture(spark, sf):
     return ingest.validate(deliveries.fault_fixture(spark)).select("meter_id", "rejection_type", "rejection_detail")
