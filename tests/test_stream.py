@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from voltmill.config import EngineConfig
-from voltmill.sources import deliveries
+from voltmill.sources import archive, deliveries
 from voltmill.sources.tables import FactTable, archive_pages, page_deliveries
 from voltmill.streaming import pipeline
 
@@ -71,3 +71,19 @@ def test_backfill_pages_cover_the_archive(spark, sf):
     assert sum(sizes) == r.filter(F.col("reading_time") >= since).count() and all(s == 100 for s in sizes[:-1])
     made = page_deliveries(pages, F.current_timestamp())
     assert made.count() == len(sizes) and made.filter("delivery_id like 'bf\\_%'").count() == len(sizes)
+
+
+def test_live_and_backfill_give_the_clean_history(spark, tmp_path):
+    """Pulling the archive, twice, beside live deliveries ends where the archive alone does."""
+    rows = [(f"m{k % 3}", "h", f"2014-01-{13 + k // 6} {10 + k % 6}:00:00", float(k), f"2014-01-{13 + k // 6} {11 + k % 6}:00:00") for k in range(18)]
+    kept = spark.createDataFrame(rows, "meter_id string, household_id string, t string, kwh double, r string")
+    kept = kept.select("meter_id", "household_id", F.col("t").cast("timestamp").alias("reading_time"), "kwh", F.col("r").cast("timestamp").alias("received_at"))
+    landing, state = str(tmp_path / "in"), str(tmp_path / "state")
+    now = F.lit("2014-02-01 00:00:00").cast("timestamp")
+    assert archive.pull(kept.filter("kwh < 12"), state, landing, now, 5) == 3
+    assert archive.pull(kept, state, landing, now, 5) == 2  # the last time seen comes again
+    (tmp_path / "in" / "live.txt").write_text(message("live-1", [(m, f"{t}Z".replace(" ", "T"), k, f"{r}Z".replace(" ", "T")) for m, _, t, k, r in rows[3:9]]))
+    pipeline.start(deliveries.from_files(spark, landing), str(tmp_path / "out"), available_now=True).awaitTermination(120)
+    facts = FactTable(spark, str(tmp_path / "out/clean_readings")).read()
+    got = {(r["meter_id"], r["reading_time"]): r["kwh"] for r in facts.collect()}
+    assert got == {(r["meter_id"], r["reading_time"]): r["kwh"] for r in kept.collect()}

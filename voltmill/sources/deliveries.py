@@ -29,6 +29,12 @@ def to_messages(deliveries: DataFrame) -> DataFrame:
     return deliveries.select(F.to_json(F.struct("delivery_id", "source", "ingest_time", "readings")).alias("value"))
 
 
+def to_kafka(deliveries: DataFrame, servers: str, lane: int, topic: str = "readings-raw") -> None:
+    """Deliveries as messages of one partition of a topic: 0 for live, 1 for backfill."""
+    rows = to_messages(deliveries).withColumn("partition", F.lit(lane))
+    rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.compression.type", "lz4").save()
+
+
 def fault_fixture(spark: SparkSession, rows: int = 12) -> DataFrame:
     """Readings with each kind of fault in turn: too high, negative, missing value, bad time."""
     k = F.col("id") % 4
