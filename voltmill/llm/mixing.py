@@ -2,17 +2,17 @@
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import durable, word_count
+from .text import durable, whole_rows, word_count
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 #: Rates are rounded to this fraction, so that all later sums are exact and reruns agree.
 UNIT = 1_000_000
 MAX_STEPS = 60
-TOLERANCE = 1e-9
+TOLERANCE = 1e-7
 #: Documents of one source and size that one task ranks at most, on average.
 RANKED_AT_ONCE = 50_000
 
@@ -56,64 +56,61 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return ranked.select("source", "n", "source_size", F.least(most, F.col("w") * share).alias("target"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def solve_rates(cells: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
-    """(source, lam): the tilt of each source whose rates min(cap, exp(lam * size / mean size)) bring its target.
+    """(source, mean, lam): the tilt of each source whose rates min(cap, exp(lam * size / mean)) bring its target.
 
     These rates are the nearest to 1, by relative entropy over documents, of all rates up to `cap` whose words meet the
-    target; lam minimises the convex dual. Every step sums the dual's slope and curvature over all cells, one row a
-    source and size, and moves each source by Newton, or halves its bracket where Newton would leave it.
+    target; lam minimises the convex dual. The dual falls apart by source, so sources iterate side by side in their
+    tasks, each over its cells: one for each of its sizes, however many documents it has. Every step sums the dual's
+    slope and curvature and moves by Newton, or halves its bracket where Newton would leave it.
     """
-    mean = F.col("source_size") / F.col("n")
-    start = targets.filter("source_size > 0").select(
-        F.col("source").alias("s"),
-        F.col("target"),
-        mean.alias("mean"),
-        F.when(F.col("target") >= cap * F.col("source_size"), F.lit(1e9)).otherwise(F.lit(0.0)).alias("lam"),
-        F.lit(float("-inf")).alias("lo"),
-        F.lit(float("inf")).alias("hi"),
-        (F.col("target") >= cap * F.col("source_size")).alias("done"),
-    )
-    state = durable(start)
-    for _ in range(MAX_STEPS):
-        x = F.col("lam") * F.col("size") / F.col("mean")
-        rate = F.exp(F.least(x, F.lit(math.log(cap))))
-        sums = (
-            cells.join(state.filter("not done"), F.col("source").eqNullSafe(F.col("s")))
-            .groupBy("s")
-            .agg(
-                F.sum(F.col("cell_n") * F.col("size") * rate).alias("got"),
-                F.sum(F.when(x < math.log(cap), F.col("cell_n") * F.col("size") * F.col("size") / F.col("mean") * rate).otherwise(0.0)).alias("bend"),
+    top = F.lit(math.log(cap))
+    by = cells.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("size", "cell_n"))).alias("cells"))
+    t = targets.filter("source_size > 0").select(F.col("source").alias("s"), "target", "source_size", (F.col("source_size") / F.col("n")).alias("mean"))
+    rows = by.join(t, F.col("source").eqNullSafe(F.col("s")))
+    target, mean = F.col("target"), F.col("mean")
+    state = lambda lam, lo, hi, done: F.struct(lam.alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done"))
+    full = target >= cap * F.col("source_size")
+    start = state(F.when(full, F.lit(1e9)).otherwise(F.log(target / F.col("source_size"))), F.lit(float("-inf")), F.lit(float("inf")), full)
+
+    def sums(lam: Column) -> Column:
+        def add(acc: Column, c: Column) -> Column:
+            words = c["cell_n"] * c["size"]
+            more = lambda x, r: F.struct((acc["got"] + words * r).alias("got"), (acc["bend"] + F.when(x < top, words * c["size"] / mean * r).otherwise(F.lit(0.0))).alias("bend"))
+            return _let(lam * c["size"] / mean, lambda x: _let(F.exp(F.least(x, top)), lambda r: more(x, r)))
+
+        return F.aggregate("cells", F.struct(F.lit(0.0).alias("got"), F.lit(0.0).alias("bend")), add)
+
+    def move(acc: Column, s: Column) -> Column:
+        over, met = s["got"] > target, F.abs(s["got"] - target) <= TOLERANCE * target
+        ends = F.struct(F.when(over, acc["lo"]).otherwise(acc["lam"]).alias("lo"), F.when(over, acc["lam"]).otherwise(acc["hi"]).alias("hi"))
+        newton = acc["lam"] - F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (s["got"] - target) / F.greatest(s["bend"], F.lit(1e-300))))
+
+        def to(e: Column) -> Column:
+            lo, hi = e["lo"], e["hi"]
+            half = (
+                F.when((lo > float("-inf")) & (hi < float("inf")), (lo + hi) / 2)
+                .when(lo > float("-inf"), lo + F.greatest(F.abs(lo), F.lit(1.0)))
+                .otherwise(hi - F.greatest(F.abs(hi), F.lit(1.0)))
             )
-            .withColumnRenamed("s", "s2")
-        )
-        over = F.col("got") > F.col("target")
-        lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col("got") - F.col("target")) / F.greatest("bend", F.lit(1e-300))))
-        half = (
-            F.when((lo > float("-inf")) & (hi < float("inf")), (lo + hi) / 2)
-            .when(lo > float("-inf"), lo + F.greatest(F.abs(lo), F.lit(1.0)))
-            .otherwise(hi - F.greatest(F.abs(hi), F.lit(1.0)))
-        )
-        met = F.abs(F.col("got") - F.col("target")) <= TOLERANCE * F.col("target")
-        moved = F.when((newton > lo) & (newton < hi), newton).otherwise(half)
-        state = durable(
-            state.join(sums, F.col("s").eqNullSafe(F.col("s2")), "left").select(
-                "s", "target", "mean",
-                F.when(F.col("done") | met | F.col("got").isNull(), F.col("lam")).otherwise(moved).alias("lam"),
-                F.when(F.col("done"), F.col("lo")).otherwise(lo).alias("lo"),
-                F.when(F.col("done"), F.col("hi")).otherwise(hi).alias("hi"),
-                (F.col("done") | met | F.col("got").isNull()).alias("done"),
-            )
-        )
-        if not state.filter("not done").limit(1).count():
-            break
-    return state.select(F.col("s").alias("source"), "mean", F.round("lam", 9).alias("lam"))
+            return _let(newton, lambda n: state(F.when(met, acc["lam"]).when((n > lo) & (n < hi), n).otherwise(half), lo, hi, met))
+
+        return _let(ends, to)
+
+    step = lambda acc, _: F.when(acc["done"], acc).otherwise(_let(sums(acc["lam"]), lambda s: move(acc, s)))
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_STEPS)), start, step, lambda acc: acc["lam"])
+    return rows.select("source", "mean", F.round(solved, 9).alias("lam"))
 
 
 def round_rates(cells: DataFrame, targets: DataFrame, tilts: DataFrame, cap: int = CAP) -> DataFrame:
     """(source, size, cell_n, whole, extra): every document of a cell gets `whole` copies and `extra` of them one more.
 
-    Classes of sizes, a factor of four wide, go from the largest down. In each, the fractions of the rates add up over
+    Classes of sizes, a factor of 16 wide, go from the largest down. In each, the fractions of the rates add up over
     the cells of a source, and every full one is a copy; what the class misses of its words, or has too many, is made up
     by the rates of the next. So the last error is about the size of the smallest documents.
     """
@@ -121,7 +118,7 @@ def round_rates(cells: DataFrame, targets: DataFrame, tilts: DataFrame, cap: int
     rate = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap))))
     cells = durable(
         cells.join(t, F.col("source").eqNullSafe(F.col("s"))).select(
-            "source", "size", "cell_n", F.round(rate * UNIT).cast("long").alias("r"), F.floor(F.log(4.0, "size") + 1e-12).cast("int").alias("k")
+            "source", "size", "cell_n", F.round(rate * UNIT).cast("long").alias("r"), F.floor(F.log(16.0, "size") + 1e-12).cast("int").alias("k")
         )
     )
     rated = cells.groupBy("source").agg(F.sum(_words("r")).alias("rated"))
@@ -206,13 +203,12 @@ def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 
     Rows of one doc_id, source and size share their numbers of copies out, the largest to the first by a hash of text.
     """
-    names = docs.columns
     key = lambda i, s, n: F.xxhash64(i.cast("long"), s.cast("string"), n)
     mixed = mix(docs, doc_id, text, source, **options).filter("copies > 0")
     by = mixed.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_k")).agg(F.sort_array(F.collect_list("copies"), False).alias("_all"))
-    keyed = docs.select("*", key(F.col(doc_id), F.col(source), word_count(text)).alias("_k"))
-    joined = keyed.join(by.hint("shuffle_hash"), "_k")
-    place = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(F.col(text))))
+    own = lambda c: F.col("_row")[c]
+    keyed = whole_rows(docs).withColumn("_k", key(own(doc_id), own(source), word_count(own(text))))
+    place = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(own(text))))
     copies = F.coalesce(F.try_element_at("_all", place), F.lit(0).cast("long"))
-    taken = joined.withColumn("_copies", copies).filter("_copies > 0")
-    return taken.select(*[F.col(c) for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    taken = keyed.join(by.hint("shuffle_hash"), "_k").withColumn("_copies", copies).filter("_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select("_row.*")
