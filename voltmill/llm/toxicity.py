@@ -114,13 +114,13 @@ def learn(
     chi = (F.col("b") - expected) ** 2 / (expected * (1 - positive / max(total, 1)) * (1 - F.col("a") / (total + 1)) + 1e-9)
     best = by.filter("a >= 3").select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(max_terms)
     term = np.array(sorted(r["term"] for r in best.collect()), np.int32)
-    at = {int(t): k for k, t in enumerate(term)}
     keep = F.array_intersect("terms", F.lit(term.tolist()).cast("array<int>"))
-    got = seen.select("id", "y", keep.alias("terms")).orderBy("id", "y").collect()
-    x = np.zeros((len(got), len(term)), np.float32)
-    for k, r in enumerate(got):
-        x[k, [at[t] for t in r["terms"]]] = 1
-    return fit(x, np.array([r["y"] for r in got], np.float32), term)
+    got = seen.select("id", "y", keep.alias("terms")).orderBy("id", "y").toArrow()  # arrays, not objects
+    lists = got.column("terms").combine_chunks()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    x = np.zeros((len(lists), len(term)), np.float32)
+    x[row, np.searchsorted(term, lists.flatten().to_numpy(zero_copy_only=False))] = 1
+    return fit(x, got.column("y").to_numpy().astype(np.float32), term)
 
 
 class Scorer:
