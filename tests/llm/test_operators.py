@@ -78,6 +78,24 @@ def test_dense_groups_and_small_regions(spark):
     assert sum(split[i] != expected[i] for i in split) <= 0.03 * len(split)
 
 
+def test_partners_within_large_groups(spark):
+    """Documents like one text only, which has more near copies than a region holds, and copies that are alike to few."""
+    rnd = random.Random(12)
+    fresh = lambda: f"w{rnd.randrange(10**9)}"
+    base = [fresh() for _ in range(100)]
+    docs = [" ".join(base)]
+    for edits, places in [(2, range(0, 50, 3))] * 250 + [(5, range(51, 100, 3))] * 40 + [(8, range(51, 100, 3))] * 10:
+        w = list(base)
+        for k in rnd.sample(places, edits):
+            w[k] = fresh()
+        docs.append(" ".join(w))
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    expected = components_by_force({i: shingles(t, 2) for i, t in docs})
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, words=2, region=8).collect()}
+    assert sum(got[i] != expected[i] for i in expected) == 0
+
+
 def test_signatures_estimate_similarity():
     rnd = np.random.default_rng(1)
     x = rnd.integers(0, 1 << 63, 1000, np.uint64)

@@ -23,6 +23,8 @@ REGION = 1024
 ROUNDS = (2, 4, 10 + TREES)
 #: Of 128 one-bit values, as many differ at most: for sets that are 0.8 alike, 13 with a deviation of 3.4.
 BITS_APART = 30
+#: Counters of shingles, whose order by frequency the exact join follows; any order gives the same links.
+COUNTERS = 1 << 18
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
@@ -104,14 +106,16 @@ def _sign(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(per_row(run, SIGNED), "doc long, n long, digest binary, values binary, b0 long, b1 long")
 
 
-def _regions(orders: DataFrame, region: int, turn: bool = True) -> DataFrame:
+def _regions(orders: DataFrame, region: int, turn: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Rows with their chunk: neighbours that share DEPTH first values of an order, deeper where more than `region` do.
 
+    The other table has (chunk, doc) of all regions that had to be split, if any: `_exact_links` looks at these again.
+
     Rows alone in their region leave. Where even all values are shared by more rows, as in large groups of near copies,
     a hash deals them into chunks; other orders deal them differently, so chunks of one group are linked across orders.
     Rows of regions that had to be split also enter a second order of the same values, the last half of them first.
     """
-    out, rows = None, orders
+    out, rows, split = None, orders, None
     for depth in range(DEPTH, VALUES + 1):
         rows = rows.withColumn("chunk", F.xxhash64("tree", F.substring("key", 1, 4 * depth)))
         sizes = rows.groupBy("chunk").agg(F.count("*").alias("size")).filter("size > 1")
@@ -120,17 +124,18 @@ def _regions(orders: DataFrame, region: int, turn: bool = True) -> DataFrame:
         out = fits if out is None else out.unionByName(fits)
         rows = rows.filter(F.col("size") > region)
         if rows.isEmpty():
-            return out
+            return out, split
         if depth == DEPTH and turn:
+            split = rows.select("chunk", "doc")
             half = 2 * VALUES
             turned = F.concat(F.substring("key", half + 1, half), F.substring("key", 1, half))
             second = rows.select((F.col("tree") + TREES).alias("tree"), "doc", "n", "b0", "b1", turned.alias("key"))
-            out = out.unionByName(_regions(second, region, turn=False).select(*out.columns))
+            out = out.unionByName(_regions(second, region, turn=False)[0].select(*out.columns))
         if depth == VALUES:
             deal = F.pmod(F.xxhash64("doc", "tree"), F.ceil(F.col("size") / region))
-            return out.unionByName(rows.withColumn("chunk", F.xxhash64("chunk", deal)).drop("size", "key"))
+            return out.unionByName(rows.withColumn("chunk", F.xxhash64("chunk", deal)).drop("size", "key")), split
         rows = rows.drop("size", "chunk")
-    return out
+    return out, split
 
 
 def _groups(batches, key: int):
@@ -222,6 +227,112 @@ def _links(percent: int):
     return run
 
 
+def _whole(words: int):
+    """(doc, whole): the set of each text."""
+
+    def run(rows):
+        shingles = Shingles(words)
+        for doc, value in rows:
+            yield doc, shingles(value).tobytes()
+
+    return per_row(run, pa.schema([("doc", pa.int64()), ("whole", pa.binary())]), 256)
+
+
+def _tally(rows):
+    n = np.zeros(COUNTERS, np.int64)
+    for _, whole in rows:
+        n += np.bincount((np.frombuffer(whole, np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    for k in np.flatnonzero(n).tolist():
+        yield k, int(n[k])
+
+
+def _prefixes(tally: np.ndarray, percent: int):
+    """(token, doc) of the rarest shingles of each set: two sets that are `percent` alike have one of these in common."""
+
+    def run(rows):
+        for doc, whole in rows:
+            found = np.frombuffer(whole, np.uint64)
+            order = np.lexsort((found, tally[(found % np.uint64(COUNTERS)).astype(np.int64)]))
+            need = -(-percent * len(found) // 100)
+            for token in found[order[: len(found) - need + 1]].view(np.int64).tolist():
+                yield token, doc
+
+    return per_row(run, pa.schema([("token", pa.int64()), ("doc", pa.int64())]))
+
+
+def _across(percent: int):
+    """Links (a, b) between components: of each block, every row of side 1 against every row of side 0, by whole sets."""
+
+    def run(batches):
+        def found():
+            for cols in _groups(batches, 0):
+                side, comp = _numbers(cols[1]), _numbers(cols[2])
+                sets = [np.frombuffer(s, np.uint64) for s in cols[3].to_pylist()]
+                probes, rest, seen = np.flatnonzero(side == 1), np.flatnonzero(side == 0), set()
+                for at in range(0, len(rest), 256):
+                    part = rest[at : at + 256]
+                    n = np.array([len(sets[k]) for k in part])
+                    tokens, owner = np.concatenate([sets[k] for k in part]), np.repeat(np.arange(len(part)), n)
+                    order = np.argsort(tokens, kind="stable")
+                    tokens, owner = tokens[order], owner[order]
+                    for p in probes.tolist():
+                        lo, hi = np.searchsorted(tokens, sets[p], "left"), np.searchsorted(tokens, sets[p], "right")
+                        held = hi - lo
+                        places = np.repeat(lo - np.cumsum(held) + held, held) + np.arange(held.sum())
+                        common = np.bincount(owner[places], minlength=len(part))
+                        linked = (100 * common >= percent * (len(sets[p]) + n - common)) & (comp[part] != comp[p])
+                        for c in np.unique(comp[part[linked]]).tolist():
+                            link = max(c, int(comp[p])), min(c, int(comp[p]))
+                            if link not in seen:
+                                seen.add(link)
+                                yield link
+
+        return in_batches(found(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
+
+
+def _exact_links(narrow: DataFrame, split: DataFrame, labels: DataFrame, words: int, percent: int, region: int) -> DataFrame | None:
+    """All links (a, b) that are left between components of documents of split regions; None if none can be left.
+
+    A set-similarity join with a prefix filter, shingles in order of frequency. Regions and prefix shingles within one
+    component leave. Of the others, documents outside of a shingle's largest component meet all that have the shingle,
+    in blocks of about `region` rows of each side, so that no task grows with a group.
+    """
+    known = labels.withColumnRenamed("node", "l")
+    own = durable(split.join(known, F.col("doc") == F.col("l"), "left").select("chunk", "doc", F.coalesce("component", "doc").alias("comp")))
+    mixed = own.groupBy("chunk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("chunk")
+    docs = durable(own.join(mixed, "chunk", "left_semi").select("doc", "comp").distinct())
+    if docs.isEmpty():
+        return None
+    sets = durable(narrow.join(docs.select("doc"), "doc").mapInArrow(_whole(words), "doc long, whole binary").filter("length(whole) > 0").distinct())
+    counted = sets.mapInArrow(per_row(_tally, pa.schema([("k", pa.int64()), ("n", pa.int64())])), "k long, n long")
+    counted = counted.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    tally = np.zeros(COUNTERS, np.int64)
+    tally[counted.column("k").to_numpy()] = counted.column("n").to_numpy()
+    tokens = durable(sets.mapInArrow(_prefixes(tally, percent), "token long, doc long").join(docs, "doc").select("token", "doc", "comp").distinct())
+    parts = tokens.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    by = parts.groupBy("token").agg(F.sum("c").alias("size"), F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("most"))
+    by = by.filter("parts > 1").select("token", F.col("most.comp").alias("most"), F.ceil(F.col("size") / region).alias("wide"), F.ceil((F.col("size") - F.col("most.c")) / region).alias("high"))
+    met = tokens.join(by, "token")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = met.select("token", "doc", "comp", F.lit(0).alias("side"), F.pmod(F.xxhash64("doc"), "wide").alias("i"), every("high").alias("j"))
+    probes = met.filter("comp <> most").select("token", "doc", "comp", F.lit(1).alias("side"), every("wide").alias("i"), F.pmod(F.xxhash64("doc", "token"), "high").alias("j"))
+    blocks = rest.unionByName(probes).select(F.xxhash64("token", "i", "j").alias("block"), "side", "comp", "doc")
+    full = blocks.join(sets, "doc").select("block", "side", "comp", "whole")
+    return full.repartition("block").sortWithinPartitions("block").mapInArrow(_across(percent), "a long, b long")
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after links between components."""
+    merged = durable(components(links))
+    if labels is None:
+        return merged
+    m = merged.select(F.col("node").alias("m"), F.col("component").alias("into"))
+    moved = labels.join(m, F.col("component") == F.col("m"), "left").select("node", F.coalesce("into", "component").alias("component"))
+    return durable(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, region: int = REGION
 ) -> DataFrame:
@@ -236,6 +347,7 @@ def near_duplicates(
     Equal sets are one class and only its smallest document goes on. Every order of the signature sorts documents into
     regions with a common prefix; documents of a region whose one-bit values and sizes admit a link are candidates, all
     of them, and the whole sets decide. Rounds take up more orders, and leave out what has become one component.
+    Documents of regions of over `region` rows, which are split, go through an exact join of what is left at the end.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = durable(_sign(narrow, words))
@@ -247,18 +359,12 @@ def near_duplicates(
         "tree", "doc", "n", "b0", "b1", F.col("values").substr(tree * (4 * VALUES) + 1, F.lit(4 * VALUES)).alias("key")
     )
     kind = "chunk long, tree int, doc long, n long, b0 long, b1 long"
-    rows = _regions(orders, region).select("chunk", "tree", "doc", "n", "b0", "b1")
+    rows, split = _regions(orders, region)
+    rows = rows.select("chunk", "tree", "doc", "n", "b0", "b1")
     rows = durable(rows.repartition("chunk").sortWithinPartitions("chunk", "doc").mapInArrow(_with_partner(percent), kind))
     active = rows.select("doc").distinct()
 
-    def whole(rows):
-        shingles = Shingles(words)
-        for doc, value in rows:
-            yield doc, shingles(value).tobytes()
-
-    sets = durable(
-        narrow.join(active, "doc").mapInArrow(per_row(whole, pa.schema([("doc", pa.int64()), ("whole", pa.binary())]), 256), "doc long, whole binary")
-    ).withColumnRenamed("doc", "d")
+    sets = durable(narrow.join(active, "doc").mapInArrow(_whole(words), "doc long, whole binary")).withColumnRenamed("doc", "d")
     labels = None
     for lo, hi in zip(np.cumsum([0, *ROUNDS]).tolist(), np.cumsum(ROUNDS).tolist(), strict=False):
         own = rows.filter((tree >= lo) & (tree < hi))
@@ -269,13 +375,10 @@ def near_duplicates(
         apart = own.groupBy("chunk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("chunk")
         full = own.join(apart, "chunk", "left_semi").join(sets, F.col("doc") == F.col("d")).select("chunk", "comp", "n", "b0", "b1", "whole")
         links = full.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_links(percent), "a long, b long")
-        merged = durable(components(links))
-        if labels is None:
-            labels = merged
-        else:
-            m = merged.select(F.col("node").alias("m"), F.col("component").alias("into"))
-            moved = labels.join(m, F.col("component") == F.col("m"), "left").select("node", F.coalesce("into", "component").alias("component"))
-            labels = durable(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")))
+        labels = _merged(labels, links)
+    if split is not None:
+        links = _exact_links(narrow, split, labels, words, percent, region)
+        labels = labels if links is None else _merged(labels, links)
     of_class = known.select(F.col("doc").alias("k"), "digest").join(classes, "digest").select("k", "first").distinct()
     joined = signed.select("doc", "n").join(of_class, F.col("doc") == F.col("k"), "left").withColumn("rep", F.coalesce("first", "doc"))
     joined = joined.join(labels.withColumnRenamed("node", "l"), F.col("rep") == F.col("l"), "left")
