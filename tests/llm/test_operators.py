@@ -353,6 +353,14 @@ def test_fingerprints_of_edits(spark, sf):
     assert sum(r["near_edited"] > r["near_next"] for r in rows.values()) > 0.95 * len(rows)
 
 
+def test_likeness_of_long_repetitive_texts():
+    """Half of a text's grams give way to a few others: with counts n and n / 2 likeness is 1 - 1/4 / (1 + 1/4)."""
+    for text in ("=" * 100_000, "lorem ipsum dolor sit amet " * 40_000):
+        own, changed = (fingerprint.of_text(x.encode()) for x in (text, fingerprint.edited(text, "a short text")))
+        assert abs(fingerprint.likeness(own, changed) - 0.8) < 0.01
+        assert fingerprint.likeness(fingerprint.decode(fingerprint.encode(own)), changed) == fingerprint.likeness(own, changed)
+
+
 # 8 language
 
 

@@ -11,7 +11,7 @@ from .text import in_batches
 
 #: 32-bit lanes that tell multisets of paragraphs apart, summed modulo 2^32.
 IDENTITY = 16
-#: 16-bit lanes that sketch the paragraphs' 8-byte grams, summed modulo 2^16; gram counts differ by their distance.
+#: 32-bit lanes that sketch the paragraphs' 8-byte grams, summed modulo 2^32; gram counts differ by their distance.
 CONTENT = 128
 GRAM = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -34,7 +34,7 @@ def of_paragraphs(paragraphs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             across = (ends[:, None] - np.arange(GRAM)).ravel()
             counts = counts - np.bincount(slot[across[across < n]], minlength=2 * CONTENT)
         content = counts[0::2] - counts[1::2]
-    return identity, content.astype(np.uint16)
+    return identity, content.astype(np.uint32)
 
 
 def of_text(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -47,19 +47,19 @@ def combine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 
 def encode(f: tuple[np.ndarray, np.ndarray]) -> str:
-    return f[0].astype("<u4").tobytes().hex() + f[1].astype("<u2").tobytes().hex()
+    return f[0].astype("<u4").tobytes().hex() + f[1].astype("<u4").tobytes().hex()
 
 
 def decode(s: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(s)
-    return np.frombuffer(raw[: 4 * IDENTITY], "<u4"), np.frombuffer(raw[4 * IDENTITY :], "<u2")
+    return np.frombuffer(raw[: 4 * IDENTITY], "<u4"), np.frombuffer(raw[4 * IDENTITY :], "<u4")
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """1 for equal fingerprints; else 1 less the squared distance of the sketches over their squared lengths, from 0 to 1."""
     if (a[0] == b[0]).all() and (a[1] == b[1]).all():
         return 1.0
-    x, y = a[1].view(np.int16).astype(float), b[1].view(np.int16).astype(float)
+    x, y = a[1].view(np.int32).astype(float), b[1].view(np.int32).astype(float)
     whole = (x * x).sum() + (y * y).sum()
     return float(min(1.0, max(0.0, 1 - ((x - y) ** 2).sum() / whole))) if whole else 0.0
 
