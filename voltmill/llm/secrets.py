@@ -13,79 +13,111 @@ KINDS = ("assign", "access", "hex", "entropy")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 WINDOW = 20
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Least bits a character in a window, by the class of the whole candidate; the first pattern that fits names it.
 CLASSES = ((r"^[0-9]+$", 3.0), (r"^[0-9a-fA-F]+$", 2.9), (r"^[A-Za-z0-9]+$", 3.5), (r"^[A-Za-z0-9+/_=-]+$", 3.6))
-#: Candidates of these shapes are no secrets: words joined by signs, rulers, paths, UUIDs.
-ALLOWED = (
-    r"^[+/_=-]*[A-Za-z]+([+/_=-]+[A-Za-z]+)*[+/_=-]*$",
-    r"^[+/_=-]+$",
-    r"^(/[A-Za-z0-9_-]{1,16})+/?$",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-)
+# The allow-list. Groups repeat without giving back, so that a long candidate needs no stack.
+RULER = r"^[+/_=-]++$"
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+#: Words, with at most four digits after each, or such digits alone, joined by signs: identifiers, paths, dates.
+JOINED = r"^[+/_=-]*+(?:(?:[A-Za-z]++[0-9]{0,4}+|[0-9]{1,4}+)(?:[+/_=-]++|$))++$"
+#: A word of such a candidate by its case: abc, Abc or ABC.
+CASED = r"[A-Z]?[a-z]+|[A-Z]+"
+CONSONANTS = 6
+VOWELS = (0.2, 0.65)
+#: Sums of n log n as whole numbers, so that what comes in and goes out again leaves nothing behind.
+SCALE = 1 << 40
+#: Spans gathered before they are put away; appending to one long list would copy it for each.
+RUN = 256
 
 SPAN = "array<struct<kind:int,start:long,end:long>>"
+_PLACED = "array<struct<start:long,end:long,own:string>>"
 
 
-def _found(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the leftmost non-overlapping matches that `keep` accepts; the text between matches gives the places."""
+def _found(text: Column, pattern: str, keep) -> Column:
+    """(start, end, own) of the leftmost non-overlapping matches that `keep` accepts; the text between gives the places.
+
+    own is the pattern's group, or the whole match where it has none.
+    """
     between, hit = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     own = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if "(" in pattern.replace("(?", "") else hit
     step = F.zip_with(F.slice(between, 1, F.size(hit)), F.arrays_zip(hit.alias("hit"), own.alias("own")), lambda b, h: F.struct(F.length(b).alias("gap"), F.length(h["hit"]).alias("n"), h["own"].alias("own")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,own:string>>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_PLACED).alias("now"), F.array().cast(f"array<{_PLACED}>").alias("done"))
 
     def walk(acc: Column, s: Column) -> Column:
-        at = acc["at"] + s["gap"]
-        span = F.struct(at.alias("start"), (at + s["n"]).alias("end"), s["own"].alias("own"))
-        return F.struct((at + s["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        end = acc["at"] + s["gap"] + s["n"]
+        span = F.array(F.struct((acc["at"] + s["gap"]).alias("start"), end.alias("end"), s["own"].alias("own"))).cast(_PLACED)
+        full = F.size(acc["now"]) >= RUN
+        return F.struct(
+            end.alias("at"),
+            F.when(full, span).otherwise(F.concat(acc["now"], span)).alias("now"),
+            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
+        )
+
+    return F.filter(F.aggregate(step, start, walk, lambda acc: F.concat(F.flatten(acc["done"]), acc["now"])), keep)
 
-    placed = F.aggregate(step, start, walk, lambda acc: acc["out"])
-    return F.transform(F.filter(placed, keep), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
 
+def _spans(text: Column, pattern: str, kind: int, least: int) -> Column:
+    found = _found(text, pattern, lambda s: F.length(s["own"]) >= least)
+    return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-def _bits(value: Column) -> Column:
-    """(first, last): ends of the windows of WINDOW characters whose entropy reaches the class's least, or nulls.
 
-    The window moves by one character. Its counts change for the one that comes in and the one that goes out, and so
-    does the sum of n log n, from which the entropy follows: log WINDOW - sum / WINDOW.
+def _allowed(value: Column) -> Column:
+    """Whether the allow-list suppresses a candidate: rulers, UUIDs, and words joined by signs if they look like words.
+
+    They do if they have three letters each on average by their case, no long run of consonants and a usual share of
+    vowels; random letters have not, whatever signs they are joined by.
     """
-    least = F.coalesce(*[F.when(value.rlike(p), F.lit(bits)) for p, bits in CLASSES])
-    logs = F.array(*[F.lit(float(n * math.log2(n)) if n else 0.0) for n in range(WINDOW + 1)])
-    g = lambda n: F.element_at(logs, n.cast("int") + 1)
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
+    only = lambda p: F.length(F.regexp_replace(value, p, ""))
+    letters, vowels = only("[^A-Za-z]"), only("[^AEIOUYaeiouy]")
+    worded = (
+        (letters >= 3 * F.regexp_count(value, F.lit(CASED)))
+        & ~value.rlike(f"[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{{{CONSONANTS}}}")
+        & (vowels >= VOWELS[0] * letters) & (vowels <= VOWELS[1] * letters)
+    )
+    return value.rlike(RULER) | value.rlike(UUID) | (value.rlike(JOINED) & worded)
+
+
+def _narrowed(s: Column) -> Column:
+    """The span from the first to the last window of WINDOW characters whose entropy reaches the class's least, or null ends.
+
+    The window moves by one character. The sum of n log n over its counts changes by the counts of the character that
+    goes out and of the one that comes in, and nothing else; the entropy is log WINDOW - sum / WINDOW.
+    """
+    value = s["own"]
+    n_log = [round(n * math.log2(n) * SCALE) if n else 0 for n in range(WINDOW + 1)]
+    more = F.array(*[F.lit(b - a).cast("long") for a, b in zip(n_log, n_log[1:])])  # from n of a character to n + 1
+    most = F.coalesce(*[F.when(value.rlike(p), F.lit(int((math.log2(WINDOW) - bits + 1e-9) * WINDOW * SCALE))) for p, bits in CLASSES])
+    none = F.lit(None).cast("int")
     start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
+        F.lit("").alias("window"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("sum"), most.cast("long").alias("most"), none.alias("first"), none.alias("last")
     )
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
 
-    def move(acc: Column, i: Column) -> Column:
-        came, went = F.struct(code(i).alias("c"))["c"], F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(0))
-        n_came = F.element_at(acc["n"], came)
-        n_went = F.when(went > 0, F.element_at(acc["n"], F.greatest(went, F.lit(1)))).otherwise(F.lit(0))
-        total = F.when(came == went, acc["sum"]).otherwise(
-            acc["sum"] + g(n_came + 1) - g(n_came) + F.when(went > 0, g(F.greatest(n_went - 1, F.lit(0))) - g(n_went)).otherwise(F.lit(0.0))
-        )
-        counts = F.transform(acc["n"], lambda n, k: n + F.when(k + 1 == came, 1).otherwise(0) - F.when(k + 1 == went, 1).otherwise(0))
-        high = (i >= WINDOW) & (math.log2(WINDOW) - total / WINDOW >= least - 1e-9)
+    def move(acc: Column, c: Column) -> Column:
+        window, full = acc["window"], acc["i"] >= WINDOW
+        left = F.when(full, F.substring(window, 2, WINDOW)).otherwise(window)
+        less = F.when(full, F.element_at(more, count(window, F.substring(window, 1, 1)))).otherwise(F.lit(0).cast("long"))
         return F.struct(
-            counts.alias("n"),
-            total.alias("sum"),
-            F.when(high & acc["first"].isNull(), i).otherwise(acc["first"]).alias("first"),
-            F.when(high, i).otherwise(acc["last"]).alias("last"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, move)
+            F.concat(left, c).alias("window"), (acc["i"] + 1).alias("i"), (acc["sum"] - less + F.element_at(more, count(left, c) + 1)).alias("sum"),
+            acc["most"].alias("most"), acc["first"].alias("first"), acc["last"].alias("last"),
+        )
 
+    def mark(acc: Column) -> Column:
+        high = (acc["i"] >= WINDOW) & (acc["sum"] <= acc["most"])
+        return F.struct(
+            *[acc[f].alias(f) for f in ("window", "i", "sum", "most")],
+            F.when(high & acc["first"].isNull(), acc["i"]).otherwise(acc["first"]).alias("first"), F.when(high, acc["i"]).otherwise(acc["last"]).alias("last"),
+        )
 
-def _by_entropy(text: Column) -> Column:
-    candidates = _found(text, CANDIDATE, 3, lambda s: ~F.greatest(*[s["own"].rlike(p) for p in ALLOWED]))
+    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    ends = F.aggregate(F.split(value, ""), start, lambda acc, c: let(move(acc, c), mark), lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    return let(ends, lambda e: F.struct(F.lit(3).alias("kind"), (s["start"] + e["first"] - WINDOW).cast("long").alias("start"), (s["start"] + e["last"]).cast("long").alias("end")))
 
-    def narrow(s: Column) -> Column:
-        value = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        b = _bits(value)
-        return F.struct(s["kind"].alias("kind"), (s["start"] + b["first"] - WINDOW).cast("long").alias("start"), (s["start"] + b["last"]).cast("long").alias("end"))
 
-    return F.filter(F.transform(candidates, narrow), lambda s: s["start"].isNotNull())
+def _by_entropy(text: Column) -> Column:
+    candidates = _found(text, CANDIDATE, lambda s: ~_allowed(s["own"]))
+    return F.filter(F.transform(candidates, _narrowed), lambda s: s["start"].isNotNull())
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,11 +129,10 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     t = F.coalesce(F.col("_text"), F.lit(""))
     none = F.array().cast(SPAN)
-    own = lambda n: lambda s: F.length(s["own"]) >= n
     spans = F.concat(
-        F.when(t.rlike(r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=]"), _found(t, ASSIGN, 0, own(LEAST["assign"]))).otherwise(none),
-        F.when(F.contains(t, F.lit("AKIA")), _found(t, f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", 1, own(LEAST["access"]))).otherwise(none),
-        F.when(t.rlike(f"[0-9a-f]{{{LEAST['hex']},}}"), _found(t, f"[0-9a-f]{{{LEAST['hex']},}}", 2, own(LEAST["hex"]))).otherwise(none),
+        F.when(t.rlike(r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=]"), _spans(t, ASSIGN, 0, LEAST["assign"])).otherwise(none),
+        F.when(F.contains(t, F.lit("AKIA")), _spans(t, f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", 1, LEAST["access"])).otherwise(none),
+        F.when(t.rlike(f"[0-9a-f]{{{LEAST['hex']},}}"), _spans(t, f"[0-9a-f]{{{LEAST['hex']},}}", 2, LEAST["hex"])).otherwise(none),
         F.when(t.rlike(CANDIDATE), _by_entropy(t)).otherwise(none),
     )
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
