@@ -34,7 +34,7 @@ def operators(docs, bench, labels):
     yield "mix", mixing.mix(docs), True
     yield "toxicity", toxicity.hold_out(docs, labels), True
     yield "decontam", decontam.digest(decontam.find_contamination(docs, bench)), True
-    yield "decontam in blocks", decontam.digest(decontam.find_contamination(docs, bench, max_block_bytes=50)), True
+    yield "decontam in blocks", decontam.digest(decontam.find_contamination(docs, bench, piece_bytes=50)), True
     yield "fingerprint", fingerprint.with_next(docs), True
     yield "fingerprints", fingerprint.fingerprints(docs), True
     yield "langid", langid.hold_out(docs), True
@@ -77,6 +77,19 @@ def test_texts_without_words_are_linked_with_nothing(docs):
 
 
 def test_decontamination_in_blocks_is_the_same(docs, bench):
-    one, many = (decontam.digest(decontam.find_contamination(docs, bench, max_block_bytes=b)).collect() for b in (1 << 20, 40))
+    one, many = (decontam.digest(decontam.find_contamination(docs, bench, piece_bytes=b)).collect() for b in (1 << 20, 40))
     assert sorted(map(str, one)) == sorted(map(str, many))
-    assert {r["doc_id"]: r["n_hit"] for r in one}[7] == 4
+    assert {r["doc_id"]: r["n_hit"] for r in one}[7] == 5  # "cat", whose item has no id, and "sat on the mat"
+
+
+def test_contamination_is_of_rows_whatever_their_ids(spark):
+    """Clean rows that share an id, or null, with contaminated ones; items without an id; one piece and many."""
+    rows = [(1, "sat on the mat now"), (1, "all of it is clean"), (None, "see the secret text here"), (None, "nothing at all in it"), (2, None), (2, "sat on the mat now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))
+    bench = spark.createDataFrame([(5, "sat on the mat"), (None, "the secret text"), (6, "x y z")] + [(k, f"w{k} w{k} w{k}") for k in range(10, 20)], "item_id long, text string")
+    for size in (1 << 20, 10):
+        got = decontam.digest(decontam.find_contamination(df, bench, piece_bytes=size)).collect()
+        assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"]) for r in got) == [(0, 5, 0, 0), (0, 5, 3, 0), (1, 5, 0, 0), (1, 5, 4, 1), (2, 0, 0, 0), (2, 5, 4, 1)]
+        kept = decontam.drop_contaminated(df, bench, piece_bytes=size)
+        assert kept.columns == df.columns
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, "nothing at all in it"), (1, "all of it is clean"), (2, "")]

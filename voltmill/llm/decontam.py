@@ -1,18 +1,22 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words."""
 
-import math
-from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import alnum_words, per_row, whole_rows
+from .text import alnum_words, in_batches
 
 WINDOW = 10
 BLOCK = 3
-#: Benchmark text beyond this many bytes is searched in several blocks, each sent to the workers on its own.
-MAX_BLOCK_BYTES = 16 << 20
+#: The benchmark goes to the workers in pieces of about this many bytes of text, or of one item that is longer.
+PIECE_BYTES = 2 << 20
+#: A worker keeps the tables of this many pieces; if there are more it holds documents of HELD_BYTES against each in turn.
+KEPT_PIECES = 3
+HELD_BYTES = 32 << 20
 
 FOUND = pa.schema(
     [
@@ -26,63 +30,80 @@ FOUND_DDL = "doc_id long, n_words long, spans array<struct<start:long,end:long>>
 
 
 class WuManber:
-    """Patterns of one length in words.
+    """Patterns of one length: every window of `length` words of some items.
 
-    A block is the last `block` words under the pattern's end. `shift` says how far the end may move for each block
-    that occurs in a pattern; any other block allows the largest shift. A shift of 0 names a bucket of patterns that
-    end in this block; comparison word by word confirms them.
+    A block is the last `block` words under the pattern's end. A block that ends no pattern says how far the end may
+    move, any that occurs in none allows the largest shift. A block that ends patterns names its bucket: where they
+    begin in the words of all items; comparison word by word confirms them.
     """
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[int]], block: int = BLOCK):
+    def __init__(self, length: int, block: int = BLOCK):
         self.length, self.block = length, min(block, length)
         self.most = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[list[bytes], list[int]]]] = defaultdict(list)
-        for words, owners in patterns.items():
-            for end in range(self.block, length + 1):
-                key = words[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.most), length - end)
-            self.bucket[words[length - self.block :]].append((list(words), owners))
-
-    def search(self, words: list[bytes]):
-        """Yield (start, end, owners) of every occurrence."""
-        length, block, most, get, bucket = self.length, self.block, self.most, self.shift.get, self.bucket
+        self.words: list[bytes] = []
+        self.begins, self.names = [0], []  # of the items, in `words`
+        self.table: dict[tuple[bytes, ...], int | list[int]] = {}
+
+    def add(self, name: str | None, words: list[bytes]) -> None:
+        """The windows of an item of at least `length` words."""
+        first, block = len(self.words), self.block
+        self.words += words
+        self.begins.append(len(self.words))
+        self.names.append(name)
+        for end in range(block, self.length):  # blocks within the first window
+            key, shift = tuple(words[end - block : end]), self.length - end
+            if not isinstance(self.table.get(key), list):
+                self.table[key] = min(self.table.get(key, self.most), shift)
+        for end in range(self.length, len(words) + 1):  # each ends a window
+            key, start = tuple(words[end - block : end]), first + end - self.length
+            bucket = self.table.get(key)
+            if isinstance(bucket, list):
+                bucket.append(start)
+            else:
+                self.table[key] = [start]
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """Yield (start, end, place in the items' words) of every occurrence."""
+        length, block, most, get, own = self.length, self.block, self.most, self.table.get, self.words
         end, n = length, len(words)
         while end <= n:
-            key = tuple(words[end - block : end])
-            step = get(key, most)
-            if step:
+            step = get(tuple(words[end - block : end]), most)
+            if step.__class__ is int:
                 end += step
                 continue
             under = words[end - length : end]
-            for pattern, owners in bucket[key]:
-                if pattern == under:
-                    yield end - length, end, owners
+            for start in step:
+                if own[start : start + length] == under:
+                    yield end - length, end, start
             end += 1
 
+    def name(self, place: int) -> str | None:
+        return self.names[int(np.searchsorted(self.begins, place, "right")) - 1]
 
-def matchers(items: list[tuple[str, bytes | None]], window: int = WINDOW) -> list[WuManber]:
-    """One matcher for each length of window: the full one, and those of items that are shorter."""
-    by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
-    for k, (_, text) in enumerate(items):
-        words = alnum_words(text)
-        size = min(window, len(words))
-        for at in range(len(words) - size + 1) if size else ():
-            owners = by_length[size][tuple(words[at : at + size])]
-            if not owners or owners[-1] != k:
-                owners.append(k)
-    return [WuManber(n, p) for n, p in sorted(by_length.items())]
 
+class Matcher:
+    """A search for each length of window: the full one, and those of items that have fewer words."""
 
-def scan(words: list[bytes], found_by: list[WuManber]) -> tuple[list[tuple[int, int]], set[int]]:
-    """Merged word spans under any occurrence, and the owners of the windows that occur."""
-    spans: list[tuple[int, int]] = []
-    owners: set[int] = set()
-    for m in found_by:
-        for start, end, own in m.search(words):
-            spans.append((start, end))
-            owners.update(own)
-    return merged(spans), owners
+    def __init__(self, items: Iterable[tuple[str | None, bytes | None]], window: int = WINDOW):
+        by_length: dict[int, WuManber] = {}
+        known: dict[bytes, bytes] = {}
+        for name, text in items:
+            words = [known.setdefault(w, w) for w in alnum_words(text)]
+            if words:
+                size = min(window, len(words))
+                if size not in by_length:
+                    by_length[size] = WuManber(size)
+                by_length[size].add(name, words)
+        self.searches = [by_length[n] for n in sorted(by_length)]
+
+    def __call__(self, words: list[bytes], spans: list[tuple[int, int]], names: set[str]) -> None:
+        """Add the spans under any occurrence, and the names of the items that have windows there."""
+        for s in self.searches:
+            for start, end, place in s.search(words):
+                spans.append((start, end))
+                name = s.name(place)
+                if name is not None:
+                    names.add(name)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -95,16 +116,65 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int) -> DataFrame:
-    def find(rows):
-        names = [i for i, _ in items]
-        found_by = matchers(items, window)
-        for doc_id, text in rows:
-            words = alnum_words(text)
-            spans, owners = scan(words, found_by) if words else ([], set())
-            yield doc_id, len(words), [{"start": s, "end": e} for s, e in spans], sorted({names[k] for k in owners})
-
-    return docs.mapInArrow(per_row(find, FOUND), FOUND_DDL)
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
+    for at in range(0, batch.num_rows, 256):
+        yield from batch.column(column).slice(at, 256).cast(pa.large_binary()).to_pylist()
+
+
+def _searched(batches: Iterable[pa.RecordBatch], column: int, pieces: list[Broadcast], window: int):
+    """Yield each batch with (n_words, spans, names) of its rows, results of all pieces together."""
+    few = len(pieces) <= KEPT_PIECES
+    kept: dict[int, Matcher] = {}
+
+    def matcher(k: int) -> Matcher:
+        found = kept.get(k) or Matcher(pieces[k].value, window)
+        pieces[k].__dict__.pop("_value", None)  # the tables hold what they need
+        if few:
+            kept[k] = found
+        return found
+
+    def found(held: list[pa.RecordBatch]):
+        out = [[(0, [], set()) for _ in range(b.num_rows)] for b in held]
+        for k in range(max(1, len(pieces))):
+            search = matcher(k) if pieces else None
+            for own, batch in zip(out, held, strict=True):
+                for r, text in enumerate(_texts(batch, column)):
+                    words = alnum_words(text)
+                    _, spans, names = own[r]
+                    own[r] = len(words), spans, names
+                    if search:
+                        search(words, spans, names)
+        for own, batch in zip(out, held, strict=True):
+            yield batch, [(n, merged(spans), names) for n, spans, names in own]
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if few or size >= HELD_BYTES:
+            yield from found(held)
+            held, size = [], 0
+    if held:
+        yield from found(held)
+
+
+def _pieces(benchmark: DataFrame, item_id: str, item_text: str, piece_bytes: int) -> list[Broadcast]:
+    """The items as files that workers fetch, piece by piece; the driver holds one piece at a time."""
+    sc = benchmark.sparkSession.sparkContext
+    out: list[Broadcast] = []
+    held: list[tuple[str | None, bytes]] = []
+    size = 0
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string"), F.col(item_text).cast("binary"))
+    for name, text in items.toLocalIterator():
+        held.append((name, bytes(text)))
+        size += len(text) + 40
+        if size >= piece_bytes:
+            out.append(sc.broadcast(held))
+            held, size = [], 0
+    if held:
+        out.append(sc.broadcast(held))
+    return out
 
 
 def find_contamination(
@@ -115,41 +185,30 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
-    max_block_bytes: int = MAX_BLOCK_BYTES,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Word spans of each document that benchmark windows cover: (doc_id, n_words, spans, item_ids).
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. One row
-    comes back for each input row, repeated rows included; null or empty text has no words and no spans; items without
-    words match nothing, a null item_id is never named; without rows in either table the result is empty or clean.
-    Other columns of the inputs are ignored. item_ids are distinct, as text, in code point order.
+    comes back for each input row, repeated rows included, whatever ids they have; null or empty text has no words and
+    no spans; items without words match nothing; an item whose id is null covers words as any other but is never named;
+    without rows in either table the result is empty or clean. Other columns of the inputs are ignored. item_ids are
+    distinct, as text, in code point order.
 
-    The benchmark is the stated query set. Its size is measured; up to `max_block_bytes` it goes to the workers in one
-    piece, beyond that in blocks of about this size, each scanned against all documents and the spans merged by row.
+    The benchmark is the stated query set, of any size: documents are read once, and each row meets all its pieces in
+    the task that reads it.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 40)).first()[0] or 0
-    blocks = max(1, math.ceil(size / max_block_bytes))
-    if blocks == 1:
-        return _pass(docs, _items(items), window)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = None
-    for k in range(blocks):
-        one = _pass(docs.select("doc_id", "text"), _items(items.filter(block == k)), window)
-        found = one if found is None else found.unionByName(one)
-    merge = F.udf(lambda spans: merged([(s["start"], s["end"]) for x in spans for s in x]), "array<struct<start:long,end:long>>")
-    return (
-        found.groupBy("doc_id", "n_words")
-        .agg(F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.count("*").alias("n"))
-        .select("doc_id", "n_words", merge("spans").alias("spans"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int"))).alias("_copy"))
-        .drop("_copy")
-    )
+    pieces = _pieces(benchmark, item_id, item_text, piece_bytes)
 
+    def run(batches):
+        def rows():
+            for batch, found in _searched(batches, 1, pieces, window):
+                for i, (n, spans, names) in zip(batch.column(0).to_pylist(), found, strict=True):
+                    yield i, n, [{"start": s, "end": e} for s, e in spans], sorted(names)
 
-def _items(items: DataFrame) -> list[tuple[str, bytes | None]]:
-    return [(r[0], bytes(r[1]) if r[1] is not None else None) for r in items.filter("item_id is not null").select("item_id", F.col("text").cast("binary")).orderBy("item_id").collect()]
+        return in_batches(rows(), FOUND)
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FOUND_DDL)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -165,8 +224,27 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, **names) -> DataFrame:
-    """Documents of which at most `max_share` of the words lie under benchmark windows, all columns kept."""
-    hit = digest(find_contamination(docs, benchmark, **names)).filter(F.col("n_hit") > max_share * F.col("n_words"))
-    same = F.col("_row")[names.get("doc_id", "doc_id")].cast("long").eqNullSafe(F.col("_hit"))
-    return whole_rows(docs).join(hit.select(F.col("doc_id").alias("_hit")), same, "left_anti").select("_row.*")
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    max_share: float = 0.0,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    piece_bytes: int = PIECE_BYTES,
+) -> DataFrame:
+    """Rows of `docs`, all columns kept, of which at most `max_share` of the words lie under benchmark windows.
+
+    Each row is judged by its own text where it is read: null and repeated ids don't matter, repeated rows stay or go
+    together, and rows of null or empty text stay. No rows give no rows.
+    """
+    pieces = _pieces(benchmark, item_id, item_text, piece_bytes)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch, found in _searched(batches, at, pieces, window):
+            stays = [sum(e - s for s, e in spans) <= max_share * n for n, spans, _ in found]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
