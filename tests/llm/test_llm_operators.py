@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from voltmill.llm import components, decontam, fingerprint, langid, license_scan, line_dedup, mixing, neardup, packing, queries, secrets, toxicity
 from voltmill.llm.text import documents
@@ -251,12 +252,34 @@ def test_small_sources_stop_at_three_times_their_size(spark):
 
 def test_large_cells_are_ranked_in_parts(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANKED_AT_ONCE", 10)
-    df = spark.createDataFrame([(i, "one two", f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    data = [(i, "one two", f"s{i % 3}") for i in range(300)] + [(7, "one two", "s1")] * 90 + [(None, "one two", "s2")] * 60
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
     rows = mixing.mix(df).collect()
     by = defaultdict(int)
     for r in rows:
         by[r["source"]] += r["taken"]
-    assert all(abs(by[r["source"]] - r["target"]) <= 2 for r in rows)
+    assert len(rows) == len(data) and all(abs(by[r["source"]] - r["target"]) <= 2 for r in rows)
+    assert Counter(r["doc_id"] for r in mixing.take(df).collect()) == sum((Counter({r["doc_id"]: r["copies"]}) for r in rows), Counter())
+
+
+def test_tilts_solve_the_dual(spark):
+    """Rates against bisection in plain Python, one source that must grow, one that must shrink, and many sizes."""
+    rnd = random.Random(8)
+    sizes = {s: [rnd.randrange(1, 400) for _ in range(n)] for s, n in (("a", 900), ("b", 60), (None, 200))}
+    data = [(i, " ".join(["w"] * k), s) for i, (s, k) in enumerate((s, k) for s, ks in sizes.items() for k in ks)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    sized = df.select("source", F.size(F.split("text", " ")).cast("long").alias("size"))
+    targets = mixing.source_targets(sized)
+    cells = sized.groupBy("source", "size").agg(F.count("*").alias("cell_n"))
+    goal = {r["source"]: r["target"] for r in targets.collect()}
+    for r in mixing.solve_rates(cells, targets).collect():
+        own, mean = sizes[r["source"]], sum(sizes[r["source"]]) / len(sizes[r["source"]])
+        words = lambda lam: sum(k * min(3.0, np.exp(min(lam * k / mean, 50))) for k in own)
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if words((lo + hi) / 2) < goal[r["source"]] else (lo, (lo + hi) / 2)
+        full = goal[r["source"]] >= 3 * sum(own)
+        assert (full and r["lam"] > 1e6) or (abs(words(r["lam"]) - goal[r["source"]]) <= 1e-6 * goal[r["source"]] and abs(r["lam"] - lo) < 1e-4)
 
 
 # 4 packing
@@ -337,8 +360,8 @@ def test_held_out_toxicity(spark):
 @ANY
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=7), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(1, 5))
 def test_wu_manber_equals_brute_force(items, doc, window):
-    found = decontam.matchers([(str(k), " ".join(w).encode()) for k, w in enumerate(items)], window)
-    spans, owners = decontam.scan([w.encode() for w in doc], found)
+    spans, owners = [], set()
+    decontam.Matcher([(str(k), " ".join(w).encode()) for k, w in enumerate(items)], window)([w.encode() for w in doc], spans, owners)
     hit, own = set(), set()
     for k, w in enumerate(items):
         n = min(window, len(w))
@@ -347,7 +370,7 @@ def test_wu_manber_equals_brute_force(items, doc, window):
                 if doc[b : b + n] == w[a : a + n]:
                     hit.update(range(b, b + n))
                     own.add(k)
-    assert {p for s, e in spans for p in range(s, e)} == hit and owners == own
+    assert {p for s, e in decontam.merged(spans) for p in range(s, e)} == hit and owners == {str(k) for k in own}
 
 
 # 7 fingerprints

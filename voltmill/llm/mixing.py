@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import durable, whole_rows, word_count
+from .text import durable, measured, whole_rows, word_count
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -13,8 +13,12 @@ CAP = 3
 UNIT = 1_000_000
 MAX_STEPS = 60
 TOLERANCE = 1e-7
-#: Documents of one source and size that one task ranks at most, on average.
-RANKED_AT_ONCE = 50_000
+#: Rates are rounded to this fraction in the sums of the dual, so that these don't depend on the order of rows either.
+FINE = 1_000_000_000_000
+#: Parts into which the cells of one source are dealt while the dual is solved.
+SALTS = 16
+#: Documents of one source and size that are put in order together, on average.
+RANKED_AT_ONCE = 256
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -56,55 +60,53 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return ranked.select("source", "n", "source_size", F.least(most, F.col("w") * share).alias("target"))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value worked out once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def solve_rates(cells: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
     """(source, mean, lam): the tilt of each source whose rates min(cap, exp(lam * size / mean)) bring its target.
 
     These rates are the nearest to 1, by relative entropy over documents, of all rates up to `cap` whose words meet the
-    target; lam minimises the convex dual. The dual falls apart by source, so sources iterate side by side in their
-    tasks, each over its cells: one for each of its sizes, however many documents it has. Every step sums the dual's
-    slope and curvature and moves by Newton, or halves its bracket where Newton would leave it.
+    target; lam minimises the convex dual. Each step is one aggregation over all cells, one for each size of a source:
+    tasks sum the slope and the curvature of every source's dual over the cells that they hold, a source's cells being
+    dealt to SALTS parts, and each source moves by Newton, or halves its bracket where Newton would leave it. The state
+    is a small table, written between steps. RuntimeError if a source has not met its target after MAX_STEPS.
     """
     top = F.lit(math.log(cap))
-    by = cells.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("size", "cell_n"))).alias("cells"))
-    t = targets.filter("source_size > 0").select(F.col("source").alias("s"), "target", "source_size", (F.col("source_size") / F.col("n")).alias("mean"))
-    rows = by.join(t, F.col("source").eqNullSafe(F.col("s")))
-    target, mean = F.col("target"), F.col("mean")
-    state = lambda lam, lo, hi, done: F.struct(lam.alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done"))
+    lam, mean, target = F.col("lam"), F.col("mean"), F.col("target")
     full = target >= cap * F.col("source_size")
-    start = state(F.when(full, F.lit(1e9)).otherwise(F.log(target / F.col("source_size"))), F.lit(float("-inf")), F.lit(float("inf")), full)
-
-    def sums(lam: Column) -> Column:
-        def add(acc: Column, c: Column) -> Column:
-            words = c["cell_n"] * c["size"]
-            more = lambda x, r: F.struct((acc["got"] + words * r).alias("got"), (acc["bend"] + F.when(x < top, words * c["size"] / mean * r).otherwise(F.lit(0.0))).alias("bend"))
-            return _let(lam * c["size"] / mean, lambda x: _let(F.exp(F.least(x, top)), lambda r: more(x, r)))
-
-        return F.aggregate("cells", F.struct(F.lit(0.0).alias("got"), F.lit(0.0).alias("bend")), add)
-
-    def move(acc: Column, s: Column) -> Column:
-        over, met = s["got"] > target, F.abs(s["got"] - target) <= TOLERANCE * target
-        ends = F.struct(F.when(over, acc["lo"]).otherwise(acc["lam"]).alias("lo"), F.when(over, acc["lam"]).otherwise(acc["hi"]).alias("hi"))
-        newton = acc["lam"] - F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (s["got"] - target) / F.greatest(s["bend"], F.lit(1e-300))))
-
-        def to(e: Column) -> Column:
-            lo, hi = e["lo"], e["hi"]
-            half = (
-                F.when((lo > float("-inf")) & (hi < float("inf")), (lo + hi) / 2)
-                .when(lo > float("-inf"), lo + F.greatest(F.abs(lo), F.lit(1.0)))
-                .otherwise(hi - F.greatest(F.abs(hi), F.lit(1.0)))
-            )
-            return _let(newton, lambda n: state(F.when(met, acc["lam"]).when((n > lo) & (n < hi), n).otherwise(half), lo, hi, met))
-
-        return _let(ends, to)
-
-    step = lambda acc, _: F.when(acc["done"], acc).otherwise(_let(sums(acc["lam"]), lambda s: move(acc, s)))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_STEPS)), start, step, lambda acc: acc["lam"])
-    return rows.select("source", "mean", F.round(solved, 9).alias("lam"))
+    keys = ["s", "target", "mean", "lam", "lo", "hi", "met"]
+    state = durable(
+        targets.filter("source_size > 0")
+        .withColumn("mean", F.col("source_size") / F.col("n"))
+        .select(
+            F.col("source").alias("s"), "target", "mean", F.when(full, F.lit(1e9)).otherwise(F.log(target / F.col("source_size"))).alias("lam"),
+            F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), full.alias("met"),
+        )
+    )
+    dealt = durable(cells.withColumn("salt", F.pmod(F.xxhash64("size"), F.lit(SALTS)).cast("int")))
+    for _ in range(MAX_STEPS):
+        if state.filter("not met").isEmpty():
+            return state.select(F.col("s").alias("source"), "mean", F.round("lam", 9).alias("lam"))
+        wide = state.filter("not met").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        x = lam * F.col("size") / mean
+        words = F.col("cell_n") * F.col("size")
+        rate = F.round(F.exp(F.least(x, top)) * FINE).cast("decimal(20,0)")
+        bend = F.when(x < top, words * F.col("size") / mean * F.exp(x)).otherwise(0.0)
+        sums = (
+            dealt.join(wide, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("part")))
+            .groupBy(*keys)
+            .agg((F.sum((words.cast("decimal(18,0)") * rate).cast("decimal(38,0)")).cast("double") / FINE).alias("got"), F.sum(bend.cast("decimal(38,6)")).cast("double").alias("bend"))
+        )
+        over, met = F.col("got") > target, F.abs(F.col("got") - target) <= TOLERANCE * target
+        ends = sums.withColumns({"lo": F.when(over, F.col("lo")).otherwise(lam), "hi": F.when(over, lam).otherwise(F.col("hi")), "met": met})
+        lo, hi = F.col("lo"), F.col("hi")
+        newton = lam - F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col("got") - target) / F.greatest(F.col("bend"), F.lit(1e-300))))
+        half = (
+            F.when((lo > float("-inf")) & (hi < float("inf")), (lo + hi) / 2)
+            .when(lo > float("-inf"), lo + F.greatest(F.abs(lo), F.lit(1.0)))
+            .otherwise(hi - F.greatest(F.abs(hi), F.lit(1.0)))
+        )
+        moved = ends.withColumn("next", newton).withColumn("lam", F.when(F.col("met"), lam).when((F.col("next") > lo) & (F.col("next") < hi), F.col("next")).otherwise(half))
+        state = durable(moved.select(*keys).unionByName(state.filter("met")))
+    raise RuntimeError(f"sources have not met their targets after {MAX_STEPS} Newton steps")
 
 
 def round_rates(cells: DataFrame, targets: DataFrame, tilts: DataFrame, cap: int = CAP) -> DataFrame:
@@ -161,6 +163,66 @@ def _words(rate: str):
     return (F.col("cell_n").cast("decimal(20,0)") * F.col("size") * F.col(rate)).cast("decimal(38,0)")
 
 
+def _keys(doc_id: Column, text: Column, source: Column) -> list[Column]:
+    """Source, size and place of a row. Rows of one place have the same id and text."""
+    return [source.cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(doc_id.cast("long"), text).alias("place")]
+
+
+def _same(a: str = "source", b: str = "rs") -> Column:
+    return F.col(a).eqNullSafe(F.col(b)) & (F.col("size") == F.col("rsize"))
+
+
+def _thresholds(sized: DataFrame, rounded: DataFrame) -> DataFrame:
+    """`rounded` with the place up to which documents of a cell get one copy more.
+
+    (rs, rsize, whole, before, at, tied, tied_extra): one more for places before `before`, and for `tied_extra` of the
+    `tied` rows whose place is `at`. The documents of a cell are counted by ranges of their places, about
+    RANKED_AT_ONCE in each; only the range in which the last copy falls is put in order.
+    """
+    r = durable(rounded.select(F.col("source").alias("rs"), F.col("size").alias("rsize"), "cell_n", "whole", "extra"))
+    some = measured(r.filter("extra > 0 and extra < cell_n").drop("whole"))
+    parts = F.ceil(F.col("cell_n") / RANKED_AT_ONCE)
+    part = F.least(F.floor((F.col("place").cast("double") / 2.0**64 + 0.5) * parts), parts - 1)
+    of = sized.join(some, _same()).select("rs", "rsize", "extra", "place", part.alias("part"))
+    n = of.groupBy("rs", "rsize", "extra", "part").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("rs", "rsize").orderBy("part")
+    last = n.withColumn("upto", F.sum("n").over(so_far)).filter("upto >= extra and upto - n < extra")
+    last = measured(durable(last.select(F.col("rs").alias("ps"), F.col("rsize").alias("psize"), F.col("part").alias("ppart"), (F.col("extra") - F.col("upto") + F.col("n")).alias("need"))))
+    own = of.join(last, F.col("rs").eqNullSafe(F.col("ps")) & (F.col("rsize") == F.col("psize")) & (F.col("part") == F.col("ppart")))
+    places = own.groupBy("rs", "rsize", "need", "place").agg(F.count("*").alias("tied"))
+    places = places.withColumn("upto", F.sum("tied").over(Window.partitionBy("rs", "rsize").orderBy("place"))).filter("upto >= need and upto - tied < need")
+    at = places.select(F.col("rs").alias("ts"), F.col("rsize").alias("tsize"), F.col("place").alias("at"), "tied", (F.col("need") - F.col("upto") + F.col("tied")).alias("tied_extra"))
+    joined = r.join(at, F.col("rs").eqNullSafe(F.col("ts")) & (F.col("rsize") == F.col("tsize")), "left")
+    every = F.when(F.col("extra") >= F.col("cell_n"), F.lit(1)).otherwise(F.lit(0))
+    return durable(joined.select("rs", "rsize", (F.col("whole") + every).alias("whole"), "at", "tied", "tied_extra"))
+
+
+def _copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of (source, size, place) with their `copies`.
+
+    The plan has a row for each cell, not for each document; it is broadcast if its measured size allows. Only among
+    repeated rows, of one id and text, of which some get one copy more and others don't, are rows numbered.
+    """
+    joined = rows.join(measured(plan), _same(), "left")
+    whole = F.coalesce("whole", F.lit(0)).cast("long")
+    some = F.coalesce((F.col("place") == F.col("at")) & (F.col("tied_extra") < F.col("tied")), F.lit(False))
+    more = F.coalesce(F.col("place") <= F.col("at"), F.lit(False)).cast("long")
+    done = lambda df, extra: df.withColumn("copies", whole + extra).drop("rs", "rsize", "whole", "at", "tied", "tied_extra")
+    if plan.filter("tied_extra < tied").isEmpty():
+        return done(joined, more)
+    n = F.row_number().over(Window.partitionBy("source", "size", "place").orderBy("place"))
+    repeated = joined.filter(some).withColumn("_n", n)
+    return done(joined.filter(~some), more).unionByName(done(repeated, (F.col("_n") <= F.col("tied_extra")).cast("long")).drop("_n"))
+
+
+def _solved(sized: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame | None]:
+    """Targets, and the copies of each cell, or None if nobody has a word."""
+    targets = durable(source_targets(sized.select("source", "size"), weights, cap))
+    cells = durable(sized.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("cell_n")))
+    rounded = round_rates(cells, targets, solve_rates(cells, targets, cap), cap)
+    return targets, None if rounded is None else _thresholds(sized, rounded)
+
+
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 ) -> DataFrame:
@@ -168,47 +230,30 @@ def mix(
 
     size is the number of words; taken is copies * size. A document is copied 0 to `cap` times. Null sources are one
     source; null texts have no words, and documents without words get no copies. Which documents of a source and size
-    get one copy more follows from a hash of doc_id. Other columns are ignored; no rows give no rows.
+    get one copy more follows from a hash of doc_id and text. Other columns are ignored; no rows give no rows.
     """
-    sized = durable(
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
-    )
-    targets = durable(source_targets(sized.select("source", "size"), weights, cap))
-    cells = durable(sized.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("cell_n")))
-    rounded = round_rates(cells, targets, solve_rates(cells, targets, cap), cap)
+    sized = durable(docs.select(F.col(doc_id).cast("long").alias("doc_id"), *_keys(F.col(doc_id), F.col(text), F.col(source))))
+    targets, plan = _solved(sized, weights, cap)
     goal = targets.select(F.col("source").alias("s"), "source_size", "target")
-    if rounded is None:  # nobody has a word
-        none = sized.withColumn("copies", F.lit(0).cast("long"))
-    else:
-        r = durable(rounded.select(F.col("source").alias("rs"), F.col("size").alias("rsize"), "cell_n", "whole", "extra"))
-        place = F.xxhash64("doc_id")
-        of = sized.join(r, F.col("source").eqNullSafe(F.col("rs")) & (F.col("size") == F.col("rsize")), "left").drop("rs", "rsize")
-        # Large cells are ranked in parts: places within a part follow those of all earlier parts.
-        parts = F.ceil(F.col("cell_n") / RANKED_AT_ONCE)
-        of = of.withColumn("part", F.when(parts > 1, F.pmod(place, parts)).otherwise(F.lit(0)).cast("long"))
-        large = of.filter(parts > 1).groupBy("source", "size", "part").agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-        large = large.select(F.col("source").alias("ls"), F.col("size").alias("lsize"), F.col("part").alias("lpart"), F.coalesce(before, F.lit(0)).alias("before"))
-        rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(place, "doc_id"))
-        of = of.withColumn("rank", rank).join(large, F.col("source").eqNullSafe(F.col("ls")) & (F.col("size") == F.col("lsize")) & (F.col("part") == F.col("lpart")), "left")
-        more = (F.col("rank") + F.coalesce("before", F.lit(0)) <= F.col("extra")).cast("long")
-        none = of.select("doc_id", "source", "size", F.coalesce(F.col("whole") + more, F.lit(0).cast("long")).alias("copies"))
-    return none.join(goal, F.col("source").eqNullSafe(F.col("s"))).select(
+    mixed = sized.withColumn("copies", F.lit(0).cast("long")) if plan is None else _copied(sized, plan)
+    return mixed.join(measured(goal), F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """Rows of `docs`, all columns kept, each as often as the mix copies it.
+def take(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
+) -> DataFrame:
+    """Rows of `docs`, all columns kept, each as often as the mix copies it, as in mix().
 
-    Rows of one doc_id, source and size share their numbers of copies out, the largest to the first by a hash of text.
+    Texts stay where they are read: the copies of a row follow from its own source, size and hash and the plan of its
+    cell. Null ids and null sources are as good as others, rows without words go, repeated rows share their cell's
+    copies; no rows give no rows.
     """
-    key = lambda i, s, n: F.xxhash64(i.cast("long"), s.cast("string"), n)
-    mixed = mix(docs, doc_id, text, source, **options).filter("copies > 0")
-    by = mixed.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_k")).agg(F.sort_array(F.collect_list("copies"), False).alias("_all"))
     own = lambda c: F.col("_row")[c]
-    keyed = whole_rows(docs).withColumn("_k", key(own(doc_id), own(source), word_count(own(text))))
-    place = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(own(text))))
-    copies = F.coalesce(F.try_element_at("_all", place), F.lit(0).cast("long"))
-    taken = keyed.join(by.hint("shuffle_hash"), "_k").withColumn("_copies", copies).filter("_copies > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select("_row.*")
+    rows = whole_rows(docs).select("_row", *_keys(own(doc_id), own(text), own(source)))
+    _, plan = _solved(durable(rows.drop("_row")), weights, cap)
+    if plan is None:
+        return docs.limit(0)
+    copied = _copied(rows, plan).filter("copies > 0")
+    return copied.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("_row.*")

@@ -82,9 +82,25 @@ def per_row(f: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema,
     return run
 
 
+#: A table is broadcast only if its measured size, as rows in memory, is no larger.
+BROADCAST_BYTES = 16 << 20
+
+
+def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, marked for broadcast if it has been counted and fits; else joins with it shuffle, and give the same."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, k in df.dtypes if k in ("string", "binary")]
+    width = F.lit(16 * len(df.columns) + 32)
+    for t in texts:
+        width = width + t
+    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a folder beside the warehouse."""
+    """spark.checkpoint.dir of the session; only where it is unset, on one machine as in tests, a folder beside the warehouse."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
 
 
