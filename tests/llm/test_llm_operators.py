@@ -441,25 +441,52 @@ def test_held_out_languages(spark, sf):
 # 9 licenses
 
 
+def blocks_by_force(words, templates, threshold=0.8):
+    found = []
+    for label, must, text in templates:
+        length, tokens = min(len(text.split()), len(words)), set(text.split())
+        for s in range(len(words) - length + 1):
+            held = tokens & set(words[s : s + length])
+            if length and len(held) >= threshold * len(tokens) - 1e-9 and set(must.split()) <= held:
+                found.append((s, s + length, label, len(held) / len(tokens)))
+    return sorted(b for b in found if not any(o[0] < b[1] and b[0] < o[1] and o[3] > b[3] for o in found))
+
+
 def test_filters_lose_no_block(spark):
-    """The join with prefix, length and positional filters finds what comparing every pair does."""
+    """The join with prefix, length and positional filters finds what comparing every block does."""
     rnd = random.Random(8)
     words = sorted(w.decode() for w in license_scan.vocabulary(license_scan.TEMPLATES)) + ["x", "y", "z"]
-    blocks = []
-    for _, text in license_scan.TEMPLATES * 30:
-        own = text.split()
-        blocks.append([w for w in own if rnd.random() < 0.88] + rnd.choices(words, k=rnd.randrange(6)))
     index = license_scan.TemplateIndex(license_scan.TEMPLATES, {w.encode(): rnd.randrange(50) for w in words}, 0.8)
     hits = 0
-    for b in blocks:
-        expected = []
-        for label, text in license_scan.TEMPLATES:
-            t = set(text.split())
-            if len(t & set(b)) >= 0.8 * len(t) - 1e-9:
-                expected.append((label, len(t & set(b)) / len(t)))
-        assert sorted(index.match([w.encode() for w in b])) == sorted(expected)
+    for _ in range(250):
+        doc = []
+        for _ in range(rnd.randrange(1, 4)):
+            own = rnd.choice(license_scan.TEMPLATES)[2].split()
+            doc += rnd.choices(words, k=rnd.randrange(12)) + [w if rnd.random() < 0.92 else rnd.choice(words) for w in own if rnd.random() < 0.96]
+        expected = blocks_by_force(doc, license_scan.TEMPLATES)
+        assert sorted(index.match([w.encode() for w in doc])) == expected
         hits += len(expected)
-    assert hits > 200
+    assert hits > 300
+
+
+def test_license_labels(spark):
+    """Notices that are wrapped, in comments or within lines are found; their neighbours are not named."""
+    text = {label: t for label, _, t in license_scan.TEMPLATES}
+    said = {
+        "licensed under cc by sa 4 0": "cc-by-sa",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "released under the apache license": "apache",
+        "released under the gpl license": "",
+        "released under the MIT\n * License": "mit",
+        "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following\n# conditions are met:": "bsd",
+        "some words before " + text["isc"].replace(" any ", "\n\n any ") + " and some after": "isc",
+        text["lgpl"]: "gpl,lgpl",  # its phrase is the general public license's too
+        text["mpl"].replace("mozilla", "other"): "",
+        "the license of this software": "",
+    }
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.digest(license_scan.find_licenses(df)).collect()}
+    assert got == dict(enumerate(said.values()))
 
 
 # 10 lines

@@ -2,6 +2,7 @@
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -10,38 +11,46 @@ from pyspark.sql import functions as F
 
 from .text import alnum_words, per_row
 
-# Phrases with the label that each gives, and notices of public licenses with theirs.
+# Phrases with the label that each gives, and notices of public licenses: label, words without which a
+# block is not of this license, whatever else it shares with it, and the words of the notice.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "mit", "released under the mit license"),
+    ("mit", "granted charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "sell furnished", "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
+    ("apache", "apache", "licensed under the apache license version 2 0"),
+    ("apache", "compliance obtain", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("gpl", "gnu general", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "gnu general", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "lesser", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("cc-by", "cc by", "licensed under cc by 4 0"),
+    ("cc-by-nc", "cc nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "cc sa", "licensed under cc by sa 4 0"),
+    ("bsd", "redistribution forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("isc", "fee granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("boost", "boost", "distributed under the boost software license version 1 0"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.8
 
-FOUND_DDL = "doc_id long, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<line:long,label:string,containment:double>>"
+FOUND_DDL = "doc_id long, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<word:long,end:long,label:string,containment:double>>"
 FOUND = pa.schema(
     [
         ("doc_id", pa.int64()),
         ("n_words", pa.int64()),
         ("places", pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),
-        ("blocks", pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))),
+        ("blocks", pa.list_(pa.struct([("word", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))),
     ]
 )
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Template:
     label: str
-    tokens: tuple[bytes, ...]  # in the global order, rarest first
+    length: int  # words of the notice, and so of a block
+    required: frozenset[bytes]
+    tokens: tuple[bytes, ...]  # distinct words in the global order, rarest first
     need: int  # smallest overlap that meets the threshold
 
     @property
@@ -49,25 +58,55 @@ class Template:
         """A block with `need` of the tokens has at least one of these."""
         return self.tokens[: len(self.tokens) - self.need + 1]
 
+    def blocks(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
+        """(start, end, containment) of every block of `words` that meets the threshold.
+
+        Only blocks with a prefix token are looked at; along a run of these one word comes in and one goes out.
+        """
+        n = len(words)
+        length = min(self.length, n)
+        tokens, prefix = frozenset(self.tokens), frozenset(self.prefix)
+        count: dict[bytes, int] = {}
+        held = -2  # the start that `count` is for
+
+        def more(w: bytes, by: int) -> None:
+            if w in tokens:
+                count[w] = count.get(w, 0) + by
+                if not count[w]:
+                    del count[w]
+
+        for at in [k for k, w in enumerate(words) if w in prefix]:
+            for start in range(max(held + 1, at - length + 1, 0), min(at, n - length) + 1):
+                if start == held + 1:
+                    more(words[held], -1)
+                    more(words[held + length], 1)
+                else:
+                    count.clear()
+                    for w in words[start : start + length]:
+                        more(w, 1)
+                held = start
+                if len(count) >= self.need and self.required <= count.keys():
+                    yield start, start + length, len(count) / len(self.tokens)
+
 
 class TemplateIndex:
     """Templates found by their prefix tokens, with tokens ordered by document frequency over the whole corpus."""
 
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
+    def __init__(self, templates: list[tuple[str, str, str]], frequency: dict[bytes, int], threshold: float):
         self.rank = {t: k for k, t in enumerate(sorted(vocabulary(templates), key=lambda t: (frequency.get(t, 0), t)))}
         self.by_token: dict[bytes, list[tuple[int, Template]]] = defaultdict(list)
-        for label, text in templates:
-            tokens = tuple(sorted(set(alnum_words(text.encode())), key=self.rank.__getitem__))
-            template = Template(label, tokens, math.ceil(threshold * len(tokens) - 1e-9))
+        for label, required, text in templates:
+            words = alnum_words(text.encode())
+            tokens = tuple(sorted(set(words), key=self.rank.__getitem__))
+            template = Template(label, len(words), frozenset(alnum_words(required.encode())), tokens, math.ceil(threshold * len(tokens) - 1e-9))
             for at, token in enumerate(template.prefix):
                 self.by_token[token].append((at, template))
         self.first = frozenset(self.by_token)
 
-    def match(self, words: list[bytes]):
-        """Yield (label, containment) of each template that the block contains to the threshold."""
-        block = set(words)
-        size = len(block)
-        known = sorted((t for t in block if t in self.rank), key=self.rank.__getitem__)
+    def candidates(self, words: list[bytes]) -> Iterator[Template]:
+        """Templates of which the words may hold a block."""
+        held = set(words)
+        known = sorted((t for t in held if t in self.rank), key=self.rank.__getitem__)
         seen: set[int] = set()
         for k, token in enumerate(known):
             for at, template in self.by_token.get(token, ()):
@@ -75,18 +114,37 @@ class TemplateIndex:
                     continue
                 seen.add(id(template))  # the first common token decides, so later ones need no other look
                 left = min(len(template.tokens) - at, len(known) - k)
-                if size < template.need or left < template.need:  # length and positional filters
-                    continue
-                overlap = sum(t in block for t in template.tokens)
-                if overlap >= template.need:
-                    yield template.label, overlap / len(template.tokens)
+                if len(held) >= template.need and left >= template.need and template.required <= held:  # length and positional filters
+                    yield template
+
+    def match(self, words: list[bytes]) -> list[tuple[int, int, str, float]]:
+        """(start, end, label, containment) of blocks that meet the threshold, in order; see find_licenses()."""
+        if self.first.isdisjoint(words):
+            return []
+        found = sorted((s, e, t.label, c) for t in self.candidates(words) for s, e, c in t.blocks(words))
+        return _best(found)
+
+
+def _best(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Blocks that share no word with one of a higher containment; `found` is in order of start."""
+    longest = max((e - s for s, e, _, _ in found), default=0)
+    out, first = [], 0
+    for k, (start, end, label, c) in enumerate(found):
+        while found[first][0] <= start - longest:
+            first += 1
+        j = first
+        while j < len(found) and found[j][0] < end and not (found[j][1] > start and found[j][3] > c):
+            j += 1
+        if j == len(found) or found[j][0] >= end:
+            out.append((start, end, label, c))
+    return out
 
 
-def vocabulary(templates: list[tuple[str, str]]) -> set[bytes]:
-    return {t for _, text in templates for t in alnum_words(text.encode())}
+def vocabulary(templates: list[tuple[str, str, str]]) -> set[bytes]:
+    return {t for _, _, text in templates for t in alnum_words(text.encode())}
 
 
-def token_frequency(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[bytes, int]:
+def token_frequency(docs: DataFrame, templates: list[tuple[str, str, str]]) -> dict[bytes, int]:
     """Documents of the whole corpus that hold each template token; as many rows as the templates have tokens."""
     known = frozenset(vocabulary(templates))
 
@@ -108,14 +166,17 @@ def find_licenses(
     doc_id: str = "doc_id",
     text: str = "text",
     phrases: dict[str, str] = PHRASES,
-    templates: list[tuple[str, str]] = TEMPLATES,
+    templates: list[tuple[str, str, str]] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """License phrases and blocks of each document: (doc_id, n_words, places, blocks).
 
-    places are all words at which a phrase begins. A block is a line; blocks lists every line whose word set holds at
-    least `threshold` of a template's, with the containment. One row comes back for each input row, repeated rows
-    included; null or empty text has no words; an empty table gives an empty result; other columns are ignored.
+    places are all words at which a phrase begins. A block is a run of as many words as a template's notice has, or all
+    words of a shorter text, wherever lines end. It is of the template if it holds at least `threshold` of the
+    template's distinct words, the required ones among them; containment is their share. A block that shares a word with
+    another one of a higher containment gives way to it, so the best template names a passage; on ties all do. One row
+    comes back for each input row, repeated rows included; null or empty text has no words; an empty table gives an
+    empty result; other columns are ignored.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     index = TemplateIndex(templates, token_frequency(docs, templates), threshold)
@@ -135,10 +196,7 @@ def find_licenses(
                         start = at - len(phrase) + 1
                         if start >= 0 and words[start : at + 1] == phrase:
                             places.append({"word": start, "label": label})
-                for k, line in enumerate(text.split(b"\n")):
-                    in_line = alnum_words(line)
-                    if not index.first.isdisjoint(in_line):
-                        blocks += [{"line": k, "label": a, "containment": c} for a, c in index.match(in_line)]
+                blocks = [{"word": s, "end": e, "label": label, "containment": c} for s, e, label, c in index.match(words)]
             yield doc_id, len(words), places, blocks
 
     return docs.mapInArrow(per_row(find, FOUND), FOUND_DDL)

@@ -49,7 +49,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 _PHRASES = ", ".join(f"({p.split()!r}, '{label}')" for p, label in license_scan.PHRASES.items())
-_TEMPLATES = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(license_scan.TEMPLATES))
+_TEMPLATES = ", ".join(f"({k}, '{label}', {must.split()!r}, {text.split()!r})" for k, (label, must, text) in enumerate(license_scan.TEMPLATES))
 
 OP9 = f"""
 WITH d AS (SELECT doc_id, text, {ALNUM} AS w FROM documents),
@@ -61,12 +61,27 @@ place AS (
 ),
 base AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY doc_id),
-template AS (SELECT k, label, unnest(list_distinct(string_split(t, ' '))) AS tok FROM (VALUES {_TEMPLATES}) x(k, label, t)),
-need AS (SELECT k, label, count(*) AS n FROM template GROUP BY k, label),
-line AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM d)),
-tok AS (SELECT doc_id, i, unnest(list_distinct({ALNUM})) AS tok FROM line),
-over AS (SELECT doc_id, i, k, count(*) AS n FROM tok JOIN template USING (tok) GROUP BY doc_id, i, k),
-block AS (SELECT doc_id, label, over.n / need.n AS c FROM over JOIN need USING (k) WHERE over.n >= ceil({license_scan.THRESHOLD} * need.n - 1e-9)),
+template(k, label, must, words) AS (VALUES {_TEMPLATES}),
+need AS (
+  SELECT k, label, must, len(words) AS length, list_distinct(words) AS toks, len(list_distinct(words)) AS m,
+         ceil({license_scan.THRESHOLD} * len(list_distinct(words)) - 1e-9) AS least FROM template
+),
+tok AS (SELECT k, unnest(toks) AS t FROM need),
+word AS (SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS t FROM d),
+hit AS (SELECT doc_id, n, i, k, t FROM word JOIN tok USING (t)),
+near AS (SELECT doc_id, k FROM hit JOIN need USING (k) GROUP BY doc_id, k HAVING count(DISTINCT t) >= any_value(least)),
+inside AS (
+  SELECT doc_id, k, t, least(length, n) AS size, unnest(range(greatest(0, i - least(length, n) + 1), least(i, n - least(length, n)) + 1)) AS s
+  FROM hit JOIN near USING (doc_id, k) JOIN need USING (k)
+),
+over AS (SELECT doc_id, k, size, s, list(DISTINCT t) AS held FROM inside GROUP BY ALL),
+met AS (
+  SELECT doc_id, label, s, s + size AS e, len(held) / m AS c FROM over JOIN need USING (k) WHERE len(held) >= least AND list_has_all(held, must)
+),
+block AS (
+  SELECT doc_id, label, c FROM met b
+  WHERE NOT EXISTS (SELECT 1 FROM met o WHERE o.doc_id = b.doc_id AND o.s < b.e AND b.s < o.e AND o.c > b.c)
+),
 best AS (SELECT doc_id, max(c) AS c FROM block GROUP BY doc_id),
 lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
         FROM (SELECT doc_id, label FROM block UNION ALL SELECT doc_id, label FROM place) GROUP BY doc_id)
