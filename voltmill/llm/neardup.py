@@ -4,23 +4,26 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import durable, in_batches, per_row, whole_rows
+from .text import durable, in_batches, measured, per_row, whole_rows
 
 WORDS = 5
 PERCENT = 80
 #: Sorted orders of the signature, and the values that each takes.
 TREES = 16
 VALUES = 8
-#: Rows are neighbours if they share as many first values of an order, or more where a region has too many rows.
+#: Neighbours in an order have a common prefix of so many values, or of more where many rows have that.
 DEPTH = 4
 #: Rows compared with each other at once.
 REGION = 1024
+#: Rows of all orders that one task puts in order, on average.
+RANGE_ROWS = 1 << 17
 #: Orders that each round adds; later rounds only look where components are still apart.
-ROUNDS = (2, 4, 10 + TREES)
+ROUNDS = (2, 4, 10)
 #: Of 128 one-bit values, as many differ at most: for sets that are 0.8 alike, 13 with a deviation of 3.4.
 BITS_APART = 30
 #: Counters of shingles, whose order by frequency the exact join follows; any order gives the same links.
@@ -106,38 +109,6 @@ def _sign(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(per_row(run, SIGNED), "doc long, n long, digest binary, values binary, b0 long, b1 long")
 
 
-def _regions(orders: DataFrame, region: int, turn: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """Rows with their chunk: neighbours that share DEPTH first values of an order, deeper where more than `region` do.
-
-    The other table has (chunk, doc) of all regions that had to be split, if any: `_exact_links` looks at these again.
-
-    Rows alone in their region leave. Where even all values are shared by more rows, as in large groups of near copies,
-    a hash deals them into chunks; other orders deal them differently, so chunks of one group are linked across orders.
-    Rows of regions that had to be split also enter a second order of the same values, the last half of them first.
-    """
-    out, rows, split = None, orders, None
-    for depth in range(DEPTH, VALUES + 1):
-        rows = rows.withColumn("chunk", F.xxhash64("tree", F.substring("key", 1, 4 * depth)))
-        sizes = rows.groupBy("chunk").agg(F.count("*").alias("size")).filter("size > 1")
-        rows = durable(rows.join(sizes, "chunk"))
-        fits = rows.filter(F.col("size") <= region).drop("size", "key")
-        out = fits if out is None else out.unionByName(fits)
-        rows = rows.filter(F.col("size") > region)
-        if rows.isEmpty():
-            return out, split
-        if depth == DEPTH and turn:
-            split = rows.select("chunk", "doc")
-            half = 2 * VALUES
-            turned = F.concat(F.substring("key", half + 1, half), F.substring("key", 1, half))
-            second = rows.select((F.col("tree") + TREES).alias("tree"), "doc", "n", "b0", "b1", turned.alias("key"))
-            out = out.unionByName(_regions(second, region, turn=False)[0].select(*out.columns))
-        if depth == VALUES:
-            deal = F.pmod(F.xxhash64("doc", "tree"), F.ceil(F.col("size") / region))
-            return out.unionByName(rows.withColumn("chunk", F.xxhash64("chunk", deal)).drop("size", "key")), split
-        rows = rows.drop("size", "chunk")
-    return out, split
-
-
 def _groups(batches, key: int):
     """Columns of the rows of each run of one key; a run may span batches."""
     held: list[pa.RecordBatch] = []
@@ -177,21 +148,149 @@ def _near(n: np.ndarray, b0: np.ndarray, b1: np.ndarray, rows: slice, percent: i
     return (apart <= BITS_APART) & sizes
 
 
+def _partnered(n: np.ndarray, b0: np.ndarray, b1: np.ndarray, percent: int) -> np.ndarray:
+    """The rows that some other row may be linked with."""
+    near = _near(n, b0, b1, slice(None), percent)
+    np.fill_diagonal(near, False)
+    return np.flatnonzero(near.any(1))
+
+
+#: Kinds of rows that come out of an order: of a chunk, at an end of the task's range, and of a region that was split.
+INNER, END, SPLIT = range(3)
+SCANNED = ("kind", "chunk", "part", "tree", "doc", "n", "b0", "b1")
+SCANNED_DDL = "kind int, chunk long, part int, tree int, doc long, n long, b0 long, b1 long"
+
+
+def _regions_of(batches):
+    """(first or last of the task, columns) of each region of two rows or more, and of the task's first and last one.
+
+    The rows come in the order of (tree, key). Where the longest common prefix of two neighbours has fewer than DEPTH
+    values a new region begins, so all rows of a region have a common prefix of DEPTH values.
+    """
+    held: list[list[np.ndarray]] = []
+    n, first = 0, True
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*held, strict=True)] if len(held) > 1 else held[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, VALUES)
+        cols = [_numbers(batch.column(0)), keys, *(_numbers(batch.column(k)) for k in range(2, 6))]
+        prefix = np.cumprod(keys[1:] == keys[:-1], 1).sum(1)
+        edges = [0, *(np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (prefix < DEPTH)) + 1).tolist(), batch.num_rows]
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if 0 < k < len(edges) - 2 and b - a == 1:
+                n = 0
+                if held:
+                    yield first, joined()
+                    held, first = [], False
+                continue
+            piece = [c[a:b] for c in cols]
+            if held and (held[-1][0][0] != piece[0][0] or (held[-1][1][0, :DEPTH] != piece[1][0, :DEPTH]).any()):
+                if first or n > 1:
+                    yield first, joined()
+                held, first, n = [], False, 0
+            held.append(piece)
+            n += b - a
+    if held:
+        yield True, joined()
+
+
+def _in_order(percent: int, region: int):
+    """Candidates of the rows of a range, in their order.
+
+    A region of up to `region` rows is a chunk: all of its rows are candidates of each other. A larger one is covered by
+    windows of `region` rows, half a window apart, so that each row meets the half window before and after it: its
+    neighbours of the longest common prefixes, as deep as the region is dense. Rows that have no possible partner leave.
+    All rows of such regions are also noted as SPLIT. Regions at the ends of the range may go on in the next one: if
+    they are no larger than a chunk their rows come out as they are, as END.
+    """
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        out: list[list[np.ndarray]] = []
+        rows, chunks = 0, 0
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], list(SCANNED))
+
+        def put(kind: int, chunk: int, cols: list[np.ndarray], at) -> None:
+            nonlocal rows
+            tree, _, doc, n, b0, b1 = (c[at] for c in cols)
+            m = len(doc)
+            rows += m
+            out.append([np.full(m, kind, np.int32), np.full(m, chunk, np.int64), np.full(m, part, np.int32), tree, doc, n, b0, b1])
+
+        for at_end, cols in _regions_of(batches):
+            size = len(cols[0])
+            own = hashlib.blake2b(cols[0][:1].tobytes() + cols[1][0, :DEPTH].tobytes(), digest_size=8)
+            name = int.from_bytes(own.digest(), "little", signed=True)
+            if at_end and size <= region:
+                put(END, name, cols, slice(None))
+            else:
+                if size > region:
+                    put(SPLIT, name, cols, slice(None))
+                for a in range(0, max(1, size - region // 2), max(1, region // 2)) if size > region else (0,):
+                    window = [c[a : a + region] for c in cols]
+                    stay = _partnered(*window[3:6], percent)
+                    if len(stay):
+                        chunks += 1
+                        put(INNER, (part << 40) + chunks, window, stay)
+            if rows >= 1 << 16:
+                yield batch_of(out)
+                out, rows = [], 0
+        if out:
+            yield batch_of(out)
+
+    return run
+
+
 def _with_partner(percent: int):
     """Of each chunk, the rows that some other row of it may be linked with."""
 
     def run(batches):
+        held, rows = [], 0
         for cols in _groups(batches, 0):
-            n, b0, b1 = (_numbers(c) for c in cols[3:6])
-            near = _near(n, b0, b1, slice(None), percent)
-            np.fill_diagonal(near, False)
-            stay = near.any(1)
-            if stay.any():
-                yield pa.RecordBatch.from_arrays(cols, ["chunk", "tree", "doc", "n", "b0", "b1"]).filter(pa.array(stay))
+            stay = _partnered(*(_numbers(c) for c in cols[3:6]), percent)
+            if len(stay):
+                held.append(pa.RecordBatch.from_arrays(cols, ["chunk", "tree", "doc", "n", "b0", "b1"]).take(pa.array(stay)))
+                rows += len(stay)
+            if rows >= 1 << 16:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     return run
 
 
+def _candidates(first: DataFrame, percent: int, region: int) -> tuple[DataFrame, DataFrame]:
+    """(chunk, tree, doc, n, b0, b1) of candidates, and (chunk, doc) of the rows of regions that were split.
+
+    Each of TREES orders sorts all documents by VALUES of their signature. All orders are one range sort: ranges are cut
+    by (tree, key, doc), so a task gets its share of rows however many of them are alike. Regions that lie across ranges
+    are put together from their ends.
+    """
+    tree = F.col("tree")
+    orders = first.select("doc", "n", "b0", "b1", "values", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
+        "tree", F.col("values").substr(tree * (4 * VALUES) + 1, F.lit(4 * VALUES)).alias("key"), "doc", "n", "b0", "b1"
+    )
+    ranges = max(int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-first.count() * TREES // RANGE_ROWS))
+    ordered = orders.repartitionByRange(ranges, "tree", "key", "doc").sortWithinPartitions("tree", "key", "doc")
+    scanned = durable(ordered.mapInArrow(_in_order(percent, region), SCANNED_DDL))
+    own = ["chunk", "tree", "doc", "n", "b0", "b1"]
+    sizes = scanned.filter(F.col("kind") != INNER).groupBy("chunk").agg(F.count("*").alias("size"), F.max("kind").alias("most"))
+    ends = scanned.filter(F.col("kind") == END).join(sizes.filter("size > 1"), "chunk")
+    small = (F.col("size") <= region) & (F.col("most") == END)
+    chunk = F.when(small, F.col("chunk")).otherwise(F.xxhash64("chunk", "part"))
+    split = scanned.filter(F.col("kind") == SPLIT).select("chunk", "doc").unionByName(ends.filter(~small).select("chunk", "doc"))
+    ends = ends.withColumn("chunk", chunk).select(*own)
+    met = ends.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_with_partner(percent), "chunk long, tree int, doc long, n long, b0 long, b1 long")
+    return durable(scanned.filter(F.col("kind") == INNER).select(*own).unionByName(met)), split
+
+
 def _links(percent: int):
     """Links (a, b) between components, confirmed by one pair of documents each; the closest pairs of a chunk come first."""
 
@@ -344,30 +443,23 @@ def near_duplicates(
     nothing; a null doc_id is linked with nothing either, its component is null and it is kept. Rows with one doc_id are
     one document. Other columns are ignored; no rows give no rows.
 
-    Equal sets are one class and only its smallest document goes on. Every order of the signature sorts documents into
-    regions with a common prefix; documents of a region whose one-bit values and sizes admit a link are candidates, all
-    of them, and the whole sets decide. Rounds take up more orders, and leave out what has become one component.
-    Documents of regions of over `region` rows, which are split, go through an exact join of what is left at the end.
+    Equal sets are one class and only its smallest document goes on. TREES orders sort the documents by their
+    signatures; neighbours with a common prefix of DEPTH values or, in dense regions, more are candidates if their
+    one-bit values and sizes admit a link, and the whole sets decide. Rounds take up more orders, and leave out what has
+    become one component. Documents of regions of over `region` rows go through an exact join of what is left at the end.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = durable(_sign(narrow, words))
     known = signed.filter("doc is not null and n > 0")
     classes = durable(known.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("digest", "first"))
     first = known.join(classes, "digest", "left").filter("first is null or first = doc")
-    tree = F.col("tree")
-    orders = first.select("doc", "n", "b0", "b1", "values", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "tree", "doc", "n", "b0", "b1", F.col("values").substr(tree * (4 * VALUES) + 1, F.lit(4 * VALUES)).alias("key")
-    )
-    kind = "chunk long, tree int, doc long, n long, b0 long, b1 long"
-    rows, split = _regions(orders, region)
-    rows = rows.select("chunk", "tree", "doc", "n", "b0", "b1")
-    rows = durable(rows.repartition("chunk").sortWithinPartitions("chunk", "doc").mapInArrow(_with_partner(percent), kind))
-    active = rows.select("doc").distinct()
+    rows, split = _candidates(first.select("doc", "n", "b0", "b1", "values"), percent, region)
+    active = measured(rows.select("doc").distinct())
 
     sets = durable(narrow.join(active, "doc").mapInArrow(_whole(words), "doc long, whole binary")).withColumnRenamed("doc", "d")
     labels = None
     for lo, hi in zip(np.cumsum([0, *ROUNDS]).tolist(), np.cumsum(ROUNDS).tolist(), strict=False):
-        own = rows.filter((tree >= lo) & (tree < hi))
+        own = rows.filter((F.col("tree") >= lo) & (F.col("tree") < hi))
         if labels is not None:
             own = own.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
         comp = F.col("doc") if labels is None else F.coalesce("component", "doc")
@@ -376,7 +468,7 @@ def near_duplicates(
         full = own.join(apart, "chunk", "left_semi").join(sets, F.col("doc") == F.col("d")).select("chunk", "comp", "n", "b0", "b1", "whole")
         links = full.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_links(percent), "a long, b long")
         labels = _merged(labels, links)
-    if split is not None:
+    if not split.isEmpty():
         links = _exact_links(narrow, split, labels, words, percent, region)
         labels = labels if links is None else _merged(labels, links)
     of_class = known.select(F.col("doc").alias("k"), "digest").join(classes, "digest").select("k", "first").distinct()
@@ -387,6 +479,9 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of `docs`, all columns kept, without documents that a smaller doc_id of their component stands for."""
-    gone = near_duplicates(docs, doc_id, text, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return whole_rows(docs).join(gone, F.col("_row")[doc_id].cast("long") == F.col("_gone"), "left_anti").select("_row.*")
+    """Rows of `docs`, all columns kept, without documents that a smaller doc_id of their component stands for.
+
+    Rows of one doc_id stay or go together; null ids and texts without words stay; no rows give no rows.
+    """
+    gone = durable(near_duplicates(docs, doc_id, text, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return whole_rows(docs).join(measured(gone), F.col("_row")[doc_id].cast("long") == F.col("_gone"), "left_anti").select("_row.*")
