@@ -359,32 +359,47 @@ def _prefixes(tally: np.ndarray, percent: int):
     return per_row(run, pa.schema([("token", pa.int64()), ("doc", pa.int64())]))
 
 
+#: Counters of a set's shingles, by which the overlap of two sets is bounded from above.
+BUCKETS = 256
+
+
+def _bucketed(found: np.ndarray) -> np.ndarray:
+    return np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+
+
 def _across(percent: int):
-    """Links (a, b) between components: of each block, every row of side 1 against every row of side 0, by whole sets."""
+    """Links (a, b) between components: of each block, every row of side 1 against every row of side 0, by whole sets.
+
+    Two sets share at most what the smaller of their counters add up to; only those for which that is enough are
+    compared, the likeliest first, and none of components that are linked by then.
+    """
 
     def run(batches):
         def found():
             for cols in _groups(batches, 0):
                 side, comp = _numbers(cols[1]), _numbers(cols[2])
                 sets = [np.frombuffer(s, np.uint64) for s in cols[3].to_pylist()]
-                probes, rest, seen = np.flatnonzero(side == 1), np.flatnonzero(side == 0), set()
-                for at in range(0, len(rest), 256):
-                    part = rest[at : at + 256]
-                    n = np.array([len(sets[k]) for k in part])
-                    tokens, owner = np.concatenate([sets[k] for k in part]), np.repeat(np.arange(len(part)), n)
-                    order = np.argsort(tokens, kind="stable")
-                    tokens, owner = tokens[order], owner[order]
-                    for p in probes.tolist():
-                        lo, hi = np.searchsorted(tokens, sets[p], "left"), np.searchsorted(tokens, sets[p], "right")
-                        held = hi - lo
-                        places = np.repeat(lo - np.cumsum(held) + held, held) + np.arange(held.sum())
-                        common = np.bincount(owner[places], minlength=len(part))
-                        linked = (100 * common >= percent * (len(sets[p]) + n - common)) & (comp[part] != comp[p])
-                        for c in np.unique(comp[part[linked]]).tolist():
-                            link = max(c, int(comp[p])), min(c, int(comp[p]))
-                            if link not in seen:
-                                seen.add(link)
-                                yield link
+                n = np.array([len(s) for s in sets])
+                rest = np.flatnonzero(side == 0)
+                counters = np.stack([_bucketed(sets[k]) for k in rest]) if len(rest) else np.empty((0, BUCKETS), np.int32)
+                root = {int(c): int(c) for c in comp}
+
+                def top(c):
+                    while root[c] != c:
+                        root[c] = c = root[root[c]]
+                    return c
+
+                for p in np.flatnonzero(side == 1).tolist():
+                    most = np.minimum(counters, _bucketed(sets[p])).sum(1)
+                    able = np.flatnonzero((100 * most >= percent * (n[p] + n[rest] - most)) & (comp[rest] != comp[p]))
+                    for k in rest[able[np.argsort(-most[able], kind="stable")]].tolist():
+                        a, b = top(int(comp[p])), top(int(comp[k]))
+                        if a == b:
+                            continue
+                        common = n[p] + n[k] - len(np.union1d(sets[p], sets[k]))
+                        if 100 * common >= percent * (n[p] + n[k] - common):
+                            root[max(a, b)] = min(a, b)
+                            yield max(a, b), min(a, b)
 
         return in_batches(found(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -395,8 +410,9 @@ def _exact_links(narrow: DataFrame, split: DataFrame, labels: DataFrame, words:
     """All links (a, b) that are left between components of documents of split regions; None if none can be left.
 
     A set-similarity join with a prefix filter, shingles in order of frequency. Regions and prefix shingles within one
-    component leave. Of the others, documents outside of a shingle's largest component meet all that have the shingle,
-    in blocks of about `region` rows of each side, so that no task grows with a group.
+    component leave. Documents that share any of the others, directly or by way of further ones, are a family; those
+    outside of its largest component meet the whole family, in blocks of about twice `region` rows of each side, so that
+    no task grows with a family, and a set is sent once a block, not once a shingle.
     """
     known = labels.withColumnRenamed("node", "l")
     own = durable(split.join(known, F.col("doc") == F.col("l"), "left").select("chunk", "doc", F.coalesce("component", "doc").alias("comp")))
@@ -404,20 +420,27 @@ def _exact_links(narrow: DataFrame, split: DataFrame, labels: DataFrame, words:
     docs = durable(own.join(mixed, "chunk", "left_semi").select("doc", "comp").distinct())
     if docs.isEmpty():
         return None
-    sets = durable(narrow.join(docs.select("doc"), "doc").mapInArrow(_whole(words), "doc long, whole binary").filter("length(whole) > 0").distinct())
+    sets = durable(narrow.join(measured(docs.select("doc")), "doc").mapInArrow(_whole(words), "doc long, whole binary").filter("length(whole) > 0").distinct())
     counted = sets.mapInArrow(per_row(_tally, pa.schema([("k", pa.int64()), ("n", pa.int64())])), "k long, n long")
     counted = counted.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     tally = np.zeros(COUNTERS, np.int64)
     tally[counted.column("k").to_numpy()] = counted.column("n").to_numpy()
     tokens = durable(sets.mapInArrow(_prefixes(tally, percent), "token long, doc long").join(docs, "doc").select("token", "doc", "comp").distinct())
-    parts = tokens.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    by = parts.groupBy("token").agg(F.sum("c").alias("size"), F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("most"))
-    by = by.filter("parts > 1").select("token", F.col("most.comp").alias("most"), F.ceil(F.col("size") / region).alias("wide"), F.ceil((F.col("size") - F.col("most.c")) / region).alias("high"))
-    met = tokens.join(by, "token")
+    shared = tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("doc").alias("first")).filter("x < y").select("token", "first")
+    stars = tokens.join(shared, "token").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    family = components(stars).withColumnsRenamed({"node": "doc", "component": "family"})
+    members = durable(family.join(docs, "doc"))
+    if members.isEmpty():
+        return None
+    parts = members.groupBy("family", "comp").agg(F.count("*").alias("c"))
+    by = parts.groupBy("family").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("most"))
+    width = F.lit(2 * region)
+    by = by.select("family", F.col("most.comp").alias("most"), F.ceil(F.col("size") / width).alias("wide"), F.ceil((F.col("size") - F.col("most.c")) / width).alias("high"))
+    met = members.join(by, "family").filter("high > 0")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rest = met.select("token", "doc", "comp", F.lit(0).alias("side"), F.pmod(F.xxhash64("doc"), "wide").alias("i"), every("high").alias("j"))
-    probes = met.filter("comp <> most").select("token", "doc", "comp", F.lit(1).alias("side"), every("wide").alias("i"), F.pmod(F.xxhash64("doc", "token"), "high").alias("j"))
-    blocks = rest.unionByName(probes).select(F.xxhash64("token", "i", "j").alias("block"), "side", "comp", "doc")
+    rest = met.select("family", "doc", "comp", F.lit(0).alias("side"), F.pmod(F.xxhash64("doc"), "wide").alias("i"), every("high").alias("j"))
+    probes = met.filter("comp <> most").select("family", "doc", "comp", F.lit(1).alias("side"), every("wide").alias("i"), F.pmod(F.xxhash64("doc", "family"), "high").alias("j"))
+    blocks = rest.unionByName(probes).select(F.xxhash64("family", "i", "j").alias("block"), "side", "comp", "doc")
     full = blocks.join(sets, "doc").select("block", "side", "comp", "whole")
     return full.repartition("block").sortWithinPartitions("block").mapInArrow(_across(percent), "a long, b long")
 
