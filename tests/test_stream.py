@@ -1,16 +1,23 @@
 import json
+from datetime import UTC, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from voltmill import schemas
 from voltmill.config import EngineConfig
-from voltmill.sources import archive, deliveries
-from voltmill.sources.tables import FactTable, archive_pages, page_deliveries
+from voltmill.operators import maintenance
+from voltmill.plans import testbed, views
+from voltmill.sources import archive, deliveries, fixtures
+from voltmill.sources import store as st
+from voltmill.sources.store import FACTS, Store
+from voltmill.sources.tables import archive_pages, page_deliveries
 from voltmill.streaming import pipeline
 
 
-def message(delivery, readings, at="2014-01-13T10:00:00Z", source="live"):
+def message(delivery, readings, at="2014-01-13T10:00:00Z", source="live", **more):
     rows = [{"meter_id": m, "household_id": "h", "reading_time": t, "kwh": k, "received_at": r} for m, t, k, r in readings]
-    return json.dumps({"delivery_id": delivery, "source": source, "ingest_time": at, "readings": rows})
+    return json.dumps({"delivery_id": delivery, "source": source, "readings": rows} | ({"ingest_time": at} if at else {}) | more)
 
 
 T1, T2 = "2014-01-13T09:00:00Z", "2014-02-01T09:30:00Z"
@@ -19,51 +26,225 @@ BATCHES = [
     [message("d1", [("a", T1, 1.0, T1), ("b", T1, 2.0, T1), ("c", T1, 99, T1)]), message("d2", [("a", T1, 1.5, "2014-01-13T11:00:00Z"), ("a", T2, 7.0, T2)])],
     [message("d3", [("b", T1, 9.0, "2014-01-13T08:00:00Z"), ("b", T2, None, T2)], source="backfill")],
 ]
+ONE_FILE = EngineConfig(files_per_trigger=1)
 
 
-def run(spark, tmp, dedup=True):
+def feed(spark, tmp, batches, dedup=True, checkpoint="checkpoint", first=0):
+    """Each list of messages as one file and one run of the stream."""
     (tmp / "in").mkdir(exist_ok=True)
-    for k, lines in enumerate(BATCHES):
-        (tmp / "in" / f"{k}.txt").write_text("\n".join(lines))
-        pipeline.start(deliveries.from_files(spark, str(tmp / "in"), EngineConfig(files_per_trigger=1)), str(tmp / "out"), available_now=True, dedup=dedup).awaitTermination(120)
-    facts = FactTable(spark, str(tmp / "out/clean_readings")).read()
-    return {(r["meter_id"], r["reading_time"].month): r["kwh"] for r in facts.collect()}
+    for k, lines in enumerate(batches):
+        (tmp / "in" / f"{first + k}.txt").write_text("\n".join(lines))
+        pipeline.start(deliveries.from_files(spark, str(tmp / "in"), ONE_FILE), str(tmp / "out"), available_now=True, dedup=dedup, checkpoint=str(tmp / checkpoint)).awaitTermination(180)
+    return Store(spark, str(tmp / "out"))
+
+
+def kwh(store):
+    return {(r["meter_id"], r["reading_time"].month): r["kwh"] for r in store.facts().collect()}
 
 
 EXPECTED = {("a", 1): 1.5, ("b", 1): 2.0, ("a", 2): 7.0}
 
 
 def test_stream_with_restarts(spark, tmp_path):
-    assert run(spark, tmp_path) == EXPECTED
-    out = str(tmp_path / "out")
-    fixed = spark.read.parquet(f"{out}/meter_corrections_log/*").collect()
+    store = feed(spark, tmp_path, BATCHES)
+    assert kwh(store) == EXPECTED
+    fixed = store.read("meter_corrections_log").collect()
     assert [(r["meter_id"], r["old_kwh"], r["new_kwh"], r["delta"]) for r in fixed] == [("a", 1.0, 1.5, 0.5)]
-    rejected = spark.read.parquet(f"{out}/rejected_readings/*").groupBy("rejection_type").count().collect()
-    assert {r[0]: r[1] for r in rejected} == {"kwh_out_of_range": 1, "missing_kwh": 1}
-    assert spark.read.parquet(f"{out}/batch_log/*").select("delivery_id").distinct().count() == 3
+    rejected = store.read("rejected_readings").collect()
+    assert sorted(r["rejection_type"] for r in rejected) == ["kwh_out_of_range", "missing_kwh"]
+    assert len({r["id"] for r in rejected} - {None}) == 2
+    assert sorted(r["delivery_id"] for r in store.read("batch_log").collect()) == ["d1", "d2", "d3"]
+    assert [r["delivery_id"] for r in store.read("batch_duplicates").collect()] == ["d1"]
+    assert [r["value"] for r in store.read("dead_letters").collect()] == ["broken"]
+    lags = {r["meter_id"]: r["avg_lag_sec"] for r in store.read("meter_lag_stats").collect()}
+    assert {m: round(v, 6) for m, v in lags.items()} == {"a": 720.0, "b": 0.0}  # b's second lag is negative
+    window = store.read("live_window").collect()
+    assert [(r["window_start"].month, r["kwh"], r["meters"]) for r in window] == [(2, 7.0, 1)]
 
 
 def test_without_dedup_the_merge_gives_the_same(spark, tmp_path):
-    assert run(spark, tmp_path, dedup=False) == EXPECTED
+    assert kwh(feed(spark, tmp_path, BATCHES, dedup=False)) == EXPECTED
 
 
-def test_replayed_epoch_changes_nothing(spark, tmp_path):
-    run(spark, tmp_path)
-    table = FactTable(spark, str(tmp_path / "out/clean_readings"))
-    before = table.versions().collect()
-    table.merge(table.read(), ["ingested_at"], F.current_timestamp(), before[0]["version"])
-    assert sorted(table.versions().collect()) == sorted(before)
+def test_nothing_is_too_late(spark, tmp_path):
+    """Deliveries far behind, without a time of ingestion or without an id all arrive; repeats of each do not."""
+    odd = [message("late", [("a", T1, 1.0, T1)], at="2014-01-02T00:00:00Z"), message("untimed", [("b", T1, 2.0, T1)], at=None), message("wrong", [("c", T1, 3.0, T1)], at="yesterday")]
+    nameless = [message("", [("d", T1, 4.0, T1)]), message("", [("e", T1, 5.0, T1)])]
+    store = feed(spark, tmp_path, [[message("now", [("f", T1, 6.0, T1)], at="2014-01-20T00:00:00Z")], odd + nameless, odd + nameless])
+    assert kwh(store) == {(m, 1): float(k) for k, m in enumerate("abcdef", 1)}
+    assert store.read("batch_log").count() == 6 and store.read("batch_duplicates").count() == 5
 
 
-def test_a_merge_reads_its_months_alone(spark, tmp_path):
-    run(spark, tmp_path)
-    table = FactTable(spark, str(tmp_path / "out/clean_readings"))
-    assert {r["reading_time"].month for r in table.read(["2014-02"]).collect()} == {2}
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    store = feed(spark, tmp_path, BATCHES)
+    more = [[message("d4", [("z", T1, 4.0, T1), ("a", T1, 3.5, "2014-01-14T00:00:00Z")])]]
+    feed(spark, tmp_path, more, checkpoint="another", first=9)
+    assert kwh(store) == EXPECTED | {("z", 1): 4.0, ("a", 1): 3.5}
+    assert len(store.state()["batches"]) == 2
+    # the other stream starts with all files, so what it finds again is logged again, and changes no fact
+    assert store.read("batch_log").count() == 3 + 4 and store.read("meter_corrections_log").count() == 2
 
 
-def test_backfill_pages_cover_the_archive(spark, sf):
-    from voltmill.plans import testbed
+def test_a_replayed_batch_does_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    batch = spark.createDataFrame([(m, 0, False) for m in BATCHES[0]], "value string, lane int, repeat boolean")
+    for _ in range(2):
+        pipeline.write_batch(batch, 0, store, "s")
+    assert store.facts().count() == 2 and store.read("batch_log").count() == 1 and store.read("dead_letters").count() == 1
+    pipeline.write_batch(batch, 0, store, "other")
+    assert store.facts().count() == 2 and store.read("batch_log").count() == 2
+
+
+def test_a_batch_that_dies_leaves_the_tables(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    batch = spark.createDataFrame([(m, 0, False) for m in BATCHES[0]], "value string, lane int, repeat boolean")
+    with monkeypatch.context() as m:
+        m.setattr(st.Transaction, "commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            pipeline.write_batch(batch, 0, store, "s")
+    assert store.state()["version"] == 0 and store.facts().count() == 0
+    pipeline.write_batch(batch, 0, store, "s")
+    assert store.facts().count() == 2 and store.vacuum() > 0 and store.facts().count() == 2
+
+
+def test_repeats_expire(spark):
+    """The state lets an id pass again once its time is over, and forgets it."""
+    class State:
+        exists, hasTimedOut, get, timeout = False, False, (None,), None
+
+        def update(self, v):
+            self.exists, self.get = True, v
+
+        def setTimeoutTimestamp(self, t):  # noqa: N802
+            self.timeout = t
+
+        def remove(self):
+            self.exists = False
+
+    import pandas as pd
+
+    found = {}
+
+    class Grouped:
+        def groupBy(self, *_):  # noqa: N802
+            return self
+
+        def applyInPandasWithState(self, f, *_):  # noqa: N802
+            found["f"] = f
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pipeline, "arrivals", lambda _: type("A", (), {"withWatermark": lambda self, *_: Grouped()})())
+        pipeline.mark_sightings(None)
+    state, t0 = State(), pd.Timestamp("2024-01-01", tz="UTC")
+    rows = lambda hours: pd.DataFrame({"value": "v", "lane": 0, "arrived_at": [t0 + timedelta(hours=h) for h in hours]})
+    mark = lambda hours: [list(x["repeat"]) for x in found["f"](("k",), iter([rows(hours)]), state)]
+    assert mark([0, 0, 23]) == [[False, True, True]] and mark([23.9, 24, 25]) == [[True, False, True]]
+    assert state.timeout == int((t0 + timedelta(hours=48)).timestamp() * 1000)
+    state.hasTimedOut = True
+    assert list(found["f"](("k",), iter([]), state)) == [] and not state.exists
 
+
+def test_json_types_of_values(spark):
+    """True is a number of a reading, the text "true" is not."""
+    body = '{"delivery_id":"d","readings":[%s]}' % ",".join('{"meter_id":"m","reading_time":"2014-01-13T10:00:00Z","kwh":%s}' % k for k in ("true", '"true"', "false", "1.5", '"1.5"', "null", "1e1", "[1]", '"x"'))
+    from voltmill.operators import ingest
+
+    parsed = ingest.parse_deliveries(spark.createDataFrame([(body,)], "value string"))
+    got = [(r["kwh"], r["rejection_type"]) for r in ingest.validate(ingest.flatten(parsed)).orderBy("place").collect()]
+    assert got == [(1.0, None), (None, "missing_kwh"), (0.0, None), (1.5, None), (1.5, None), (None, "missing_kwh"), (10.0, None), (None, "missing_kwh"), (None, "missing_kwh")]
+
+
+def test_merges_are_compacted_and_months_pruned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "FOLDERS_A_TIER", 3)
+    store = Store(spark, str(tmp_path), keep_seconds=0)
+    for k in range(7):
+        rows = [("a", "2014-01-13 09:00:00", "h", float(k), f"2014-01-13 {10 + k}:00:00"), (f"m{k}", "2014-02-01 09:00:00", "h", 1.0, None)]
+        batch = spark.createDataFrame(rows, "meter_id string, t string, household_id string, kwh double, r string")
+        batch = batch.select("meter_id", F.col("t").cast("timestamp").alias("reading_time"), "household_id", "kwh", F.col("r").cast("timestamp").alias("received_at"))
+        t = store.begin()
+        t.merge(batch, ["meter_id"], F.lit(datetime(2024, 1, 1 + k, tzinfo=UTC)))
+        t.commit("s", k)
+        store.compact()
+    held = store.state()["tables"][FACTS]
+    assert all(len(x) <= 4 for x in held.values()) and max(t for x in held.values() for _, t in x) >= 1
+    assert {(r["meter_id"]): r["kwh"] for r in store.facts(["2014-01"]).collect()} == {"a": 6.0}
+    assert store.facts().count() == 8 and store.read("meter_corrections_log").count() == 6
+    assert all("month=2014-02" in f for f in store.folders(FACTS, ["2014-02"]))
+    names = set(store.files.names(f"{tmp_path}/{FACTS}"))
+    t = store.begin()
+    t.append("dead_letters", spark.createDataFrame([], schemas.schema("dead_letters")))
+    t.commit()
+    assert store.vacuum() > 0 and set(store.files.names(f"{tmp_path}/{FACTS}")) < names and store.facts().count() == 8
+
+
+def test_writers_that_meet(spark, tmp_path):
+    """Two appends both stay; two merges into one month don't both count."""
+    store = Store(spark, str(tmp_path))
+    row = spark.createDataFrame([("x", 0, datetime(2024, 1, 1))], schemas.schema("dead_letters"))
+    one, two = store.begin(), store.begin()
+    one.append("dead_letters", row)
+    two.append("dead_letters", row)
+    one.commit()
+    two.commit()
+    assert store.read("dead_letters").count() == 2
+    batch = spark.createDataFrame([("a", datetime(2014, 1, 13, 9), "h", 1.0, None)], "meter_id string, reading_time timestamp, household_id string, kwh double, received_at timestamp")
+    one, two = store.begin(), store.begin()
+    one.merge(batch, ["meter_id"], F.current_timestamp())
+    two.merge(batch, ["meter_id"], F.current_timestamp())
+    one.commit()
+    with pytest.raises(RuntimeError):
+        two.commit()
+    assert store.facts().count() == 1
+
+
+def test_runs_of_maintenance(spark, tmp_path):
+    """Silence, orphans and the archive on written tables; two runs count once, and a reject that comes meanwhile stays."""
+    homes = spark.createDataFrame([("h", "a", "N1", 2, "A", "Std")], schemas.schema("homes"))
+    store = Store(spark, str(tmp_path))
+    t = store.begin()
+    t.append("homes", homes)
+    t.commit()
+    lines = [message("d", [("a", T1, 1.0, T1), ("b", T1, 99, T1), ("b", "2014-01-13T08:00:00Z", 2.0, T1), ("c", "2014-01-13T06:00:00Z", 2.0, T1), ("c", None, 1.0, T1)])]
+    batch = spark.createDataFrame([(m, 0, False) for m in lines], "value string, lane int, repeat boolean")
+    day0 = datetime(2024, 1, 1, 12, tzinfo=UTC)
+    pipeline.write_batch(batch, 0, store, "s", now=day0)
+    later = F.lit(day0 + timedelta(days=2))
+    for _ in range(2):
+        maintenance.run_silence(store, later)
+        maintenance.run_orphans(store)
+        maintenance.run_archive(store, later)
+    assert [(r["meter_id"], r["silent_hours"]) for r in maintenance.latest_silence(store).collect()] == [("c", 3.0)] * 2
+    assert sorted(r["meter_id"] for r in store.read("orphan_meters_summary").collect()) == ["b", "c"]
+    totals = lambda: sorted((r["ts_hour"].hour, r["rejection_reason"], r["count"]) for r in store.read("rejection_hourly_summary").collect())
+    assert totals() == [(9, "kwh_out_of_range", 1), (12, "invalid_reading_time", 1)]
+    assert all(r["archived"] for r in store.read("rejected_readings").collect())
+    pipeline.write_batch(batch, 1, store, "s", now=day0 + timedelta(days=2))
+    maintenance.run_archive(store, F.lit(day0 + timedelta(days=8)))  # the first two are past retention
+    assert store.read("rejected_readings").count() == 2 and totals() == [(9, "kwh_out_of_range", 2)] + [(12, "invalid_reading_time", 1)] * 2
+    views.register_store(store)
+    assert spark.sql("SELECT count(*) AS n FROM clean_readings JOIN homes USING (meter_id)").first()["n"] == 1
+
+
+def test_options_of_lanes():
+    live, fill = (deliveries.sink_options("k:9092", lane) for lane in (deliveries.LIVE, deliveries.BACKFILL))
+    assert (live["kafka.compression.type"], fill["kafka.compression.type"]) == ("lz4", "gzip")
+    assert (live["kafka.linger.ms"], fill["kafka.linger.ms"]) == ("5", "100") and live["kafka.acks"] == fill["kafka.acks"] == "1"
+    scan = deliveries.source_options("k:9092", config=EngineConfig(messages_per_trigger=7, files_per_trigger=9))
+    assert scan["maxOffsetsPerTrigger"] == "7" and scan["startingOffsets"] == "earliest" and scan["failOnDataLoss"] == "false"
+
+
+def test_a_disorderly_replay_gives_the_clean_history(spark, tmp_path):
+    readings = fixtures.sample_readings(spark)
+    start = F.lit("2014-01-13 00:00:00").cast("timestamp")
+    sent = fixtures.disorderly(fixtures.replay(readings, start, 60.0, size=3), duplicates=0.3, shuffled=0.5, late=0.2, outage=(2, 4), late_s=5)
+    assert sent.count() > fixtures.replay(readings, start, 60.0, size=3).count()
+    assert fixtures.write_in_order(sent, str(tmp_path / "in"), 2.0) > 1
+    pipeline.start(deliveries.from_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), available_now=True).awaitTermination(180)
+    got = {(r["meter_id"], r["reading_time"]): r["kwh"] for r in Store(spark, str(tmp_path / "out")).facts().collect()}
+    assert got == {(r["meter_id"], r["reading_time"]): r["kwh"] for r in readings.collect()}
+
+
+def test_backfill_pages_cover_the_archive(spark, sf):
     r = testbed.readings(spark, sf)
     since = F.lit("2024-01-05 00:00:00").cast("timestamp")
     pages = archive_pages(r, since, 100)
@@ -83,7 +264,6 @@ def test_live_and_backfill_give_the_clean_history(spark, tmp_path):
     assert archive.pull(kept.filter("kwh < 12"), state, landing, now, 5) == 3
     assert archive.pull(kept, state, landing, now, 5) == 2  # the last time seen comes again
     (tmp_path / "in" / "live.txt").write_text(message("live-1", [(m, f"{t}Z".replace(" ", "T"), k, f"{r}Z".replace(" ", "T")) for m, _, t, k, r in rows[3:9]]))
-    pipeline.start(deliveries.from_files(spark, landing), str(tmp_path / "out"), available_now=True).awaitTermination(120)
-    facts = FactTable(spark, str(tmp_path / "out/clean_readings")).read()
-    got = {(r["meter_id"], r["reading_time"]): r["kwh"] for r in facts.collect()}
+    pipeline.start(deliveries.from_files(spark, landing), str(tmp_path / "out"), available_now=True).awaitTermination(180)
+    got = {(r["meter_id"], r["reading_time"]): r["kwh"] for r in Store(spark, str(tmp_path / "out")).facts().collect()}
     assert got == {(r["meter_id"], r["reading_time"]): r["kwh"] for r in kept.collect()}

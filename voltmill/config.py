@@ -10,6 +10,7 @@ class EngineConfig:
     """Every operator takes what it needs from here or as a parameter; none reads the environment or the clock."""
 
     trigger_seconds: int = 5
+    messages_per_trigger: int = 500
     files_per_trigger: int = 500
     window_minutes: int = 30
     dedup_ttl_hours: int = 24
@@ -40,7 +41,7 @@ def session(app: str = "voltmill", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (base | conf).items():
         builder = builder.config(k, v)

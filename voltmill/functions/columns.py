@@ -34,19 +34,22 @@ def parsed_time(text: Column) -> Column:
 
 
 def parsed_number(text: Column) -> Column:
-    """Double of a number's text, of true and false, and of nan and inf, else null."""
+    """Double of a number's text, and of nan and inf, else null."""
     t = F.lower(F.trim(text))
     plain = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+)?$"
     return (
-        F.when(t == "true", F.lit(1.0))
-        .when(t == "false", F.lit(0.0))
-        .when(t.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
+        F.when(t.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
         .when(t.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf")))
         .when(t.rlike(r"^-inf(inity)?$"), F.lit(float("-inf")))
         .when(t.rlike(plain), F.translate(t, "_", "").cast("double"))
     )
 
 
+def spread(text: Column, n: int) -> Column:
+    """A number from 0 to n - 1 that follows from the text alone; n is small beside 2^24."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("long") % n
+
+
 def content_hash(readings: Column, with_kwh: bool = True) -> Column:
     """Id of a page: the start of a digest over its sorted readings.
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltmill.functions.columns import exact_sum, rounded, spread
+
 STATION = "EGLL-Heathrow"
 BEST_REPORT = "FM-12"
 
@@ -45,17 +47,17 @@ def well_covered(readings: DataFrame, expected: Column, least: float = 0.5) -> D
 
 def labelled(households: DataFrame) -> DataFrame:
     """Areas, groups and sizes that follow from the id alone: eight areas, groups 30/30/40 in a hundred."""
-    spread = F.conv(F.substring(F.md5(F.col("household_id").cast("binary")), 1, 6), 16, 10).cast("long") % 100
-    group = F.when(spread < 30, "Affluent").when(spread < 60, "Comfortable").otherwise("Adversity")
-    area = F.concat(F.lit("N1-"), F.substring(F.lit("ABCDEFGH"), (spread % 8 + 1).cast("int"), F.lit(1)))
+    place = spread(F.col("household_id"), 100)
+    group = F.when(place < 30, "Affluent").when(place < 60, "Comfortable").otherwise("Adversity")
+    area = F.concat(F.lit("N1-"), F.substring(F.lit("ABCDEFGH"), (place % 8 + 1).cast("int"), F.lit(1)))
     size = F.when(group == "Affluent", 4).when(group == "Comfortable", 3).otherwise(2)
     return households.select("household_id", area.alias("postcode_area"), group.alias("acorn_group"), size.alias("household_size"))
 
 
 def profile(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation and quartiles of number columns, one row each, in one pass."""
+    """Count, mean, deviation, quartiles and the most frequent value, the least on ties, of number columns, one row each, in one pass."""
     stats = lambda c: F.struct(
-        F.lit(c).alias("column"), F.count(c).alias("n"), F.countDistinct(c).alias("distinct"), F.avg(F.col(c).cast("double")).alias("mean"), F.stddev(c).alias("std"),
+        F.lit(c).alias("column"), F.count(c).alias("n"), F.countDistinct(c).alias("distinct"), rounded(exact_sum(F.col(c)) / F.count(c), 6).alias("mean"), rounded(F.stddev(c), 6).alias("std"), F.mode(c, True).cast("double").alias("top"),
         F.min(F.col(c).cast("double")).alias("least"), F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.75).alias("q3"), F.max(F.col(c).cast("double")).alias("most"),
     )
     return table.agg(F.array(*[stats(c) for c in columns]).alias("s")).select(F.inline("s"))

@@ -26,22 +26,28 @@ def parse_deliveries(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def flatten(deliveries: DataFrame) -> DataFrame:
-    """One row a reading, with its delivery and its place in it; raw text stays raw."""
+    """One row a reading, with its delivery and its place in it; raw text stays raw.
+
+    kwh is the text of the value as it came, and kwh_boolean tells true and false from such texts.
+    """
     carried = [c for c in ("delivery_id", "source", "ingest_time", "batch") if c in deliveries.columns]
-    return deliveries.select(*carried, F.posexplode("readings").alias("place", "r")).select(*carried, "place", "r.*")
+    rows = deliveries.select(*carried, F.posexplode("readings").alias("place", "r")).select(*carried, "place", "r.*")
+    return rows.withColumns({"kwh_boolean": F.coalesce(F.schema_of_variant("kwh") == "BOOLEAN", F.lit(False)), "kwh": F.try_variant_get("kwh", "$", "string")})
 
 
 def validate(readings: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Typed readings with rejection_type and rejection_detail, both null where a reading is valid.
 
     The first rule that fails names the reject: the time, a missing or non-numeric value, the range. A value that is
-    not a number is kept as text, so one bad row cannot lose the rejects beside it.
+    not a number is kept as text, so one bad row cannot lose the rejects beside it. True and false, if kwh_boolean says
+    that they are no texts, are 1 and 0.
     """
+    boolean = F.col("kwh_boolean") if "kwh_boolean" in readings.columns else F.lit(False)
     raw, kwh, time = F.col("kwh_raw"), F.col("kwh"), F.col("reading_time")
     typed = readings.withColumns(
         {
             "kwh_raw": F.col("kwh"),
-            "kwh": parsed_number(F.col("kwh")),
+            "kwh": F.when(boolean, (F.col("kwh") == "true").cast("int").cast("double")).otherwise(parsed_number(F.col("kwh"))),
             "reading_time": parsed_time(F.col("reading_time")),
             "received_at": parsed_time(F.col("received_at")),
         }
@@ -57,7 +63,7 @@ def validate(readings: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
         .when(kwh.isNull(), F.concat(F.lit("kwh='"), raw, F.lit("' not numeric")))
         .when(outside, F.concat(F.lit("kwh="), shown, F.lit(f", expected [{config.kwh_low},{config.kwh_high}]")))
     )
-    return typed.withColumns({"rejection_type": kind, "rejection_detail": detail})
+    return typed.withColumns({"rejection_type": kind, "rejection_detail": detail}).drop("kwh_boolean")
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,19 +76,19 @@ def mark_repeats(deliveries: DataFrame, hours: int = DEFAULT.dedup_ttl_hours, or
     """Deliveries with `repeat`: seen again less than `hours` after the sighting that last passed.
 
     A pass starts the time anew, a repeat does not. Sightings of one id are folded in order of ingest_time, then
-    `order`; ids that come once, nearly all of them, leave the fold after one step.
+    `order`, and only those that pass are kept, one at most in `hours`.
     """
     ttl = hours * 3_600_000_000
+    kind = deliveries.schema[order].dataType.simpleString()
     seen = deliveries.groupBy("delivery_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ingest_time").alias("at"), F.col(order).alias("o")))).alias("seen"))
-    start = F.struct(F.lit(None).cast("long").alias("since"), F.array().cast("array<struct<o:bigint,repeat:boolean>>").alias("out"))
+    start = F.struct(F.lit(None).cast("long").alias("since"), F.array().cast(f"array<{kind}>").alias("passed"))
 
     def step(acc, s):
         again = F.coalesce(s["at"] - acc["since"] < ttl, F.lit(False))
-        mark = F.struct(s["o"].cast("long").alias("o"), again.alias("repeat"))
-        return F.struct(F.when(again, acc["since"]).otherwise(s["at"]).alias("since"), F.concat(acc["out"], F.array(mark)).alias("out"))
+        return F.struct(F.when(again, acc["since"]).otherwise(s["at"]).alias("since"), F.when(again, acc["passed"]).otherwise(F.concat(acc["passed"], F.array(s["o"]))).alias("passed"))
 
-    marks = seen.select("delivery_id", F.explode(F.aggregate("seen", start, step, lambda acc: acc["out"])).alias("m")).select("delivery_id", F.col("m.o").alias(order), "m.repeat")
-    return deliveries.join(marks, ["delivery_id", order])
+    passed = seen.select("delivery_id", F.explode(F.aggregate("seen", start, step, lambda acc: acc["passed"])).alias(order), F.lit(False).alias("_again"))
+    return deliveries.join(passed, ["delivery_id", order], "left").withColumn("repeat", F.coalesce("_again", F.lit(True))).drop("_again")
 
 
 def duplicates_log(marked: DataFrame) -> DataFrame:

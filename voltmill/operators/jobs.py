@@ -8,14 +8,12 @@ from voltmill.functions.columns import exact_sum, seconds_between
 
 
 def silent_meters(facts: DataFrame, homes: DataFrame, hours: float = DEFAULT.silence_hours, days: int = DEFAULT.silence_lookback_days) -> DataFrame:
-    """Meters whose last reading of the last days is over `hours` before the newest reading of all."""
-    now = F.broadcast(facts.agg(F.max("reading_time").alias("now")))
-    recent = facts.join(now, F.col("reading_time") > F.col("now") - F.make_interval(days=F.lit(days)))
-    last = recent.groupBy("meter_id").agg(F.max("reading_time").alias("last_seen"), F.max("now").alias("now"))
-    silent = last.filter(seconds_between(F.col("now"), F.col("last_seen")) > hours * 3600)
-    return silent.join(homes.select("meter_id", "postcode_area"), "meter_id", "left").select(
-        "meter_id", "postcode_area", "last_seen", (seconds_between(F.col("now"), F.col("last_seen")) / 3600).alias("silent_hours")
-    )
+    """Meters whose last reading of the last days is over `hours` before the newest reading of all, longest first."""
+    now = facts.agg(F.max("reading_time")).scalar()
+    last = facts.filter(F.col("reading_time") > now - F.make_interval(days=F.lit(days))).groupBy("meter_id").agg(F.max("reading_time").alias("last_seen"))
+    silent = last.withColumn("_s", seconds_between(now, F.col("last_seen"))).filter(F.col("_s") > hours * 3600)
+    known = silent.join(homes.select("meter_id", "postcode_area"), "meter_id", "left")
+    return known.select("meter_id", "postcode_area", "last_seen", (F.col("_s") / 3600).alias("silent_hours")).orderBy(F.desc("silent_hours"), "meter_id")
 
 
 def silence_rows(silent: DataFrame, now: Column) -> DataFrame:
@@ -41,8 +39,12 @@ def upsert_orphans(stored: DataFrame, found: DataFrame, keep_first: bool = True)
     return s.join(f, "meter_id", "full_outer").select("meter_id", first.alias("first_seen"), new("last_seen"), new("reading_count"), new("total_kwh"))
 
 
+def _older(now: Column, days: int) -> Column:
+    return F.col("rejected_at") < now - F.make_interval(days=F.lit(days))
+
+
 def archivable(rejects: DataFrame, now: Column, days: int = DEFAULT.archive_after_days) -> DataFrame:
-    return rejects.filter((F.col("rejected_at") < now - F.make_interval(days=F.lit(days))) & ~F.col("archived"))
+    return rejects.filter(_older(now, days) & ~F.col("archived"))
 
 
 def roll_up(summary: DataFrame, rejects: DataFrame) -> DataFrame:
@@ -52,11 +54,10 @@ def roll_up(summary: DataFrame, rejects: DataFrame) -> DataFrame:
     return summary.unionByName(new).groupBy("ts_hour", "rejection_reason").agg(F.sum("count").alias("count"))
 
 
-def mark_archived(rejects: DataFrame, taken: DataFrame) -> DataFrame:
-    """Rejects with the taken ones marked, so that no later run counts them again."""
-    done = taken.select("id", F.lit(True).alias("_now"))
-    return rejects.join(done, "id", "left").withColumn("archived", F.col("archived") | F.coalesce("_now", F.lit(False))).drop("_now")
+def mark_archived(rejects: DataFrame, now: Column, days: int = DEFAULT.archive_after_days) -> DataFrame:
+    """Rejects with those marked that archivable() takes, so that no later run counts them again."""
+    return rejects.withColumn("archived", F.col("archived") | F.coalesce(_older(now, days), F.lit(False)))
 
 
 def purge(rejects: DataFrame, now: Column, days: int = DEFAULT.reject_retain_days) -> DataFrame:
-    return rejects.filter(~(F.col("rejected_at") < now - F.make_interval(days=F.lit(days))))
+    return rejects.filter(~F.coalesce(_older(now, days), F.lit(False)))

@@ -27,9 +27,8 @@ def windows(facts: DataFrame, book: DataFrame) -> DataFrame:
 
 def current_window(facts: DataFrame, book: DataFrame) -> DataFrame:
     """The half hour of the newest reading, from merged facts, so corrections and repeats count once."""
-    newest = facts.agg(bucket(F.max("reading_time")).alias("_now"))
-    now = facts.join(F.broadcast(newest), bucket(F.col("reading_time")) == F.col("_now"))
-    return windows(now.drop("_now"), book)
+    newest = facts.agg(bucket(F.max("reading_time"))).scalar()
+    return windows(facts.filter(F.col("reading_time") >= newest), book)
 
 
 def rolling_window(readings: DataFrame, book: DataFrame, batch: str = "batch") -> DataFrame:
@@ -82,6 +81,13 @@ def feed_status(deliveries: DataFrame, now: Column, live_s: int = DEFAULT.live_t
     )
 
 
+def count_bands(repeats: DataFrame, rejects: DataFrame, now: Column, minutes: int = DEFAULT.quiet_gap_minutes) -> DataFrame:
+    """Repeats and rejects of the last minutes before `now`, each with its band, from tables with detected_at and rejected_at."""
+    n = lambda df, time: df.agg(F.count_if((F.col(time) > now - F.make_interval(mins=F.lit(minutes))) & (F.col(time) <= now)).alias("n"))
+    both = n(repeats, "detected_at").select(F.col("n").alias("duplicates")).crossJoin(n(rejects, "rejected_at").select(F.col("n").alias("invalid")))
+    return both.select("duplicates", band(F.col("duplicates"), *BANDS["duplicates"]).alias("duplicates_band"), "invalid", band(F.col("invalid"), *BANDS["invalid"]).alias("invalid_band"))
+
+
 def banded(windows: DataFrame) -> DataFrame:
     low, enough = METERS
     meters = F.when(F.col("meters") >= enough, "ok").when(F.col("meters") >= low, "warn").otherwise("low")

@@ -25,14 +25,20 @@ def overwrites(new: Column, old: Column) -> Column:
 
 
 def merge(target: DataFrame, batch: DataFrame, order: list[str], now: Column) -> DataFrame:
-    """Outcome for each key of the batch or the target: the row to store, `old_kwh` and `changed`.
+    """Outcome for each key of the batch or the target: the row to store, `old_kwh` and `changed`."""
+    return _decided(target, batch, order, now, "full_outer")
 
-    Only keys decide which rows meet, so the whole is one shuffle of both sides by key; callers that partition the
-    target by month pass the touched months alone.
-    """
+
+def outcome(target: DataFrame, batch: DataFrame, order: list[str], now: Column) -> DataFrame:
+    """As merge(), for the keys of the batch alone."""
+    return _decided(target, batch, order, now, "right_outer")
+
+
+def _decided(target: DataFrame, batch: DataFrame, order: list[str], now: Column, how: str) -> DataFrame:
+    """Only keys decide which rows meet, so the whole is one shuffle of both sides by key."""
     new = newest_in_batch(batch.withColumn("ingested_at", now), order).select(*KEY, F.struct(*VALUES).alias("new"))
     old = target.select(*KEY, F.struct(*VALUES).alias("old"))
-    both = old.join(new, KEY, "full_outer")
+    both = old.join(new, KEY, how)
     wins = F.col("old").isNull() | (F.col("new").isNotNull() & overwrites(F.col("new"), F.col("old")))
     took = both.withColumn("wins", wins).withColumn("row", F.when(F.col("wins"), F.col("new")).otherwise(F.col("old")))
     return took.select(*KEY, "row.*", F.col("old.kwh").alias("old_kwh"), (F.col("wins") & F.col("old").isNotNull()).alias("replaced"), F.col("wins").alias("changed"))

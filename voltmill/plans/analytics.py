@@ -30,8 +30,7 @@ def top_households(facts: DataFrame, homes: DataFrame, start: Column, end: Colum
 def segment_days(facts: DataFrame, homes: DataFrame, days: int | None = None) -> DataFrame:
     """Daily use by group and tariff; with `days`, only that many before the newest reading count."""
     if days is not None:
-        now = F.broadcast(facts.agg(F.max("reading_time").alias("_now")))
-        facts = facts.join(now, F.col("reading_time") > F.col("_now") - F.make_interval(days=F.lit(days))).drop("_now")
+        facts = facts.filter(F.col("reading_time") > facts.agg(F.max("reading_time")).scalar() - F.make_interval(days=F.lit(days)))
     daily = facts.groupBy("meter_id", F.to_date("reading_time").alias("reading_date")).agg(exact_sum(F.col("kwh")).alias("day_kwh"))
     joined = daily.join(homes.select("meter_id", F.coalesce("acorn_group", F.lit("Unknown")).alias("acorn_group"), tariff(F.col("tariff_type")).alias("tariff_type")), "meter_id")
     return (
@@ -54,12 +53,17 @@ def coverage(facts: DataFrame, homes: DataFrame) -> DataFrame:
 
 
 def off_peak(facts: DataFrame, homes: DataFrame, daily: bool = False) -> DataFrame:
-    """Share of use in the first hours of the day among flexible tariffs, over all days or for each."""
+    """Share of use in the first hours of the day among flexible tariffs, over all days or for each.
+
+    Readings are summed by meter before they meet the homes.
+    """
     flexible = homes.filter(F.col("tariff_type") == "ToU").select("meter_id")
-    rows = facts.join(flexible, "meter_id")
     keys = [F.to_date("reading_time").alias("reading_date")] if daily else []
-    night = exact_sum(F.when(F.hour("reading_time") < OFF_PEAK_HOURS, F.col("kwh")).otherwise(F.lit(0.0)))
-    by = rows.groupBy(*keys).agg(F.countDistinct("meter_id").alias("tou_meter_count"), exact_sum(F.col("kwh")).alias("total"), night.alias("night"))
+    night = F.when(F.hour("reading_time") < OFF_PEAK_HOURS, F.col("kwh")).otherwise(F.lit(0.0))
+    exact = lambda c: F.sum(c.cast("decimal(28,9)"))
+    meters = facts.groupBy("meter_id", *keys).agg(exact(F.col("kwh")).alias("total"), exact(night).alias("night"))
+    rows = meters.join(flexible, "meter_id").groupBy(*(["reading_date"] if daily else []))
+    by = rows.agg(F.countDistinct("meter_id").alias("tou_meter_count"), F.sum("total").cast("double").alias("total"), F.sum("night").cast("double").alias("night"))
     pct = share(F.lit(100.0) * F.col("night"), F.col("total"))
     return by.select(
         *(["reading_date"] if daily else []), "tou_meter_count", rounded(F.col("total"), 2).alias("total_kwh"), rounded(F.col("night"), 2).alias("off_peak_kwh"),
@@ -90,8 +94,7 @@ def temperature(facts: DataFrame, weather: DataFrame) -> DataFrame:
 
 
 def slots_last_day(facts: DataFrame, hours: int = 24) -> DataFrame:
-    now = F.broadcast(facts.agg(F.max("reading_time").alias("_now")))
-    recent = facts.join(now, F.col("reading_time") > F.col("_now") - F.make_interval(hours=F.lit(hours)))
+    recent = facts.filter(F.col("reading_time") > facts.agg(F.max("reading_time")).scalar() - F.make_interval(hours=F.lit(hours)))
     return recent.groupBy(bucket(F.col("reading_time")).alias("time")).agg(exact_sum(F.col("kwh")).alias("total_kwh")).orderBy("time")
 
 

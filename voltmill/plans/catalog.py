@@ -1,15 +1,19 @@
 """Every query of the engine on the test tables, with DuckDB SQL for it where SQL can express it."""
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltmill.config import EngineConfig
 from voltmill.functions.columns import content_hash, exact_sum
-from voltmill.operators import dims, ingest, jobs, lag, live, merge
-from voltmill.plans import analytics
+from voltmill.operators import dims, ingest, jobs, lag, live, maintenance, merge
+from voltmill.plans import analytics, views
 from voltmill.plans import testbed as t
-from voltmill.sources import deliveries, tables
+from voltmill.sources import deliveries, fixtures, tables
+from voltmill.sources.store import Store, shared_folder
+from voltmill.streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -192,9 +196,8 @@ def feed_liveness(spark, sf):
 @query(f"""WITH {t.RAW}
 SELECT coalesce(rejection_type, 'valid') AS outcome, source, count(*) AS n, count(DISTINCT meter_id) AS meters FROM validated GROUP BY 1, 2""")
 def validate_split(spark, sf):
-    valid, rejected = ingest.split_valid(ingest.validate(t.raw_readings(spark, sf)))
-    both = valid.select(F.lit("valid").alias("outcome"), "source", "meter_id").unionByName(rejected.select(F.col("rejection_type").alias("outcome"), "source", "meter_id"))
-    return both.groupBy("outcome", "source").agg(F.count("*").alias("n"), F.countDistinct("meter_id").alias("meters"))
+    checked = ingest.validate(t.raw_readings(spark, sf)).filter("rejection_type is not null or meter_id is not null")
+    return checked.groupBy(F.coalesce("rejection_type", F.lit("valid")).alias("outcome"), "source").agg(F.count("*").alias("n"), F.countDistinct("meter_id").alias("meters"))
 
 
 @query(f"WITH {t.RAW} SELECT event_id, reading_time, raw AS kwh_raw, rejection_type, rejection_detail FROM validated WHERE rejection_type IS NOT NULL")
@@ -371,9 +374,13 @@ def active_meters_exact(spark, sf):
     return live.windows(t.facts(spark, sf), t.homes(spark, sf)).select("window_start", "meters")
 
 
-@query()
+@query(f"WITH {t.FACTS} SELECT {BUCKET} AS window_start, count(DISTINCT meter_id) AS meters, true AS within FROM facts GROUP BY 1")
 def active_meters_hll(spark, sf):
-    return live.meters_sketch(t.facts(spark, sf))
+    """The sketch's estimates beside exact counts, and whether they differ by a twentieth, or one, at most."""
+    facts = t.facts(spark, sf)
+    exact = live.windows(facts, t.homes(spark, sf)).select("window_start", "meters")
+    both = exact.join(live.meters_sketch(facts).withColumnRenamed("meters", "estimate"), "window_start")
+    return both.select("window_start", "meters", (F.abs(F.col("estimate") - F.col("meters")) <= F.greatest(F.lit(1.0), F.col("meters") / 20)).alias("within"))
 
 
 @query(f"""WITH {t.READINGS}, s AS (
@@ -451,9 +458,11 @@ def household_labels(spark, sf):
 
 
 @query(f"""WITH {t.FACTS}
-SELECT 'kwh' AS "column", count(kwh) AS n, count(DISTINCT kwh) AS "distinct", min(kwh) AS least, quantile_cont(kwh, 0.25) AS q1, quantile_cont(kwh, 0.5) AS median, quantile_cont(kwh, 0.75) AS q3, max(kwh) AS most FROM facts""")
+SELECT 'kwh' AS "column", count(kwh) AS n, count(DISTINCT kwh) AS "distinct", {ROUND(KWH + " / count(kwh)", 6)} AS mean, {ROUND("stddev_samp(kwh)", 6)} AS std,
+  (SELECT kwh FROM facts GROUP BY kwh ORDER BY count(*) DESC, kwh LIMIT 1) AS top, min(kwh) AS least,
+  quantile_cont(kwh, 0.25) AS q1, quantile_cont(kwh, 0.5) AS median, quantile_cont(kwh, 0.75) AS q3, max(kwh) AS most FROM facts""")
 def column_profile(spark, sf):
-    return dims.profile(t.facts(spark, sf), ["kwh"]).drop("mean", "std")
+    return dims.profile(t.facts(spark, sf), ["kwh"])
 
 
 # Maintenance
@@ -494,8 +503,7 @@ def archive_rollup(spark, sf):
 
 @query(f"WITH {t.REJECTS} SELECT id, archived OR {_CUT} AS archived FROM rejects")
 def archive_semi(spark, sf):
-    rejects = t.rejects(spark, sf)
-    return jobs.mark_archived(rejects, jobs.archivable(rejects, _ts("2024-02-08 00:00:00"))).select("id", "archived")
+    return jobs.mark_archived(t.rejects(spark, sf), _ts("2024-02-08 00:00:00")).select("id", "archived")
 
 
 @query(f"WITH {t.REJECTS} SELECT id, rejection_type FROM rejects WHERE NOT rejected_at < TIMESTAMP '2024-02-12' - INTERVAL 7 DAY")
@@ -505,13 +513,165 @@ def purge_retention(spark, sf):
 
 @query(f"WITH {t.FACTS}, {t.HOMES} SELECT postcode_area, count(*) AS n, count(DISTINCT meter_id) AS meters FROM (SELECT meter_id FROM facts) LEFT JOIN homes USING (meter_id) GROUP BY 1")
 def book_join_left(spark, sf):
-    joined = t.facts(spark, sf).select("meter_id").join(t.homes(spark, sf).select("meter_id", "postcode_area"), "meter_id", "left")
-    return joined.groupBy("postcode_area").agg(F.count("*").alias("n"), F.countDistinct("meter_id").alias("meters"))
+    meters = t.facts(spark, sf).groupBy("meter_id").agg(F.count("*").alias("m"))
+    joined = meters.join(t.homes(spark, sf).select("meter_id", "postcode_area"), "meter_id", "left")
+    return joined.groupBy("postcode_area").agg(F.sum("m").alias("n"), F.count("*").alias("meters"))
 
 
-@query("""SELECT format('MAC{:06d}', id) AS meter_id,
-  CASE id % 4 WHEN 2 THEN 'missing_kwh' WHEN 3 THEN 'invalid_reading_time' ELSE 'kwh_out_of_range' END AS rejection_type,
-  CASE id % 4 WHEN 0 THEN 'kwh=75.5, expected [0.0,50.0]' WHEN 1 THEN 'kwh=-3.0, expected [0.0,50.0]' WHEN 2 THEN 'kwh is null' ELSE 'reading_time absent or unparseable' END AS rejection_detail
-FROM range(12) r(id)""")
+_SPREAD = "CAST('0x' || left(md5({}), 6) AS BIGINT) % {}".format
+
+
+@query(f"""WITH {t.RAW}
+SELECT count(*) FILTER (WHERE seen > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 5 MINUTE AND seen <= TIMESTAMP '2024-01-20 12:00:00' AND event_id % 3 = 0) AS duplicates,
+  CASE WHEN duplicates >= 50 THEN 'high' WHEN duplicates >= 10 THEN 'warn' ELSE 'ok' END AS duplicates_band,
+  count(*) FILTER (WHERE seen > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 5 MINUTE AND seen <= TIMESTAMP '2024-01-20 12:00:00' AND rejection_type IS NOT NULL) AS invalid,
+  CASE WHEN invalid >= 100 THEN 'high' WHEN invalid >= 20 THEN 'warn' ELSE 'ok' END AS invalid_band
+FROM (SELECT event_id, rejection_type, TIMESTAMP '2024-01-20 11:55:00' + to_seconds(event_id % 400) AS seen FROM validated)""")
+def fault_bands(spark, sf):
+    at = _ts("2024-01-20 11:55:00") + F.make_interval(secs=(F.col("event_id") % 400).cast("decimal(18,6)"))
+    rows = ingest.validate(t.raw_readings(spark, sf)).withColumn("at", at)
+    repeats = rows.filter("event_id % 3 = 0").select(F.col("at").alias("detected_at"))
+    rejects = rows.filter("rejection_type is not null").select(F.col("at").alias("rejected_at"))
+    return live.count_bands(repeats, rejects, _ts("2024-01-20 12:00:00"))
+
+
+@query(f"""WITH {t.FACTS}, {t.HOMES}
+SELECT postcode_area, tariff_type, count(*) AS readings, max(reading_time) AS newest FROM facts JOIN homes USING (meter_id) GROUP BY ALL""")
+def analyst_sql(spark, sf):
+    """Plain SQL over the views that analysts see."""
+    views.register(spark, {"clean_readings": t.facts(spark, sf), "homes": t.homes(spark, sf)})
+    return spark.sql("SELECT postcode_area, tariff_type, count(*) AS readings, max(reading_time) AS newest FROM clean_readings JOIN homes USING (meter_id) GROUP BY ALL")
+
+
+# Fixtures
+
+
+_FAULTY = f"""mixed AS (SELECT *, {_SPREAD("meter_id || ' ' || strftime(reading_time, '%Y-%m-%d %H:%M')", 20)} AS mix FROM readings),
+sent AS (SELECT meter_id, reading_time, CASE mix WHEN 0 THEN 'invalid_reading_time' WHEN 1 THEN 'missing_kwh' WHEN 2 THEN 'kwh_out_of_range' WHEN 3 THEN 'below_range' END AS fault, kwh FROM mixed WHERE kwh <= 50)"""
+
+
+@query(f"""WITH {t.READINGS}, {_FAULTY}
+SELECT fault, CASE fault WHEN 'below_range' THEN 'kwh_out_of_range' ELSE fault END AS rejection_type, count(*) AS n FROM sent GROUP BY ALL""")
 def fault_fixture(spark, sf):
-    return ingest.validate(deliveries.fault_fixture(spark)).select("meter_id", "rejection_type", "rejection_detail")
+    """What validation finds in readings that were given faults."""
+    return ingest.validate(fixtures.faulty(t.facts(spark, sf))).groupBy("fault", "rejection_type").agg(F.count("*").alias("n"))
+
+
+_REPLAY = f"""slots AS (SELECT *, {BUCKET} AS slot FROM readings WHERE reading_time >= TIMESTAMP '2024-01-10'),
+parts AS (SELECT *, (row_number() OVER (PARTITION BY slot ORDER BY meter_id, reading_time) - 1) // 5 AS part FROM slots),
+replayed AS (
+  SELECT 'replay-' || epoch(slot)::BIGINT || '-' || part AS delivery_id, ((epoch(slot) + 1800 - epoch(TIMESTAMP '2024-01-10')) * 3 / 86400)::DOUBLE AS due_s, count(*) AS n
+  FROM parts GROUP BY slot, part)"""
+
+
+def _replayed(spark, sf):
+    return fixtures.replay(t.readings(spark, sf), _ts("2024-01-10 00:00:00"), 3.0, size=5)
+
+
+@query(f"WITH {t.READINGS}, {_REPLAY} SELECT delivery_id, {ROUND('due_s', 6)} AS due_s, n FROM replayed")
+def replay_deliveries(spark, sf):
+    return _replayed(spark, sf).select("delivery_id", F.round(F.col("due_s").cast("decimal(28,9)"), 6).cast("double").alias("due_s"), F.size("readings").cast("long").alias("n"))
+
+
+@query(f"""WITH {t.READINGS}, {_REPLAY},
+late AS (SELECT *, due_s + CASE WHEN {_SPREAD("'late ' || delivery_id", 10000)} < 200 THEN 3600 ELSE 0 END AS d FROM replayed),
+off AS (SELECT *, CASE WHEN d >= 10 AND d < 20 THEN 20 ELSE d END AS sent_s, {_SPREAD("'again ' || delivery_id", 10000)} < 500 AS again FROM late)
+SELECT delivery_id, {ROUND('sent_s', 6)} AS due_s, attempt FROM off, (SELECT unnest([0, 1]) AS attempt) WHERE attempt = 0 OR again""")
+def disorderly_deliveries(spark, sf):
+    sent = fixtures.disorderly(_replayed(spark, sf), outage=(10, 20))
+    return sent.select("delivery_id", F.round(F.col("due_s").cast("decimal(28,9)"), 6).cast("double").alias("due_s"), "attempt")
+
+
+# The stream and the runs on its tables
+
+
+_SENT = f"""{t.UPDATES},
+target AS (
+  SELECT meter_id, reading_time, kwh, received_at FROM updates WHERE batch % 2 = 0 AND event_id % 17 <> 0
+  QUALIFY row_number() OVER (PARTITION BY meter_id, reading_time ORDER BY received_at DESC NULLS LAST, event_id DESC) = 1),
+incoming AS (
+  SELECT meter_id, reading_time, kwh, received_at FROM updates WHERE batch % 2 = 1 AND event_id % 17 <> 0
+  QUALIFY row_number() OVER (PARTITION BY meter_id, reading_time ORDER BY received_at DESC NULLS LAST, event_id DESC) = 1),
+joined AS (
+  SELECT coalesce(c.meter_id, e.meter_id) AS meter_id, coalesce(c.reading_time, e.reading_time) AS reading_time, c.meter_id IS NOT NULL AS had, c.kwh AS ck, e.kwh AS ek, c.received_at AS cr, e.received_at AS er,
+    e.meter_id IS NOT NULL AND (c.meter_id IS NULL OR coalesce(e.received_at > c.received_at, false) OR (e.received_at IS NOT DISTINCT FROM c.received_at AND e.kwh IS DISTINCT FROM c.kwh)) AS wins
+  FROM target c FULL JOIN incoming e ON c.meter_id = e.meter_id AND c.reading_time = e.reading_time)"""
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def _streamed(spark, sf) -> Store:
+    """Tables of a stream of two batches, even and then odd ones, a tenth of whose deliveries come again in the second."""
+    key = spark.sparkContext.applicationId, sf
+    if key in _STORES:
+        return _STORES[key]
+    own = spark.newSession()
+    for k, v in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.shuffle.partitions", "8")):
+        own.conf.set(k, v)
+    base = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    row = F.struct("event_id", F.struct("meter_id", "household_id", stamp("reading_time"), F.when(F.col("event_id") % 17 == 0, "abc").otherwise(F.col("kwh").cast("string")).alias("kwh"), stamp("received_at")).alias("r"))
+    made = t.updates(own, sf).groupBy("batch", F.floor(F.col("event_id") / 50).alias("d")).agg(F.array_sort(F.collect_list(row)).alias("rs"))
+    made = made.select("batch", "d", F.format_string("d%012d", "d").alias("delivery_id"), F.lit("live").alias("source"), F.lit(None).cast("string").alias("ingest_time"), F.col("rs.r").alias("readings"))
+    dead = own.createDataFrame([("no message",), ("[1]",)], "value string")
+    first = deliveries.to_messages(made.filter("batch % 2 = 0"))
+    second = deliveries.to_messages(made.filter("batch % 2 = 1 or d % 10 = 0")).unionByName(dead)
+    store = Store(own, f"{base}/tables")
+    t0 = store.begin()
+    t0.append("homes", t.homes(own, sf))
+    t0.commit()
+    for messages in (first, second):
+        messages.coalesce(1).write.mode("append").text(f"{base}/in")
+        pipeline.start(deliveries.from_files(own, f"{base}/in", EngineConfig(files_per_trigger=1)), store.base, available_now=True, checkpoint=f"{base}/checkpoint").awaitTermination()
+    _STORES[key] = store
+    return store
+
+
+@query(f"WITH {_SENT} SELECT meter_id, reading_time, CASE WHEN wins THEN ek ELSE ck END AS kwh, CASE WHEN wins THEN er ELSE cr END AS received_at FROM joined")
+def stream_facts(spark, sf):
+    return _streamed(spark, sf).facts().select("meter_id", "reading_time", "kwh", "received_at")
+
+
+@query(f"""WITH {_SENT}, d AS (SELECT event_id // 50 AS d, any_value(batch) AS batch, count(*) AS n FROM updates GROUP BY 1)
+SELECT 'batch_log' AS name, count(*) AS n FROM d UNION ALL SELECT 'batch_duplicates', count(*) FROM d WHERE batch % 2 = 0 AND d % 10 = 0
+UNION ALL SELECT 'dead_letters', 2 UNION ALL SELECT 'rejected_readings', count(*) FROM updates WHERE event_id % 17 = 0
+UNION ALL SELECT 'meter_corrections_log', count(*) FROM joined WHERE wins AND had AND ck IS DISTINCT FROM ek""")
+def stream_audit(spark, sf):
+    store = _streamed(spark, sf)
+    out = None
+    for name in ("batch_log", "batch_duplicates", "dead_letters", "rejected_readings", "meter_corrections_log"):
+        one = store.read(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {t.HOMES}, {_SENT}, facts AS (SELECT meter_id, reading_time, CASE WHEN wins THEN ek ELSE ck END AS kwh FROM joined), {_WINDOWS}
+SELECT * FROM forecasts WHERE window_start = (SELECT max(window_start) FROM windows)""")
+def stream_live_window(spark, sf):
+    return _streamed(spark, sf).read("live_window").drop("updated_at")
+
+
+@query(f"""WITH {t.UPDATES}
+SELECT date_trunc('hour', reading_time) AS ts_hour, 'missing_kwh' AS rejection_reason, count(*) AS count FROM updates WHERE event_id % 17 = 0 GROUP BY 1""")
+def archive_run(spark, sf):
+    """Hourly totals after two runs of the archive, two days on: each reject counts once."""
+    store = _streamed(spark, sf)
+    for _ in range(2):
+        maintenance.run_archive(store, F.current_timestamp() + F.make_interval(days=F.lit(2)))
+    return store.read("rejection_hourly_summary")
+
+
+@query(f"""WITH {t.HOMES}, {_SENT}, facts AS (SELECT meter_id, reading_time, CASE WHEN wins THEN ek ELSE ck END AS kwh FROM joined), {_SILENT}
+SELECT * FROM silent""")
+def silence_run(spark, sf):
+    store = _streamed(spark, sf)
+    maintenance.run_silence(store, _ts(_NOW))
+    return maintenance.latest_silence(store).drop("detected_at")
+
+
+@query(f"""WITH {t.HOMES}, {_SENT}, facts AS (SELECT meter_id, reading_time, CASE WHEN wins THEN ek ELSE ck END AS kwh FROM joined), {_ORPHANS.format('facts')}
+SELECT * FROM orphans""")
+def orphan_run(spark, sf):
+    store = _streamed(spark, sf)
+    maintenance.run_orphans(store)
+    maintenance.run_orphans(store)
+    return store.read("orphan_meters_summary")

@@ -74,13 +74,14 @@ WEATHER = """weather AS (
 
 
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings as text, with each kind of fault in turn."""
+    """Readings as text, with each kind of fault in turn; half of the words `true` are booleans."""
     k = F.col("event_id") % 11
     number = F.col("kwh").cast("string")
     return readings(spark, sf_dir).select(
         "event_id", "meter_id", "household_id", "source", F.lit("d").alias("delivery_id"),
         F.when(k == 2, "not-a-timestamp").otherwise(F.date_format("reading_time", "yyyy-MM-dd'T'HH:mm:ss")).alias("reading_time"),
         F.when(k == 0, F.lit(None)).when(k == 1, "abc").when(k == 3, "NaN").when(k == 4, "true").when(k == 5, F.concat(F.lit("-"), number)).otherwise(number).alias("kwh"),
+        ((k == 4) & (F.col("event_id") % 2 == 0)).alias("kwh_boolean"),
         F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss").alias("received_at"),
     )
 
@@ -94,7 +95,7 @@ raw AS (
               WHEN event_id % 11 = 5 THEN '-' || CAST(kwh AS VARCHAR) ELSE CAST(kwh AS VARCHAR) END AS raw
   FROM readings),
 checked AS (
-  SELECT *, CASE WHEN raw = 'true' THEN 1.0 WHEN raw = 'NaN' THEN 'NaN'::DOUBLE ELSE TRY_CAST(raw AS DOUBLE) END AS kwh FROM raw),
+  SELECT *, CASE WHEN raw = 'true' AND event_id % 2 = 0 THEN 1.0 WHEN raw = 'NaN' THEN 'NaN'::DOUBLE ELSE TRY_CAST(raw AS DOUBLE) END AS kwh FROM raw),
 validated AS (
   SELECT *, CASE WHEN reading_time IS NULL THEN 'invalid_reading_time' WHEN kwh IS NULL THEN 'missing_kwh'
                  WHEN isnan(kwh) OR kwh < 0 OR kwh > 50 THEN 'kwh_out_of_range' END AS rejection_type,

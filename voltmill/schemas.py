@@ -2,9 +2,10 @@
 
 from pyspark.sql.types import StructType
 
-READING = "struct<meter_id:string,household_id:string,reading_time:string,kwh:string,received_at:string>"
+#: The value of a reading comes as it stands in the message, so that null, text, numbers and true stay apart.
+READING = "struct<meter_id:string,household_id:string,reading_time:string,kwh:variant,received_at:string>"
 DELIVERY = f"delivery_id string, source string, ingest_time string, readings array<{READING}>"
-#: Numbers arrive as raw text, so that null, text and numbers stay apart; what does not parse lands in `corrupt`.
+#: What does not parse lands in `corrupt`.
 DELIVERY_WITH_CORRUPT = f"{DELIVERY}, corrupt string"
 
 TABLES = {
@@ -16,6 +17,8 @@ TABLES = {
     "rejection_type string, rejection_detail string, source string, rejected_at timestamp, archived boolean",
     "batch_log": "delivery_id string, source string, received_at timestamp, reading_count int, status string, logged_at timestamp",
     "batch_duplicates": "delivery_id string, detected_at timestamp, source string, reading_count int",
+    "dead_letters": "value string, lane int, seen_at timestamp",
+    "live_window": "window_start timestamp, kwh double, meters long, forecast double, updated_at timestamp",
     "meter_silence_log": "meter_id string, postcode_area string, last_seen timestamp, silent_hours double, detected_at timestamp",
     "orphan_meters_summary": "meter_id string, first_seen timestamp, last_seen timestamp, reading_count long, total_kwh double",
     "meter_lag_stats": "meter_id string, avg_lag_sec double, p95_lag_sec double, max_lag_sec double, updated_at timestamp",

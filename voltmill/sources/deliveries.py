@@ -5,18 +5,28 @@ from pyspark.sql import functions as F
 
 from voltmill.config import DEFAULT, EngineConfig
 
+TOPIC = "readings-raw"
+#: Lanes are partitions of the topic. Live deliveries leave at once, backfill is bulk.
+LIVE, BACKFILL = 0, 1
 
-def from_kafka(spark: SparkSession, servers: str, topic: str = "readings-raw", config: EngineConfig = DEFAULT) -> DataFrame:
+
+def source_options(servers: str, topic: str = TOPIC, config: EngineConfig = DEFAULT) -> dict[str, str]:
+    """Options of the message scan: from the first offset on, a bounded number of messages in a trigger."""
+    return {
+        "kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest",
+        "maxOffsetsPerTrigger": str(config.messages_per_trigger), "failOnDataLoss": "false",
+    }
+
+
+def sink_options(servers: str, lane: int, topic: str = TOPIC) -> dict[str, str]:
+    """Options of the producers of a lane."""
+    own = {"linger.ms": "5", "compression.type": "lz4"} if lane == LIVE else {"linger.ms": "100", "compression.type": "gzip"}
+    return {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "1", "kafka.retries": "5"} | {f"kafka.{k}": v for k, v in own.items()}
+
+
+def from_kafka(spark: SparkSession, servers: str, topic: str = TOPIC, config: EngineConfig = DEFAULT) -> DataFrame:
     """Messages of a topic, its partition being the lane; the connector has to be on the class path."""
-    stream = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .option("startingOffsets", "earliest")
-        .option("maxOffsetsPerTrigger", config.files_per_trigger)
-        .option("failOnDataLoss", "false")
-        .load()
-    )
+    stream = spark.readStream.format("kafka").options(**source_options(servers, topic, config)).load()
     return stream.select(F.col("value").cast("string").alias("value"), F.col("partition").alias("lane"))
 
 
@@ -29,19 +39,7 @@ def to_messages(deliveries: DataFrame) -> DataFrame:
     return deliveries.select(F.to_json(F.struct("delivery_id", "source", "ingest_time", "readings")).alias("value"))
 
 
-def to_kafka(deliveries: DataFrame, servers: str, lane: int, topic: str = "readings-raw") -> None:
-    """Deliveries as messages of one partition of a topic: 0 for live, 1 for backfill."""
-    rows = to_messages(deliveries).withColumn("partition", F.lit(lane))
-    rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.compression.type", "lz4").save()
-
-
-def fault_fixture(spark: SparkSession, rows: int = 12) -> DataFrame:
-    """Readings with each kind of fault in turn: too high, negative, missing value, bad time."""
-    k = F.col("id") % 4
-    return spark.range(rows).select(
-        F.format_string("MAC%06d", "id").alias("meter_id"),
-        F.lit("demo").alias("household_id"),
-        F.when(k == 3, "not-a-timestamp").otherwise("2014-01-13T10:00:00Z").alias("reading_time"),
-        F.when(k == 0, "75.5").when(k == 1, "-3.0").when(k == 3, "1.0").alias("kwh"),
-        F.lit("2014-01-13T10:00:00Z").alias("received_at"),
-    )
+def to_kafka(deliveries: DataFrame, servers: str, lane: int, topic: str = TOPIC) -> None:
+    """Deliveries as messages of one lane, stamped with the time at which they leave where they have none."""
+    stamped = deliveries.withColumn("ingest_time", F.coalesce("ingest_time", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    to_messages(stamped).withColumn("partition", F.lit(lane)).write.format("kafka").options(**sink_options(servers, lane, topic)).save()

@@ -1,98 +1,27 @@
-"""Readers and writers of the engine's tables."""
+"""Pages of an archive, and deliveries made of them."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltmill import schemas
-from voltmill.operators.merge import corrections, merge
-
-
-def read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of the engine; a table that nobody has written yet is empty."""
-    try:
-        return spark.read.schema(schemas.schema(name)).parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schemas.schema(name))
-
-
-def with_month(df: DataFrame, time: str = "reading_time") -> DataFrame:
-    return df.withColumn("month", F.date_format(time, "yyyy-MM"))
-
-
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
-class FactTable:
-    """Readings as Parquet, partitioned by month, one row a key.
-
-    A merge reads and rewrites only the months of its batch. It writes them as a new version and names that version
-    last, so a job that dies leaves the table as it was; there is one writer.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def versions(self) -> DataFrame:
-        """(month, version) in force."""
-        try:
-            log = self.spark.read.schema("month string, version long").json(f"{self.path}/_log")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], "month string, version long")
-        return log.groupBy("month").agg(F.max("version").alias("version"))
-
-    def paths(self, months: list[str] | None = None) -> list[str]:
-        live = self.versions()
-        if months is not None:
-            live = live.filter(F.col("month").isin(months))
-        return [f"{self.path}/v={r['version']}/month={r['month']}" for r in live.collect()]
-
-    def read(self, months: list[str] | None = None) -> DataFrame:
-        """All rows, or those of some months: one folder a month is listed, so other months are never opened."""
-        paths = self.paths(months)
-        schema = schemas.schema("clean_readings")
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def merge(self, batch: DataFrame, order: list[str], now, version: int, audit: str | None = None) -> None:
-        """Merge a batch as a version; a version that is in the log already has been merged, so a replay does nothing."""
-        if not self.versions().filter(F.col("version") == version).isEmpty():
-            return
-        months = [r["month"] for r in with_month(batch).select("month").filter("month is not null").distinct().collect()]
-        if not months:
-            return
-        merged = merge(self.read(months), batch, order, now)
-        merged.persist()
-        try:
-            rows = with_month(merged.select(*schemas.schema("clean_readings").names))
-            rows.repartition("month", F.pmod(F.xxhash64("meter_id"), F.lit(16))).sortWithinPartitions("meter_id", "reading_time").write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/v={version}")
-            if audit:
-                corrections(merged, now).write.mode("overwrite").parquet(f"{audit}/epoch={version}")
-            self.spark.createDataFrame([(m, version) for m in months], "month string, version long").coalesce(1).write.mode("append").json(f"{self.path}/_log")
-        finally:
-            merged.unpersist()
+from voltmill.functions.columns import bucket, content_hash
 
 
 def archive_pages(readings: DataFrame, since, limit: int) -> DataFrame:
     """Readings from `since` in pages of `limit`, by time and meter; page numbers stand for cursors.
 
-    Places are ranks within a day plus the rows of earlier days, so only day counts pass through one task.
+    Places are ranks within a half hour plus the rows of earlier ones, so one task ranks one reading a meter, and only
+    the counts of half hours pass through a single one.
     """
-    rows = readings.filter(F.col("reading_time") >= since).withColumn("day", F.to_date("reading_time"))
-    order = Window.partitionBy("day").orderBy("reading_time", "meter_id", "kwh")
-    days = rows.groupBy("day").agg(F.count("*").alias("n"))
-    before = days.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("day", "before")
-    placed = rows.withColumn("place", F.row_number().over(order)).join(before, "day")
-    return placed.withColumn("page", F.floor((F.col("place") + F.col("before") - 1) / limit)).drop("day", "place", "before")
+    rows = readings.filter(F.col("reading_time") >= since).withColumn("_slot", bucket(F.col("reading_time")))
+    order = Window.partitionBy("_slot").orderBy("reading_time", "meter_id", "kwh")
+    slots = rows.groupBy("_slot").agg(F.count("*").alias("_n"))
+    before = slots.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_slot", "_before")
+    placed = rows.withColumn("_place", F.row_number().over(order)).join(before, "_slot")
+    return placed.withColumn("page", F.floor((F.col("_place") + F.col("_before") - 1) / limit)).drop("_slot", "_place", "_before")
 
 
 def page_deliveries(pages: DataFrame, ingest_time, with_kwh: bool = True) -> DataFrame:
     """A delivery for each page, its id a hash of its content."""
-    from voltmill.functions.columns import content_hash
-
     row = F.struct("meter_id", "household_id", F.col("reading_time").cast("string").alias("reading_time"), F.col("kwh").cast("string").alias("kwh"), F.col("received_at").cast("string").alias("received_at"))
     by = pages.groupBy("page").agg(F.collect_list(row).alias("readings"))
     return by.select(content_hash(F.col("readings"), with_kwh).alias("delivery_id"), F.lit("backfill").alias("source"), ingest_time.alias("ingest_time"), "readings")

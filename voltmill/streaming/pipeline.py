@@ -1,49 +1,148 @@
 """The stream: messages in, merged facts and audit tables out."""
 
+import json
+import logging
+from collections.abc import Iterator
+from datetime import UTC, datetime
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voltmill.config import DEFAULT, EngineConfig
+from voltmill.operators import lag, live
 from voltmill.operators.ingest import flatten, parse_deliveries, split_valid, validate
-from voltmill.sources.tables import FactTable
+from voltmill.sources.store import FACTS, FOLDERS_A_TIER, Store
+
+log = logging.getLogger(__name__)
+
+MARKED = "value string, lane int, arrived_at timestamp, repeat boolean"
 
 
-def deduplicated(messages: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """First sightings of deliveries within the time to live, by ingest time; late corrections are no repeats.
+def arrivals(messages: DataFrame) -> DataFrame:
+    """(value, lane, key, arrived_at) of messages.
 
-    The state store drops ids once the watermark has passed them. Dead messages have no ingest time, so they pass by
-    the state and are counted in the batch.
+    Only the time of arrival counts for repeats, so however late a delivery was made, and whether or not it says so, it
+    is never too late. A delivery without an id goes by its readings, a dead message by its text.
     """
-    parsed = parse_deliveries(messages).filter(~F.col("dead") & F.col("ingest_time").isNotNull())
-    return parsed.withWatermark("ingest_time", f"{config.dedup_ttl_hours} hours").dropDuplicatesWithinWatermark(["delivery_id"])
+    key = (
+        F.when(F.col("dead"), F.concat(F.lit("dead "), F.md5(F.coalesce("value", F.lit("")).cast("binary"))))
+        .when(F.col("delivery_id") == "", F.concat(F.lit("readings "), F.md5(F.to_json("readings").cast("binary"))))
+        .otherwise(F.concat(F.lit("id "), F.col("delivery_id")))
+    )
+    return parse_deliveries(messages).select("value", F.col("lane").cast("int").alias("lane"), key.alias("key"), F.current_timestamp().alias("arrived_at"))
+
+
+def mark_sightings(messages: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Messages with `repeat`: whether their key has passed less than the time to live ago; nothing is dropped.
+
+    The state holds a time for each key and forgets it after the time to live, by the watermark on arrivals. A batch
+    that is replayed has the state it had, so it decides the same.
+    """
+    ttl = config.dedup_ttl_hours * 3_600_000
+
+    def mark(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since = state.get[0] if state.exists else None
+        for rows in batches:
+            at = [int(t.timestamp() * 1000) for t in rows["arrived_at"]]
+            repeat = []
+            for t in at:
+                again = since is not None and t - since < ttl
+                since = since if again else t
+                repeat.append(again)
+            yield rows[["value", "lane", "arrived_at"]].assign(repeat=repeat)
+        state.update((since,))
+        state.setTimeoutTimestamp(since + ttl)
+
+    arrived = arrivals(messages).withWatermark("arrived_at", "1 minute")
+    return arrived.groupBy("key").applyInPandasWithState(mark, MARKED, "since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def write_batch(deliveries: DataFrame, epoch: int, base: str, config: EngineConfig = DEFAULT, now=None) -> None:
-    """One micro-batch: log, rejects and merge. Each output is a folder of its epoch, so a replay writes the same again."""
-    spark = deliveries.sparkSession
-    now = F.current_timestamp() if now is None else now
-    deliveries = deliveries.persist()
+def write_batch(marked: DataFrame, epoch: int, store: Store, stream: str, config: EngineConfig = DEFAULT, now: datetime | None = None) -> None:
+    """One micro-batch of (value, lane, repeat): dead letters, repeats, log, rejects, merge and lag, all seen at once.
+
+    A batch that this stream has finished before does nothing. The lag statistics, and the live window, which follows
+    once the batch is in, are best effort: if they fail the readings stay.
+    """
+    if store.finished(stream, epoch):
+        return
+    at = now or datetime.now(UTC)
+    now = F.lit(at)
+    parsed = parse_deliveries(marked).persist()
+    readings = None
     try:
-        readings = validate(flatten(deliveries), config)
-        valid, rejected = split_valid(readings)
-        deliveries.select("delivery_id", "source", F.col("ingest_time").alias("received_at"), F.size("readings").alias("reading_count"), F.lit("ok").alias("status"), now.alias("logged_at")).write.mode("overwrite").parquet(f"{base}/batch_log/epoch={epoch}")
-        rejected.withColumn("rejected_at", now).withColumn("archived", F.lit(False)).write.mode("overwrite").parquet(f"{base}/rejected_readings/epoch={epoch}")
-        FactTable(spark, f"{base}/clean_readings").merge(valid, ["ingest_time", "delivery_id", "place"], now, epoch, f"{base}/meter_corrections_log")
+        t = store.begin()
+        n = parsed.agg(F.count_if("dead").alias("dead"), F.count_if(~F.col("dead") & F.col("repeat")).alias("repeats"), F.count_if(~F.col("dead") & ~F.col("repeat")).alias("new")).first()
+        if n["dead"]:
+            t.append("dead_letters", parsed.filter("dead").select("value", "lane", now.alias("seen_at")))
+        if n["repeats"]:
+            t.append("batch_duplicates", parsed.filter("not dead and repeat").select("delivery_id", now.alias("detected_at"), "source", F.size("readings").alias("reading_count")))
+        if n["new"]:
+            new = parsed.filter("not dead and not repeat").withColumn("ingest_time", F.coalesce("ingest_time", now))
+            t.append("batch_log", new.select("delivery_id", "source", F.col("ingest_time").alias("received_at"), F.size("readings").alias("reading_count"), F.lit("accepted").alias("status"), now.alias("logged_at")))
+            readings = validate(flatten(new), config).persist()
+            valid, rejected = split_valid(readings)
+            if not rejected.isEmpty():
+                number = F.xxhash64(F.lit(t.id), F.monotonically_increasing_id())
+                t.append("rejected_readings", rejected.withColumns({"id": number, "rejected_at": now, "archived": F.lit(False)}))
+            t.merge(valid, ["ingest_time", "delivery_id", "place"], now)
+            try:
+                t.replace("meter_lag_stats", lag.upsert_lag(store.read("meter_lag_stats"), lag.lag_stats(valid), config.ewma_keep).withColumn("updated_at", now))
+            except Exception:
+                log.exception("epoch %d: lag statistics", epoch)
+        t.commit(stream, epoch)
     finally:
-        deliveries.unpersist()
+        parsed.unpersist()
+        if readings is not None:
+            readings.unpersist()
+    try:
+        if n["new"]:
+            update_live_window(store, at)
+        if epoch % FOLDERS_A_TIER == FOLDERS_A_TIER - 1:
+            store.compact()
+    except Exception:
+        log.exception("epoch %d: live window or compaction", epoch)
+
+
+def update_live_window(store: Store, at: datetime) -> None:
+    """Put the half hour of the newest reading, from merged facts, in place of the last one; only its month is read."""
+    months = store.state()["tables"].get(FACTS, {})
+    if not months:
+        return
+    before = store.read("live_window").agg(F.max("window_start")).first()[0]
+    facts = store.facts([max(months)])
+    if before is not None:
+        facts = facts.filter(F.col("reading_time") >= F.lit(before))
+    window = live.current_window(facts, store.read("homes")).withColumn("updated_at", F.lit(at))
+    t = store.begin()
+    t.replace("live_window", window)
+    t.commit()
+
+
+def start(messages: DataFrame, base: str, config: EngineConfig = DEFAULT, available_now: bool = False, dedup: bool = True, checkpoint: str | None = None) -> StreamingQuery:
+    """Run the stream into the tables under `base`; without dedup the merge alone keeps repeats harmless.
+
+    The stream's id is that of its checkpoint, so one that begins anew is another one.
+    """
+    store = Store(messages.sparkSession, base)
+    checkpoint = checkpoint or f"{base}/_checkpoint"
+    stream = mark_sightings(messages, config) if dedup else arrivals(messages).drop("key").withColumn("repeat", F.lit(False))
 
+    def run(df: DataFrame, epoch: int) -> None:
+        write_batch(df, epoch, store, json.loads(store.files.read(f"{checkpoint}/metadata"))["id"], config)
 
-def start(messages: DataFrame, base: str, config: EngineConfig = DEFAULT, available_now: bool = False, dedup: bool = True) -> StreamingQuery:
-    """Run the stream into tables under `base`; without dedup the merge alone keeps repeats harmless."""
-    stream = deduplicated(messages, config) if dedup else parse_deliveries(messages).filter(~F.col("dead"))
-    writer = stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint").foreachBatch(lambda df, epoch: write_batch(df, epoch, base, config))
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{config.trigger_seconds} seconds")
     return writer.start()
 
 
 def live_counts(messages: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Deliveries of each run without a quiet gap, as a streaming session window."""
-    parsed = parse_deliveries(messages).filter(F.col("ingest_time").isNotNull())
+    """Deliveries of each run without a quiet gap between arrivals, as a streaming session window."""
+    parsed = parse_deliveries(messages).filter("not dead").withColumn("arrived_at", F.current_timestamp())
     gap = f"{config.quiet_gap_minutes} minutes"
-    return parsed.withWatermark("ingest_time", gap).groupBy(F.session_window("ingest_time", gap), "source").count()
+    return parsed.withWatermark("arrived_at", gap).groupBy(F.session_window("arrived_at", gap), "source").count()
