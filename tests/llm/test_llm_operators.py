@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -132,15 +133,16 @@ def test_components(spark, links):
     for _ in root:
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     linked = {i for a, b in links if a != b for i in (a, b)}
-    assert got == {i: root[i] for i in linked}
+    for at_once in (0, 1 << 20):
+        rows = components.components(spark.createDataFrame(links, "a long, b long"), at_once).collect()
+        assert {r["node"]: r["component"] for r in rows} == {i: root[i] for i in linked} and len(rows) == len(linked)
 
 
 def test_a_long_chain_is_one_component(spark):
     ids = list(range(300))
     random.Random(5).shuffle(ids)
-    got = components.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()
+    got = components.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"), 0).collect()
     assert {r["component"] for r in got} == {0} and len(got) == 300
 
 
@@ -324,9 +326,9 @@ def test_best_fit_decreasing(sizes):
 def test_packing_round_trip(spark, sf):
     own = texts(spark, sf)
     encode = packing.Tokenizer(packing.read_ranks(packing.TOKENIZER))
-    for length, block in ((512, 1 << 14), (2048, 1 << 21)):
+    for length, shard, block in ((512, 1 << 16, 1 << 14), (2048, 1 << 23, 1 << 22)):
         parts = defaultdict(list)
-        packs = packing.pack(documents(spark, sf), length=length, block_tokens=block).collect()
+        packs = packing.pack(documents(spark, sf), length=length, shard_bytes=shard, block_tokens=block).collect()
         for r in packs:
             ids = np.frombuffer(r["ids"], "<u2")
             assert len(ids) == length and r["cu_seqlens"][-1] == r["n_tokens"] <= length and (ids[r["n_tokens"] :] == encode.end).all()
@@ -339,6 +341,15 @@ def test_packing_round_trip(spark, sf):
             assert got[-1] == encode.end and encode.encoding.decode(got[:-1]) == t
 
 
+def test_packs_follow_from_the_documents_alone(spark, sf):
+    """However rows are dealt to tasks, packs and their ids are the same; so is the query, which is filled well."""
+    docs = documents(spark, sf)
+    one, other = (sorted(map(str, packing.pack(d, shard_bytes=1 << 16).collect())) for d in (docs.coalesce(1), docs.repartition(7, "text")))
+    assert one == other
+    rows = queries.QUERIES["op4_token_packing"](spark, sf).collect()
+    assert sum(r["n_tokens"] for r in rows) > 0.98 * packing.LENGTH * (len(rows) - 1)
+
+
 def test_packs_are_written(spark, sf, tmp_path):
     packing.write_packs(documents(spark, sf).limit(20), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).columns == [f.name for f in packing.PACK]
@@ -431,6 +442,19 @@ def test_fingerprints_of_edits(spark, sf):
     assert sum(r["near_edited"] > r["near_next"] for r in rows.values()) > 0.95 * len(rows)
 
 
+def test_ranges_of_documents(spark):
+    """Few and many ranges, ids that take up several of them, null ids and repeated rows."""
+    rnd = random.Random(4)
+    data = [(rnd.choice([None, 5, k]), f"text {k} {'x' * rnd.randrange(60)}") for k in range(400)] + [(900, "again")] * 30 + [(3, None), (3, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    one, many = ([tuple(r) for r in fingerprint.with_next(df, range_bytes=b).collect()] for b in (1 << 30, 300))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) == len(data)
+    hashes = df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), F.xxhash64("text").alias("h"), "text").orderBy("i", "h").collect()
+    texts = [r["text"] or "" for r in hashes]
+    expected = Counter(hashlib.sha256(fingerprint.edited(t, texts[(k + 1) % len(texts)]).encode()).hexdigest() for k, t in enumerate(texts))
+    assert Counter(r[2] for r in one) == expected
+
+
 def test_likeness_of_long_repetitive_texts():
     """Half of a text's grams give way to a few others: with counts n and n / 2 likeness is 1 - 1/4 / (1 + 1/4)."""
     for text in ("=" * 100_000, "lorem ipsum dolor sit amet " * 40_000):
@@ -442,14 +466,41 @@ def test_likeness_of_long_repetitive_texts():
 # 8 language
 
 
-def test_profile_ranks_equal_counting():
-    text = "Élan vital, élan! naïve café 12 --- the the the"
-    n = langid.grams(text)
-    p = langid.Profiles({"x": sorted(n, key=lambda g: (-n[g], g))[:50]}, 50)
-    top = p.top(text, p.classes)
-    assert Counter({p.code(g): k for g, k in n.items()}).keys() >= set(top.tolist())
-    assert [n_ for n_ in sorted(n.values(), reverse=True)][: len(top)] == [{p.code(g): k for g, k in n.items()}[c] for c in top.tolist()]
-    assert p.nearest(top)[0] == "x" and p.nearest(top)[1] > 0.7
+def grams_by_force(text):
+    s = "".join(c if c.isalpha() else " " for c in text.lower())
+    n = Counter()
+    for w in s.split():
+        n.update(w)
+        w = f" {w} "
+        n.update(w[k : k + 2] for k in range(len(w) - 1))
+        n.update(w[k : k + 3] for k in range(len(w) - 2))
+    return n
+
+
+def ranked_by_force(n, size):
+    return sorted(n, key=lambda g: (-n[g], len(g), [0 if c == " " else ord(c) for c in g]))[:size]
+
+
+def test_languages_equal_brute_force(spark, sf):
+    """Profiles, ranks and out-of-place distances by loops, for every document and letters that no profile has."""
+    rows = documents(spark, sf).select("doc_id", "text", "lang").collect()
+    learned = defaultdict(Counter)
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["text"] is not None and r["lang"] is not None:
+            learned[r["lang"]] += grams_by_force(r["text"])
+    profiles = {lang: {g: k for k, g in enumerate(ranked_by_force(n, 400))} for lang, n in learned.items()}
+
+    def nearest(text):
+        top = ranked_by_force(grams_by_force(text or ""), 400)
+        far = {lang: sum(min(abs(p[g] - k), 400) if g in p else 400 for k, g in enumerate(top)) for lang, p in sorted(profiles.items())}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        return (best, 1 - far[best] / (400 * len(top))) if top else ("und", 0.0)
+
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.QUERIES["op8_language_id"](spark, sf).collect()}
+    assert got == {r["doc_id"]: nearest(r["text"]) for r in rows}
+    table = langid.letters()
+    for text in ("Élan vital, élan! naïve café 12 --- the the the", "слово за слово", "数学と理科", "ﬁn İx ß", ""):
+        assert sorted(langid.counted(text, table)[1].tolist()) == sorted(grams_by_force(text).values())
 
 
 def test_held_out_languages(spark, sf):
@@ -527,6 +578,15 @@ def test_sketches_and_exact_counts_near_the_threshold(spark):
             assert out[i]["text"] == ("\n".join(t.split("\n")[1:3]) if gone else t)
 
 
+def test_lines_without_broadcast(spark, monkeypatch):
+    """Keys that are too many to broadcast meet the lines by salted joins, with the same result."""
+    data = [(i, f"common\nrare {i}\n" + ("half\n" if i % 2 else ""), f"s{i % 9}") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    one = sorted(map(str, line_dedup.drop_widespread_lines(df, lg_k=4).collect()))
+    monkeypatch.setattr(line_dedup, "measured", lambda keys: keys)
+    assert sorted(map(str, line_dedup.drop_widespread_lines(df, lg_k=4).collect())) == one
+
+
 # the pipeline
 
 
