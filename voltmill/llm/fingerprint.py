@@ -14,6 +14,10 @@ IDENTITY = 16
 #: 32-bit lanes that sketch the paragraphs' 8-byte grams, summed modulo 2^32; gram counts differ by their distance.
 CONTENT = 128
 GRAM = 8
+#: Text of one range of documents in with_next(), and the most ranges, whose ends the driver holds.
+RANGE_BYTES = 8 << 20
+MAX_RANGES = 20_000
+_FIRST = -(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,7 +82,10 @@ RESULT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint strin
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of each row; null and empty texts have the fingerprint of no paragraphs."""
+    """(doc_id, fingerprint) of each row, repeated rows included; null and empty texts have the fingerprint of no paragraphs.
+
+    Whole texts count, of any length; null ids stay null; other columns are ignored; no rows give no rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -89,59 +96,92 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fingerprint string")
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+class Ranges:
+    """Ranges of documents in order of (id, hash of text), from quantiles of the ids.
+
+    An id that takes up several quantiles, as a null id may, is cut by the hash too, so it is no larger a range.
+    """
+
+    def __init__(self, quantiles: list[int]):
+        ids, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        starts = [(int(i), _FIRST + (1 << 64) * j // int(n)) for i, n in zip(ids, times, strict=True) for j in range(int(n))]
+        self.ids = np.array([i for i, _ in starts], np.int64)
+        self.hashes = np.array([h for _, h in starts], np.int64)
+
+    def of(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Number of each row's range: how many ranges begin at it or before."""
+        low, at = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        for k in np.unique(low[at - low > 1]).tolist():
+            rows = np.flatnonzero((low == k) & (at - low > 1))
+            at[rows] = k + np.searchsorted(self.hashes[k : at[rows[0]]], hashes[rows], "right")
+        return at.astype(np.int32)
+
+
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of each text, of its edit by the next document's text, and of their likeness; RESULT has the columns.
 
-    Documents follow each other by doc_id, null first, then by text; after the last comes the first, so a lone document
-    follows itself. Null texts are empty. Repeated rows each give a row; other columns are ignored; no rows give none.
+    Documents follow each other by doc_id, null first, then by a hash of text; after the last comes the first, so a lone
+    document follows itself. Null texts are empty. Repeated rows each give a row; other columns are ignored; no rows
+    give none. Texts are streamed, so only one and its successor are held.
 
-    Texts are dealt once, into ranges of doc_id cut at quantiles of all ids, each range sorted; the first document of a
-    range is dealt to the range before it too, so no task needs another's rows and none gets more than its range.
+    Texts are dealt once, into ranges of about `range_bytes`, or more beyond MAX_RANGES of them, each one task and
+    sorted; the first document of a range is dealt to the range before it too, so no task needs another's rows.
     """
     spark = docs.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
-    narrow = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col(text).alias("_text"))
-    shares = [k / ranges for k in range(1, ranges)]
-    least, cuts = narrow.agg(F.min("_id"), F.percentile_approx("_id", shares, 20 * ranges)).first()
-    if least is None:
+    narrow = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    n, size = narrow.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not n:
         return spark.createDataFrame([], RESULT_DDL)
-    starts = np.array(sorted({x for x in cuts if x > least}), np.int64)
+    wanted = max(1, min(MAX_RANGES, n, -(-size // range_bytes)))
+    shares = [k / wanted for k in range(1, wanted)]
+    ranges = Ranges(narrow.agg(F.percentile_approx("id", shares, 10 * wanted)).first()[0] if shares else [])
+
+    def least(batches):
+        for batch in batches:
+            ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            at = ranges.of(ids, hashes)
+            order = np.lexsort((hashes, ids, at))
+            rows = order[np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))] if len(order) else order
+            yield pa.RecordBatch.from_arrays([pa.array(at[rows]), pa.array(ids[rows]), pa.array(hashes[rows])], ["range", "id", "hash"])
+
+    first = narrow.select("id", "hash").mapInArrow(least, "range int, id long, hash long").groupBy("range").agg(F.min(F.struct("id", "hash")).alias("f"))
+    firsts = sorted((r["range"], r["f"]["id"], r["f"]["hash"]) for r in first.collect())  # a row for each range
+    number = np.array([r for r, _, _ in firsts], np.int32)
+    first_id, first_hash = (np.array([f[k] for f in firsts], np.int64) for k in (1, 2))
 
     def deal(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(starts, ids, "right")
-            first = np.flatnonzero((at > 0) & (ids == starts[np.maximum(at - 1, 0)])) if len(starts) else np.empty(0, np.int64)
-            wraps = np.flatnonzero(ids == least)
+            ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            at = np.searchsorted(number, ranges.of(ids, hashes)).astype(np.int32)
             yield _dealt(batch, at, 0)
-            if len(first):
-                yield _dealt(batch.take(pa.array(first)), at[first] - 1, 1)
-            if len(wraps):
-                yield _dealt(batch.take(pa.array(wraps)), np.full(len(wraps), len(starts)), 2)
-
-    dealt = narrow.mapInArrow(deal, "range int, ahead int, id long, text string")
-    # The range number spreads over as many tasks; rows of one range are neighbours after the sort.
-    ordered = dealt.repartition(ranges, "range").sortWithinPartitions("range", "ahead", "id", "text")
+            rows = np.flatnonzero((ids == first_id[at]) & (hashes == first_hash[at]))
+            rows = rows[np.unique(at[rows], return_index=True)[1]]  # repeated rows are equal, so one is enough
+            if len(rows):
+                before = (at[rows] - 1) % len(number)
+                yield _dealt(batch.take(pa.array(rows)), before.astype(np.int32), 1)
+
+    dealt = narrow.mapInArrow(deal, "range int, ahead int, id long, hash long, text string")
+    ordered = dealt.repartitionById(len(number), "range").sortWithinPartitions("range", "ahead", "id", "hash")
     return ordered.mapInArrow(_compare, RESULT_DDL)
 
 
 def _dealt(batch: pa.RecordBatch, at: np.ndarray, ahead: int) -> pa.RecordBatch:
     n = batch.num_rows
-    return pa.RecordBatch.from_arrays(
-        [pa.array(at.astype(np.int32)), pa.array(np.full(n, ahead, np.int32)), batch.column(0), batch.column(1)], ["range", "ahead", "id", "text"]
-    )
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(n, ahead, np.int32)), *batch.columns], ["range", "ahead", "id", "hash", "text"])
 
 
 def _compare(batches):
     def pairs():
         held = None
         for batch in batches:
-            cols = [batch.column(k) for k in range(4)]
+            cols = [batch.column(k) for k in (0, 1, 2, 4)]
             for at in range(0, batch.num_rows, 256):
                 for where, ahead, i, text in zip(*(c.slice(at, 256).to_pylist() for c in cols), strict=True):
+                    if held and held[0] == where and held[1]:
+                        continue  # another copy of the first row of the next range
                     text = text or ""
                     now = (where, ahead, i, text, of_text(text.encode()))
-                    if held and held[0] == where and not held[1]:
+                    if held and held[0] == where:
                         yield held, now
                     held = now
 
@@ -149,6 +189,6 @@ def _compare(batches):
         for (_, _, i, text, own), (_, _, _, following, other) in pairs():
             changed = edited(text, following).encode()
             f = of_text(changed)
-            yield None if i == -(1 << 63) else i, len(text), hashlib.sha256(changed).hexdigest(), encode(own), encode(f), likeness(own, f), likeness(own, other)
+            yield None if i == _FIRST else i, len(text), hashlib.sha256(changed).hexdigest(), encode(own), encode(f), likeness(own, f), likeness(own, other)
 
     return in_batches(rows(), RESULT, 512)
