@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import durable
+from .text import durable, measured
 
 #: A line on this many sites is boilerplate.
 MIN_SITES = 5
@@ -11,6 +11,8 @@ MIN_SITES = 5
 LG_K = 10
 #: Estimates as many standard errors from the threshold, and at least one site, are counted exactly.
 MARGIN = 4
+#: Parts into which a line's rows are dealt where its hashes meet too many keys to be broadcast.
+SALTS = 64
 
 
 def _lines(text: Column) -> Column:
@@ -26,6 +28,20 @@ def _hashed(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
     return rows.filter(line != "").select("_id", "_version", "_site", "_at", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2"))
 
 
+def _held(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of the lines whose hashes are among the keys, which are written already.
+
+    Keys are broadcast if their measured size allows; else each line is dealt by its document too, so that one which a
+    third of all rows hold is no larger a task than others.
+    """
+    found = measured(keys)
+    if found is not keys:
+        return lines.join(found, ["h1", "h2"], "left_semi")
+    salted = lines.withColumn("_salt", F.pmod(F.xxhash64("_id", "_version", "_at"), F.lit(SALTS)).cast("int"))
+    every = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, ["h1", "h2", "_salt"], "left_semi").drop("_salt")
+
+
 def widespread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """(h1, h2) of lines on at least `min_sites` distinct sites; null is no site.
 
@@ -37,7 +53,7 @@ def widespread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = L
     likely = durable(sketched.filter(F.col("sites") >= min_sites - margin))
     near = likely.filter(F.col("sites") <= min_sites + margin).select("h1", "h2")
     exact = (
-        lines.join(near, ["h1", "h2"], "left_semi").filter("_site is not null").groupBy("h1", "h2", "_site").count()
+        _held(lines.filter("_site is not null"), near).groupBy("h1", "h2", "_site").count()
         .groupBy("h1", "h2").count().filter(F.col("count") >= min_sites).select("h1", "h2")
     )
     return likely.filter(F.col("sites") > min_sites + margin).select("h1", "h2").unionByName(exact)
@@ -54,8 +70,8 @@ def drop_widespread_lines(
     """
     lines = _hashed(docs, doc_id, text, site)
     wide = durable(widespread_lines(lines, min_sites, lg_k))
-    hits = lines.join(wide, ["h1", "h2"], "left_semi").groupBy("_id", "_version").agg(F.array_sort(F.collect_set("_at")).alias("_removed"))
-    hits = hits.withColumnsRenamed({"_id": "_hit_id", "_version": "_hit_version"}).hint("shuffle_hash")
+    hits = _held(lines, wide).groupBy("_id", "_version").agg(F.array_sort(F.collect_set("_at")).alias("_removed"))
+    hits = hits.withColumnsRenamed({"_id": "_hit_id", "_version": "_hit_version"})
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_version"))
     joined = own.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("_version") == F.col("_hit_version")), "left")
     stay = F.filter(_lines(F.col("_text")), lambda _, k: ~F.array_contains("_removed", k))
