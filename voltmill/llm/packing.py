@@ -6,7 +6,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +15,11 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH = 2048
-#: A task packs this many tokens at once, so its memory does not grow with its input.
-BLOCK_TOKENS = 1 << 21
+#: Documents are dealt by a hash to shards of about this many bytes of text; each is packed on its own.
+SHARD_BYTES = 8 << 20
+#: A shard that is larger, as one of a row that is repeated very often, is packed in blocks of about so many tokens.
+BLOCK_TOKENS = 1 << 22
+MAX_TASKS = 20_000
 
 PACK = pa.schema(
     [("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())),
@@ -100,8 +102,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def pack(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS
-) -> DataFrame:
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, length: int = LENGTH,
+    shard_bytes: int = SHARD_BYTES, block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
     """One row for each packed row of `length` ids.
 
     ids: the row's token ids, little-endian, two bytes each (four if the vocabulary needs them), padded with the end
@@ -110,42 +113,51 @@ def pack(
 
     Every document ends with the end id; a null or empty text is that id alone, repeated rows each give their segments,
     a longer document than `length` is cut into segments that doc_starts put together again, and no token is lost. A
-    null id stays null; other columns are ignored; no rows give no rows. Tasks pack what they read, without a shuffle,
-    `block_tokens` at a time; one very long text is held whole.
+    null id stays null; other columns are ignored; no rows give no rows.
+
+    A hash of id and text deals documents to shards, as many as the bytes of all texts ask for, and a shard is packed in
+    order of id: the packs and their ids follow from the documents alone, however files and tasks are cut. One very long
+    text is held whole.
     """
     ranks = read_ranks(tokenizer)  # the vocabulary file is read here and sent, about 1 MB
 
     def run(batches):
         encode = Tokenizer(ranks)
-        part = TaskContext.get().partitionId()
-        n = 0
 
         def blocks():
-            held, tokens = [], 0
-            for i, value in rows(batches):
+            held, tokens, now = [], 0, None
+            for shard, i, _, value in rows(batches):
+                if held and (shard != now or tokens >= block_tokens):
+                    yield now, held
+                    held, tokens = [], 0
+                now = shard
                 ids = encode((value or b"").decode())
                 held.append((i, ids))
                 tokens += len(ids)
-                if tokens >= block_tokens:
-                    yield held
-                    held, tokens = [], 0
             if held:
-                yield held
+                yield now, held
 
         def packed():
-            nonlocal n
-            for block in blocks():
+            now, n = None, 0
+            for shard, block in blocks():
+                n = n if shard == now else 0
+                now = shard
                 for row in pack_block(block, length, encode.end):
-                    yield (part << 36) + n, *row
+                    yield (shard << 32) + n, *row
                     n += 1
 
         return in_batches(packed(), PACK, 512)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PACK_DDL)
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = narrow.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard")
+    dealt = narrow.select(shard, "doc_id", F.xxhash64("text").alias("hash"), "text").repartitionById(min(shards, MAX_TASKS), (F.col("shard") % MAX_TASKS).cast("int"))
+    return dealt.sortWithinPartitions("shard", "doc_id", "hash").mapInArrow(run, PACK_DDL)
 
 
 def write_packs(docs: DataFrame, path: str, **options) -> None:
-    """Packed rows as Parquet files, the id matrix as one binary column of equal lengths."""
+    """Packed rows of pack() as Parquet files, the id matrix as one binary column of equal lengths; no rows give an empty table."""
     pack(docs, **options).write.mode("overwrite").parquet(path)
 
 
