@@ -1,6 +1,5 @@
 """Language identification by rank-order n-gram profiles and their out-of-place distance."""
 
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,71 +18,53 @@ UNKNOWN = "und"
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+#: Code points are the digits of an n-gram's code, with a blank as 0.
+_BASE = 0x110001
+
+
 def letters() -> np.ndarray:
-    """For each code point, whether it is a letter."""
-    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+    """For each code point, itself if it is a letter, else 0."""
+    return np.fromiter((k if chr(k).isalpha() else 0 for k in range(0x110000)), np.int64, 0x110000)
 
 
-def grams(text: str) -> Counter:
-    """1- to 3-grams of the words' letters in lower case; a word's ends count as one blank each."""
-    n: Counter = Counter()
-    s = "".join(c if c.isalpha() else " " for c in text.lower())
-    s = f" {' '.join(s.split())} "
-    n.update(c for c in s if c != " ")
-    n.update(a + b for a, b in zip(s, s[1:]))
-    n.update(a + b + c for a, b, c in zip(s, s[1:], s[2:]) if b != " ")
-    return n
+def counted(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and numbers of the distinct 1- to 3-grams of the words' letters in lower case, in order of code.
+
+    A word's ends count as one blank each. Codes are in order of length, then of code points, and no two n-grams share
+    one, whatever letters they are made of.
+    """
+    s = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    s = np.concatenate(([0], s, [0]))
+    s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
+    if len(s) < 3:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    two = s[:-1] * _BASE + s[1:]
+    three = (two[:-1] * _BASE + s[2:])[s[1:-1] != 0]
+    codes = np.concatenate((s[s != 0], two + _BASE, three + (_BASE + _BASE * _BASE)))
+    codes.sort()
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.diff(np.append(first, len(codes)))
 
 
 @dataclass
 class Profiles:
-    """Ranks of each language's most frequent n-grams, coded as integers over the letters that occur in them."""
+    """Ranks of each language's most frequent n-grams, given as their codes from the most frequent on."""
 
-    ranked: dict[str, list[str]]
+    ranked: dict[str, list[int]]
     size: int = PROFILE
     langs: list[str] = field(init=False)
 
     def __post_init__(self):
         self.langs = sorted(self.ranked)
-        alphabet = sorted({c for gs in self.ranked.values() for g in gs for c in g} - {" "})
-        self.base = len(alphabet) + 2  # 0: blank; the last: letters in no profile
-        self.id = {c: k + 1 for k, c in enumerate(alphabet)} | {" ": 0}
-        found = sorted({self.code(g) for gs in self.ranked.values() for g in gs})
-        self.codes = np.array(found, np.int64)
-        self.ranks = np.full((len(found) + 1, len(self.langs)), -1, np.int64)
-        at = {c: k for k, c in enumerate(found)}
+        self.codes = np.array(sorted({c for own in self.ranked.values() for c in own}), np.int64)
+        self.ranks = np.full((len(self.codes) + 1, len(self.langs)), -1, np.int64)
         for k, lang in enumerate(self.langs):
-            for rank, g in enumerate(self.ranked[lang]):
-                self.ranks[at[self.code(g)], k] = rank
-
-    def code(self, gram: str) -> int:
-        b, out = self.base, 0
-        for c in gram:
-            out = out * b + self.id[c]
-        return out + (0, 0, b, b + b * b)[len(gram)]
-
-    @property
-    def classes(self) -> np.ndarray:
-        out = np.where(letters(), self.base - 1, 0).astype(np.int32)
-        for c, k in self.id.items():
-            out[ord(c)] = k
-        return out
-
-    def top(self, text: str, classes: np.ndarray) -> np.ndarray:
-        """Codes of the text's most frequent n-grams, in order of count, then of code."""
-        s = classes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        s = np.concatenate(([0], s, [0])).astype(np.int64 if self.base > 1200 else np.int32)
-        s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
-        if len(s) < 3:
-            return np.empty(0, np.int64)
-        b = self.base
-        two = s[:-1] * b + s[1:]
-        three = (two[:-1] * b + s[2:])[s[1:-1] != 0]
-        codes = np.concatenate((s[s != 0], two + b, three + (b + b * b)))
-        codes.sort()
-        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-        n = np.diff(np.append(first, len(codes))).astype(np.int64)
-        found = codes[first].astype(np.int64)
+            own = np.array(self.ranked[lang], np.int64)
+            self.ranks[np.searchsorted(self.codes, own), k] = np.arange(len(own))
+
+    def top(self, text: str, table: np.ndarray) -> np.ndarray:
+        """Codes of the text's most frequent n-grams, by number, then code, as profiles are ranked."""
+        found, n = counted(text, table)
         if len(found) > self.size:
             least = -np.partition(-n, self.size - 1)[self.size - 1]
             found, n = found[n >= least], n[n >= least]
@@ -107,7 +88,8 @@ def learn_profiles(
 ) -> Profiles:
     """Profiles from rows with a text and a lang, at most about `max_docs` of each language, chosen by a hash of doc_id.
 
-    Only the profiles reach the driver: `size` n-grams a language. Equal counts rank by the n-gram's code points.
+    Only the profiles reach the driver: `size` n-grams a language. Equal counts rank by code, as in texts. Repeated rows
+    count each; null texts and langs teach nothing; without rows nothing is learned.
     """
     rows = docs.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in docs.select(F.col(lang).cast("string").alias("lang")).filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -117,19 +99,21 @@ def learn_profiles(
         rows = rows.filter(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30))
 
     def count(rows):
-        by: dict[str, Counter] = {}
+        table, by = letters(), {}
         for value, of in rows:
-            by.setdefault(of.decode(), Counter()).update(grams(value.decode()))
+            n = by.setdefault(of, {})
+            for code, k in zip(*(x.tolist() for x in counted(value.decode(), table)), strict=True):
+                n[code] = n.get(code, 0) + k
         for of, n in by.items():
-            for g, k in n.items():
-                yield of, g, k
+            for code, k in n.items():
+                yield of.decode(), code, k
 
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
-    counted = rows.select("text", "lang").mapInArrow(per_row(count, schema, 20_000), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= size)
-    ranked: dict[str, list[str]] = {}
+    schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
+    numbers = rows.select("text", "lang").mapInArrow(per_row(count, schema, 20_000), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    best = numbers.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("rank") <= size)
+    ranked: dict[str, list[int]] = {}
     for r in best.orderBy("lang", "rank").collect():
-        ranked.setdefault(r["lang"], []).append(r["gram"])
+        ranked.setdefault(r["lang"], []).append(r["code"])
     return Profiles(ranked, size)
 
 
@@ -141,9 +125,9 @@ def identify(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text:
     """
 
     def score(rows):
-        classes = profiles.classes
+        table = letters()
         for i, value in rows:
-            yield i, *profiles.nearest(profiles.top(value.decode(), classes) if value else ())
+            yield i, *profiles.nearest(profiles.top(value.decode(), table) if value else ())
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(per_row(score, SCORED), "doc_id long, lang_pred string, score double")
