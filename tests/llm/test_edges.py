@@ -93,3 +93,27 @@ def test_contamination_is_of_rows_whatever_their_ids(spark):
         kept = decontam.drop_contaminated(df, bench, piece_bytes=size)
         assert kept.columns == df.columns
         assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, "nothing at all in it"), (1, "all of it is clean"), (2, "")]
+
+
+def test_stages_of_the_pipeline(spark, docs, bench, labels, tmp_path):
+    """Every stage, and the whole, on odd rows and on none; all but the last keep the columns."""
+    import corpus_pipeline as c
+
+    for rows, sf in ((docs, tmp_path / "odd"), (docs.limit(0), tmp_path / "none")):
+        for name, df in (("documents", rows), ("benchmark", bench), ("labels", labels)):
+            df.write.parquet(f"{sf}/{name}.parquet")
+        for name, stage in c.STAGES:
+            out = stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), str(sf))
+            assert out.count() <= 3 * rows.count(), name
+            assert name == "packing" or out.columns == docs.columns, name
+        assert (c.run(spark, str(sf)).count() > 0) == (rows.count() > 0)
+
+
+def test_decisions_are_of_rows(spark, docs, labels):
+    """What the stages drop: a near copy by its id, others by their own text."""
+    kept = sorted(r["doc_id"] or -1 for r in neardup.drop_near_duplicates(docs).collect())
+    assert kept == [-1, 1, 1, 2, 3, 4, 5, 6]  # 7 has the text of 1
+    taken = {r["doc_id"] for r in mixing.take(docs).collect()}
+    assert not taken & {2, 3, 5}  # no words
+    same = toxicity.drop_toxic(docs, labels, threshold=2.0)
+    assert same.count() == docs.count() and toxicity.drop_toxic(docs, labels, threshold=-1.0).count() == 0

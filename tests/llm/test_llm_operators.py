@@ -12,7 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voltmill.llm import components, decontam, fingerprint, langid, license_scan, line_dedup, mixing, neardup, packing, queries, secrets, toxicity
+from voltmill.llm import components, decontam, fingerprint, langid, license_scan, line_dedup, mixing, neardup, packing, queries, secrets, text, toxicity
 from voltmill.llm.text import documents
 
 ANY = settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
@@ -583,7 +583,7 @@ def test_lines_without_broadcast(spark, monkeypatch):
     data = [(i, f"common\nrare {i}\n" + ("half\n" if i % 2 else ""), f"s{i % 9}") for i in range(300)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     one = sorted(map(str, line_dedup.drop_widespread_lines(df, lg_k=4).collect()))
-    monkeypatch.setattr(line_dedup, "measured", lambda keys: keys)
+    monkeypatch.setattr(text, "measured", lambda keys: keys)
     assert sorted(map(str, line_dedup.drop_widespread_lines(df, lg_k=4).collect())) == one
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import durable, measured
+from .text import durable, join_spread
 
 #: A line on this many sites is boilerplate.
 MIN_SITES = 5
@@ -11,9 +11,6 @@ MIN_SITES = 5
 LG_K = 10
 #: Estimates as many standard errors from the threshold, and at least one site, are counted exactly.
 MARGIN = 4
-#: Parts into which a line's rows are dealt where its hashes meet too many keys to be broadcast.
-SALTS = 64
-
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -29,17 +26,8 @@ def _hashed(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
 
 
 def _held(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of the lines whose hashes are among the keys, which are written already.
-
-    Keys are broadcast if their measured size allows; else each line is dealt by its document too, so that one which a
-    third of all rows hold is no larger a task than others.
-    """
-    found = measured(keys)
-    if found is not keys:
-        return lines.join(found, ["h1", "h2"], "left_semi")
-    salted = lines.withColumn("_salt", F.pmod(F.xxhash64("_id", "_version", "_at"), F.lit(SALTS)).cast("int"))
-    every = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(every, ["h1", "h2", "_salt"], "left_semi").drop("_salt")
+    """Rows of the lines whose hashes are among the keys; a line that many documents hold is no larger a task."""
+    return join_spread(lines, keys, ["h1", "h2"], ["_id", "_version", "_at"], "left_semi")
 
 
 def widespread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:

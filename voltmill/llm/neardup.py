@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import durable, in_batches, measured, per_row, whole_rows
+from .text import durable, in_batches, join_spread, measured, per_row, whole_rows
 
 WORDS = 5
 PERCENT = 80
@@ -427,7 +427,7 @@ def _exact_links(narrow: DataFrame, split: DataFrame, labels: DataFrame, words:
     tally[counted.column("k").to_numpy()] = counted.column("n").to_numpy()
     tokens = durable(sets.mapInArrow(_prefixes(tally, percent), "token long, doc long").join(docs, "doc").select("token", "doc", "comp").distinct())
     shared = tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("doc").alias("first")).filter("x < y").select("token", "first")
-    stars = tokens.join(shared, "token").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    stars = join_spread(tokens, durable(shared), ["token"], ["doc"]).select(F.col("doc").alias("a"), F.col("first").alias("b"))
     family = components(stars).withColumnsRenamed({"node": "doc", "component": "family"})
     members = durable(family.join(docs, "doc"))
     if members.isEmpty():

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltmill.sources.store import shared_folder
+
 #: A-Z to a-z; digits, letters and every byte of a non-ASCII character stay; the rest is a blank.
 WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -96,12 +98,22 @@ def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, on one machine as in tests, a folder beside the warehouse."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return at or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+#: Parts into which rows of one key are dealt where a table of keys is too large to be broadcast.
+SALTS = 64
+
+
+def join_spread(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined with a written table that has each key once, however many rows have one key.
+
+    Keys are broadcast if their measured size allows; else rows are dealt by the columns `by` too, so that a key which a
+    third of all rows have is no larger a task than others.
+    """
+    found = measured(keys)
+    if found is not keys:
+        return rows.join(found, on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    every = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [*on, "_salt"], how).drop("_salt")
 
 
 def durable(df: DataFrame) -> DataFrame:
