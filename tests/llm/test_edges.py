@@ -104,7 +104,7 @@ def test_stages_of_the_pipeline(spark, docs, bench, labels, tmp_path):
             df.write.parquet(f"{sf}/{name}.parquet")
         for name, stage in c.STAGES:
             out = stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), str(sf))
-            assert out.count() <= 3 * rows.count(), name
+            assert name == "packing" or out.count() <= 3 * rows.count(), name
             assert name == "packing" or out.columns == docs.columns, name
         assert (c.run(spark, str(sf)).count() > 0) == (rows.count() > 0)
 

@@ -358,14 +358,59 @@ def test_packs_are_written(spark, sf, tmp_path):
 # 5 toxicity
 
 
-def test_pairs_of_terms_count():
-    """One term matters only beside another: an additive model cannot tell, the machine does."""
-    rnd = np.random.default_rng(4)
-    x = (rnd.random((1500, 12)) < 0.5).astype(np.float32)
-    y = (x[:, 0] * x[:, 1] == 1).astype(np.float32)
-    m = toxicity.fit(x, y, np.arange(12, dtype=np.int32), steps=400)
-    s = np.array([m.score(np.flatnonzero(r).tolist()) for r in x])
-    assert ((s >= 0.5) == (y == 1)).mean() > 0.97
+def made_words(rnd, n):
+    return ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(n)]
+
+
+def test_pairs_of_terms_count(spark):
+    """Toxic is what holds an insult and a mention; most insults and most mentions stand alone. Out of 4000 other words."""
+    rnd = random.Random(3)
+    plain, insults, mentions = made_words(rnd, 4000), made_words(rnd, 5), made_words(rnd, 5)
+    data = []
+    for i in range(6000):
+        w, k = rnd.choices(plain, k=60), i % 10
+        w += [rnd.choice(insults)] * (k < 5) + [rnd.choice(mentions)] * (k < 2 or 5 <= k < 8)
+        data.append((i, " ".join(rnd.sample(w, len(w))), int(k < 2)))
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.hold_out(df.drop("toxic"), df.select("doc_id", "toxic")).collect()}
+    held = [(out[i]["predicted"], y) for i, _, y in data if out[i]["held_out"]]
+    assert sum(p for p, y in held if y) >= 0.95 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.01 * len(held)
+
+
+@QUIET
+@given(st.lists(st.lists(st.integers(0, 9), max_size=8, unique=True), min_size=2, max_size=30), st.randoms())
+def test_scores_are_sums_over_pairs(rows, rnd):
+    """The score of a row is the logistic of bias, weights and products of all pairs; terms that are kept are the ones that count."""
+    starts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+    y = np.array([rnd.randrange(2) for _ in rows], np.float32)
+    m = toxicity.fit(starts, np.array([t for r in rows for t in r], np.int32), y, epochs=3)
+    for r in rows:
+        found = [m.at[t] for t in r if t in m.at]
+        z = m.bias + sum(m.w[k] for k in found) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(found, 2))
+        assert abs(m.score(found) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_few_terms_teach_too(spark, sf):
+    """With a bound on terms fewer rows teach the machine, the same on every run."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    one, two = (toxicity.learn(documents(spark, sf), labels, max_terms=3000) for _ in range(2))
+    assert (one.term == two.term).all() and (one.w == two.w).all() and one.bias == two.bias
+
+
+def test_toxicity_query_equals_brute_force(spark, sf):
+    """Whole texts, terms and pairs by loops over the learned machine."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    train = labels.filter("crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1")
+    m = toxicity.learn(documents(spark, sf), train)
+    weight, vector = ({int(t): x for t, x in zip(m.term, xs)} for xs in (m.w, m.v))
+    own = texts(spark, sf)
+    for r in queries.QUERIES["op5_toxicity"](spark, sf).collect():
+        words = set(re.findall("[^\x00-\x60\x7b-\x7f]+", own[r["doc_id"]].lower()))
+        found = {t for w in words for t in toxicity.terms(w.encode()) if t in weight}
+        total = sum((vector[t] for t in found), np.zeros(toxicity.RANK))
+        z = m.bias + sum(weight[t] for t in found) + (total @ total - sum(vector[t] @ vector[t] for t in found)) / 2
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9 and r["predicted"] == (r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
 
 
 def test_held_out_toxicity(spark):

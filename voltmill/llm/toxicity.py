@@ -13,10 +13,13 @@ from .text import durable, fold_of, per_row
 HASH_BITS = 20
 #: Labelled rows that teach the model at most; more are sampled by a hash of doc_id.
 MAX_TRAIN_ROWS = 16_000
-#: Hashed terms that the model keeps: those that tell the labels apart best in the training rows, by chi square.
-MAX_TERMS = 1024
+#: Terms of all these rows together at most; with more, which very long texts have, fewer rows teach it.
+MAX_TRAIN_TERMS = 20_000_000
 RANK = 8
 THRESHOLD = 0.7
+#: A term counts fully from this chi square of its labels on, or if it is in this share of the training rows; others
+#: count less, down to the least share, as one that is rare and as often in either label has nothing to say yet.
+SURE, COMMON, LEAST = 25.0, 0.2, 0.02
 #: Words remembered with their terms in each worker.
 CACHE_WORDS = 500_000
 
@@ -54,46 +57,101 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, term: np.ndarray, rank: int = RANK, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> FactorizationMachine:
-    """Logistic loss by Adam over all rows; the start is a fixed seed, so reruns agree."""
-    n, m = x.shape
+class _Batch:
+    """Some training rows: their distinct terms, and for each of their terms which of these, and which row, it is."""
+
+    def __init__(self, rows: np.ndarray, starts: np.ndarray, at: np.ndarray):
+        n = np.diff(starts)[rows]
+        self.rows, n = rows[n > 0], n[n > 0]
+        found = np.concatenate([at[starts[r] : starts[r + 1]] for r in self.rows]) if len(self.rows) else np.empty(0, np.int64)
+        self.terms, place = np.unique(found, return_inverse=True)
+        self.place, self.row = place.astype(np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.first = np.cumsum(n) - n
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[self.place], self.first, axis=0)
+
+    def by_term(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, weights=x[self.row], minlength=len(self.terms)).astype(np.float32)
+
+
+def fit(
+    starts: np.ndarray, term: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = 12, rate: float = 0.05, size: int = 256,
+    shrink_w: float = 1e-3, shrink_v: float = 1e-4, spread: float = 0.01,
+) -> FactorizationMachine:
+    """Logistic loss over rows of terms, those of row k from starts[k] on; every term has its weight and its vector.
+
+    Proximal AdaGrad over batches, whose order and start follow from a fixed seed, so reruns agree. Every step shrinks
+    weights and vectors towards nothing, also those whose terms are not in its batch, when they come up next; in the end
+    only terms that are something are kept. Labels are weighted half way to balance.
+    """
+    known, at = np.unique(term, return_inverse=True)
+    m, n, rng = len(known), len(y), np.random.default_rng(7)
     share = float(y.mean()) if n else 0.0
     bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    p = np.concatenate((np.full((1, rank + 1), 0.0), np.concatenate((np.zeros((m, 1)), np.random.default_rng(7).normal(0, 0.05, (m, rank))), 1))).astype(np.float32)
-    p[0, 0] = bias
-    mean, square = np.zeros_like(p), np.zeros_like(p)
-    weight = np.where(y == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) if 0 < share < 1 else np.ones(n)
-    weight = np.sqrt(weight).astype(np.float32)  # half way to balanced labels
-    for k in range(1, steps + 1 if n and m else 0):
-        w, v = p[1:, 0], p[1:, 1:]
-        xv = x @ v
-        z = p[0, 0] + x @ w + ((xv**2).sum(1) - x @ (v**2).sum(1)) / 2
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / n
-        xg = g @ x
-        grad = np.empty_like(p)
-        grad[0], grad[0, 0] = 0, g.sum()
-        grad[1:, 0] = xg + decay * w
-        grad[1:, 1:] = x.T @ (g[:, None] * xv) - xg[:, None] * v + decay * v
-        mean = 0.9 * mean + 0.1 * grad
-        square = 0.999 * square + 0.001 * grad**2
-        p = p - rate * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.999**k)) + 1e-8)
-    return FactorizationMachine(term, float(p[0, 0]), p[1:, 0].astype(float), p[1:, 1:].astype(float))
+    if not m or share in (0.0, 1.0):
+        return FactorizationMachine(known[:0], bias, np.empty(0), np.empty((0, rank)))
+    weight = np.sqrt(np.where(y == 1, 0.5 / share, 0.5 / (1 - share))).astype(np.float32)
+    a, b = np.bincount(at, minlength=m), np.bincount(at, weights=np.repeat(y, np.diff(starts)), minlength=m)
+    chi = (b - a * share) ** 2 / (a * share * (1 - share) * (1 - a / (n + 1)) + 1e-9)
+    scale = np.maximum(np.maximum(np.minimum(1, chi / SURE) ** 2, np.minimum(1, a / (COMMON * n))), LEAST).astype(np.float32)
+    w, v = np.zeros(m, np.float32), rng.normal(0, spread, (m, rank)).astype(np.float32)
+    slope_w, slope_v, slope_b = np.full(m, 1e-6, np.float32), np.full(m, 1e-6, np.float32), 1e-6
+    seen, step = np.zeros(m, np.int32), 0
+
+    def shrink(t: np.ndarray) -> None:
+        k = (step - seen[t]).astype(np.float32)
+        w[t] = np.sign(w[t]) * np.maximum(np.abs(w[t]) - k * rate * shrink_w / np.sqrt(slope_w[t]), 0)
+        length = np.sqrt((v[t] ** 2).sum(1)) + 1e-12
+        v[t] *= np.maximum(1 - k * rate * shrink_v / np.sqrt(slope_v[t]) / length, 0)[:, None]
+        seen[t] = step
+
+    order = rng.permutation(n)
+    batches = [_Batch(order[k : k + size], starts, at) for k in range(0, n, size)]
+    for _ in range(epochs):
+        for k in rng.permutation(len(batches)):
+            own = batches[k]
+            step += 1
+            if not len(own.rows):
+                continue
+            t = own.terms
+            if step > len(batches):
+                shrink(t)
+            seen[t] = step
+            s = scale[t]
+            ws, vs = w[t] * s, v[t] * s[:, None]
+            sums = own.by_row(vs)
+            z = bias + own.by_row(ws) + ((sums**2).sum(1) - own.by_row((vs**2).sum(1))) / 2
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own.rows]) * weight[own.rows] / len(own.rows)).astype(np.float32)
+            down = own.by_term(g)
+            dw = down * s
+            dv = (np.stack([own.by_term(g * sums[:, j]) for j in range(rank)], 1) - down[:, None] * vs) * s[:, None]
+            slope_w[t] += dw**2
+            slope_v[t] += (dv**2).mean(1)
+            slope_b += float(g.sum()) ** 2
+            w[t] -= rate * dw / np.sqrt(slope_w[t])
+            v[t] -= rate * dv / np.sqrt(slope_v[t])[:, None]
+            bias -= rate * float(g.sum()) / np.sqrt(slope_b)
+    shrink(np.arange(m))
+    kept = np.flatnonzero((w != 0) | (v != 0).any(1))
+    return FactorizationMachine(known[kept], bias, (w * scale)[kept].astype(float), (v * scale[:, None])[kept].astype(float))
 
 
 def learn(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-    max_rows: int = MAX_TRAIN_ROWS, max_terms: int = MAX_TERMS,
+    max_rows: int = MAX_TRAIN_ROWS, max_terms: int = MAX_TRAIN_TERMS,
 ) -> FactorizationMachine:
     """A machine from the rows of `docs` that `labels` marks.
 
-    At most about `max_rows` labelled rows, chosen by a hash of doc_id, teach it; null labels and ids are left out. The
-    driver gets at most `max_terms` terms and, for each such row, which of them it has. Without labelled rows, or with
-    one label only, every score is the labels' share.
+    At most about `max_rows` labelled rows of `max_terms` terms in all, chosen by a hash of doc_id, teach it, and the
+    driver holds their terms as numbers; no term is left out. Null labels and ids teach nothing; of several labels of
+    one id the greatest counts. Without labelled rows, or with one label only, every score is the labels' share.
     """
     marked = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y is not null")
     n = marked.count()
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
     if n > max_rows:
-        marked = marked.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+        marked = marked.filter(place < int((1 << 30) * max_rows / n))
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))  # at most about max_rows rows of 12 bytes
     text_of = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     rows = text_of.join(F.broadcast(marked), "_id").select("_id", "_text", "_y")
@@ -108,19 +166,14 @@ def learn(
 
     schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("terms", pa.list_(pa.int32()))])
     seen = durable(rows.mapInArrow(per_row(extract, schema, 256), "id long, y int, terms array<int>"))
-    total, positive = seen.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    by = seen.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("a"), F.sum("y").alias("b"))
-    expected = F.col("a") * (positive / max(total, 1))
-    chi = (F.col("b") - expected) ** 2 / (expected * (1 - positive / max(total, 1)) * (1 - F.col("a") / (total + 1)) + 1e-9)
-    best = by.filter("a >= 3").select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(max_terms)
-    term = np.array(sorted(r["term"] for r in best.collect()), np.int32)
-    keep = F.array_intersect("terms", F.lit(term.tolist()).cast("array<int>"))
-    got = seen.select("id", "y", keep.alias("terms")).orderBy("id", "y").toArrow()  # arrays, not objects
+    many = seen.agg(F.sum(F.size("terms").cast("long"))).first()[0] or 0
+    if many > max_terms:
+        rate = max_terms / many * min(1.0, max_rows / max(n, 1))
+        seen = seen.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * rate))
+    got = seen.orderBy("id", "y").toArrow()  # arrays, not objects
     lists = got.column("terms").combine_chunks()
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    x = np.zeros((len(lists), len(term)), np.float32)
-    x[row, np.searchsorted(term, lists.flatten().to_numpy(zero_copy_only=False))] = 1
-    return fit(x, got.column("y").to_numpy().astype(np.float32), term)
+    starts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return fit(starts, lists.flatten().to_numpy(zero_copy_only=False), got.column("y").to_numpy().astype(np.float32))
 
 
 class Scorer:
@@ -151,8 +204,8 @@ class Scorer:
 def score(docs: DataFrame, model: FactorizationMachine, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of each row, repeated rows included.
 
-    Null and empty texts have no terms and get the score of the bias alone. Whole texts count, of any length; other
-    columns are ignored; no rows give no rows.
+    Null and empty texts have no terms and get the score of the bias alone. Whole texts count, of any length; null ids
+    stay null; other columns are ignored; no rows give no rows.
     """
 
     def run(rows):
@@ -173,7 +226,11 @@ def hold_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of `docs`, all columns kept, whose score is below the threshold; the model learns as in hold_out()."""
+    """Rows of `docs`, all columns kept, whose score is below the threshold; the model learns as in hold_out().
+
+    Each row is judged by its own text: repeated rows stay or go together, whatever their ids; null and empty texts are
+    scored as any other; no rows give no rows.
+    """
     model = learn(docs, labels.filter(fold_of(doc_id, 3) != 1), doc_id, text)
 
     def keep(batches):
