@@ -385,8 +385,8 @@ def test_scores_are_sums_over_pairs(rows, rnd):
     y = np.array([rnd.randrange(2) for _ in rows], np.float32)
     m = toxicity.fit(starts, np.array([t for r in rows for t in r], np.int32), y, epochs=3)
     for r in rows:
-        found = [m.at[t] for t in r if t in m.at]
-        z = m.bias + sum(m.w[k] for k in found) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(found, 2))
+        found = np.array([m.at[t] for t in r if t in m.at], np.int64)
+        z = m.bias + sum(m.w[k] for k in found) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(found.tolist(), 2))
         assert abs(m.score(found) - 1 / (1 + np.exp(-z))) < 1e-9
 
 
@@ -487,6 +487,41 @@ def test_fingerprints_of_edits(spark, sf):
     assert sum(r["near_edited"] > r["near_next"] for r in rows.values()) > 0.95 * len(rows)
 
 
+def fingerprint_by_force(text):
+    identity, content = [0] * 16, [0] * 128
+    for p in text.split(b"\n") if text else []:
+        digest = hashlib.blake2b(p, digest_size=64).digest()
+        identity = [(x + int.from_bytes(digest[4 * k : 4 * k + 4], "little")) % 2**32 for k, x in enumerate(identity)]
+        p = p.ljust(8, b"\0")
+        for i in range(len(p) - 7):
+            slot = int.from_bytes(p[i : i + 8], "little") * 0x9E3779B97F4A7C15 % 2**64 >> 56
+            content[slot // 2] += 1 - 2 * (slot % 2)
+    return identity, content
+
+
+def likeness_by_force(a, b):
+    if a == b:
+        return 1.0
+    whole = sum(x * x for x in a[1] + b[1])
+    return max(0.0, 1 - sum((x - y) ** 2 for x, y in zip(a[1], b[1])) / whole) if whole else 0.0
+
+
+def test_fingerprints_equal_brute_force(spark, sf):
+    own = {i: t for i, t in texts(spark, sf).items() if i < 120}
+    own = {i: t[:4000] for i, t in own.items()} | {-1: "", -2: "short", -3: "\n\n", -4: "a\nb\na"}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    ids = sorted(own)
+    rows = {r["doc_id"]: r for r in fingerprint.with_next(df).collect()}
+    for k, i in enumerate(ids):
+        following = own[ids[(k + 1) % len(ids)]]
+        changed = own[i][: len(own[i]) - len(own[i]) // 2] + following[: len(own[i]) // 2]
+        a, b, c = (fingerprint_by_force(x.encode()) for x in (own[i], changed, following))
+        said = lambda f: b"".join(x.to_bytes(4, "little") for x in f[0] + [y % 2**32 for y in f[1]]).hex()
+        r = rows[i]
+        assert (r["fingerprint"], r["edited_fingerprint"], r["n_chars"]) == (said(a), said(b), len(own[i]))
+        assert abs(r["near_edited"] - likeness_by_force(a, b)) < 1e-12 and abs(r["near_next"] - likeness_by_force(a, c)) < 1e-12
+
+
 def test_ranges_of_documents(spark):
     """Few and many ranges, ids that take up several of them, null ids and repeated rows."""
     rnd = random.Random(4)

@@ -20,6 +20,8 @@ THRESHOLD = 0.7
 #: A term counts fully from this chi square of its labels on, or if it is in this share of the training rows; others
 #: count less, down to the least share, as one that is rare and as often in either label has nothing to say yet.
 SURE, COMMON, LEAST = 25.0, 0.2, 0.02
+#: Terms whose weight and vector are both shorter in the end don't score: hundreds of them together change no decision.
+SMALL = 0.003
 #: Words remembered with their terms in each worker.
 CACHE_WORDS = 500_000
 
@@ -50,9 +52,9 @@ class FactorizationMachine:
         self.at = {int(t): k for k, t in enumerate(self.term)}
         self.own = (self.v**2).sum(1)
 
-    def score(self, found: list[int]) -> float:
+    def score(self, found: np.ndarray) -> float:
         z = self.bias
-        if found:
+        if len(found):
             z += self.w[found].sum() + ((self.v[found].sum(0) ** 2).sum() - self.own[found].sum()) / 2
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
@@ -60,12 +62,14 @@ class FactorizationMachine:
 class _Batch:
     """Some training rows: their distinct terms, and for each of their terms which of these, and which row, it is."""
 
-    def __init__(self, rows: np.ndarray, starts: np.ndarray, at: np.ndarray):
+    def __init__(self, rows: np.ndarray, starts: np.ndarray, term: np.ndarray):
         n = np.diff(starts)[rows]
         self.rows, n = rows[n > 0], n[n > 0]
-        found = np.concatenate([at[starts[r] : starts[r + 1]] for r in self.rows]) if len(self.rows) else np.empty(0, np.int64)
+        found = np.concatenate([term[starts[r] : starts[r + 1]] for r in self.rows]) if len(self.rows) else np.empty(0, np.int32)
         self.terms, place = np.unique(found, return_inverse=True)
-        self.place, self.row = place.astype(np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n)
+        # as small as they can be, for all batches are held together
+        self.place = place.astype(np.uint16 if len(self.terms) < 1 << 16 else np.int32)
+        self.row = np.repeat(np.arange(len(n), dtype=np.uint16), n)
         self.first = np.cumsum(n) - n
 
     def by_row(self, x: np.ndarray) -> np.ndarray:
@@ -77,25 +81,29 @@ class _Batch:
 
 def fit(
     starts: np.ndarray, term: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = 12, rate: float = 0.05, size: int = 256,
-    shrink_w: float = 1e-3, shrink_v: float = 1e-4, spread: float = 0.01,
+    shrink_w: float = 4e-3, shrink_v: float = 1e-4, spread: float = 0.01,
 ) -> FactorizationMachine:
     """Logistic loss over rows of terms, those of row k from starts[k] on; every term has its weight and its vector.
 
     Proximal AdaGrad over batches, whose order and start follow from a fixed seed, so reruns agree. Every step shrinks
     weights and vectors towards nothing, also those whose terms are not in its batch, when they come up next; in the end
-    only terms that are something are kept. Labels are weighted half way to balance.
+    only terms that come to something are kept. Labels are weighted half way to balance.
     """
-    known, at = np.unique(term, return_inverse=True)
-    m, n, rng = len(known), len(y), np.random.default_rng(7)
+    m, n, rng = 1 << HASH_BITS, len(y), np.random.default_rng(7)
     share = float(y.mean()) if n else 0.0
     bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    if not m or share in (0.0, 1.0):
-        return FactorizationMachine(known[:0], bias, np.empty(0), np.empty((0, rank)))
+    if not len(term) or share in (0.0, 1.0):
+        return FactorizationMachine(term[:0], bias, np.empty(0), np.empty((0, rank)))
     weight = np.sqrt(np.where(y == 1, 0.5 / share, 0.5 / (1 - share))).astype(np.float32)
-    a, b = np.bincount(at, minlength=m), np.bincount(at, weights=np.repeat(y, np.diff(starts)), minlength=m)
+    order = rng.permutation(n)
+    batches = [_Batch(order[k : k + size], starts, term) for k in range(0, n, size)]
+    a, b = np.zeros(m, np.float32), np.zeros(m, np.float32)
+    for own in batches:
+        a[own.terms] += own.by_term(np.ones(len(own.rows)))
+        b[own.terms] += own.by_term(y[own.rows])
     chi = (b - a * share) ** 2 / (a * share * (1 - share) * (1 - a / (n + 1)) + 1e-9)
     scale = np.maximum(np.maximum(np.minimum(1, chi / SURE) ** 2, np.minimum(1, a / (COMMON * n))), LEAST).astype(np.float32)
-    w, v = np.zeros(m, np.float32), rng.normal(0, spread, (m, rank)).astype(np.float32)
+    w, v = np.zeros(m, np.float32), rng.standard_normal((m, rank), np.float32) * np.float32(spread)
     slope_w, slope_v, slope_b = np.full(m, 1e-6, np.float32), np.full(m, 1e-6, np.float32), 1e-6
     seen, step = np.zeros(m, np.int32), 0
 
@@ -106,8 +114,6 @@ def fit(
         v[t] *= np.maximum(1 - k * rate * shrink_v / np.sqrt(slope_v[t]) / length, 0)[:, None]
         seen[t] = step
 
-    order = rng.permutation(n)
-    batches = [_Batch(order[k : k + size], starts, at) for k in range(0, n, size)]
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
             own = batches[k]
@@ -132,9 +138,11 @@ def fit(
             w[t] -= rate * dw / np.sqrt(slope_w[t])
             v[t] -= rate * dv / np.sqrt(slope_v[t])[:, None]
             bias -= rate * float(g.sum()) / np.sqrt(slope_b)
-    shrink(np.arange(m))
-    kept = np.flatnonzero((w != 0) | (v != 0).any(1))
-    return FactorizationMachine(known[kept], bias, (w * scale)[kept].astype(float), (v * scale[:, None])[kept].astype(float))
+    met = np.flatnonzero(a)
+    shrink(met)
+    ws, vs = (w * scale)[met].astype(float), (v * scale[:, None])[met].astype(float)
+    kept = (np.abs(ws) > SMALL) | ((vs**2).sum(1) > SMALL**2)
+    return FactorizationMachine(met[kept].astype(np.int32), bias, ws[kept], vs[kept])
 
 
 def learn(
@@ -162,18 +170,20 @@ def learn(
             found: set[int] = set()
             for w in words(value):
                 found.update(cache[w] if w in cache else cache.setdefault(w, terms(w)))
-            yield i, y, sorted(found)
+            yield i, y, np.array(sorted(found), "<i4").tobytes()
 
-    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("terms", pa.list_(pa.int32()))])
-    seen = durable(rows.mapInArrow(per_row(extract, schema, 256), "id long, y int, terms array<int>"))
-    many = seen.agg(F.sum(F.size("terms").cast("long"))).first()[0] or 0
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("terms", pa.binary())])
+    seen = durable(rows.mapInArrow(per_row(extract, schema, 256), "id long, y int, terms binary"))
+    many = (seen.agg(F.sum(F.octet_length("terms").cast("long"))).first()[0] or 0) // 4
     if many > max_terms:
         rate = max_terms / many * min(1.0, max_rows / max(n, 1))
         seen = seen.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * rate))
-    got = seen.orderBy("id", "y").toArrow()  # arrays, not objects
-    lists = got.column("terms").combine_chunks()
-    starts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-    return fit(starts, lists.flatten().to_numpy(zero_copy_only=False), got.column("y").to_numpy().astype(np.float32))
+    held = sorted((r["id"], r["y"], bytes(r["terms"])) for r in seen.coalesce(8).toLocalIterator())  # bytes, an eighth at a time
+    y = np.array([x for _, x, _ in held], np.float32)
+    starts = np.concatenate(([0], np.cumsum([len(t) // 4 for _, _, t in held]))).astype(np.int64)
+    term = np.frombuffer(b"".join([t for _, _, t in held]), "<i4")
+    del held
+    return fit(starts, term, y)
 
 
 class Scorer:
@@ -198,7 +208,7 @@ class Scorer:
                 own = self.terms(w)
             if own:
                 found.update(own)
-        return self.model.score(sorted(found))
+        return self.model.score(np.sort(np.fromiter(found, np.int64, len(found))))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
