@@ -411,8 +411,8 @@ def _exact_links(narrow: DataFrame, split: DataFrame, labels: DataFrame, words:
 
     A set-similarity join with a prefix filter, shingles in order of frequency. Regions and prefix shingles within one
     component leave. Documents that share any of the others, directly or by way of further ones, are a family; those
-    outside of its largest component meet the whole family, in blocks of about twice `region` rows of each side, so that
-    no task grows with a family, and a set is sent once a block, not once a shingle.
+    outside of its largest component meet the whole family, in blocks of half to twice `region` rows of each side, so
+    that no task grows with a family, and a set is sent once a block, not once a shingle.
     """
     known = labels.withColumnRenamed("node", "l")
     own = durable(split.join(known, F.col("doc") == F.col("l"), "left").select("chunk", "doc", F.coalesce("component", "doc").alias("comp")))
@@ -434,7 +434,7 @@ def _exact_links(narrow: DataFrame, split: DataFrame, labels: DataFrame, words:
         return None
     parts = members.groupBy("family", "comp").agg(F.count("*").alias("c"))
     by = parts.groupBy("family").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("most"))
-    width = F.lit(2 * region)
+    width = F.least(F.greatest(F.ceil(F.col("size") / 16), F.lit(max(1, region // 2))), F.lit(2 * region))
     by = by.select("family", F.col("most.comp").alias("most"), F.ceil(F.col("size") / width).alias("wide"), F.ceil((F.col("size") - F.col("most.c")) / width).alias("high"))
     met = members.join(by, "family").filter("high > 0")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
