@@ -81,6 +81,8 @@ def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
     feed(spark, tmp_path, more, checkpoint="another", first=9)
     assert kwh(store) == EXPECTED | {("z", 1): 4.0, ("a", 1): 3.5}
     assert len(store.state()["batches"]) == 2
+    views.register_store(store)
+    assert spark.sql("SELECT count(*) AS n, count(DISTINCT delivery_id) AS d FROM batch_log").first()[:] == (4, 4)
     # the other stream starts with all files, so what it finds again is logged again, and changes no fact
     assert store.read("batch_log").count() == 3 + 4 and store.read("meter_corrections_log").count() == 2
 
@@ -170,6 +172,9 @@ def test_merges_are_compacted_and_months_pruned(spark, tmp_path, monkeypatch):
     assert {(r["meter_id"]): r["kwh"] for r in store.facts(["2014-01"]).collect()} == {"a": 6.0}
     assert store.facts().count() == 8 and store.read("meter_corrections_log").count() == 6
     assert all("month=2014-02" in f for f in store.folders(FACTS, ["2014-02"]))
+    january = store.facts_between(datetime(2014, 1, 13, 9), datetime(2014, 1, 31))
+    assert january.count() == 1 and all("month=2014-01" in f for f in january.inputFiles())
+    assert store.facts_between(datetime(2013, 12, 1), datetime(2014, 2, 1, 9)).count() == 1
     names = set(store.files.names(f"{tmp_path}/{FACTS}"))
     t = store.begin()
     t.append("dead_letters", spark.createDataFrame([], schemas.schema("dead_letters")))

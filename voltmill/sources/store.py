@@ -3,6 +3,7 @@
 import json
 import time
 from collections.abc import Callable
+from datetime import datetime
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,16 +118,27 @@ class Store:
 
         Only folders of these parts are listed, so months that no one asks for are never opened.
         """
-        schema, folders = schemas.schema(name), self.folders(name, parts)
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        if name == FACTS:
-            return _newest(self.spark.read.schema(f"{schemas.TABLES[name]}, _version long").parquet(*folders), len(folders))
-        return self.spark.read.schema(schema).parquet(*folders)
+        schema = schemas.schema(name)
+        if name != FACTS:
+            folders = self.folders(name, parts)
+            return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        own = {part: held for part, held in self.state()["tables"].get(name, {}).items() if parts is None or part in parts}
+        out = None
+        for several in (False, True):  # a month of one folder has each key once
+            folders = [f"{self.base}/{p}" for held in own.values() if (len(held) > 1) == several for p, _ in held]
+            if folders:
+                rows = _newest(self.spark.read.schema(f"{schemas.TABLES[name]}, _version long").parquet(*folders), several)
+                out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def facts(self, months: list[str] | None = None) -> DataFrame:
         return self.read(FACTS, months)
 
+    def facts_between(self, start: datetime, end: datetime) -> DataFrame:
+        """Facts from `start` until before `end`; only the months between are opened."""
+        months = [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(start.year * 12 + start.month - 1, end.year * 12 + end.month)]
+        return self.facts(months).filter((F.col("reading_time") >= F.lit(start)) & (F.col("reading_time") < F.lit(end)))
+
     def begin(self) -> "Transaction":
         return Transaction(self)
 
@@ -143,7 +155,7 @@ class Store:
         t = self.begin()
         folders = [f"{self.base}/{p}" for p in own]
         if name == FACTS:
-            rows = _newest(self.spark.read.schema(f"{schemas.TABLES[name]}, _version long").parquet(*folders), len(own), keep=True)
+            rows = _newest(self.spark.read.schema(f"{schemas.TABLES[name]}, _version long").parquet(*folders), True, keep=True)
             to = t.put_facts(rows, {part: rows.count()})[part]
         else:
             to = t.put(name, self.spark.read.schema(schemas.schema(name)).parquet(*folders))
@@ -169,9 +181,9 @@ class Store:
         return n
 
 
-def _newest(rows: DataFrame, folders: int, keep: bool = False) -> DataFrame:
-    """Of each key the row written last. One folder has each key once."""
-    if folders > 1:
+def _newest(rows: DataFrame, several: bool, keep: bool = False) -> DataFrame:
+    """Of each key the row written last, where rows come from several folders of a month."""
+    if several:
         values = [c for c in rows.columns if c not in KEY]
         rows = rows.groupBy(*KEY).agg(F.max_by(F.struct(*values), "_version").alias("r")).select(*KEY, "r.*")
     return rows if keep else rows.drop("_version")
