@@ -34,7 +34,8 @@ class Files:
     """Small files and folders of any file system that Spark can reach."""
 
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        sc = spark.sparkContext
+        self.jvm, self.gateway, self.conf = sc._jvm, sc._gateway, sc._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -53,16 +54,22 @@ class Files:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """Write a new file; False if there is one already."""
+        """Write a new file, seen whole or not at all; False if there is one already. The file system renames atomically."""
         fs, p = self._at(path)
+        fs.mkdirs(p.getParent())
+        _, draft = self._at(f"{p.getParent().toString()}/.{uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf)
+        kinds = self.gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            out = fs.create(p, False)
+            context.rename(fs.makeQualified(draft), fs.makeQualified(p), kinds)
         except Exception as e:  # noqa: BLE001
             if "AlreadyExists" not in str(e):
                 raise
+            fs.delete(draft, False)
             return False
-        out.write(bytearray(text.encode()))
-        out.close()
         return True
 
     def remove(self, path: str) -> None:
@@ -83,14 +90,10 @@ class Store:
         self.spark, self.base, self.files, self.keep_seconds = spark, base, Files(spark), keep_seconds
 
     def state(self) -> dict:
-        """The newest whole manifest: version, tables (name, part, folders with their tiers), batches, left folders."""
+        """The newest manifest: version, tables (name, part, folders with their tiers), batches, left folders."""
         at = f"{self.base}/_manifest"
-        for name in sorted((n for n in self.files.names(at) if n.endswith(".json") and not n.startswith(".")), reverse=True):
-            try:
-                return json.loads(self.files.read(f"{at}/{name}"))
-            except ValueError:  # being written
-                continue
-        return {"version": 0, "tables": {}, "batches": {}, "left": []}
+        names = [n for n in self.files.names(at) if n.endswith(".json") and not n.startswith(".")]
+        return json.loads(self.files.read(f"{at}/{max(names)}")) if names else {"version": 0, "tables": {}, "batches": {}, "left": []}
 
     def finished(self, stream: str, epoch: int) -> bool:
         return self.state()["batches"].get(stream, -1) >= epoch

@@ -18,11 +18,11 @@ from voltmill.sources.store import FACTS, FOLDERS_A_TIER, Store
 
 log = logging.getLogger(__name__)
 
-MARKED = "value string, lane int, arrived_at timestamp, repeat boolean"
+MARKED = "value string, lane int, repeat boolean"
 
 
 def arrivals(messages: DataFrame) -> DataFrame:
-    """(value, lane, key, arrived_at) of messages.
+    """(value, lane, key, arrived_at, arrived_ms) of messages.
 
     Only the time of arrival counts for repeats, so however late a delivery was made, and whether or not it says so, it
     is never too late. A delivery without an id goes by its readings, a dead message by its text.
@@ -32,7 +32,8 @@ def arrivals(messages: DataFrame) -> DataFrame:
         .when(F.col("delivery_id") == "", F.concat(F.lit("readings "), F.md5(F.to_json("readings").cast("binary"))))
         .otherwise(F.concat(F.lit("id "), F.col("delivery_id")))
     )
-    return parse_deliveries(messages).select("value", F.col("lane").cast("int").alias("lane"), key.alias("key"), F.current_timestamp().alias("arrived_at"))
+    now = F.current_timestamp()
+    return parse_deliveries(messages).select("value", F.col("lane").cast("int").alias("lane"), key.alias("key"), now.alias("arrived_at"), F.unix_millis(now).alias("arrived_ms"))
 
 
 def mark_sightings(messages: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -49,13 +50,12 @@ def mark_sightings(messages: DataFrame, config: EngineConfig = DEFAULT) -> DataF
             return
         since = state.get[0] if state.exists else None
         for rows in batches:
-            at = [int(t.timestamp() * 1000) for t in rows["arrived_at"]]
             repeat = []
-            for t in at:
+            for t in rows["arrived_ms"].tolist():
                 again = since is not None and t - since < ttl
                 since = since if again else t
                 repeat.append(again)
-            yield rows[["value", "lane", "arrived_at"]].assign(repeat=repeat)
+            yield rows[["value", "lane"]].assign(repeat=repeat)
         state.update((since,))
         state.setTimeoutTimestamp(since + ttl)
 
@@ -131,7 +131,7 @@ def start(messages: DataFrame, base: str, config: EngineConfig = DEFAULT, availa
     """
     store = Store(messages.sparkSession, base)
     checkpoint = checkpoint or f"{base}/_checkpoint"
-    stream = mark_sightings(messages, config) if dedup else arrivals(messages).drop("key").withColumn("repeat", F.lit(False))
+    stream = mark_sightings(messages, config) if dedup else arrivals(messages).select("value", "lane", F.lit(False).alias("repeat"))
 
     def run(df: DataFrame, epoch: int) -> None:
         write_batch(df, epoch, store, json.loads(store.files.read(f"{checkpoint}/metadata"))["id"], config)
