@@ -417,7 +417,7 @@ def _exact_links(narrow: DataFrame, split: DataFrame, labels: DataFrame, words:
     known = labels.withColumnRenamed("node", "l")
     own = durable(split.join(known, F.col("doc") == F.col("l"), "left").select("chunk", "doc", F.coalesce("component", "doc").alias("comp")))
     mixed = own.groupBy("chunk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("chunk")
-    docs = durable(own.join(mixed, "chunk", "left_semi").select("doc", "comp").distinct())
+    docs = durable(join_spread(own, durable(mixed), ["chunk"], ["doc"], "left_semi").select("doc", "comp").distinct())
     if docs.isEmpty():
         return None
     sets = durable(narrow.join(measured(docs.select("doc")), "doc").mapInArrow(_whole(words), "doc long, whole binary").filter("length(whole) > 0").distinct())
