@@ -282,7 +282,7 @@ def _candidates(first: DataFrame, percent: int, region: int) -> tuple[DataFrame,
     scanned = durable(ordered.mapInArrow(_in_order(percent, region), SCANNED_DDL))
     own = ["chunk", "tree", "doc", "n", "b0", "b1"]
     sizes = scanned.filter(F.col("kind") != INNER).groupBy("chunk").agg(F.count("*").alias("size"), F.max("kind").alias("most"))
-    ends = scanned.filter(F.col("kind") == END).join(sizes.filter("size > 1"), "chunk")
+    ends = join_spread(scanned.filter(F.col("kind") == END), durable(sizes.filter("size > 1")), ["chunk"], ["part", "doc"])
     small = (F.col("size") <= region) & (F.col("most") == END)
     chunk = F.when(small, F.col("chunk")).otherwise(F.xxhash64("chunk", "part"))
     split = scanned.filter(F.col("kind") == SPLIT).select("chunk", "doc").unionByName(ends.filter(~small).select("chunk", "doc"))
