@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # The patterns, with the least length of a match (of the value, for assignments), in order of kind.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+ACCESS = r"AKIA[A-Z0-9]"
+HEX = r"[0-9a-f]"
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
@@ -131,8 +131,8 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     none = F.array().cast(SPAN)
     spans = F.concat(
         F.when(t.rlike(r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=]"), _spans(t, ASSIGN, 0, LEAST["assign"])).otherwise(none),
-        F.when(F.contains(t, F.lit("AKIA")), _spans(t, f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", 1, LEAST["access"])).otherwise(none),
-        F.when(t.rlike(f"[0-9a-f]{{{LEAST['hex']},}}"), _spans(t, f"[0-9a-f]{{{LEAST['hex']},}}", 2, LEAST["hex"])).otherwise(none),
+        F.when(F.contains(t, F.lit("AKIA")), _spans(t, f"{ACCESS}{{{LEAST['access'] - 4},}}", 1, LEAST["access"])).otherwise(none),
+        F.when(t.rlike(f"{HEX}{{{LEAST['hex']},}}"), _spans(t, f"{HEX}{{{LEAST['hex']},}}", 2, LEAST["hex"])).otherwise(none),
         F.when(t.rlike(CANDIDATE), _by_entropy(t)).otherwise(none),
     )
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))

@@ -1,6 +1,8 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-from . import license_scan, line_dedup
+import math
+
+from . import langid, license_scan, line_dedup, secrets
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = rf"regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -26,6 +28,57 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+def _places(name: str, pattern: str) -> str:
+    """Rows (doc_id, hit, start) of a pattern's matches; the text between matches gives the places."""
+    return f"""{name} AS (
+  SELECT r, hit, CAST(sum(length(gap)) OVER w + sum(length(hit)) OVER w - length(hit) AS BIGINT) AS start
+  FROM (SELECT r, unnest(regexp_extract_all(t, '{pattern}')) AS hit, unnest(string_split_regex(t, '{pattern}')[:len(regexp_extract_all(t, '{pattern}'))]) AS gap,
+               unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS k FROM d WHERE regexp_matches(t, '{pattern}'))
+  WINDOW w AS (PARTITION BY r ORDER BY k ROWS UNBOUNDED PRECEDING))"""
+
+
+_ASSIGN = secrets.ASSIGN.replace("'", "''")
+_PLAIN = {c: p.replace("*+", "*").replace("++", "+").replace("}+", "}") for c, p in (("ruler", secrets.RULER), ("uuid", secrets.UUID), ("joined", secrets.JOINED))}
+_N_LOG = [round(n * math.log2(n) * secrets.SCALE) if n else 0 for n in range(secrets.WINDOW + 1)]
+_MOST = "CASE " + " ".join(f"WHEN regexp_matches(hit, '{p}') THEN {int((math.log2(secrets.WINDOW) - bits + 1e-9) * secrets.WINDOW * secrets.SCALE)}" for p, bits in secrets.CLASSES) + " END"
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{_places("assign", _ASSIGN)},
+{_places("access", secrets.ACCESS + "+")},
+{_places("hex", secrets.HEX + "+")},
+{_places("candidate", secrets.CANDIDATE)},
+shape AS (
+  SELECT *, length(regexp_replace(hit, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(hit, '[^AEIOUYaeiouy]', '', 'g')) AS vowels,
+         len(regexp_extract_all(hit, '{secrets.CASED}')) AS words FROM candidate
+),
+suspect AS (
+  SELECT r, hit, start, {_MOST} AS most FROM shape
+  WHERE NOT regexp_matches(hit, '{_PLAIN["ruler"]}') AND NOT regexp_matches(hit, '{_PLAIN["uuid"]}')
+    AND NOT (regexp_matches(hit, '{_PLAIN["joined"]}') AND letters >= 3 * words AND vowels >= {secrets.VOWELS[0]}::DOUBLE * letters AND vowels <= {secrets.VOWELS[1]}::DOUBLE * letters
+             AND NOT regexp_matches(hit, '[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{{{secrets.CONSONANTS}}}'))
+),
+windows AS (SELECT r, start, most, hit, unnest(range(1, length(hit) - {secrets.WINDOW} + 2)) AS i FROM suspect),
+counted AS (
+  SELECT r, start, most, i, c, count(*) AS n FROM (SELECT r, start, most, i, unnest(string_split(substring(hit, i, {secrets.WINDOW}), '')) AS c FROM windows) GROUP BY ALL
+),
+high AS (SELECT r, start, i FROM counted GROUP BY r, start, most, i HAVING sum(({_N_LOG})[n + 1]) <= most),
+span AS (
+  SELECT r, start, 0 AS kind, start + length(hit) AS e FROM assign WHERE length(regexp_extract(hit, '{_ASSIGN}', 1)) >= {secrets.LEAST["assign"]}
+  UNION ALL SELECT r, start, 1, start + length(hit) FROM access WHERE length(hit) >= {secrets.LEAST["access"]}
+  UNION ALL SELECT r, start, 2, start + length(hit) FROM hex WHERE length(hit) >= {secrets.LEAST["hex"]}
+  UNION ALL SELECT r, start + min(i) - 1, 3, start + max(i) - 1 + {secrets.WINDOW} FROM high GROUP BY r, start
+),
+said AS (SELECT *, ({list(secrets.KINDS)!r})[kind + 1] || ':' || start || ':' || e AS s FROM span),
+own AS (
+  SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+         string_agg(s, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans FROM said GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN own USING (r)
+"""
+
 OP6 = f"""
 WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
 b AS (SELECT item_id, {ALNUM} AS w FROM benchmark),
@@ -92,6 +145,38 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN lab USING (doc_id)
 """
 
+#: crc32 of an id's text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)))"""
+
+# Valid where no language has more than MAX_DOCS_PER_LANG documents, so all of them teach.
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, lang, {_CRC} % 4 = 2 AS held_out FROM documents),
+chars AS (SELECT r, string_split(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) || ' ', '') AS c FROM d),
+gram AS (
+  SELECT r, c[i] AS g FROM (SELECT r, c, unnest(range(1, len(c) + 1)) AS i FROM chars WHERE len(c) > 2) WHERE c[i] <> ' '
+  UNION ALL SELECT r, c[i] || c[i + 1] FROM (SELECT r, c, unnest(range(1, len(c))) AS i FROM chars WHERE len(c) > 2)
+  UNION ALL SELECT r, c[i] || c[i + 1] || c[i + 2] FROM (SELECT r, c, unnest(range(1, len(c) - 1)) AS i FROM chars WHERE len(c) > 2) WHERE c[i + 1] <> ' '
+),
+own AS (SELECT r, g, count(*) AS n FROM gram GROUP BY r, g),
+ranked AS (
+  SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, length(g), g) - 1 AS k FROM own QUALIFY k < {langid.PROFILE}
+),
+learned AS (SELECT lang, g, sum(n) AS n FROM own JOIN d USING (r) WHERE NOT held_out AND text IS NOT NULL AND lang IS NOT NULL GROUP BY lang, g),
+profile AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(g), g) - 1 AS p FROM learned QUALIFY p < {langid.PROFILE}
+),
+sizes AS (SELECT r, count(*) AS m FROM ranked GROUP BY r),
+near AS (SELECT r, lang, sum({langid.PROFILE} - least(abs(p - k), {langid.PROFILE})) AS won FROM ranked JOIN profile USING (g) GROUP BY r, lang),
+far AS (
+  SELECT r, lang, m, m * {langid.PROFILE} - coalesce(won, 0) AS away
+  FROM sizes CROSS JOIN (SELECT DISTINCT lang FROM profile) LEFT JOIN near USING (r, lang)
+),
+best AS (SELECT r, lang, m, away FROM far QUALIFY row_number() OVER (PARTITION BY r ORDER BY away, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, '{langid.UNKNOWN}') AS lang_pred, coalesce(1 - CAST(away AS DOUBLE) / CAST({langid.PROFILE} * m AS DOUBLE), 0.0::DOUBLE) AS score
+FROM d LEFT JOIN best USING (r)
+"""
+
 OP10 = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 line AS (SELECT doc_id, source, unnest(l) AS s, unnest(range(len(l))) AS k, len(l) AS n FROM d),
@@ -107,4 +192,4 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS
 FROM kept
 """
 
-ORACLE_SQL = {"op1_minhash_near_dedup": OP1, "op6_benchmark_decontamination": OP6, "op9_license_scan": OP9, "op10_line_dedup": OP10}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1, "op2_secret_scan": OP2, "op6_benchmark_decontamination": OP6, "op8_language_id": OP8, "op9_license_scan": OP9, "op10_line_dedup": OP10}

@@ -19,11 +19,6 @@ def alnum_words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_TABLE).split() if text else []
 
 
-def blank_words(text: bytes | None) -> list[bytes]:
-    """Lower-cased words [^\\x20\\x09-\\x0D]+ of UTF-8 text; null has none."""
-    return text.lower().split() if text else []
-
-
 def fold(c: Column | str) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
