@@ -8,7 +8,6 @@ their input, and no rows for no rows.
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voltmill.llm import decontam, mixing, neardup, packing, toxicity
 from voltmill.llm.text import shared_folder

@@ -146,6 +146,16 @@ def test_repeats_expire(spark):
     assert list(found["f"](("k",), iter([]), state)) == [] and not state.exists
 
 
+def test_live_counts_go_by_arrival(spark, tmp_path):
+    """Deliveries of one run are counted together by lane, whenever they say that they were made."""
+    (tmp_path / "in").mkdir()
+    lines = [message("a", [], at="2014-01-01T00:00:00Z"), message("b", [], at=None), message("c", [], source="backfill"), "broken"]
+    (tmp_path / "in" / "0.txt").write_text("\n".join(lines))
+    counts = pipeline.live_counts(deliveries.from_files(spark, str(tmp_path / "in")))
+    counts.writeStream.format("memory").queryName("live").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert {r["source"]: r["count"] for r in spark.table("live").collect()} == {"live": 2, "backfill": 1}
+
+
 def test_json_types_of_values(spark):
     """True is a number of a reading, the text "true" is not."""
     body = '{"delivery_id":"d","readings":[%s]}' % ",".join('{"meter_id":"m","reading_time":"2014-01-13T10:00:00Z","kwh":%s}' % k for k in ("true", '"true"', "false", "1.5", '"1.5"', "null", "1e1", "[1]", '"x"'))
