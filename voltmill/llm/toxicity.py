@@ -23,7 +23,7 @@ SURE, COMMON, LEAST = 25.0, 0.2, 0.02
 #: Terms whose weight and vector are both shorter in the end don't score: hundreds of them together change no decision.
 SMALL = 0.003
 #: Words remembered with their terms in each worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 #: a-z and every byte of a non-ASCII character stay; the rest is a blank.
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
