@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, license_scan, line_dedup, mixing, neardup, packing, secrets, sql, toxicity
+from . import decontam, fingerprint, langid, license_scan, line_dedup, mixing, neardup, packing, phrases, repeats, resample, secrets, sql, toxicity
 from .text import documents
 
 
@@ -48,6 +48,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_widespread_lines(documents(spark, sf_dir)))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.repeated_spans(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_license_scan,
         op10_line_dedup,
+        op11_phrase_collocations,
+        op12_importance_resampling,
+        op13_suffix_array_dedup,
     )
 }
 ORACLE_SQL = sql.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 import math
 
-from . import langid, license_scan, line_dedup, secrets
+from . import langid, license_scan, line_dedup, phrases, repeats, resample, secrets
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = rf"regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -192,4 +192,81 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS
 FROM kept
 """
 
-ORACLE_SQL = {"op1_minhash_near_dedup": OP1, "op2_secret_scan": OP2, "op6_benchmark_decontamination": OP6, "op8_language_id": OP8, "op9_license_scan": OP9, "op10_line_dedup": OP10}
+OP11 = rf"""
+WITH d AS (SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, unnest(string_split_regex({FOLD}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p CROSS JOIN (VALUES (1), (2), (3)) sizes(k) WHERE len(w) >= k) GROUP BY ALL
+),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {phrases.LEAST}),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+),
+least AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT * FROM least c WHERE NOT EXISTS (
+    SELECT 1 FROM cand o WHERE o.k = 3 AND o.lang = c.lang AND c.phrase IN (array_to_string(o.w[1:2], ' '), array_to_string(o.w[2:3], ' ')) AND 100 * o.a >= {phrases.SUBSUMED} * c.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= {phrases.TOP}
+"""
+
+#: What the remainder of crc32 becomes by four bits.
+_NIBBLES = []
+for _x in range(16):
+    for _ in range(4):
+        _x = _x >> 1 ^ (3988292384 if _x & 1 else 0)
+    _NIBBLES.append(_x)
+_CRC_OF_WORD = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(hex(encode(t)))), lambda i: instr('0123456789ABCDEF', substr(hex(encode(t)), i + 2 - 2 * (i % 2), 1))::BIGINT - 1)),
+  lambda c, x: xor(c >> 4, ({_NIBBLES})[(xor(c, x) & 15) + 1])))"""
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
+b AS (SELECT {ALNUM} AS w FROM benchmark),
+dw AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY ALL),
+bw AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM b) GROUP BY t),
+bucket AS (SELECT t, {_CRC_OF_WORD} % {resample.BUCKETS} AS k FROM (SELECT t FROM dw UNION SELECT t FROM bw)),
+held AS (SELECT k, sum(n) AS s FROM dw JOIN bucket USING (t) GROUP BY k),
+wanted AS (SELECT k, sum(n) AS s FROM bw JOIN bucket USING (t) GROUP BY k),
+sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM dw)::DOUBLE + {resample.BUCKETS} AS s, (SELECT coalesce(sum(n), 0) FROM bw)::DOUBLE + {resample.BUCKETS} AS t),
+gain AS (
+  SELECT k, floor(1000 * ln((coalesce(wanted.s, 0) + 1)::DOUBLE * sums.s / ((held.s + 1)::DOUBLE * sums.t)))::BIGINT AS g FROM held LEFT JOIN wanted USING (k) CROSS JOIN sums
+),
+weight AS (SELECT doc_id, sum(n * g)::BIGINT AS weight FROM dw JOIN bucket USING (t) JOIN gain USING (k) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8))::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weight USING (doc_id)
+),
+drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= {resample.LEAST_WORDS}
+  QUALIFY rank <= (SELECT {resample.PERCENT} * count(*) // 100 FROM scored WHERE n_features >= {resample.LEAST_WORDS})
+)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+window_ AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, {2 * repeats.LENGTH})) AS m FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - {repeats.LENGTH - 1})) AS s FROM d WHERE length(h) >= {2 * repeats.LENGTH})),
+again AS (SELECT doc_id, s FROM window_ QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, s) > 1),
+edge AS (SELECT *, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) + {repeats.LENGTH} AS begins FROM again),
+run AS (SELECT doc_id, s, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM edge),
+span AS (SELECT doc_id, min(s) AS s, max(s) + {repeats.LENGTH} AS e FROM run GROUP BY doc_id, k),
+gap AS (
+  SELECT doc_id, coalesce(lag(e) OVER w, 0) AS a, s AS b FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+  UNION ALL SELECT doc_id, max(e), NULL FROM span GROUP BY doc_id
+),
+kept AS (SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (coalesce(b, length(h) // 2) - a))::BIGINT), '' ORDER BY a, b NULLS LAST) AS rest FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(e - s) AS n, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL = {
+    "op1_minhash_near_dedup": OP1, "op2_secret_scan": OP2, "op6_benchmark_decontamination": OP6, "op8_language_id": OP8, "op9_license_scan": OP9, "op10_line_dedup": OP10,
+    "op11_phrase_collocations": OP11, "op12_importance_resampling": OP12, "op13_suffix_array_dedup": OP13,
+}
