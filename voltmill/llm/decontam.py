@@ -2,7 +2,6 @@
 
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -30,80 +29,107 @@ FOUND_DDL = "doc_id long, n_words long, spans array<struct<start:long,end:long>>
 
 
 class WuManber:
-    """Patterns of one length: every window of `length` words of some items.
+    """Distinct patterns of one length: the windows of `length` words of some items.
 
     A block is the last `block` words under the pattern's end. A block that ends no pattern says how far the end may
-    move, any that occurs in none allows the largest shift. A block that ends patterns names its bucket: where they
-    begin in the words of all items; comparison word by word confirms them.
+    move, any that occurs in none allows the largest shift. Where it may not move, the hash of all words under the
+    pattern names a bucket of patterns; comparison word by word confirms them. Equal windows are one pattern, however
+    often they come, with the items that have them.
     """
 
     def __init__(self, length: int, block: int = BLOCK):
         self.length, self.block = length, min(block, length)
         self.most = length - self.block + 1
         self.words: list[bytes] = []
-        self.begins, self.names = [0], []  # of the items, in `words`
-        self.table: dict[tuple[bytes, ...], int | list[int]] = {}
-
-    def add(self, name: str | None, words: list[bytes]) -> None:
-        """The windows of an item of at least `length` words."""
-        first, block = len(self.words), self.block
+        self.shift: dict[tuple[bytes, ...], int] = {}
+        self.bucket: dict[int, int | list[int]] = {}  # numbers of patterns
+        self.start: list[int] = []  # where a pattern begins in `words`
+        self.items: list[list[int] | int] = []  # that have it, or the number of the set of these
+
+    def add(self, item: int, words: list[bytes]) -> None:
+        """The windows of an item of at least `length` words, after those of smaller numbers."""
+        first, block, shift = len(self.words), self.block, self.shift
         self.words += words
-        self.begins.append(len(self.words))
-        self.names.append(name)
         for end in range(block, self.length):  # blocks within the first window
-            key, shift = tuple(words[end - block : end]), self.length - end
-            if not isinstance(self.table.get(key), list):
-                self.table[key] = min(self.table.get(key, self.most), shift)
+            key = tuple(words[end - block : end])
+            shift[key] = min(shift.get(key, self.most), self.length - end)
         for end in range(self.length, len(words) + 1):  # each ends a window
-            key, start = tuple(words[end - block : end]), first + end - self.length
-            bucket = self.table.get(key)
-            if isinstance(bucket, list):
-                bucket.append(start)
-            else:
-                self.table[key] = [start]
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """Yield (start, end, place in the items' words) of every occurrence."""
-        length, block, most, get, own = self.length, self.block, self.most, self.table.get, self.words
+            shift[tuple(words[end - block : end])] = 0
+            under = words[end - self.length : end]
+            known = self.find(under)
+            if known is None:
+                own = hash(tuple(under))
+                held = self.bucket.get(own)
+                self.bucket[own] = len(self.start) if held is None else [*(held if isinstance(held, list) else [held]), len(self.start)]
+                self.start.append(first + end - self.length)
+                self.items.append([item])
+            elif self.items[known][-1] != item:
+                self.items[known].append(item)
+
+    def share(self, sets: dict[tuple[int, ...], int]) -> None:
+        """Put numbers of sets of items in place of the sets; windows that follow each other mostly have the same."""
+        self.items = [sets.setdefault(tuple(own), len(sets)) for own in self.items]
+
+    def find(self, under: list[bytes]) -> int | None:
+        found = self.bucket.get(hash(tuple(under)))
+        for k in found if isinstance(found, list) else () if found is None else (found,):
+            if self.words[self.start[k] : self.start[k] + self.length] == under:
+                return k
+        return None
+
+    def search(self, words: list[bytes], spans: list[tuple[int, int]], sets: set[int]) -> None:
+        """Add the spans under occurrences, merged as they come, and the sets of the items that have windows there."""
+        length, block, most, get = self.length, self.block, self.most, self.shift.get
         end, n = length, len(words)
+        first = last = -1
         while end <= n:
             step = get(tuple(words[end - block : end]), most)
-            if step.__class__ is int:
+            if step:
                 end += step
                 continue
-            under = words[end - length : end]
-            for start in step:
-                if own[start : start + length] == under:
-                    yield end - length, end, start
+            k = self.find(words[end - length : end])
+            if k is not None:
+                sets.add(self.items[k])
+                if end - length > last:
+                    if last >= 0:
+                        spans.append((first, last))
+                    first = end - length
+                last = end
             end += 1
-
-    def name(self, place: int) -> str | None:
-        return self.names[int(np.searchsorted(self.begins, place, "right")) - 1]
+        if last >= 0:
+            spans.append((first, last))
 
 
 class Matcher:
     """A search for each length of window: the full one, and those of items that have fewer words."""
 
-    def __init__(self, items: Iterable[tuple[str | None, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[list[str], bytes | None]], window: int = WINDOW):
         by_length: dict[int, WuManber] = {}
         known: dict[bytes, bytes] = {}
-        for name, text in items:
-            words = [known.setdefault(w, w) for w in alnum_words(text)]
+        same: dict[tuple[bytes, ...], list[str]] = {}  # items of equal words are one
+        for names, text in items:
+            words = tuple(known.setdefault(w, w) for w in alnum_words(text))
             if words:
-                size = min(window, len(words))
-                if size not in by_length:
-                    by_length[size] = WuManber(size)
-                by_length[size].add(name, words)
+                same.setdefault(words, []).extend(names)
+        self.names = list(same.values())
+        for k, words in enumerate(same):
+            size = min(window, len(words))
+            if size not in by_length:
+                by_length[size] = WuManber(size)
+            by_length[size].add(k, list(words))
         self.searches = [by_length[n] for n in sorted(by_length)]
+        sets: dict[tuple[int, ...], int] = {}
+        for s in self.searches:
+            s.share(sets)
+        self.sets = list(sets)
 
     def __call__(self, words: list[bytes], spans: list[tuple[int, int]], names: set[str]) -> None:
         """Add the spans under any occurrence, and the names of the items that have windows there."""
+        found: set[int] = set()
         for s in self.searches:
-            for start, end, place in s.search(words):
-                spans.append((start, end))
-                name = s.name(place)
-                if name is not None:
-                    names.add(name)
+            s.search(words, spans, found)
+        for item in set().union(*(self.sets[k] for k in found)):
+            names.update(self.names[item])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -160,15 +186,16 @@ def _searched(batches: Iterable[pa.RecordBatch], column: int, pieces: list[Broad
 
 
 def _pieces(benchmark: DataFrame, item_id: str, item_text: str, piece_bytes: int) -> list[Broadcast]:
-    """The items as files that workers fetch, piece by piece; the driver holds one piece at a time."""
+    """The distinct texts with the ids of their items, as files that workers fetch; the driver holds a piece at a time."""
     sc = benchmark.sparkSession.sparkContext
     out: list[Broadcast] = []
-    held: list[tuple[str | None, bytes]] = []
+    held: list[tuple[list[str], bytes]] = []
     size = 0
-    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string"), F.col(item_text).cast("binary"))
-    for name, text in items.toLocalIterator():
-        held.append((name, bytes(text)))
-        size += len(text) + 40
+    text = F.col(item_text).cast("binary")
+    items = benchmark.filter(F.col(item_text).isNotNull()).groupBy(text.alias("text")).agg(F.collect_set(F.col(item_id).cast("string")).alias("names"))
+    for item, names in items.toLocalIterator():
+        held.append((names, bytes(item)))
+        size += len(item) + 40 * (len(names) + 1)
         if size >= piece_bytes:
             out.append(sc.broadcast(held))
             held, size = [], 0
