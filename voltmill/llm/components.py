@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import durable
+from .text import durable, join_spread
 
 MAX_STEPS = 100
 #: Up to so many links, of 16 bytes each, one task works the components out; more go through steps of all tasks.
@@ -55,10 +55,11 @@ def components(links: DataFrame, links_at_once: int = LINKS_AT_ONCE) -> DataFram
             return edges.select(a.alias("node"), b.alias("component")).unionByName(edges.select(b.alias("node"), b.alias("component")).distinct())
         before = now
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(b.alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        least = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = join_spread(both.filter("b > a"), least, ["a"]).select(b.alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = durable(large)
+        least = durable(large.groupBy("a").agg(F.min("b").alias("m")))
+        joined = join_spread(large, least, ["a"])
         small = joined.filter("b <> m").select(b.alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = durable(small.distinct())
     raise RuntimeError(f"components took over {MAX_STEPS} steps")

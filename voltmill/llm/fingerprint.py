@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import in_batches
+from .text import counted_once, each_copy, in_batches
 
 #: 32-bit lanes that tell multisets of paragraphs apart, summed modulo 2^32.
 IDENTITY = 16
@@ -79,6 +79,7 @@ RESULT = pa.schema(
      for n in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")]
 )
 RESULT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COUNTED = RESULT.append(pa.field("copies", pa.int64()))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,13 +126,15 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range
     give none. Texts are streamed, so only one and its successor are held.
 
     Texts are dealt once, into ranges of about `range_bytes`, or more beyond MAX_RANGES of them, each one task and
-    sorted; the first document of a range is dealt to the range before it too, so no task needs another's rows.
+    sorted; the first document of a range is dealt to the range before it too, so no task needs another's rows. Rows that
+    are repeated very often are counted and dealt once, as all but the last of them follow themselves.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
     n, size = narrow.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not n:
         return spark.createDataFrame([], RESULT_DDL)
+    narrow = counted_once(narrow, ["id", "hash"])
     wanted = max(1, min(MAX_RANGES, n, -(-size // range_bytes)))
     shares = [k / wanted for k in range(1, wanted)]
     ranges = Ranges(narrow.agg(F.percentile_approx("id", shares, 10 * wanted)).first()[0] if shares else [])
@@ -160,35 +163,37 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range
                 before = (at[rows] - 1) % len(number)
                 yield _dealt(batch.take(pa.array(rows)), before.astype(np.int32), 1)
 
-    dealt = narrow.mapInArrow(deal, "range int, ahead int, id long, hash long, text string")
+    dealt = narrow.mapInArrow(deal, "range int, ahead int, id long, hash long, text string, copies long")
     ordered = dealt.repartitionById(len(number), "range").sortWithinPartitions("range", "ahead", "id", "hash")
-    return ordered.mapInArrow(_compare, RESULT_DDL)
+    return each_copy(ordered.mapInArrow(_compare, RESULT_DDL + ", copies long"))
 
 
 def _dealt(batch: pa.RecordBatch, at: np.ndarray, ahead: int) -> pa.RecordBatch:
     n = batch.num_rows
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(n, ahead, np.int32)), *batch.columns], ["range", "ahead", "id", "hash", "text"])
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(n, ahead, np.int32)), *batch.columns], ["range", "ahead", "id", "hash", "text", "copies"])
 
 
 def _compare(batches):
     def pairs():
         held = None
         for batch in batches:
-            cols = [batch.column(k) for k in (0, 1, 2, 4)]
+            cols = [batch.column(k) for k in (0, 1, 2, 4, 5)]
             for at in range(0, batch.num_rows, 256):
-                for where, ahead, i, text in zip(*(c.slice(at, 256).to_pylist() for c in cols), strict=True):
+                for where, ahead, i, text, copies in zip(*(c.slice(at, 256).to_pylist() for c in cols), strict=True):
                     if held and held[0] == where and held[1]:
                         continue  # another copy of the first row of the next range
                     text = text or ""
                     now = (where, ahead, i, text, of_text(text.encode()))
                     if held and held[0] == where:
-                        yield held, now
+                        yield held, now, 1
+                    if copies > 1 and not ahead:
+                        yield now, now, copies - 1
                     held = now
 
     def rows():
-        for (_, _, i, text, own), (_, _, _, following, other) in pairs():
+        for (_, _, i, text, own), (_, _, _, following, other), copies in pairs():
             changed = edited(text, following).encode()
             f = of_text(changed)
-            yield None if i == _FIRST else i, len(text), hashlib.sha256(changed).hexdigest(), encode(own), encode(f), likeness(own, f), likeness(own, other)
+            yield None if i == _FIRST else i, len(text), hashlib.sha256(changed).hexdigest(), encode(own), encode(f), likeness(own, f), likeness(own, other), copies
 
-    return in_batches(rows(), RESULT, 512)
+    return in_batches(rows(), COUNTED, 512)

@@ -16,10 +16,15 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _key(doc_id: str) -> Column:
+    """The id as text that is not null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit(""))
+
+
 def _hashed(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
     """A row for each line that is not blank: its document and place, and two hashes of 64 bits of its trimmed text."""
     rows = docs.select(
-        F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_version"), F.col(site).cast("string").alias("_site"), F.posexplode(_lines(F.col(text))).alias("_at", "_line")
+        _key(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_version"), F.col(site).cast("string").alias("_site"), F.posexplode(_lines(F.col(text))).alias("_at", "_line")
     )
     line = F.trim("_line")
     return rows.filter(line != "").select("_id", "_version", "_site", "_at", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2"))
@@ -27,7 +32,7 @@ def _hashed(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
 
 def _held(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of the lines whose hashes are among the keys; a line that many documents hold is no larger a task."""
-    return join_spread(lines, keys, ["h1", "h2"], ["_id", "_version", "_at"], "left_semi")
+    return join_spread(lines, keys, ["h1", "h2"], "left_semi")
 
 
 def widespread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -59,15 +64,16 @@ def drop_widespread_lines(
     lines = _hashed(docs, doc_id, text, site)
     wide = durable(widespread_lines(lines, min_sites, lg_k))
     hits = _held(lines, wide).groupBy("_id", "_version").agg(F.array_sort(F.collect_set("_at")).alias("_removed"))
-    hits = hits.withColumnsRenamed({"_id": "_hit_id", "_version": "_hit_version"})
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_version"))
-    joined = own.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("_version") == F.col("_hit_version")), "left")
-    stay = F.filter(_lines(F.col("_text")), lambda _, k: ~F.array_contains("_removed", k))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), _key(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_version"))
+    joined = join_spread(own, durable(hits), ["_id", "_version"], "left")
+    every = lambda lines: F.sequence(F.lit(0), F.size(lines) - 1)
+    stay = lambda lines: F.transform(F.array_except(every(lines), "_removed"), lambda k: F.get(lines, k))
+    left = F.element_at(F.transform(F.array(_lines(F.col("_text"))), lambda lines: F.array_join(stay(lines), "\n")), 1)
     return joined.select(
         "doc_id",
         F.size(_lines(F.col("_text"))).cast("long").alias("n_lines"),
         F.coalesce("_removed", F.array().cast("array<int>")).alias("removed"),
-        F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(F.array_join(stay, "\n")).alias("text"),
+        F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(left).alias("text"),
     )
 
 

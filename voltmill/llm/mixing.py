@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import durable, measured, whole_rows, word_count
+from .text import durable, each_copy, join_spread, places, whole_rows, word_count
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -17,8 +17,8 @@ TOLERANCE = 1e-7
 FINE = 1_000_000_000_000
 #: Parts into which the cells of one source are dealt while the dual is solved.
 SALTS = 16
-#: Documents of one source and size that are put in order together, on average.
-RANKED_AT_ONCE = 256
+#: Parts into which repeated rows are dealt that have to be numbered.
+NUMBERED = 256
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -163,56 +163,62 @@ def _words(rate: str):
     return (F.col("cell_n").cast("decimal(20,0)") * F.col("size") * F.col(rate)).cast("decimal(38,0)")
 
 
-def _keys(doc_id: Column, text: Column, source: Column) -> list[Column]:
-    """Source, size and place of a row. Rows of one place have the same id and text."""
-    return [source.cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(doc_id.cast("long"), text).alias("place")]
+def _named(source: Column) -> Column:
+    """The source as text that is not null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def _same(a: str = "source", b: str = "rs") -> Column:
-    return F.col(a).eqNullSafe(F.col(b)) & (F.col("size") == F.col("rsize"))
+def _keys(doc_id: Column, text: Column, source: Column) -> list[Column]:
+    """Source, its name, size and place of a row. Rows of one place have the same id and text."""
+    return [source.cast("string").alias("source"), _named(source).alias("cell"), word_count(text).alias("size"), F.xxhash64(doc_id.cast("long"), text).alias("place")]
 
 
 def _thresholds(sized: DataFrame, rounded: DataFrame) -> DataFrame:
     """`rounded` with the place up to which documents of a cell get one copy more.
 
-    (rs, rsize, whole, before, at, tied, tied_extra): one more for places before `before`, and for `tied_extra` of the
-    `tied` rows whose place is `at`. The documents of a cell are counted by ranges of their places, about
-    RANKED_AT_ONCE in each; only the range in which the last copy falls is put in order.
+    (cell, size, whole, at, tied, tied_extra): one more for places before `at`, and for `tied_extra` of the `tied` rows
+    whose place it is. The documents of a cell are counted by ranges of their places, about as many ranges as each has
+    documents; only the range in which the last copy falls is put in order.
     """
-    r = durable(rounded.select(F.col("source").alias("rs"), F.col("size").alias("rsize"), "cell_n", "whole", "extra"))
-    some = measured(r.filter("extra > 0 and extra < cell_n").drop("whole"))
-    parts = F.ceil(F.col("cell_n") / RANKED_AT_ONCE)
-    part = F.least(F.floor((F.col("place").cast("double") / 2.0**64 + 0.5) * parts), parts - 1)
-    of = sized.join(some, _same()).select("rs", "rsize", "extra", "place", part.alias("part"))
-    n = of.groupBy("rs", "rsize", "extra", "part").agg(F.count("*").alias("n"))
-    so_far = Window.partitionBy("rs", "rsize").orderBy("part")
+    r = durable(rounded.select(_named(F.col("source")).alias("cell"), "size", "cell_n", "whole", "extra"))
+    some = durable(r.filter("extra > 0 and extra < cell_n").select("cell", "size", "extra", F.ceil(F.sqrt("cell_n")).alias("parts")))
+    part = F.least(F.floor((F.col("place").cast("double") / 2.0**64 + 0.5) * F.col("parts")), F.col("parts") - 1)
+    of = join_spread(places(sized.select("cell", "size", "place"), NUMBERED), some, ["cell", "size"], by=["place", "_part"])
+    of = of.select("cell", "size", "extra", "place", part.alias("part"), "_part")
+    n = of.groupBy("cell", "size", "extra", "part").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("cell", "size").orderBy("part")
     last = n.withColumn("upto", F.sum("n").over(so_far)).filter("upto >= extra and upto - n < extra")
-    last = measured(durable(last.select(F.col("rs").alias("ps"), F.col("rsize").alias("psize"), F.col("part").alias("ppart"), (F.col("extra") - F.col("upto") + F.col("n")).alias("need"))))
-    own = of.join(last, F.col("rs").eqNullSafe(F.col("ps")) & (F.col("rsize") == F.col("psize")) & (F.col("part") == F.col("ppart")))
-    places = own.groupBy("rs", "rsize", "need", "place").agg(F.count("*").alias("tied"))
-    places = places.withColumn("upto", F.sum("tied").over(Window.partitionBy("rs", "rsize").orderBy("place"))).filter("upto >= need and upto - tied < need")
-    at = places.select(F.col("rs").alias("ts"), F.col("rsize").alias("tsize"), F.col("place").alias("at"), "tied", (F.col("need") - F.col("upto") + F.col("tied")).alias("tied_extra"))
-    joined = r.join(at, F.col("rs").eqNullSafe(F.col("ts")) & (F.col("rsize") == F.col("tsize")), "left")
+    last = durable(last.select("cell", "size", "part", (F.col("extra") - F.col("upto") + F.col("n")).alias("need")))
+    own = join_spread(of.drop("extra"), last, ["cell", "size", "part"], by=["place", "_part"])
+    at_place = own.groupBy("cell", "size", "need", "place").agg(F.count("*").alias("tied"))
+    at_place = at_place.withColumn("upto", F.sum("tied").over(Window.partitionBy("cell", "size").orderBy("place"))).filter("upto >= need and upto - tied < need")
+    at = at_place.select("cell", "size", F.col("place").alias("at"), "tied", (F.col("need") - F.col("upto") + F.col("tied")).alias("tied_extra"))
     every = F.when(F.col("extra") >= F.col("cell_n"), F.lit(1)).otherwise(F.lit(0))
-    return durable(joined.select("rs", "rsize", (F.col("whole") + every).alias("whole"), "at", "tied", "tied_extra"))
+    return durable(r.join(at, ["cell", "size"], "left").select("cell", "size", (F.col("whole") + every).alias("whole"), "at", "tied", "tied_extra"))
 
 
 def _copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows of (source, size, place) with their `copies`.
+    """Rows of (cell, size, place), which come from files, with their `copies` and `_part`.
 
-    The plan has a row for each cell, not for each document; it is broadcast if its measured size allows. Only among
-    repeated rows, of one id and text, of which some get one copy more and others don't, are rows numbered.
+    The plan has a row for each cell, not for each document; it is broadcast if its measured size allows, else rows of
+    large cells are dealt to parts. Only among repeated rows, of one id and text, of which some get one copy more and
+    others don't, are rows numbered: in parts, each from where the ones before it end.
     """
-    joined = rows.join(measured(plan), _same(), "left")
+    joined = join_spread(places(rows, NUMBERED), plan, ["cell", "size"], "left", ["place", "_part"])
     whole = F.coalesce("whole", F.lit(0)).cast("long")
     some = F.coalesce((F.col("place") == F.col("at")) & (F.col("tied_extra") < F.col("tied")), F.lit(False))
     more = F.coalesce(F.col("place") <= F.col("at"), F.lit(False)).cast("long")
-    done = lambda df, extra: df.withColumn("copies", whole + extra).drop("rs", "rsize", "whole", "at", "tied", "tied_extra")
+    done = lambda df, extra: df.withColumn("copies", whole + extra).drop("whole", "at", "tied", "tied_extra")
     if plan.filter("tied_extra < tied").isEmpty():
         return done(joined, more)
-    n = F.row_number().over(Window.partitionBy("source", "size", "place").orderBy("place"))
-    repeated = joined.filter(some).withColumn("_n", n)
-    return done(joined.filter(~some), more).unionByName(done(repeated, (F.col("_n") <= F.col("tied_extra")).cast("long")).drop("_n"))
+    key = ["cell", "size", "place"]
+    repeated = joined.filter(some)
+    own = Window.partitionBy(*key, "_part").orderBy("place")
+    parts = repeated.groupBy(*key, "_part").agg(F.count("*").alias("_rows"))
+    before = parts.withColumn("_before", F.sum("_rows").over(Window.partitionBy(*key).orderBy("_part")) - F.col("_rows")).drop("_rows")
+    numbered = join_spread(repeated.withColumn("_n", F.row_number().over(own)), durable(before), [*key, "_part"], by=["_n"])
+    extra = (F.col("_n") + F.col("_before") <= F.col("tied_extra")).cast("long")
+    return done(joined.filter(~some), more).unionByName(done(numbered, extra).drop("_n", "_before"))
 
 
 def _solved(sized: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame | None]:
@@ -234,9 +240,9 @@ def mix(
     """
     sized = durable(docs.select(F.col(doc_id).cast("long").alias("doc_id"), *_keys(F.col(doc_id), F.col(text), F.col(source))))
     targets, plan = _solved(sized, weights, cap)
-    goal = targets.select(F.col("source").alias("s"), "source_size", "target")
-    mixed = sized.withColumn("copies", F.lit(0).cast("long")) if plan is None else _copied(sized, plan)
-    return mixed.join(measured(goal), F.col("source").eqNullSafe(F.col("s"))).select(
+    goal = durable(targets.select(_named(F.col("source")).alias("cell"), "source_size", "target"))
+    mixed = places(sized, NUMBERED).withColumn("copies", F.lit(0).cast("long")) if plan is None else _copied(sized, plan)
+    return join_spread(mixed, goal, ["cell"], by=["place", "_part"]).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
@@ -255,5 +261,4 @@ def take(
     _, plan = _solved(durable(rows.drop("_row")), weights, cap)
     if plan is None:
         return docs.limit(0)
-    copied = _copied(rows, plan).filter("copies > 0")
-    return copied.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("_row.*")
+    return each_copy(_copied(rows, plan).select("_row", "copies")).select("_row.*")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import durable, in_batches, join_spread, measured, per_row, whole_rows
+from .text import durable, in_batches, join_spread, measured, per_row, places, whole_rows
 
 WORDS = 5
 PERCENT = 80
@@ -26,6 +26,13 @@ RANGE_ROWS = 1 << 17
 ROUNDS = (2, 4, 10)
 #: Of 128 one-bit values, as many differ at most: for sets that are 0.8 alike, 13 with a deviation of 3.4.
 BITS_APART = 30
+#: Bytes of sets that meet at once; larger chunks and families are dealt to tiles of two such parts.
+TILE_BYTES = 8 << 20
+#: Shingles of a tile whose bits are held at once.
+COLUMNS = 8192
+#: Rows of a block on one side at most, and how many are counted against all of them at once.
+BLOCK_ROWS = 1 << 15
+PROBES = 256
 #: Counters of shingles, whose order by frequency the exact join follows; any order gives the same links.
 COUNTERS = 1 << 18
 
@@ -282,7 +289,7 @@ def _candidates(first: DataFrame, percent: int, region: int) -> tuple[DataFrame,
     scanned = durable(ordered.mapInArrow(_in_order(percent, region), SCANNED_DDL))
     own = ["chunk", "tree", "doc", "n", "b0", "b1"]
     sizes = scanned.filter(F.col("kind") != INNER).groupBy("chunk").agg(F.count("*").alias("size"), F.max("kind").alias("most"))
-    ends = join_spread(scanned.filter(F.col("kind") == END), durable(sizes.filter("size > 1")), ["chunk"], ["part", "doc"])
+    ends = join_spread(scanned.filter(F.col("kind") == END), durable(sizes.filter("size > 1")), ["chunk"])
     small = (F.col("size") <= region) & (F.col("most") == END)
     chunk = F.when(small, F.col("chunk")).otherwise(F.xxhash64("chunk", "part"))
     split = scanned.filter(F.col("kind") == SPLIT).select("chunk", "doc").unionByName(ends.filter(~small).select("chunk", "doc"))
@@ -291,41 +298,85 @@ def _candidates(first: DataFrame, percent: int, region: int) -> tuple[DataFrame,
     return durable(scanned.filter(F.col("kind") == INNER).select(*own).unionByName(met)), split
 
 
+def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, able: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of `able`, rows of `left` by rows of `right`, whose whole sets share `percent` of their union.
+
+    Shingles that two sets or more hold become columns of bits; the common ones of a pair are the bits of both. Each pair
+    is counted once, whole words of bits at a time.
+    """
+    n = np.array([len(x) for x in sets])
+    met = np.flatnonzero(able.any(1))
+    common = np.zeros(able.shape, np.int32)
+    found = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(found, kind="stable")
+    found, owner = found[order], owner[order]
+    begins = np.concatenate(([True], found[1:] != found[:-1]))[: len(found)]
+    column = np.cumsum(begins) - 1
+    many = np.bincount(column)[column] > 1 if len(column) else begins
+    owner, begins = owner[many], begins[many]
+    column = np.cumsum(begins) - 1
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        bits = np.zeros((len(sets), COLUMNS), bool)
+        bits[owner[a:b], column[a:b] - at] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        other = bits[right]
+        for k in met.tolist():
+            own = bits[left[k]]
+            full = np.flatnonzero(own)
+            j = np.flatnonzero(able[k])
+            common[k, j] += np.bitwise_count(other[j[:, None], full] & own[full]).sum(1, dtype=np.int32)
+    whole = n[left][:, None] + n[right] - common
+    return np.nonzero(able & (100 * common.astype(np.int64) >= percent * whole))
+
+
+def _joins(x: np.ndarray, y: np.ndarray):
+    """Links (larger, smaller) that make one component of all that the pairs of components x, y connect."""
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for p, q in np.unique(np.stack((x, y), 1), axis=0).tolist() if len(x) else ():
+        a, b = top(p), top(q)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            yield max(a, b), min(a, b)
+
+
 def _links(percent: int):
-    """Links (a, b) between components, confirmed by one pair of documents each; the closest pairs of a chunk come first."""
+    """Links (a, b) between components, confirmed by whole sets; of a chunk's tile of two parts, only those across."""
 
     def run(batches):
         def found():
             for cols in _groups(batches, 0):
-                comp, n, b0, b1 = (_numbers(c) for c in cols[1:5])
-                if (comp == comp[0]).all():
-                    continue
-                sets = [np.frombuffer(s, np.uint64) for s in cols[5].to_pylist()]
-                root = {int(c): int(c) for c in comp}
-
-                def top(c):
-                    while root[c] != c:
-                        root[c] = c = root[root[c]]
-                    return c
-
-                near = np.triu(_near(n, b0, b1, slice(None), percent), 1) & (comp[:, None] != comp)
-                left, right = np.nonzero(near)
-                apart = _apart(b0[left], b0[right]) + _apart(b1[left], b1[right])
-                for k in np.argsort(apart, kind="stable").tolist():
-                    i, j = int(left[k]), int(right[k])
-                    a, b = top(int(comp[i])), top(int(comp[j]))
-                    if a == b:
-                        continue
-                    common = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
-                    if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                        root[max(a, b)] = min(a, b)
-                        yield max(a, b), min(a, b)
+                part, comp, n, b0, b1 = (_numbers(c) for c in cols[1:6])
+                able = _near(n, b0, b1, slice(None), percent) & (comp[:, None] < comp)
+                if part.min() != part.max():
+                    able &= part[:, None] != part
+                if able.any():
+                    sets = [np.frombuffer(s, np.uint64) for s in cols[6].to_pylist()]
+                    every = np.arange(len(sets))
+                    left, right = _alike(sets, every, every, able, percent)
+                    yield from _joins(comp[left], comp[right])
 
         return in_batches(found(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 
 
+def _tiles(full: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Rows of groups with `tile` and `part`: a group of more than TILE_BYTES of sets of `n` shingles is dealt to parts, and each two parts meet in a tile."""
+    sizes = full.groupBy(group).agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).alias("parts"))
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    dealt = full.join(sizes, group).select(group, part, other, *columns)
+    return dealt.select(F.xxhash64(group, F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "part", *columns)
+
+
 def _whole(words: int):
     """(doc, whole): the set of each text."""
 
@@ -345,34 +396,25 @@ def _tally(rows):
         yield k, int(n[k])
 
 
+def _rarest(found: np.ndarray, tally: np.ndarray, percent: int) -> np.ndarray:
+    """So many of a set's rarest shingles that two sets which are `percent` alike have one of these in common."""
+    order = np.lexsort((found, tally[(found % np.uint64(COUNTERS)).astype(np.int64)]))
+    return found[order[: len(found) + percent * len(found) // -100 + 1]]
+
+
 def _prefixes(tally: np.ndarray, percent: int):
-    """(token, doc) of the rarest shingles of each set: two sets that are `percent` alike have one of these in common."""
+    """(token, doc) of the rarest shingles of each set."""
 
     def run(rows):
         for doc, whole in rows:
-            found = np.frombuffer(whole, np.uint64)
-            order = np.lexsort((found, tally[(found % np.uint64(COUNTERS)).astype(np.int64)]))
-            need = -(-percent * len(found) // 100)
-            for token in found[order[: len(found) - need + 1]].view(np.int64).tolist():
+            for token in _rarest(np.frombuffer(whole, np.uint64), tally, percent).view(np.int64).tolist():
                 yield token, doc
 
     return per_row(run, pa.schema([("token", pa.int64()), ("doc", pa.int64())]))
 
 
-#: Counters of a set's shingles, by which the overlap of two sets is bounded from above.
-BUCKETS = 256
-
-
-def _bucketed(found: np.ndarray) -> np.ndarray:
-    return np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-
-
-def _across(percent: int):
-    """Links (a, b) between components: of each block, every row of side 1 against every row of side 0, by whole sets.
-
-    Two sets share at most what the smaller of their counters add up to; only those for which that is enough are
-    compared, the likeliest first, and none of components that are linked by then.
-    """
+def _across(tally: np.ndarray, percent: int):
+    """Links (a, b) between components: of each block, rows of side 1 against the rows of side 0 that share one of their rarest shingles."""
 
     def run(batches):
         def found():
@@ -380,26 +422,21 @@ def _across(percent: int):
                 side, comp = _numbers(cols[1]), _numbers(cols[2])
                 sets = [np.frombuffer(s, np.uint64) for s in cols[3].to_pylist()]
                 n = np.array([len(s) for s in sets])
-                rest = np.flatnonzero(side == 0)
-                counters = np.stack([_bucketed(sets[k]) for k in rest]) if len(rest) else np.empty((0, BUCKETS), np.int32)
-                root = {int(c): int(c) for c in comp}
-
-                def top(c):
-                    while root[c] != c:
-                        root[c] = c = root[root[c]]
-                    return c
-
-                for p in np.flatnonzero(side == 1).tolist():
-                    most = np.minimum(counters, _bucketed(sets[p])).sum(1)
-                    able = np.flatnonzero((100 * most >= percent * (n[p] + n[rest] - most)) & (comp[rest] != comp[p]))
-                    for k in rest[able[np.argsort(-most[able], kind="stable")]].tolist():
-                        a, b = top(int(comp[p])), top(int(comp[k]))
-                        if a == b:
-                            continue
-                        common = n[p] + n[k] - len(np.union1d(sets[p], sets[k]))
-                        if 100 * common >= percent * (n[p] + n[k] - common):
-                            root[max(a, b)] = min(a, b)
-                            yield max(a, b), min(a, b)
+                rest, probes = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                rare = [_rarest(sets[k], tally, percent) for k in rest]
+                token = np.concatenate(rare) if rare else np.empty(0, np.uint64)
+                order = np.argsort(token, kind="stable")
+                token, holder = token[order], np.repeat(np.arange(len(rest)), [len(r) for r in rare])[order]
+                for at in range(0, len(probes), PROBES):
+                    own = probes[at : at + PROBES]
+                    able = np.zeros((len(own), len(rest)), bool)
+                    for k, p in enumerate(own.tolist()):
+                        wanted = _rarest(sets[p], tally, percent)
+                        for a, b in zip(np.searchsorted(token, wanted, "left").tolist(), np.searchsorted(token, wanted, "right").tolist(), strict=True):
+                            able[k, holder[a:b]] = True
+                    able &= (comp[own, None] != comp[rest]) & (100 * np.minimum(n[own, None], n[rest]) >= percent * np.maximum(n[own, None], n[rest]))
+                    left, right = _alike(sets, own, rest, able, percent)
+                    yield from _joins(comp[own[left]], comp[rest[right]])
 
         return in_batches(found(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -411,13 +448,14 @@ def _exact_links(narrow: DataFrame, split: DataFrame, labels: DataFrame, words:
 
     A set-similarity join with a prefix filter, shingles in order of frequency. Regions and prefix shingles within one
     component leave. Documents that share any of the others, directly or by way of further ones, are a family; those
-    outside of its largest component meet the whole family, in blocks of half to twice `region` rows of each side, so
-    that no task grows with a family, and a set is sent once a block, not once a shingle.
+    outside of its largest component meet the whole family, in blocks of a sixteenth of it or of TILE_BYTES of sets if
+    that is less, and of half of `region` rows at least: no task grows with a family, and a set is sent to as many
+    blocks as the family has on the other side, 16 or one for each TILE_BYTES of the family.
     """
     known = labels.withColumnRenamed("node", "l")
     own = durable(split.join(known, F.col("doc") == F.col("l"), "left").select("chunk", "doc", F.coalesce("component", "doc").alias("comp")))
     mixed = own.groupBy("chunk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("chunk")
-    docs = durable(join_spread(own, durable(mixed), ["chunk"], ["doc"], "left_semi").select("doc", "comp").distinct())
+    docs = durable(join_spread(own, durable(mixed), ["chunk"], "left_semi").select("doc", "comp").distinct())
     if docs.isEmpty():
         return None
     sets = durable(narrow.join(measured(docs.select("doc")), "doc").mapInArrow(_whole(words), "doc long, whole binary").filter("length(whole) > 0").distinct())
@@ -427,22 +465,24 @@ def _exact_links(narrow: DataFrame, split: DataFrame, labels: DataFrame, words:
     tally[counted.column("k").to_numpy()] = counted.column("n").to_numpy()
     tokens = durable(sets.mapInArrow(_prefixes(tally, percent), "token long, doc long").join(docs, "doc").select("token", "doc", "comp").distinct())
     shared = tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("doc").alias("first")).filter("x < y").select("token", "first")
-    stars = join_spread(tokens, durable(shared), ["token"], ["doc"]).select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    stars = join_spread(tokens, durable(shared), ["token"]).select(F.col("doc").alias("a"), F.col("first").alias("b"))
     family = components(stars).withColumnsRenamed({"node": "doc", "component": "family"})
-    members = durable(family.join(docs, "doc"))
+    length = sets.select("doc", (F.length("whole") / 8).cast("long").alias("n"))
+    members = durable(family.join(docs, "doc").join(length.groupBy("doc").agg(F.max("n").alias("n")), "doc"))
     if members.isEmpty():
         return None
-    parts = members.groupBy("family", "comp").agg(F.count("*").alias("c"))
-    by = parts.groupBy("family").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("most"))
-    width = F.least(F.greatest(F.ceil(F.col("size") / 16), F.lit(max(1, region // 2))), F.lit(2 * region))
+    parts = members.groupBy("family", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    by = parts.groupBy("family").agg(F.sum("c").alias("size"), F.sum("n").alias("n"), F.max(F.struct("c", "comp")).alias("most"))
+    bound = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.col("size") * TILE_BYTES / (8 * F.col("n")))))
+    width = F.least(F.greatest(F.ceil(F.col("size") / 16), F.lit(max(1, region // 2))), bound)
     by = by.select("family", F.col("most.comp").alias("most"), F.ceil(F.col("size") / width).alias("wide"), F.ceil((F.col("size") - F.col("most.c")) / width).alias("high"))
-    met = members.join(by, "family").filter("high > 0")
+    met = join_spread(members, durable(by), ["family"]).filter("high > 0")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rest = met.select("family", "doc", "comp", F.lit(0).alias("side"), F.pmod(F.xxhash64("doc"), "wide").alias("i"), every("high").alias("j"))
     probes = met.filter("comp <> most").select("family", "doc", "comp", F.lit(1).alias("side"), every("wide").alias("i"), F.pmod(F.xxhash64("doc", "family"), "high").alias("j"))
     blocks = rest.unionByName(probes).select(F.xxhash64("family", "i", "j").alias("block"), "side", "comp", "doc")
     full = blocks.join(sets, "doc").select("block", "side", "comp", "whole")
-    return full.repartition("block").sortWithinPartitions("block").mapInArrow(_across(percent), "a long, b long")
+    return full.repartition("block").sortWithinPartitions("block").mapInArrow(_across(tally, percent), "a long, b long")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -475,7 +515,7 @@ def near_duplicates(
     signed = durable(_sign(narrow, words))
     known = signed.filter("doc is not null and n > 0")
     classes = durable(known.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("digest", "first"))
-    first = known.join(classes, "digest", "left").filter("first is null or first = doc")
+    first = join_spread(known, classes, ["digest"], "left").filter("first is null or first = doc")
     rows, split = _candidates(first.select("doc", "n", "b0", "b1", "values"), percent, region)
     active = measured(rows.select("doc").distinct())
 
@@ -488,15 +528,16 @@ def near_duplicates(
         comp = F.col("doc") if labels is None else F.coalesce("component", "doc")
         own = durable(own.select("chunk", comp.alias("comp"), "n", "b0", "b1", "doc"))
         apart = own.groupBy("chunk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("chunk")
-        full = own.join(apart, "chunk", "left_semi").join(sets, F.col("doc") == F.col("d")).select("chunk", "comp", "n", "b0", "b1", "whole")
-        links = full.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_links(percent), "a long, b long")
+        tiles = _tiles(own.join(apart, "chunk", "left_semi"), "chunk", ["comp", "n", "b0", "b1", "doc"])
+        full = tiles.join(sets, F.col("doc") == F.col("d")).select("tile", "part", "comp", "n", "b0", "b1", "whole")
+        links = full.repartition("tile").sortWithinPartitions("tile").mapInArrow(_links(percent), "a long, b long")
         labels = _merged(labels, links)
     if not split.isEmpty():
         links = _exact_links(narrow, split, labels, words, percent, region)
         labels = labels if links is None else _merged(labels, links)
-    of_class = known.select(F.col("doc").alias("k"), "digest").join(classes, "digest").select("k", "first").distinct()
-    joined = signed.select("doc", "n").join(of_class, F.col("doc") == F.col("k"), "left").withColumn("rep", F.coalesce("first", "doc"))
-    joined = joined.join(labels.withColumnRenamed("node", "l"), F.col("rep") == F.col("l"), "left")
+    of_class = durable(join_spread(known.select("doc", "digest"), classes, ["digest"]).groupBy("doc").agg(F.min("first").alias("first")))
+    joined = join_spread(places(signed.select("doc", "n")), of_class, ["doc"], "left", ["doc", "_part"]).withColumn("rep", F.coalesce("first", "doc"))
+    joined = join_spread(joined, labels.withColumnRenamed("node", "rep"), ["rep"], "left", ["doc", "_part"])
     component = F.coalesce("component", "rep")
     return joined.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
@@ -507,4 +548,5 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Rows of one doc_id stay or go together; null ids and texts without words stay; no rows give no rows.
     """
     gone = durable(near_duplicates(docs, doc_id, text, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return whole_rows(docs).join(measured(gone), F.col("_row")[doc_id].cast("long") == F.col("_gone"), "left_anti").select("_row.*")
+    rows = whole_rows(docs).withColumn("_gone", F.col("_row")[doc_id].cast("long"))
+    return join_spread(rows, gone, ["_gone"], "left_anti").select("_row.*")

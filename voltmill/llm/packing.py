@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import in_batches, rows
+from .text import counted_once, in_batches, rows
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
@@ -17,9 +17,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LENGTH = 2048
 #: Documents are dealt by a hash to shards of about this many bytes of text; each is packed on its own.
 SHARD_BYTES = 8 << 20
-#: A shard that is larger, as one of a row that is repeated very often, is packed in blocks of about so many tokens.
+#: A shard that has more tokens, which texts of few letters or many short texts make, is packed in blocks of about so many.
 BLOCK_TOKENS = 1 << 22
+#: Of a row that is repeated very often, so many copies go to one shard.
+COPIES_AT_ONCE = 1024
 MAX_TASKS = 20_000
+_FIRST = -(1 << 63)
 
 PACK = pa.schema(
     [("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())),
@@ -115,8 +118,8 @@ def pack(
     a longer document than `length` is cut into segments that doc_starts put together again, and no token is lost. A
     null id stays null; other columns are ignored; no rows give no rows.
 
-    A hash of id and text deals documents to shards, as many as the bytes of all texts ask for, and a shard is packed in
-    order of id: the packs and their ids follow from the documents alone, however files and tasks are cut. One very long
+    A hash of id and text deals documents to shards, as many as the bytes of all texts ask for; a row that is repeated very
+    often is counted and sent once for COPIES_AT_ONCE copies, to many shards. A shard is packed in order of id: the packs and their ids follow from the documents alone, however files and tasks are cut. One very long
     text is held whole.
     """
     ranks = read_ranks(tokenizer)  # the vocabulary file is read here and sent, about 1 MB
@@ -126,14 +129,15 @@ def pack(
 
         def blocks():
             held, tokens, now = [], 0, None
-            for shard, i, _, value in rows(batches):
-                if held and (shard != now or tokens >= block_tokens):
-                    yield now, held
-                    held, tokens = [], 0
-                now = shard
+            for shard, i, _, copies, value in rows(batches):
                 ids = encode((value or b"").decode())
-                held.append((i, ids))
-                tokens += len(ids)
+                for _ in range(copies):
+                    if held and (shard != now or tokens >= block_tokens):
+                        yield now, held
+                        held, tokens = [], 0
+                    now = shard
+                    held.append((i, ids))
+                    tokens += len(ids)
             if held:
                 yield now, held
 
@@ -148,11 +152,15 @@ def pack(
 
         return in_batches(packed(), PACK, 512)
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    narrow = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = narrow.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard")
-    dealt = narrow.select(shard, "doc_id", F.xxhash64("text").alias("hash"), "text").repartitionById(min(shards, MAX_TASKS), (F.col("shard") % MAX_TASKS).cast("int"))
+    often = counted_once(narrow, ["id", "hash"])
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_AT_ONCE))).alias("part")
+    own = often.select("doc_id", "hash", "text", "copies", parts)
+    copies = F.least(F.lit(COPIES_AT_ONCE).cast("long"), F.col("copies") - F.col("part") * COPIES_AT_ONCE).alias("copies")
+    shard = F.pmod(F.xxhash64("doc_id", "text", F.when(F.col("part") > 0, F.col("part"))), F.lit(shards)).alias("shard")
+    dealt = own.select(shard, "doc_id", "hash", copies, "text").repartitionById(min(shards, MAX_TASKS), (F.col("shard") % MAX_TASKS).cast("int"))
     return dealt.sortWithinPartitions("shard", "doc_id", "hash").mapInArrow(run, PACK_DDL)
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import durable, join_spread
+from .text import durable, each_copy, join_spread
 
 #: Bytes of the strings that must not repeat, and of the grams that are anchors.
 LENGTH = 100
@@ -460,13 +460,6 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _each(spans: DataFrame) -> DataFrame:
-    """A row for each copy of a document, dealt out in two steps."""
-    some = spans.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 4096))).alias("_part"))
-    some = some.withColumn("_n", F.least(F.lit(4096).cast("long"), F.col("copies") - F.col("_part") * 4096))
-    return some.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy")).drop("_part", "_n", "_copy")
-
-
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, spans, kept) of each row, repeated rows included: its bytes without the spans of repeated_spans().
 
@@ -475,7 +468,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     found = repeated_spans(docs, doc_id, text, **options).filter(F.size("spans") > 0)
     found = found.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), "version", "spans")
     t = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)).alias("doc"), F.xxhash64(t).alias("version"), t.cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
+    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)).alias("doc"), F.xxhash64(t).alias("version"), t.cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -484,11 +477,11 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
             ids = pa.array([None if d == _FIRST else d for d in doc], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array([own or [] for own in spans], SPANS.field("spans").type), pa.array(left, pa.binary())], ["doc_id", "spans", "kept"])
 
-    joined = join_spread(own, found, ["doc", "version"], ["row"], "left").select("doc", "spans", "text")
+    joined = join_spread(own, found, ["doc", "version"], "left").select("doc", "spans", "text")
     return joined.mapInArrow(run, "doc_id long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def digest(spans: DataFrame) -> DataFrame:
     """A row for each row of the documents: bytes, bytes and spans that go, and the hash of what is left."""
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return _each(spans).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return each_copy(spans).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

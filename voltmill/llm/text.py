@@ -85,30 +85,71 @@ BROADCAST_BYTES = 16 << 20
 
 def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The table, marked for broadcast if it has been counted and fits; else joins with it shuffle, and give the same."""
-    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, k in df.dtypes if k in ("string", "binary")]
     width = F.lit(16 * len(df.columns) + 32)
-    for t in texts:
-        width = width + t
+    for c, k in df.dtypes:
+        if k in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+        elif k.startswith("array"):
+            width = width + 64 * F.greatest(F.size(F.col(f"`{c}`")), F.lit(0))
     size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
 
 
-#: Parts into which rows of one key are dealt where a table of keys is too large to be broadcast.
-SALTS = 64
+#: A key is hot if more than one in 2^HOT_SHARE of all rows have it, so there are no more than 2^HOT_SHARE of them.
+HOT_SHARE = 16
+LEAST_HOT = 16
 
 
-def join_spread(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The hot keys of `rows`, with `_rows`, how many rows have each, and `_parts`, into how many they are dealt."""
+    most = max(LEAST_HOT, rows.count() >> HOT_SHARE)
+    hot = rows.groupBy(*on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > most)
+    return durable(hot.withColumn("_parts", F.ceil(F.col("_rows") / most).cast("int")))
+
+
+def places(rows: DataFrame, parts: int = 1 << HOT_SHARE) -> DataFrame:
+    """Rows with `_part`, by which equal rows are dealt; they have to come from files, so that a lost task finds them in the same places."""
+    return rows.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
+
+
+def join_spread(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner", by: list[str] | None = None) -> DataFrame:
     """Rows joined with a written table that has each key once, however many rows have one key.
 
-    Keys are broadcast if their measured size allows; else rows are dealt by the columns `by` too, so that a key which a
-    third of all rows have is no larger a task than others.
+    Keys are broadcast if their measured size allows. Else hot keys, which are few by their definition, are counted; their
+    rows are dealt to parts and the key goes to each part; rows without a key, as it is null, are dealt too. Rows are
+    dealt by the columns `by`, or by place, for which they have to come from files.
     """
     found = measured(keys)
     if found is not keys:
         return rows.join(found, on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
-    every = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(every, [*on, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot_keys(rows.select(*on), on).select(*on, "_parts"))
+    lacks = F.lit(False)
+    for c in on:
+        lacks = lacks | F.col(c).isNull()
+    dealt = rows.withColumn("_spread", F.xxhash64(*(by or [F.monotonically_increasing_id()])))
+    salt = F.pmod("_spread", F.when(lacks, F.lit(1 << HOT_SHARE)).otherwise(F.coalesce("_parts", F.lit(1)))).cast("int")
+    dealt = dealt.join(hot, on, "left").withColumn("_salt", salt).drop("_parts", "_spread")
+    every = keys.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(every, [*on, "_salt"], how).drop("_salt")
+
+
+def counted_once(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with `copies`: rows equal in `by`, without nulls, of which there are too many are one row with their number, others have 1."""
+    hot = hot_keys(rows.select(*by), by).select(*by, "_rows")
+    if hot.isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    hot = F.broadcast(hot)
+    rest = [c for c in rows.columns if c not in by]
+    once = rows.join(hot, by).groupBy(*by).agg(*[F.first(c).alias(c) for c in rest], F.first("_rows").alias("copies"))
+    return rows.join(hot, by, "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(once)
+
+
+def each_copy(rows: DataFrame, copies: str = "copies") -> DataFrame:
+    """Every row as often as its `copies` say, without that column; dealt out in two steps, so that no list is long."""
+    n = F.col(copies)
+    some = rows.filter(n > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 4096))).alias("_part"))
+    some = some.withColumn("_n", F.least(F.lit(4096).cast("long"), n - F.col("_part") * 4096))
+    return some.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy")).drop("_part", "_n", "_copy", copies)
 
 
 def durable(df: DataFrame) -> DataFrame:
