@@ -3,14 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voltmill.llm import decontam, fingerprint, langid, license_scan, line_dedup, mixing, neardup, packing, secrets, toxicity
+from voltmill.llm import decontam, fingerprint, langid, license_scan, line_dedup, mixing, neardup, packing, phrases, repeats, resample, secrets, toxicity
 
 LONG = "lorem ipsum dolor sit amet " * 8000
 TEXTS = [(1, "the cat sat on the mat and then it slept well", "en", "s0", 5), (1, "the cat sat on the mat and then it slept well", "en", "s0", 5), (2, None, None, None, None), (3, "", "en", "s1", 0),
          (None, "le chat est sur la table et il dort", "fr", "s1", None), (4, LONG, "la", None, 1), (5, "\n\n", None, "s2", 2), (6, "123 !!", "en", "s2", 6), (7, "the cat sat on the mat and then it slept well", "en", "s3", 5)]
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside.
-CLASHES = ["doc", "n", "size", "spans", "_id", "_text", "_k", "_copies", "component", "node", "h1", "target", "cell_n", "score", "values", "chunk", "range", "label"]
+CLASHES = ["doc", "n", "size", "spans", "_id", "_text", "_k", "_copies", "component", "node", "h1", "target", "cell_n", "score", "values", "range", "label", "chunk", "version", "copies", "phrase", "words", "key", "place", "weight", "_part", "_salt"]
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,11 @@ def operators(docs, bench, labels):
     yield "langid", langid.hold_out(docs), True
     yield "license", license_scan.digest(license_scan.find_licenses(docs)), True
     yield "lines", line_dedup.digest(line_dedup.drop_widespread_lines(docs)), True
+    yield "resample", resample.resample(docs, bench), True
+    yield "resample by pairs", resample.resample(docs, bench, longest=2, least_words=1, percent=50), True
+    yield "repeats", repeats.digest(repeats.repeated_spans(docs, length=20, gram=8)), True
+    yield "drop_repeats", repeats.drop_repeats(docs), True
+    yield "collocations", phrases.collocations(docs, least=1), False
     yield "pack", packing.pack(docs), False
     yield "drop_toxic", toxicity.drop_toxic(docs, labels), False
     yield "drop_near", neardup.drop_near_duplicates(docs), False
@@ -53,7 +58,7 @@ def test_odd_rows(docs, bench, labels):
         if by_row:
             assert sorted(r["doc_id"] or -1 for r in rows) == [-1, 1, 1, 2, 3, 4, 5, 6, 7], name
             twice = [r for r in rows if r["doc_id"] == 1]
-            assert name in ("mix", "fingerprint") or twice[0] == twice[1], name
+            assert name in ("mix", "fingerprint", "resample", "resample by pairs") or twice[0] == twice[1], name
     kept = {c for c in docs.columns}
     assert set(toxicity.drop_toxic(docs, labels).columns) == set(mixing.take(docs).columns) == kept
 

@@ -273,8 +273,7 @@ def test_small_sources_stop_at_three_times_their_size(spark):
     assert taken == Counter({r["doc_id"]: r["copies"] for r in rows if r["copies"]})
 
 
-def test_large_cells_are_ranked_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "RANKED_AT_ONCE", 10)
+def test_large_cells_are_ranked_in_parts(spark):
     data = [(i, "one two", f"s{i % 3}") for i in range(300)] + [(7, "one two", "s1")] * 90 + [(None, "one two", "s2")] * 60
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     rows = mixing.mix(df).collect()
@@ -438,7 +437,7 @@ def test_held_out_toxicity(spark):
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=7), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(1, 5))
 def test_wu_manber_equals_brute_force(items, doc, window):
     spans, owners = [], set()
-    decontam.Matcher([(str(k), " ".join(w).encode()) for k, w in enumerate(items)], window)([w.encode() for w in doc], spans, owners)
+    decontam.Matcher([([str(k)], " ".join(w).encode()) for k, w in enumerate(items)], window)([w.encode() for w in doc], spans, owners)
     hit, own = set(), set()
     for k, w in enumerate(items):
         n = min(window, len(w))
