@@ -25,11 +25,11 @@ ANY = settings(max_examples=80, deadline=None, suppress_health_check=list(Health
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=25), max_size=6), st.integers(1, 4))
 def test_automaton_counts_substrings(sequences, longest):
     a = phrases.SuffixAutomaton()
-    for s in sequences:
-        a.add(s)
+    for k, s in enumerate(sequences):
+        a.add(s, k % 3 + 1)
     joined = [x for s in sequences for x in s]
     got = {tuple(joined[e - k : e]): n for k, ends, counts in a.substrings(longest) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)}
-    expected = Counter(tuple(s[i : i + k]) for s in sequences for k in range(1, longest + 1) for i in range(len(s) - k + 1))
+    expected = Counter(tuple(s[i : i + k]) for j, s in enumerate(sequences) for _ in range(j % 3 + 1) for k in range(1, longest + 1) for i in range(len(s) - k + 1))
     assert got == expected
     assert len(a.next) <= 2 * len(joined) + 1
 
@@ -42,7 +42,8 @@ def test_blocks_of_a_shard(sequences, longest, buckets):
     try:
         shard = phrases.Shard(longest)
         for s in sequences:
-            shard.add(s)
+            shard.add(b" ".join(s))
+            shard.add(b"  ".join(s))
         got, where = Counter(), defaultdict(set)
         for bucket, lang, n, packed, counts in shard.blocks("en", buckets):
             own = phrases._unpacked(packed).split(b"\n")
@@ -52,7 +53,7 @@ def test_blocks_of_a_shard(sequences, longest, buckets):
                 where[p].add(bucket)
     finally:
         phrases.PIECE_WORDS = kept
-    assert +got == Counter(b" ".join(s[i : i + k]) for s in sequences for k in range(1, longest + 1) for i in range(len(s) - k + 1))
+    assert +got == Counter(b" ".join(s[i : i + k]) for s in sequences * 2 for k in range(1, longest + 1) for i in range(len(s) - k + 1))
     assert all(len(b) == 1 for b in where.values())
 
 

@@ -1,5 +1,6 @@
 """Phrase collocations: word sequences counted by generalised suffix automata, one for each shard and language."""
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -19,23 +20,28 @@ SUBSUMED = 50
 TOP = 2000
 UNKNOWN = "und"
 #: Words of one automaton, and of one piece of text in it; a longer piece is cut with an overlap that is counted once.
-SHARD_WORDS = 300_000
+SHARD_WORDS = 100_000
 PIECE_WORDS = 1 << 16
 #: Bytes of text whose phrases are counted together, on average, and rows added up at once there.
-BUCKET_BYTES = 8 << 20
-MERGED_ROWS = 1 << 20
+BUCKET_BYTES = 4 << 20
+MERGED_ROWS = 1 << 18
+MAX_TASKS = 20_000
 
 #: A-Z to a-z, marks and line ends to line feeds, tabs to blanks; all else stays.
 _MARKS = bytes(b + 32 if 65 <= b <= 90 else 10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b for b in range(256))
 
 
-def pieces(text: bytes | None) -> Iterator[list[bytes]]:
-    """Words [^\\x20\\x09]+ of the pieces between [.,;:!?\\x0A-\\x0D], A-Z in lower case."""
-    for piece in (text or b"").translate(_MARKS).split(b"\n"):
-        words = piece.split(b" ")
-        words = [w for w in words if w] if b"" in words else words
-        if words:
-            yield words
+def pieces(text: bytes | None) -> list[bytes]:
+    """The pieces between [.,;:!?\\x0A-\\x0D], A-Z in lower case, their words [^\\x20\\x09]+ parted by blanks."""
+    return (text or b"").translate(_MARKS).split(b"\n")
+
+
+class Numbers(dict):
+    """Numbers of words, given as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        own = self[word] = len(self)
+        return own
 
 
 class SuffixAutomaton:
@@ -47,54 +53,65 @@ class SuffixAutomaton:
 
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.end, self.own = [-1], [0], [0], [0]
+        self.link, self.length, self.end = [-1], [0], [0]
+        #: States that began as copies, in which no sequence ended when they were made, and those in which one ended again.
+        self.copies, self.again = [0], []
+        #: Runs of states that began with a sequence that occurs more than once, and how often more.
+        self.often: list[tuple[int, int, int]] = []
         self.size = 0
 
-    def add(self, sequence: list[int]) -> None:
-        following, link, length, end, own = self.next, self.link, self.length, self.end, self.own
-        last, at = 0, self.size
+    def add(self, sequence: list[int], times: int = 1) -> None:
+        """A sequence that occurs so many times."""
+        first, before = len(self.next), len(self.again)
+        self._follow(sequence)
+        if times > 1:
+            self.often.append((first, len(self.next), times - 1))
+            self.again += self.again[before:] * (times - 1)
+
+    def _follow(self, sequence: list[int]) -> None:
+        following, link, length, end, copies, again = self.next, self.link, self.length, self.end, self.copies, self.again
+        last, at, states = 0, self.size, len(following)
         for c in sequence:
             at += 1
-            known = following[last].get(c)
-            if known is not None and length[known] == length[last] + 1:
-                own[known] += 1
-                last = known
-                continue
+            p, known = last, following[last].get(c)
             if known is None:
-                state = len(following)
-                following.append({})
+                state, reach = states, {}
+                following.append(reach)
                 length.append(length[last] + 1)
                 end.append(at)
-                own.append(1)
-                link.append(0)
-                p = last
-                while p >= 0 and c not in following[p]:
-                    following[p][c] = state
+                states += 1
+                while p >= 0:
+                    reach = following[p]
+                    if c in reach:
+                        known = reach[c]
+                        break
+                    reach[c] = state
                     p = link[p]
-                if p < 0:
-                    last = state
+                last = state
+                if known is None:
+                    link.append(0)
                     continue
-                known = following[p][c]
                 if length[known] == length[p] + 1:
-                    link[state] = known
-                    last = state
+                    link.append(known)
                     continue
-                begun = 0
+                link.append(states)
+            elif length[known] == length[last] + 1:
+                again.append(known)
+                last = known
+                continue
             else:  # the sequence so far is within a state of longer ones
-                p, state, begun = last, None, 1
-            copy = len(following)
+                again.append(states)
+                last = states
+            copies.append(states)
             following.append(following[known].copy())
             length.append(length[p] + 1)
             end.append(end[known])
-            own.append(begun)
             link.append(link[known])
-            link[known] = copy
-            if state is not None:
-                link[state] = copy
+            link[known] = states
             while p >= 0 and following[p].get(c) == known:
-                following[p][c] = copy
+                following[p][c] = states
                 p = link[p]
-            last = copy if state is None else state
+            states += 1
         self.size = at
 
     def substrings(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -110,7 +127,12 @@ class SuffixAutomaton:
         up = np.where(shortest > longest, link, np.arange(len(link)))
         while (up != (further := up[up])).any():
             up = further
-        count = np.bincount(up, weights=np.array(self.own), minlength=len(link)).astype(np.int64)
+        own = np.ones(len(link))
+        for first, last, more in self.often:
+            own[first:last] += more
+        own[self.copies] = 0
+        own += np.bincount(np.array(self.again, np.int64), minlength=len(link))
+        count = np.bincount(up, weights=own, minlength=len(link)).astype(np.int64)
         shallow = shortest <= longest
         for k in range(longest, 0, -1):
             states = np.flatnonzero(shallow & ((length == k) if k < longest else (length >= k)))
@@ -121,28 +143,41 @@ class SuffixAutomaton:
 
 
 class Shard:
-    """Word sequences of one language and their automaton; words are numbered as they come."""
+    """Pieces of one language and their automaton; a piece that comes again is followed once, words are numbered as they come."""
 
     def __init__(self, longest: int):
         self.longest = longest
-        self.numbers: dict[bytes, int] = {}
+        self.pieces: dict[bytes, int] = {}
+        self.size = 0
+        self.numbers = Numbers()
         self.words: list[int] = []
         self.automaton = SuffixAutomaton()
         self.twice: list[list[int]] = []
 
-    def add(self, words: list[bytes]) -> None:
-        numbers, overlap = self.numbers, self.longest - 1
-        ids = [numbers.setdefault(w, len(numbers)) for w in words]
-        for at in range(0, max(1, len(ids) - overlap), PIECE_WORDS):
-            part = ids[at : at + PIECE_WORDS + overlap]
-            if at:
-                self.twice.append(part[:overlap])
-            self.words += part
-            self.automaton.add(part)
+    def add(self, piece: bytes) -> int:
+        """Takes a piece and returns about how many words are new to the shard."""
+        times = self.pieces.get(piece, 0)
+        self.pieces[piece] = times + 1
+        more = 0 if times else piece.count(b" ") + 1
+        self.size += more
+        return more
+
+    def follow(self) -> None:
+        overlap = self.longest - 1
+        for piece, times in self.pieces.items():
+            words = piece.split(b" ")
+            ids = list(map(self.numbers.__getitem__, [w for w in words if w] if b"" in words else words))
+            for at in range(0, max(1, len(ids) - overlap), PIECE_WORDS) if ids else ():
+                part = ids[at : at + PIECE_WORDS + overlap]
+                if at:
+                    self.twice += [part[:overlap]] * times
+                self.words += part
+                self.automaton.add(part, times)
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """Phrases as rows of word numbers, -1 beyond their end, and how often each occurs; the counts of equal rows add up."""
-        words, found, counts = np.array(self.words), [], []
+        self.follow()
+        words, found, counts = np.array(self.words, np.int64), [], []
         for k, ends, n in self.automaton.substrings(self.longest):
             ids = np.full((len(ends), self.longest), -1)
             ids[:, :k] = words[ends[:, None] - k + np.arange(k)]
@@ -156,6 +191,8 @@ class Shard:
     def blocks(self, lang: str, buckets: int) -> Iterator[tuple]:
         """(bucket, lang, n, phrases, counts): phrases in order, joined by line feeds, with their counts, both packed."""
         ids, counts = self.counted()
+        if not len(ids):
+            return
         words = sorted(self.numbers)
         rank = np.empty(len(words) + 1, np.int64)
         rank[[self.numbers[w] for w in words]] = np.arange(len(words))
@@ -168,7 +205,8 @@ class Shard:
             code = code * (len(words) + 1) + ids[:, k] + 1
             spread = np.where(ids[:, k] >= 0, (spread ^ (spread >> np.uint64(29)) ^ hashes[ids[:, k]]) * np.uint64(0x9E3779B97F4A7C15), spread)
         bucket = ((spread >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((code, bucket))
+        order = np.argsort(code)
+        order = order[np.argsort(bucket[order].astype(np.int16 if buckets < 1 << 15 else np.int64), kind="stable")]
         ids, counts, bucket = ids[order], counts[order].astype(np.int32), bucket[order]
         names = pa.array(words, pa.large_binary())
         phrase = names.take(pa.array(ids[:, 0]))
@@ -199,21 +237,26 @@ def _by_shard(longest: int, buckets: int, shard_words: int):
         held = 0
 
         def out(lang: str) -> pa.RecordBatch:
-            found = list(zip(*open_.pop(lang).blocks(lang, buckets), strict=True))
+            found = list(zip(*open_.pop(lang).blocks(lang, buckets), strict=True)) or [[]] * len(BLOCKS)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, BLOCKS, strict=True)], schema=BLOCKS)
 
-        for lang, text in rows(batches):
-            name = UNKNOWN if lang is None else lang.decode()
-            for words in pieces(text):
-                shard = open_.get(name) or open_.setdefault(name, Shard(longest))
-                shard.add(words)
-                held += len(words)
-                if held >= shard_words:  # the largest automaton goes, so that rare languages go on in theirs
-                    most = max(open_, key=lambda k: len(open_[k].words))
-                    held -= len(open_[most].words)
-                    yield out(most)
-        for lang in list(open_):
-            yield out(lang)
+        gc.disable()  # automata hold no cycles, and looking for some in them takes a third of the time
+        try:
+            for lang, text in rows(batches):
+                name = UNKNOWN if lang is None else lang.decode()
+                for piece in pieces(text):
+                    if not piece:
+                        continue
+                    shard = open_.get(name) or open_.setdefault(name, Shard(longest))
+                    held += shard.add(piece)
+                    if held >= shard_words:  # the largest shard goes, so that rare languages go on in theirs
+                        most = max(open_, key=lambda k: open_[k].size)
+                        held -= open_[most].size
+                        yield out(most)
+            for lang in list(open_):
+                yield out(lang)
+        finally:
+            gc.enable()
 
     return run
 
@@ -230,7 +273,7 @@ def _added_up(least: int):
         now, n = None, 0
 
         def merged() -> pa.Table:
-            table = pa.concat_tables(held).group_by("phrase").aggregate([("f", "sum")])
+            table = pa.concat_tables(held).group_by("phrase", use_threads=False).aggregate([("f", "sum")])  # of binary, as large ones are far slower
             return table.rename_columns(["f", "phrase"] if table.column_names[0] == "f_sum" else ["phrase", "f"]).select(["phrase", "f"])
 
         def out() -> pa.RecordBatch:
@@ -249,7 +292,7 @@ def _added_up(least: int):
                 yield out()
                 held, n = [], 0
             now = bucket, lang
-            held.append(pa.table({"phrase": pa.array(_unpacked(phrases).split(b"\n"), pa.large_binary()), "f": pa.array(np.frombuffer(_unpacked(counts), np.int32).astype(np.int64))}))
+            held.append(pa.table({"phrase": pa.array(_unpacked(phrases).split(b"\n"), pa.binary()), "f": pa.array(np.frombuffer(_unpacked(counts), np.int32).astype(np.int64))}))
             n += many
             if n >= MERGED_ROWS:
                 held = [merged()]
@@ -271,7 +314,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     blocks = narrow.mapInArrow(_by_shard(longest, buckets, shard_words), BLOCKS_DDL)
-    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_added_up(least), COUNTED_DDL)
+    return blocks.repartitionById(min(buckets, MAX_TASKS), F.col("bucket") % MAX_TASKS).sortWithinPartitions("bucket", "lang").mapInArrow(_added_up(least), COUNTED_DDL)
 
 
 def _part(words: Column, start: Column | int, length: Column) -> Column:
