@@ -1,4 +1,7 @@
 import json
+import random
+import time
+from collections import Counter
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -6,13 +9,13 @@ from pyspark.sql import functions as F
 
 from voltmill import schemas
 from voltmill.config import EngineConfig
-from voltmill.operators import maintenance
+from voltmill.operators import ingest, live, maintenance
 from voltmill.plans import testbed, views
 from voltmill.sources import archive, deliveries, fixtures
 from voltmill.sources import store as st
 from voltmill.sources.store import FACTS, Store
 from voltmill.sources.tables import archive_pages, page_deliveries
-from voltmill.streaming import pipeline
+from voltmill.streaming import health, pipeline
 
 
 def message(delivery, readings, at="2014-01-13T10:00:00Z", source="live", **more):
@@ -109,41 +112,127 @@ def test_a_batch_that_dies_leaves_the_tables(spark, tmp_path, monkeypatch):
     assert store.facts().count() == 2 and store.vacuum() > 0 and store.facts().count() == 2
 
 
-def test_repeats_expire(spark):
-    """The state lets an id pass again once its time is over, and forgets it."""
-    class State:
-        exists, hasTimedOut, get, timeout = False, False, (None,), None
+class Clock:
+    """State and timers of one key, as the engine keeps them, by a clock that the test sets."""
 
-        def update(self, v):
-            self.exists, self.get = True, v
+    def __init__(self, now=0):
+        self.now, self.value, self.until, self.timers = now, None, None, set()
 
-        def setTimeoutTimestamp(self, t):  # noqa: N802
-            self.timeout = t
+    def getValueState(self, name, schema, ttl_ms=None):  # noqa: N802
+        self.ttl_ms = ttl_ms
+        return self
 
-        def remove(self):
-            self.exists = False
+    def exists(self):
+        return self.value is not None and (self.ttl_ms is None or self.now < self.until)
 
-    import pandas as pd
+    def get(self):
+        return self.value
 
-    found = {}
+    def update(self, value):
+        self.value, self.until = value, self.now + (self.ttl_ms or 0)
 
-    class Grouped:
-        def groupBy(self, *_):  # noqa: N802
-            return self
+    def clear(self):
+        self.value = None
 
-        def applyInPandasWithState(self, f, *_):  # noqa: N802
-            found["f"] = f
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
 
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(pipeline, "arrivals", lambda _: type("A", (), {"withWatermark": lambda self, *_: Grouped()})())
-        pipeline.mark_sightings(None)
-    state, hour = State(), 3_600_000
-    rows = lambda hours: pd.DataFrame({"value": "v", "lane": 0, "arrived_ms": [int(h * hour) for h in hours]})
-    mark = lambda hours: [list(x["repeat"]) for x in found["f"](("k",), iter([rows(hours)]), state)]
-    assert mark([0, 0, 23]) == [[False, True, True]] and mark([23.9, 24, 25]) == [[True, False, True]]
-    assert state.timeout == 48 * hour
-    state.hasTimedOut = True
-    assert list(found["f"](("k",), iter([]), state)) == [] and not state.exists
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs  # noqa: N815
+
+
+def test_repeats_expire():
+    """A key passes again once its time is over, from the last time that it passed; a clock that goes back drops nothing."""
+    hour, clock, marks = 3_600_000, Clock(), pipeline.Sightings(24 * 3_600_000)
+    marks.init(clock)
+
+    def mark(at, n=1):
+        clock.now = int(at * hour)
+        return [r["repeat"] for r in marks.handleInputRows(("k",), iter([{"value": "v", "lane": 0}] * n), None)]
+
+    assert mark(0, 2) == [False, True] and mark(23) == [True] and mark(23.9) == [True]
+    assert mark(24, 2) == [False, True] and mark(25) == [True]
+    assert mark(10) == [True] and mark(47.9) == [True] and mark(48) == [False]
+
+
+def test_feeds_fall_silent():
+    """A lane lives from its first delivery on until nothing came for its time to live, which each delivery begins anew."""
+    clock, feed = Clock(1000), health.Feed(150, 60)
+    feed.init(clock)
+    deliver = lambda key: [tuple(r) for r in feed.handleInputRows((key,), iter([1, 2]), clock)]
+    assert deliver("live") == [("live", "LIVE", 1000)] and clock.timers == {151_000}
+    clock.now = 100_000
+    assert deliver("live") == [] and clock.timers == {250_000}
+    clock.now = 250_000
+    assert [tuple(r) for r in feed.handleExpiredTimer(("live",), None, clock)] == [("live", "DEAD", 250_000)] and not clock.exists()
+    fill = Clock(5)
+    feed.init(fill)
+    assert [tuple(r) for r in feed.handleInputRows(("backfill",), iter([1]), fill)] == [("backfill", "LIVE", 5)] and fill.timers == {60_005}
+
+
+def test_health_of_a_stream(spark, tmp_path):
+    """Before anything came the engine is not ready; then its lanes live and its batches are on record."""
+    (tmp_path / "in").mkdir()
+    store = Store(spark, str(tmp_path / "out"))
+    empty = health.health(store).first()
+    assert (empty["feed"], empty["filling_gaps"], empty["ready"], empty["rows"]) == ("DEAD", False, False, 0)
+    (tmp_path / "in" / "0.txt").write_text("\n".join([message("a", []), message("b", [], source="backfill"), "broken"]))
+    listener = health.Progress(store)
+    spark.streams.addListener(listener)
+    try:
+        health.start(deliveries.from_files(spark, str(tmp_path / "in")), store, str(tmp_path / "c"), available_now=True).awaitTermination(180)
+        for _ in range(100):
+            if store.folders("stream_progress"):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    now = health.health(store).first()
+    assert (now["feed"], now["filling_gaps"], now["ready"], now["rows"]) == ("LIVE", True, True, 3)
+    assert {r["source"]: r["status"] for r in store.read("feed_status").collect()} == {"live": "LIVE", "backfill": "LIVE"}
+
+
+def test_live_tables_follow_every_batch(spark, tmp_path):
+    """After each batch the window kept by changes is the one that all facts give, and so are the meters of the sketches."""
+    store = Store(spark, str(tmp_path))
+    t = store.begin()
+    t.append("homes", spark.createDataFrame([(f"h{k}", f"m{k}", "N1", 2, "A", "Std") for k in range(5)], schemas.schema("homes")))
+    t.commit()
+    at = lambda m, h=9, d=13: f"2014-01-{d}T{h:02d}:{m:02d}:00Z"
+    batches = [
+        [message("1", [("m1", at(0), 1.1, at(1)), ("m2", at(10), 2.2, at(11)), ("m1", at(20), 0.3, at(21)), ("m1", at(0, 8), 9, at(1, 8))])],
+        [message("2", [("m1", at(0), 5.5, at(40)), ("m2", at(10), 7.0, at(5)), ("m3", at(29), 0.1, at(30))])],  # one value gives way, one does not
+        [message("3", [("m1", at(0), 4.0, at(50)), ("m4", at(30, 7), 1.0, at(31, 7))])],  # again, and an older half hour
+        [message("4", [("m9", at(31), 2.5, at(32)), ("m1", at(0), 3.0, at(55))])],  # a newer half hour
+        [message("5", [("m2", at(30), 1.0, at(33)), ("m9", at(31), None, at(40)), ("m9", at(31), 0.5, at(59))])],
+    ]
+    for k, lines in enumerate(batches):
+        pipeline.write_batch(spark.createDataFrame([(m, 0, False) for m in lines], "value string, lane int, repeat boolean"), k, store, "s")
+        kept, whole = (df.select("window_start", "kwh", "meters", "forecast").collect() for df in (store.read("live_window"), live.current_window(store.facts(), store.read("homes"))))
+        assert kept == whole and len(kept) == 1, k
+        meters = {r["window_start"]: r["meters"] for r in live.meters_kept(store.read("meter_sketches")).collect()}
+        assert meters == {r["window_start"]: r["meters"] for r in live.windows(store.facts(), store.read("homes")).collect()}, k
+    assert store.read("live_meters").count() == 2
+
+
+def test_counters_run_on_until_it_is_quiet(spark):
+    """Batch by batch the counters are those of sessions over all events."""
+    rnd = random.Random(3)
+    start, kept, events = datetime(2024, 1, 1, tzinfo=UTC), spark.createDataFrame([], schemas.schema("live_counters")), []
+    for _ in range(6):
+        start += timedelta(minutes=rnd.choice([1, 4, 5, 9]))
+        batch = [(kind, rnd.randrange(3), start) for kind in ("duplicates", "invalid")]
+        events += [(kind, at) for kind, n, at in batch for _ in range(n)]
+        kept = live.continued(kept, spark.createDataFrame(batch, "kind string, n long, at timestamp"), 5)
+        kept = spark.createDataFrame(kept.collect(), schemas.schema("live_counters"))
+    for kind in ("duplicates", "invalid"):
+        whole = live.sessions(spark.createDataFrame([(at,) for k, at in events if k == kind], "at timestamp"), "at", 5)
+        assert sorted(tuple(r) for r in whole.collect()) == sorted((r["first_at"], r["last_at"], r["n"]) for r in kept.collect() if r["kind"] == kind)
 
 
 def test_live_counts_go_by_arrival(spark, tmp_path):
@@ -274,11 +363,117 @@ def test_live_and_backfill_give_the_clean_history(spark, tmp_path):
     rows = [(f"m{k % 3}", "h", f"2014-01-{13 + k // 6} {10 + k % 6}:00:00", float(k), f"2014-01-{13 + k // 6} {11 + k % 6}:00:00") for k in range(18)]
     kept = spark.createDataFrame(rows, "meter_id string, household_id string, t string, kwh double, r string")
     kept = kept.select("meter_id", "household_id", F.col("t").cast("timestamp").alias("reading_time"), "kwh", F.col("r").cast("timestamp").alias("received_at"))
-    landing, state = str(tmp_path / "in"), str(tmp_path / "state")
-    now = F.lit("2014-02-01 00:00:00").cast("timestamp")
-    assert archive.pull(kept.filter("kwh < 12"), state, landing, now, 5) == 3
-    assert archive.pull(kept, state, landing, now, 5) == 2  # the last time seen comes again
+    base = str(tmp_path / "archive")
+    kept.filter("kwh < 12").write.mode("append").parquet(base)
+    pull = lambda: archive.pull(spark, base, str(tmp_path / "fill"), str(tmp_path / "cursor"), F.lit("2014-02-01 00:00:00"), limit=5).awaitTermination(120)
+    pull()
+    kept.filter("kwh >= 12").write.mode("append").parquet(base)
+    pull()
+    pull()
+    (tmp_path / "in").mkdir()
     (tmp_path / "in" / "live.txt").write_text(message("live-1", [(m, f"{t}Z".replace(" ", "T"), k, f"{r}Z".replace(" ", "T")) for m, _, t, k, r in rows[3:9]]))
-    pipeline.start(deliveries.from_files(spark, landing), str(tmp_path / "out"), available_now=True).awaitTermination(180)
-    got = {(r["meter_id"], r["reading_time"]): r["kwh"] for r in Store(spark, str(tmp_path / "out")).facts().collect()}
+    both = deliveries.from_files(spark, str(tmp_path / "in")).unionByName(deliveries.from_files(spark, str(tmp_path / "fill"), lane=deliveries.BACKFILL))
+    pipeline.start(both, str(tmp_path / "out"), available_now=True).awaitTermination(180)
+    store = Store(spark, str(tmp_path / "out"))
+    got = {(r["meter_id"], r["reading_time"]): r["kwh"] for r in store.facts().collect()}
     assert got == {(r["meter_id"], r["reading_time"]): r["kwh"] for r in kept.collect()}
+    assert store.read("batch_log").filter("source = 'backfill'").agg(F.sum("reading_count")).first()[0] == 18
+
+
+def landed(spark, path):
+    rows = spark.read.text(path).withColumn("lane", F.lit(1))
+    return Counter((r["meter_id"], r["reading_time"], r["kwh"]) for r in ingest.validate(ingest.flatten(ingest.parse_deliveries(rows))).collect())
+
+
+def test_the_archive_is_read_once(spark, tmp_path, monkeypatch):
+    """Runs that end and one that dies read each row once, ties at the cursor and odd rows included; old files stay shut."""
+    rnd = random.Random(1)
+    day = lambda d, h, m: datetime(2014, 1, d, h, m, tzinfo=UTC)
+    base, at = str(tmp_path / "archive"), dict(limit=7, task_rows=20)
+    rows = [[(f"m{k % 9}", "h", day(1 + n * 3 + k // 40, k % 24, rnd.choice([0, 30])), float(n * 1000 + k), None) for k in range(100)] for n in range(3)]
+    for n in (1, 2):  # the last time of a run goes on in the next one, with greater meters
+        last = max(r[2] for r in rows[n - 1])
+        rows[n] += [(f"n{k}", "h", last, float(9000 + 10 * n + k), None) for k in range(5)]
+    rows[0] += [(None, "h", day(1, 1, 0), 1.0, None), ("m1", "h", None, 1.0, None)]
+    landing, cursor = str(tmp_path / "in"), str(tmp_path / "cursor")
+    whole = Counter()
+    for n in range(3):
+        spark.createDataFrame(rows[n], archive.READING_DDL.replace(":", " ")).repartition(3).write.mode("append").parquet(base)
+        whole += Counter((m, t.astimezone().replace(tzinfo=None), k) for m, _, t, k, _ in rows[n] if m and t)
+        if n == 1:  # a run that dies when its first task ends
+            broken = archive.deliveries_of(archive.pages(spark, base, **at), F.lit("2014-02-01")).withColumn("bad", F.assert_true(F.size("readings") > 7))
+            query = deliveries.to_messages(broken.filter("bad is null")).writeStream.format("text").option("path", landing).option("checkpointLocation", cursor).trigger(availableNow=True).start()
+            with pytest.raises(Exception, match="readings"):
+                query.awaitTermination(120)
+        archive.pull(spark, base, landing, cursor, F.lit("2014-02-01"), **at).awaitTermination(120)
+        assert landed(spark, landing) == whole
+    archive.pull(spark, base, landing, cursor, F.lit("2014-02-01"), **at).awaitTermination(120)
+    assert landed(spark, landing) == whole
+    reader = archive.ArchiveReader({"path": base, "limit": "7", "taskRows": "20"})
+    spans = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(spans) > 5 and sum(b.num_rows for s in spans for b in reader.read(s)) >= sum(whole.values()) // 7
+    assert max(len(s.groups) for s in spans) < len(reader.known)  # a span opens the files of its time alone
+    assert reader.partitions(reader.latestOffset(), reader.latestOffset()) == []
+
+
+def test_runs_open_the_months_they_need(spark, tmp_path):
+    """Silence, the last day and the last days open two months at most, of many."""
+    store = Store(spark, str(tmp_path))
+    for k, month in enumerate(["2013-10", "2013-11", "2013-12", "2014-01", "2014-02"]):
+        rows = [(m, datetime.fromisoformat(f"{month}-05T09:00:00+00:00") + timedelta(hours=h), "h", 1.0, None) for m, h in (("a", 0), ("b", 5))]
+        t = store.begin()
+        t.merge(spark.createDataFrame(rows, "meter_id string, reading_time timestamp, household_id string, kwh double, received_at timestamp"), ["meter_id"], F.current_timestamp())
+        t.commit("s", k)
+    opened = lambda df: {f.split("month=")[1][:7] for f in df.inputFiles()}
+    newest = store.newest()
+    assert opened(store.facts_last(timedelta(days=30), newest)) <= {"2014-01", "2014-02", "2014-03"}
+    assert opened(store.facts_last(timedelta(hours=24), newest)) == {"2014-02"}
+    assert opened(maintenance.last_day(store)) == {"2014-02"}
+    maintenance.run_silence(store, F.current_timestamp())
+    assert [(r["meter_id"], r["silent_hours"]) for r in maintenance.latest_silence(store).collect()] == [("a", 5.0)]
+    assert [r["total_kwh"] for r in maintenance.last_day(store).collect()] == [1.0, 1.0]
+
+
+def test_rejects_leave_by_day(spark, tmp_path):
+    """The archive writes the days of its cuts alone: days before are noted and never read again, and go unread."""
+    store = Store(spark, str(tmp_path))
+    day0 = datetime(2024, 1, 10, 12, tzinfo=UTC)
+    for k in range(12):
+        lines = [message(f"d{k}", [("a", T1, 99, T1), ("b", None, 1.0, T1)])]
+        pipeline.write_batch(spark.createDataFrame([(m, 0, False) for m in lines], "value string, lane int, repeat boolean"), k, store, "s", now=day0 + timedelta(days=k))
+    held = lambda: store.state()["tables"]["rejected_readings"]
+    assert len(held()) == 12
+    maintenance.run_archive(store, F.lit(day0 + timedelta(days=5)))
+    first = held()
+    assert len(first) == 12 and len(store.state()["archived_days"]) == 4 and store.read("rejected_readings").filter("archived").count() == 8
+    maintenance.run_archive(store, F.lit(day0 + timedelta(days=5)))
+    assert {d: p for d, p in held().items() if d != "2024-01-14"} == {d: p for d, p in first.items() if d != "2024-01-14"}
+    maintenance.run_archive(store, F.lit(day0 + timedelta(days=11, hours=1)))
+    assert min(held()) == "2024-01-15" and store.read("rejected_readings").count() == 14
+    total = store.read("rejection_hourly_summary").agg(F.sum("count")).first()[0]
+    assert total == 2 * 11
+    late = spark.createDataFrame([(m, 0, False) for m in [message("z", [("a", T1, 98, T1)])]], "value string, lane int, repeat boolean")
+    pipeline.write_batch(late, 99, store, "s", now=day0 + timedelta(days=6))  # by a clock that goes back
+    maintenance.run_archive(store, F.lit(day0 + timedelta(days=11, hours=1)))
+    assert store.read("rejection_hourly_summary").agg(F.sum("count")).first()[0] == 23
+
+
+def test_dimensions_are_loaded_once(spark, tmp_path):
+    """Households and weather hours that are there stay as they are; two loads that meet do not both count."""
+    store = Store(spark, str(tmp_path))
+    raw = spark.createDataFrame([("h1", "m1", "N1", 2, "A", "ToU"), ("h2", "m2", "N1", 3, "B", "x"), (None, "m3", "N1", 3, "B", "x")], schemas.schema("homes"))
+    maintenance.load_homes(store, raw.filter("household_id = 'h1'"))
+    maintenance.load_homes(store, raw.withColumn("household_size", F.lit(9)))
+    assert {r["household_id"]: (r["household_size"], r["tariff_type"]) for r in store.read("homes").collect()} == {"h1": (2, "ToU"), "h2": (9, "Std")}
+    hours = [(datetime(2014, 1, 1, 9, m, tzinfo=UTC), float(m), kind, m) for m, kind in ((5, "FM-15"), (20, "FM-12"), (50, "FM-15"))]
+    weather = spark.createDataFrame(hours, "observed_at timestamp, temp_c double, report_type string, file_order long")
+    maintenance.load_weather(store, weather, "file_order")
+    maintenance.load_weather(store, weather.withColumn("temp_c", F.lit(-1.0)), "file_order")
+    assert [(r["temp_c"], r["station"]) for r in store.read("weather_hourly").collect()] == [(20.0, "EGLL-Heathrow")]
+    one, two = store.begin(), store.begin()
+    seen = store.folders("homes")
+    for t in (one, two):
+        t.append("homes", raw.limit(0), seen)
+    one.commit()
+    with pytest.raises(RuntimeError):
+        two.commit()

@@ -7,9 +7,12 @@ from voltmill.config import DEFAULT
 from voltmill.functions.columns import exact_sum, seconds_between
 
 
-def silent_meters(facts: DataFrame, homes: DataFrame, hours: float = DEFAULT.silence_hours, days: int = DEFAULT.silence_lookback_days) -> DataFrame:
-    """Meters whose last reading of the last days is over `hours` before the newest reading of all, longest first."""
-    now = facts.agg(F.max("reading_time")).scalar()
+def silent_meters(facts: DataFrame, homes: DataFrame, hours: float = DEFAULT.silence_hours, days: int = DEFAULT.silence_lookback_days, newest: Column | None = None) -> DataFrame:
+    """Meters whose last reading of the last days is over `hours` before the newest reading of all, longest first.
+
+    With `newest` known, the facts are read once and need not go further back than the days.
+    """
+    now = facts.agg(F.max("reading_time")).scalar() if newest is None else newest
     last = facts.filter(F.col("reading_time") > now - F.make_interval(days=F.lit(days))).groupBy("meter_id").agg(F.max("reading_time").alias("last_seen"))
     silent = last.withColumn("_s", seconds_between(now, F.col("last_seen"))).filter(F.col("_s") > hours * 3600)
     known = silent.join(homes.select("meter_id", "postcode_area"), "meter_id", "left")

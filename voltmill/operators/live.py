@@ -9,6 +9,8 @@ from voltmill.functions.columns import band, bucket, exact_sum, rounded
 #: Steps of the panels: value, then from where it is marked, and from where marked strongly.
 BANDS = {"kwh": (4118.0, 4575.0), "forecast": (9720.0, 10800.0), "duplicates": (10.0, 50.0), "invalid": (20.0, 100.0)}
 METERS = (4500.0, 4900.0)
+#: log2 of a sketch's registers; its relative error is about 1.04 / sqrt(registers).
+LG_K = 12
 
 
 def forecast(kwh: Column, seen: Column, book: Column) -> Column:
@@ -20,6 +22,10 @@ def forecast(kwh: Column, seen: Column, book: Column) -> Column:
 def windows(facts: DataFrame, book: DataFrame) -> DataFrame:
     """Every half hour of the facts: total, meters and forecast. The book is one row, the number of known meters."""
     by = facts.groupBy(bucket(F.col("reading_time")).alias("window_start")).agg(exact_sum(F.col("kwh")).alias("kwh"), F.countDistinct("meter_id").alias("meters"))
+    return _with_forecast(by, book)
+
+
+def _with_forecast(by: DataFrame, book: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(book.agg(F.count("*").alias("book")))).select(
         "window_start", "kwh", "meters", forecast(F.col("kwh"), F.col("meters"), F.col("book")).alias("forecast")
     )
@@ -31,6 +37,37 @@ def current_window(facts: DataFrame, book: DataFrame) -> DataFrame:
     return windows(facts.filter(F.col("reading_time") >= newest), book)
 
 
+def deltas(merged: DataFrame) -> DataFrame:
+    """(window_start, meter_id, kwh) that the changed rows of a merge add to half hours, exactly: a value that gives way is taken back."""
+    exact = lambda c: F.coalesce(F.col(c).cast("decimal(28,9)"), F.lit(0).cast("decimal(28,9)"))
+    change = (exact("kwh") - F.when(F.col("replaced"), exact("old_kwh")).otherwise(F.lit(0).cast("decimal(28,9)"))).cast("decimal(28,9)")
+    rows = merged.filter("changed").select(bucket(F.col("reading_time")).alias("window_start"), "meter_id", change.alias("kwh"))
+    return rows.groupBy("window_start", "meter_id").agg(F.sum("kwh").cast("decimal(38,9)").alias("kwh"))
+
+
+def after_deltas(kept: DataFrame, changed: DataFrame) -> DataFrame:
+    """(window_start, meter_id, kwh) of the newest half hour after the changes: `kept` is that of the newest one before."""
+    rows = kept.unionByName(changed)
+    newest = rows.agg(F.max("window_start")).scalar()
+    return rows.filter(F.col("window_start") == newest).groupBy("window_start", "meter_id").agg(F.sum("kwh").cast("decimal(38,9)").alias("kwh"))
+
+
+def kept_window(meters: DataFrame, book: DataFrame) -> DataFrame:
+    """The current window of kept sums of meters, as current_window() gives it from facts."""
+    by = meters.groupBy("window_start").agg(F.sum("kwh").cast("double").alias("kwh"), F.count("*").alias("meters"))
+    return _with_forecast(by, book)
+
+
+def sketches(changed: DataFrame) -> DataFrame:
+    """A sketch of the meters of each half hour that a batch changed."""
+    return changed.groupBy("window_start").agg(F.hll_sketch_agg("meter_id", F.lit(LG_K)).alias("sketch"))
+
+
+def meters_kept(kept: DataFrame) -> DataFrame:
+    """Distinct meters of each half hour from the sketches of all batches, whose union is the sketch of all their rows."""
+    return kept.groupBy("window_start").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("meters"))
+
+
 def rolling_window(readings: DataFrame, book: DataFrame, batch: str = "batch") -> DataFrame:
     """The window that batches leave behind if each adds its readings of its own newest half hour.
 
@@ -46,7 +83,7 @@ def rolling_window(readings: DataFrame, book: DataFrame, batch: str = "batch") -
 
 def meters_sketch(facts: DataFrame) -> DataFrame:
     """Distinct meters a half hour from mergeable sketches."""
-    return facts.groupBy(bucket(F.col("reading_time")).alias("window_start")).agg(F.hll_sketch_estimate(F.hll_sketch_agg("meter_id", F.lit(12))).alias("meters"))
+    return facts.groupBy(bucket(F.col("reading_time")).alias("window_start")).agg(F.hll_sketch_estimate(F.hll_sketch_agg("meter_id", F.lit(LG_K))).alias("meters"))
 
 
 def sessions(events: DataFrame, time: str, gap_minutes: int = DEFAULT.quiet_gap_minutes) -> DataFrame:
@@ -64,6 +101,23 @@ def sessions(events: DataFrame, time: str, gap_minutes: int = DEFAULT.quiet_gap_
     return runs.groupBy("run").agg(F.timestamp_micros(F.min("lo")).alias("first_at"), F.timestamp_micros(F.max("hi")).alias("last_at"), F.sum("n").alias("n")).drop("run")
 
 
+def continued(kept: DataFrame, events: DataFrame, gap_minutes: int = DEFAULT.quiet_gap_minutes) -> DataFrame:
+    """Runs (kind, first_at, last_at, n) of counters after a batch of (kind, at, n), all of whose events come at one time.
+
+    An event less than the gap after the last one of its kind goes on in its run, else a new run begins; so the runs are
+    those of sessions() over all events, and the newest one of a kind is its counter so far.
+    """
+    new = events.filter("n > 0").groupBy("kind").agg(F.min("at").alias("at"), F.sum("n").alias("more"))
+    last = kept.groupBy(F.col("kind").alias("k")).agg(F.max("last_at").alias("newest"))
+    both = new.join(last, F.col("kind") == F.col("k"), "left")
+    on = F.coalesce(F.unix_micros("at") - F.unix_micros("newest") < gap_minutes * 60_000_000, F.lit(False))
+    placed = both.select(F.col("kind").alias("k"), "at", "more", F.when(on, F.col("newest")).alias("goes_on"))
+    grown = kept.join(F.broadcast(placed.drop("at").filter("goes_on is not null").withColumnRenamed("more", "extra")), (F.col("kind") == F.col("k")) & (F.col("last_at") == F.col("goes_on")), "left")
+    at = F.broadcast(placed.select(F.col("k").alias("k2"), F.col("at").alias("now")))
+    grown = grown.join(at, (F.col("k") == F.col("k2")), "left").select("kind", "first_at", F.coalesce("now", "last_at").alias("last_at"), (F.col("n") + F.coalesce("extra", F.lit(0))).alias("n"))
+    return grown.unionByName(placed.filter("goes_on is null").select(F.col("k").alias("kind"), F.col("at").alias("first_at"), F.col("at").alias("last_at"), F.col("more").alias("n")))
+
+
 def trailing(events: DataFrame, time: str, now: Column, minutes: int) -> DataFrame:
     """Events of the last minutes before `now`."""
     return events.agg(F.count_if((F.col(time) > now - F.make_interval(mins=F.lit(minutes))) & (F.col(time) <= now)).alias("n"))

@@ -27,10 +27,11 @@ def top_households(facts: DataFrame, homes: DataFrame, start: Column, end: Colum
     return joined.orderBy(F.desc("total_kwh_day"), "meter_id").limit(k)
 
 
-def segment_days(facts: DataFrame, homes: DataFrame, days: int | None = None) -> DataFrame:
-    """Daily use by group and tariff; with `days`, only that many before the newest reading count."""
+def segment_days(facts: DataFrame, homes: DataFrame, days: int | None = None, newest: Column | None = None) -> DataFrame:
+    """Daily use by group and tariff; with `days`, only that many before the newest reading count, which is looked for if it isn't given."""
     if days is not None:
-        facts = facts.filter(F.col("reading_time") > facts.agg(F.max("reading_time")).scalar() - F.make_interval(days=F.lit(days)))
+        newest = facts.agg(F.max("reading_time")).scalar() if newest is None else newest
+        facts = facts.filter(F.col("reading_time") > newest - F.make_interval(days=F.lit(days)))
     daily = facts.groupBy("meter_id", F.to_date("reading_time").alias("reading_date")).agg(exact_sum(F.col("kwh")).alias("day_kwh"))
     joined = daily.join(homes.select("meter_id", F.coalesce("acorn_group", F.lit("Unknown")).alias("acorn_group"), tariff(F.col("tariff_type")).alias("tariff_type")), "meter_id")
     return (
@@ -93,8 +94,9 @@ def temperature(facts: DataFrame, weather: DataFrame) -> DataFrame:
     return both.crossJoin(F.broadcast(r)).select("reading_date", "avg_temp_c", "total_kwh", "meters_reporting", "r_temp_kwh").orderBy("reading_date")
 
 
-def slots_last_day(facts: DataFrame, hours: int = 24) -> DataFrame:
-    recent = facts.filter(F.col("reading_time") > facts.agg(F.max("reading_time")).scalar() - F.make_interval(hours=F.lit(hours)))
+def slots_last_day(facts: DataFrame, hours: int = 24, newest: Column | None = None) -> DataFrame:
+    newest = facts.agg(F.max("reading_time")).scalar() if newest is None else newest
+    recent = facts.filter(F.col("reading_time") > newest - F.make_interval(hours=F.lit(hours)))
     return recent.groupBy(bucket(F.col("reading_time")).alias("time")).agg(exact_sum(F.col("kwh")).alias("total_kwh")).orderBy("time")
 
 

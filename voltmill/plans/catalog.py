@@ -7,12 +7,12 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltmill.config import EngineConfig
+from voltmill.config import STATE_STORE, EngineConfig
 from voltmill.functions.columns import content_hash, exact_sum
 from voltmill.operators import dims, ingest, jobs, lag, live, maintenance, merge
 from voltmill.plans import analytics, views
 from voltmill.plans import testbed as t
-from voltmill.sources import deliveries, fixtures, tables
+from voltmill.sources import archive, deliveries, fixtures, tables
 from voltmill.sources.store import Store, shared_folder
 from voltmill.streaming import pipeline
 
@@ -606,7 +606,7 @@ def _streamed(spark, sf) -> Store:
     if key in _STORES:
         return _STORES[key]
     own = spark.newSession()
-    for k, v in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.shuffle.partitions", "8")):
+    for k, v in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.shuffle.partitions", "8"), ("spark.sql.streaming.stateStore.providerClass", STATE_STORE)):
         own.conf.set(k, v)
     base = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
@@ -651,6 +651,82 @@ def stream_live_window(spark, sf):
     return _streamed(spark, sf).read("live_window").drop("updated_at")
 
 
+_LEFT = f"{t.HOMES}, {_SENT}, facts AS (SELECT meter_id, reading_time, CASE WHEN wins THEN ek ELSE ck END AS kwh FROM joined)"
+
+
+@query(f"WITH {_LEFT} SELECT {BUCKET} AS window_start, count(DISTINCT meter_id) AS meters, true AS within FROM facts GROUP BY 1")
+def stream_meters_kept(spark, sf):
+    """Distinct meters from the sketches that batches have left, beside exact counts; facts are not read for the former."""
+    store = _streamed(spark, sf)
+    kept = live.meters_kept(store.read("meter_sketches")).withColumnRenamed("meters", "estimate")
+    exact = live.windows(store.facts(), store.read("homes")).select("window_start", "meters")
+    within = F.abs(F.col("meters") - F.col("estimate")) <= F.greatest(F.lit(1.0), 0.05 * F.col("meters"))
+    return exact.join(kept, "window_start", "left").select("window_start", "meters", F.coalesce(within, F.lit(False)).alias("within"))
+
+
+@query(f"""WITH {_SENT}, d AS (SELECT event_id // 50 AS d, any_value(batch) AS batch FROM updates GROUP BY 1)
+SELECT 'duplicates' AS kind, count(*) AS n FROM d WHERE batch % 2 = 0 AND d % 10 = 0 UNION ALL SELECT 'invalid', count(*) FROM updates WHERE event_id % 17 = 0""")
+def stream_counters(spark, sf):
+    """What the counters of repeats and rejects have counted, over all runs."""
+    return _streamed(spark, sf).read("live_counters").groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+@query(f"""WITH {_LEFT}
+SELECT {BUCKET} AS time, {KWH} AS total_kwh FROM facts WHERE reading_time > (SELECT max(reading_time) FROM facts) - INTERVAL 24 HOUR GROUP BY 1""")
+def stream_last_day(spark, sf):
+    return maintenance.last_day(_streamed(spark, sf))
+
+
+@query(f"""WITH {_LEFT},
+daily AS (SELECT meter_id, CAST(reading_time AS DATE) AS reading_date, {KWH} AS day_kwh FROM facts WHERE reading_time > (SELECT max(reading_time) FROM facts) - INTERVAL 7 DAY GROUP BY 1, 2)
+SELECT acorn_group, tariff_type, count(DISTINCT meter_id) AS meter_count, {ROUND(SUM("day_kwh") + " / count(day_kwh)", 3)} AS avg_daily_kwh,
+  {ROUND("min(day_kwh)", 3)} AS min_daily_kwh, {ROUND("max(day_kwh)", 3)} AS max_daily_kwh FROM daily JOIN homes USING (meter_id) GROUP BY 1, 2""")
+def stream_recent_segments(spark, sf):
+    return maintenance.recent_segments(_streamed(spark, sf), 7)
+
+
+def _loaded(spark, sf, name: str) -> DataFrame:
+    """A table after three loads: half of the rows, all of them, and all again with other values, which change nothing."""
+    store = Store(spark, f"{shared_folder(spark)}/dimensions-{uuid4().hex}")
+    if name == "homes":
+        raw = t.homes(spark, sf)
+        some, other = raw.filter(F.crc32("household_id") % 2 == 0), raw.withColumn("household_size", F.col("household_size") + 10)
+        for rows in (some, raw, other):
+            maintenance.load_homes(store, rows)
+    else:
+        raw = t.weather(spark, sf)
+        some = raw.filter(F.hour("observed_at") % 2 == 0)
+        for rows in (some, raw, raw.withColumn("temp_c", F.col("temp_c") - 100)):
+            maintenance.load_weather(store, rows, "file_order")
+    return store.read(name)
+
+
+@query(f"WITH {t.HOMES} SELECT * FROM homes")
+def homes_load(spark, sf):
+    return _loaded(spark, sf, "homes")
+
+
+@query(f"""WITH {t.WEATHER}, hours AS (SELECT *, date_trunc('hour', observed_at) AS h FROM weather)
+SELECT h AS observed_at, 'EGLL-Heathrow' AS station, coalesce(arg_max(temp_c, file_order) FILTER (WHERE report_type = 'FM-12'), arg_min(temp_c, file_order)) AS temp_c,
+  coalesce(max('FM-12') FILTER (WHERE report_type = 'FM-12'), arg_min(report_type, file_order)) AS report_type FROM hours GROUP BY 1""")
+def weather_load(spark, sf):
+    return _loaded(spark, sf, "weather_hourly")
+
+
+@query(f"WITH {t.FACTS} SELECT meter_id, reading_time, kwh, received_at FROM facts")
+def archive_stream(spark, sf):
+    """What two runs of the archive stream land, of an archive that grows between them: each reading once."""
+    base = f"{shared_folder(spark)}/archive-{uuid4().hex}"
+    rows = t.facts(spark, sf).select("meter_id", "household_id", "reading_time", "kwh", "received_at")
+    early = F.col("reading_time") < _ts("2024-01-16 00:00:00")
+    for part in (rows.filter(early), rows.filter(~early)):
+        part.repartitionByRange(4, "reading_time").write.mode("append").parquet(f"{base}/archive")
+        archive.pull(spark, f"{base}/archive", f"{base}/landing", f"{base}/checkpoint", limit=100, task_rows=1000).awaitTermination()
+    landed = spark.read.text(f"{base}/landing").withColumn("lane", F.lit(deliveries.BACKFILL))
+    readings, _ = ingest.split_valid(ingest.validate(ingest.flatten(ingest.parse_deliveries(landed))))
+    return readings.select("meter_id", "reading_time", "kwh", "received_at")
+
+
 @query(f"""WITH {t.UPDATES}
 SELECT date_trunc('hour', reading_time) AS ts_hour, 'missing_kwh' AS rejection_reason, count(*) AS count FROM updates WHERE event_id % 17 = 0 GROUP BY 1""")
 def archive_run(spark, sf):

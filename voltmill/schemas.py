@@ -19,6 +19,11 @@ TABLES = {
     "batch_duplicates": "delivery_id string, detected_at timestamp, source string, reading_count int",
     "dead_letters": "value string, lane int, seen_at timestamp",
     "live_window": "window_start timestamp, kwh double, meters long, forecast double, updated_at timestamp",
+    "live_meters": "window_start timestamp, meter_id string, kwh decimal(38,9)",
+    "meter_sketches": "window_start timestamp, sketch binary",
+    "live_counters": "kind string, first_at timestamp, last_at timestamp, n long",
+    "feed_status": "source string, status string, at timestamp",
+    "stream_progress": "name string, query string, batch long, rows long, seconds double, at timestamp",
     "meter_silence_log": "meter_id string, postcode_area string, last_seen timestamp, silent_hours double, detected_at timestamp",
     "orphan_meters_summary": "meter_id string, first_seen timestamp, last_seen timestamp, reading_count long, total_kwh double",
     "meter_lag_stats": "meter_id string, avg_lag_sec double, p95_lag_sec double, max_lag_sec double, updated_at timestamp",

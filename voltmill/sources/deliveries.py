@@ -30,9 +30,9 @@ def from_kafka(spark: SparkSession, servers: str, topic: str = TOPIC, config: En
     return stream.select(F.col("value").cast("string").alias("value"), F.col("partition").alias("lane"))
 
 
-def from_files(spark: SparkSession, path: str, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Messages that a gateway drops as lines of text files; files count for messages in the cap of a trigger."""
-    return spark.readStream.format("text").option("maxFilesPerTrigger", config.files_per_trigger).load(path).select("value", F.lit(0).alias("lane"))
+def from_files(spark: SparkSession, path: str, config: EngineConfig = DEFAULT, lane: int = LIVE) -> DataFrame:
+    """Messages that a gateway, or a pull of the archive, drops as lines of text files; files count for messages in the cap of a trigger."""
+    return spark.readStream.format("text").option("maxFilesPerTrigger", config.files_per_trigger).load(path).select("value", F.lit(lane).alias("lane"))
 
 
 def to_messages(deliveries: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import json
 import time
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +13,10 @@ from voltmill import schemas
 from voltmill.operators.merge import KEY, corrections, outcome
 
 FACTS = "clean_readings"
+#: Sketches of a window become one where folders become one.
+SKETCHES = "meter_sketches"
+#: Rejects lie by the day on which they came; these days of theirs have been archived as a whole.
+REJECTS, ARCHIVED = "rejected_readings", "archived_days"
 #: As many folders of one tier of a table become one of the next tier, so a table has few and small ones stay rare.
 FOLDERS_A_TIER = 8
 #: Rows of facts of one file, about.
@@ -137,9 +141,19 @@ class Store:
     def facts(self, months: list[str] | None = None) -> DataFrame:
         return self.read(FACTS, months)
 
+    def newest(self) -> datetime | None:
+        """Time of the newest fact; only its month is opened."""
+        months = self.state()["tables"].get(FACTS, {})
+        return self.facts([max(months)]).agg(F.max("reading_time")).first()[0] if months else None
+
+    def facts_last(self, ago: timedelta, newest: datetime) -> DataFrame:
+        """Facts of the time `ago` up to the newest one; months before that are never opened."""
+        return self.facts_between(newest - ago, newest + timedelta(microseconds=1)).filter(F.col("reading_time") > F.lit(newest - ago))
+
     def facts_between(self, start: datetime, end: datetime) -> DataFrame:
         """Facts from `start` until before `end`; only the months between are opened."""
-        months = [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(start.year * 12 + start.month - 1, end.year * 12 + end.month)]
+        lo, hi = start.astimezone(UTC), end.astimezone(UTC)  # as months go by UTC
+        months = [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(lo.year * 12 + lo.month - 1, hi.year * 12 + hi.month)]
         return self.facts(months).filter((F.col("reading_time") >= F.lit(start)) & (F.col("reading_time") < F.lit(end)))
 
     def begin(self) -> "Transaction":
@@ -161,7 +175,8 @@ class Store:
             rows = _newest(self.spark.read.schema(f"{schemas.TABLES[name]}, _version long").parquet(*folders), True, keep=True)
             to = t.put_facts(rows, {part: rows.count()})[part]
         else:
-            to = t.put(name, self.spark.read.schema(schemas.schema(name)).parquet(*folders))
+            rows = self.spark.read.schema(schemas.schema(name)).parquet(*folders)
+            to = t.put(name, rows.groupBy("window_start").agg(F.hll_union_agg("sketch").alias("sketch")) if name == SKETCHES else rows)
 
         def change(state: dict) -> None:
             held = state["tables"][name][part]
@@ -216,9 +231,54 @@ class Transaction:
         dealt.sortWithinPartitions("month", "reading_time", "meter_id").write.mode("overwrite").partitionBy("month").parquet(f"{self.store.base}/{to}")
         return {m: f"{to}/month={m}" for m in months}
 
-    def append(self, name: str, df: DataFrame) -> None:
-        to = self.put(name, df)
-        self.changes.append(lambda state: state["tables"].setdefault(name, {}).setdefault("", []).append([to, 0]))
+    def append(self, name: str, df: DataFrame, seen: list[str] | None = None) -> None:
+        """The rows beside those of the table; if it must not have others than those of the folders `seen`, RuntimeError at the commit."""
+        to, base = self.put(name, df), self.store.base
+
+        def change(state: dict) -> None:
+            held = state["tables"].setdefault(name, {}).setdefault("", [])
+            if seen is not None and not {f"{base}/{p}" for p, _ in held} <= set(seen):
+                raise RuntimeError(f"another run has changed {name}")
+            held.append([to, 0])
+
+        self.changes.append(change)
+
+    def put_days(self, name: str, df: DataFrame, at: str) -> dict[str, str]:
+        """Rows as a folder for each day of the time `at`."""
+        to = f"{name}/{self.id}"
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.schema(name)]).withColumn("day", F.date_format(at, "yyyy-MM-dd"))
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{self.store.base}/{to}")
+        return {f.removeprefix("day="): f"{to}/{f}" for f in self.store.files.names(f"{self.store.base}/{to}") if f.startswith("day=")}
+
+    def append_days(self, name: str, df: DataFrame, at: str) -> None:
+        """Rows to the days on which they came; a day that gets some is not archived as a whole."""
+        days = self.put_days(name, df, at)
+
+        def change(state: dict) -> None:
+            for day, to in days.items():
+                state["tables"].setdefault(name, {}).setdefault(day, []).append([to, 0])
+            state[ARCHIVED] = [d for d in state.get(ARCHIVED, []) if d not in days]
+
+        self.changes.append(change)
+
+    def replace_days(self, name: str, df: DataFrame | None, at: str, read: dict[str, list[str]], archived: list[str]) -> None:
+        """The rows instead of the folders that have been `read`, by day; days that have none left leave. Other folders stay."""
+        days, base = self.put_days(name, df, at) if df is not None else {}, self.store.base
+
+        def change(state: dict) -> None:
+            own = state["tables"].setdefault(name, {})
+            for day, folders in read.items():
+                held = own.pop(day, [])
+                if not set(folders) <= {f"{base}/{p}" for p, _ in held}:
+                    raise RuntimeError(f"another run has changed {name} of {day}")
+                more = [x for x in held if f"{base}/{x[0]}" not in folders]
+                state["left"] += [[time.time(), p] for p, _ in held if f"{base}/{p}" in folders]
+                if day in days or more:
+                    own[day] = [[days[day], 0]] * (day in days) + more
+            whole = [d for d in archived if d in days and len(own[d]) == 1]  # nothing has come meanwhile
+            state[ARCHIVED] = sorted(d for d in {*state.get(ARCHIVED, []), *whole} if d in own)
+
+        self.changes.append(change)
 
     def replace(self, name: str, df: DataFrame, read: list[str] | None = None) -> None:
         """The rows instead of a table's, or instead of those of the folders that have been `read`; others stay."""
@@ -234,8 +294,8 @@ class Transaction:
 
         self.changes.append(change)
 
-    def merge(self, batch: DataFrame, order: list[str], now: Column) -> None:
-        """Merge readings into the facts, and log the values that gave way.
+    def merge(self, batch: DataFrame, order: list[str], now: Column, then: Callable[[DataFrame], None] | None = None) -> None:
+        """Merge readings into the facts, and log the values that gave way; `then` gets the rows that change, while they are held.
 
         Only the months of the batch are read, of them only rows between its first and last time, and only rows that
         change are written; readers take the last version of a key. A null meter or time leaves. RuntimeError at the
@@ -256,6 +316,8 @@ class Transaction:
                 version = store.state()["version"] + 1
                 to = self.put_facts(merged.select(*schemas.schema(FACTS).names, F.lit(version).cast("long").alias("_version")), months)
                 self.append("meter_corrections_log", corrections(merged, now))
+                if then is not None:
+                    then(merged)
             finally:
                 merged.unpersist()
         finally:

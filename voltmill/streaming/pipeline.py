@@ -5,76 +5,80 @@ import logging
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from voltmill.config import DEFAULT, EngineConfig
 from voltmill.operators import lag, live
 from voltmill.operators.ingest import flatten, parse_deliveries, split_valid, validate
-from voltmill.sources.store import FACTS, FOLDERS_A_TIER, Store
+from voltmill.sources.store import FOLDERS_A_TIER, REJECTS, Store, Transaction
 
 log = logging.getLogger(__name__)
 
 MARKED = "value string, lane int, repeat boolean"
 
 
-def arrivals(messages: DataFrame) -> DataFrame:
-    """(value, lane, key, arrived_at, arrived_ms) of messages.
+def keyed(messages: DataFrame) -> DataFrame:
+    """(value, lane, key) of messages.
 
-    Only the time of arrival counts for repeats, so however late a delivery was made, and whether or not it says so, it
-    is never too late. A delivery without an id goes by its readings, a dead message by its text.
+    Nothing that a delivery says of its times counts for repeats, so however late it was made, and whether or not it says
+    so, it is never too late. A delivery without an id goes by its readings, a dead message by its text.
     """
     key = (
         F.when(F.col("dead"), F.concat(F.lit("dead "), F.md5(F.coalesce("value", F.lit("")).cast("binary"))))
         .when(F.col("delivery_id") == "", F.concat(F.lit("readings "), F.md5(F.to_json("readings").cast("binary"))))
         .otherwise(F.concat(F.lit("id "), F.col("delivery_id")))
     )
-    now = F.current_timestamp()
-    return parse_deliveries(messages).select("value", F.col("lane").cast("int").alias("lane"), key.alias("key"), now.alias("arrived_at"), F.unix_millis(now).alias("arrived_ms"))
+    return parse_deliveries(messages).select("value", F.col("lane").cast("int").alias("lane"), key.alias("key"))
+
+
+class Sightings(StatefulProcessor):
+    """Marks messages whose key has passed less than the time to live ago.
+
+    The state is one value a key, and the store itself forgets it when its time is over. There is no watermark: if the
+    clock goes back, keys are remembered longer, and no message is dropped.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.passed = handle.getValueState("passed", "lane int", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        repeat = self.passed.exists()
+        for r in rows:
+            yield Row(value=r["value"], lane=r["lane"], repeat=repeat)
+            if not repeat:
+                self.passed.update((r["lane"],))
+                repeat = True
+
+    def close(self) -> None:
+        pass
 
 
 def mark_sightings(messages: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Messages with `repeat`: whether their key has passed less than the time to live ago; nothing is dropped.
 
-    The state holds a time for each key and forgets it after the time to live, by the watermark on arrivals. A batch
-    that is replayed has the state it had, so it decides the same.
+    Needs the state store of config.STATE_STORE. A batch that is replayed has the state it had, so it decides the same.
     """
     ttl = config.dedup_ttl_hours * 3_600_000
-
-    def mark(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        since = state.get[0] if state.exists else None
-        for rows in batches:
-            repeat = []
-            for t in rows["arrived_ms"].tolist():
-                again = since is not None and t - since < ttl
-                since = since if again else t
-                repeat.append(again)
-            yield rows[["value", "lane"]].assign(repeat=repeat)
-        state.update((since,))
-        state.setTimeoutTimestamp(since + ttl)
-
-    arrived = arrivals(messages).withWatermark("arrived_at", "1 minute")
-    return arrived.groupBy("key").applyInPandasWithState(mark, MARKED, "since long", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed(messages).groupBy("key").transformWithState(Sightings(ttl), MARKED, "append", "processingTime")
 
 
 def write_batch(marked: DataFrame, epoch: int, store: Store, stream: str, config: EngineConfig = DEFAULT, now: datetime | None = None) -> None:
     """One micro-batch of (value, lane, repeat): dead letters, repeats, log, rejects, merge and lag, all seen at once.
 
-    A batch that this stream has finished before does nothing. The lag statistics, and the live window, which follows
-    once the batch is in, are best effort: if they fail the readings stay.
+    A batch that this stream has finished before does nothing. The live window and its meters follow from what the merge
+    changes. The lag statistics are best effort: if they fail the readings stay.
     """
     if store.finished(stream, epoch):
         return
     at = now or datetime.now(UTC)
     now = F.lit(at)
     parsed = parse_deliveries(marked).persist()
-    readings = None
+    readings, invalid = None, 0
     try:
         t = store.begin()
         n = parsed.agg(F.count_if("dead").alias("dead"), F.count_if(~F.col("dead") & F.col("repeat")).alias("repeats"), F.count_if(~F.col("dead") & ~F.col("repeat")).alias("new")).first()
@@ -87,41 +91,49 @@ def write_batch(marked: DataFrame, epoch: int, store: Store, stream: str, config
             t.append("batch_log", new.select("delivery_id", "source", F.col("ingest_time").alias("received_at"), F.size("readings").alias("reading_count"), F.lit("accepted").alias("status"), now.alias("logged_at")))
             readings = validate(flatten(new), config).persist()
             valid, rejected = split_valid(readings)
-            if not rejected.isEmpty():
+            invalid = rejected.count()
+            if invalid:
                 number = F.xxhash64(F.lit(t.id), F.monotonically_increasing_id())
-                t.append("rejected_readings", rejected.withColumns({"id": number, "rejected_at": now, "archived": F.lit(False)}))
-            t.merge(valid, ["ingest_time", "delivery_id", "place"], now)
+                t.append_days(REJECTS, rejected.withColumns({"id": number, "rejected_at": now, "archived": F.lit(False)}), "rejected_at")
+            t.merge(valid, ["ingest_time", "delivery_id", "place"], now, lambda merged: update_live(store, t, merged, now))
             try:
                 t.replace("meter_lag_stats", lag.upsert_lag(store.read("meter_lag_stats"), lag.lag_stats(valid), config.ewma_keep).withColumn("updated_at", now))
             except Exception:
                 log.exception("epoch %d: lag statistics", epoch)
+        if n["repeats"] or invalid:
+            events = store.spark.createDataFrame([("duplicates", n["repeats"]), ("invalid", invalid)], "kind string, n long").withColumn("at", now)
+            t.replace("live_counters", live.continued(store.read("live_counters"), events, config.quiet_gap_minutes), store.folders("live_counters"))
         t.commit(stream, epoch)
     finally:
         parsed.unpersist()
         if readings is not None:
             readings.unpersist()
     try:
-        if n["new"]:
-            update_live_window(store, at)
         if epoch % FOLDERS_A_TIER == FOLDERS_A_TIER - 1:
             store.compact()
     except Exception:
-        log.exception("epoch %d: live window or compaction", epoch)
+        log.exception("epoch %d: compaction", epoch)
 
 
-def update_live_window(store: Store, at: datetime) -> None:
-    """Put the half hour of the newest reading, from merged facts, in place of the last one; only its month is read."""
-    months = store.state()["tables"].get(FACTS, {})
-    if not months:
-        return
-    before = store.read("live_window").agg(F.max("window_start")).first()[0]
-    facts = store.facts([max(months)])
-    if before is not None:
-        facts = facts.filter(F.col("reading_time") >= F.lit(before))
-    window = live.current_window(facts, store.read("homes")).withColumn("updated_at", F.lit(at))
-    t = store.begin()
-    t.replace("live_window", window)
-    t.commit()
+def update_live(store: Store, t: Transaction, merged: DataFrame, now: Column) -> None:
+    """Bring the live tables up to date by what a merge has changed; no fact is read again.
+
+    live_meters holds the sum of each meter in the half hour of the newest reading. A stored value that gives way is
+    taken back and the new one added; a batch with a newer half hour starts from nothing, as no earlier reading lies in
+    it. meter_sketches gets a sketch of the batch's meters for each half hour, which add up to distinct meters.
+    """
+    before = store.folders("live_meters")
+    changed = live.deltas(merged).persist()
+    try:
+        t.append("meter_sketches", live.sketches(changed))
+        meters = live.after_deltas(store.read("live_meters"), changed).persist()
+        try:
+            t.replace("live_meters", meters, read=before)
+            t.replace("live_window", live.kept_window(meters, store.read("homes")).withColumn("updated_at", now))
+        finally:
+            meters.unpersist()
+    finally:
+        changed.unpersist()
 
 
 def start(messages: DataFrame, base: str, config: EngineConfig = DEFAULT, available_now: bool = False, dedup: bool = True, checkpoint: str | None = None) -> StreamingQuery:
@@ -131,14 +143,24 @@ def start(messages: DataFrame, base: str, config: EngineConfig = DEFAULT, availa
     """
     store = Store(messages.sparkSession, base)
     checkpoint = checkpoint or f"{base}/_checkpoint"
-    stream = mark_sightings(messages, config) if dedup else arrivals(messages).select("value", "lane", F.lit(False).alias("repeat"))
+    stream = mark_sightings(messages, config) if dedup else keyed(messages).select("value", "lane", F.lit(False).alias("repeat"))
 
     def run(df: DataFrame, epoch: int) -> None:
         write_batch(df, epoch, store, json.loads(store.files.read(f"{checkpoint}/metadata"))["id"], config)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{config.trigger_seconds} seconds")
-    return writer.start()
+    return begun(messages.sparkSession, writer, config, available_now, False)
+
+
+def begun(spark: SparkSession, writer: DataStreamWriter, config: EngineConfig, available_now: bool, idle: bool) -> StreamingQuery:
+    """The query, started; with `idle` it also runs batches without data, which timers need and no run that is to end may have."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, str(idle and not available_now).lower())  # a query keeps the settings that it begins with
+    try:
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{config.trigger_seconds} seconds")).start()
+    finally:
+        spark.conf.set(name, kept)
 
 
 def live_counts(messages: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
