@@ -1,5 +1,8 @@
 """Deliveries from raw messages: parsing, dead letters, repeats, flattening and validation."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,19 +78,28 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 def mark_repeats(deliveries: DataFrame, hours: int = DEFAULT.dedup_ttl_hours, order: str = "seq") -> DataFrame:
     """Deliveries with `repeat`: seen again less than `hours` after the sighting that last passed.
 
-    A pass starts the time anew, a repeat does not. Sightings of one id are folded in order of ingest_time, then
-    `order`, and only those that pass are kept, one at most in `hours`.
+    A pass starts the time anew, a repeat does not. Sightings are put in order of id, ingest_time and `order` and pass by
+    as a stream, of which one time is held, so an id may come as often as it likes; those that pass meet the deliveries
+    again. A sighting without a time passes, and so does the one after it.
     """
     ttl = hours * 3_600_000_000
     kind = deliveries.schema[order].dataType.simpleString()
-    seen = deliveries.groupBy("delivery_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ingest_time").alias("at"), F.col(order).alias("o")))).alias("seen"))
-    start = F.struct(F.lit(None).cast("long").alias("since"), F.array().cast(f"array<{kind}>").alias("passed"))
-
-    def step(acc, s):
-        again = F.coalesce(s["at"] - acc["since"] < ttl, F.lit(False))
-        return F.struct(F.when(again, acc["since"]).otherwise(s["at"]).alias("since"), F.when(again, acc["passed"]).otherwise(F.concat(acc["passed"], F.array(s["o"]))).alias("passed"))
-
-    passed = seen.select("delivery_id", F.explode(F.aggregate("seen", start, step, lambda acc: acc["passed"])).alias(order), F.lit(False).alias("_again"))
+    seen = deliveries.select("delivery_id", F.unix_micros("ingest_time").alias("at"), F.col(order).alias("o"))
+    ordered = seen.repartition("delivery_id").sortWithinPartitions("delivery_id", "at", "o")
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, since, begun = None, None, False
+        for batch in batches:
+            keep = []
+            for i, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or i != own:
+                    own, since, begun = i, None, True
+                again = since is not None and at is not None and at - since < ttl
+                since = since if again else at
+                keep.append(not again)
+            yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
+
+    passed = ordered.mapInArrow(passing, f"delivery_id string, o {kind}").select("delivery_id", F.col("o").alias(order), F.lit(False).alias("_again"))
     return deliveries.join(passed, ["delivery_id", order], "left").withColumn("repeat", F.coalesce("_again", F.lit(True))).drop("_again")
 
 

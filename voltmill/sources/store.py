@@ -173,7 +173,7 @@ class Store:
         folders = [f"{self.base}/{p}" for p in own]
         if name == FACTS:
             rows = _newest(self.spark.read.schema(f"{schemas.TABLES[name]}, _version long").parquet(*folders), True, keep=True)
-            to = t.put_facts(rows, {part: rows.count()})[part]
+            to = t.put_facts(rows, {part: self.spark.read.parquet(*folders).count()})[part]  # from footers; older versions count too
         else:
             rows = self.spark.read.schema(schemas.schema(name)).parquet(*folders)
             to = t.put(name, rows.groupBy("window_start").agg(F.hll_union_agg("sketch").alias("sketch")) if name == SKETCHES else rows)

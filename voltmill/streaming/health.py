@@ -1,9 +1,11 @@
 """Health of the stream: whether deliveries come in, by timers, and how its batches go, by a listener."""
 
 import logging
+import sys
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
@@ -14,6 +16,7 @@ from voltmill.sources.store import Store
 from voltmill.streaming.pipeline import begun
 
 log = logging.getLogger(__name__)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # processors travel with their code
 
 LIVE, DEAD = "LIVE", "DEAD"
 STATUS = "source string, status string, at_ms long"

@@ -2,9 +2,11 @@
 
 import json
 import logging
+import sys
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -15,6 +17,7 @@ from voltmill.operators.ingest import flatten, parse_deliveries, split_valid, va
 from voltmill.sources.store import FOLDERS_A_TIER, REJECTS, Store, Transaction
 
 log = logging.getLogger(__name__)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # processors travel with their code
 
 MARKED = "value string, lane int, repeat boolean"
 
