@@ -143,7 +143,7 @@ def test_tiles_lose_no_link(spark, monkeypatch):
     one = sorted(map(tuple, neardup.near_duplicates(df, words=2).collect()))
     for tile in (4000, 20_000):
         monkeypatch.setattr(neardup, "TILE_BYTES", tile)
-        monkeypatch.setattr(neardup, "COLUMNS", 64)
+        monkeypatch.setattr(neardup, "BITS", 1)
         for region in (1024, 16):
             assert sorted(map(tuple, neardup.near_duplicates(df, words=2, region=region).collect())) == one
 

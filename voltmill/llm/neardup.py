@@ -28,10 +28,11 @@ ROUNDS = (2, 4, 10)
 BITS_APART = 30
 #: Bytes of sets that meet at once; larger chunks and families are dealt to tiles of two such parts.
 TILE_BYTES = 8 << 20
-#: Shingles of a tile whose bits are held at once.
-COLUMNS = 8192
+#: Bits of a tile's shingles that are held at once, and shingles that have one each at least.
+BITS = 8 << 20
+COLUMNS = 64
 #: Rows of a block on one side at most, and how many are counted against all of them at once.
-BLOCK_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 14
 PROBES = 256
 #: Counters of shingles, whose order by frequency the exact join follows; any order gives the same links.
 COUNTERS = 1 << 18
@@ -316,9 +317,10 @@ def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, able: np
     many = np.bincount(column)[column] > 1 if len(column) else begins
     owner, begins = owner[many], begins[many]
     column = np.cumsum(begins) - 1
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (at, at + COLUMNS))
-        bits = np.zeros((len(sets), COLUMNS), bool)
+    width = max(COLUMNS, BITS // max(1, len(sets)) // 64 * 64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (at, at + width))
+        bits = np.zeros((len(sets), width), bool)
         bits[owner[a:b], column[a:b] - at] = True
         bits = np.packbits(bits, axis=1).view(np.uint64)
         other = bits[right]
