@@ -65,7 +65,7 @@ def drop_widespread_lines(
     wide = durable(widespread_lines(lines, min_sites, lg_k))
     hits = _held(lines, wide).groupBy("_id", "_version").agg(F.array_sort(F.collect_set("_at")).alias("_removed"))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), _key(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_version"))
-    joined = join_spread(own, durable(hits), ["_id", "_version"], "left")
+    joined = join_spread(own, durable(hits), ["_id", "_version"], "left", small=False)
     every = lambda lines: F.sequence(F.lit(0), F.size(lines) - 1)
     stay = lambda lines: F.transform(F.array_except(every(lines), "_removed"), lambda k: F.get(lines, k))
     left = F.element_at(F.transform(F.array(_lines(F.col("_text"))), lambda lines: F.array_join(stay(lines), "\n")), 1)

@@ -112,14 +112,14 @@ def places(rows: DataFrame, parts: int = 1 << HOT_SHARE) -> DataFrame:
     return rows.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
 
 
-def join_spread(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner", by: list[str] | None = None) -> DataFrame:
+def join_spread(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner", by: list[str] | None = None, small: bool = True) -> DataFrame:
     """Rows joined with a written table that has each key once, however many rows have one key.
 
-    Keys are broadcast if their measured size allows. Else hot keys, which are few by their definition, are counted; their
+    Keys are broadcast if their measured size allows, unless they grow with the rows and so are not `small`. Else hot keys, which are few by their definition, are counted; their
     rows are dealt to parts and the key goes to each part; rows without a key, as it is null, are dealt too. Rows are
     dealt by the columns `by`, or by place, for which they have to come from files.
     """
-    found = measured(keys)
+    found = measured(keys) if small else keys
     if found is not keys:
         return rows.join(found, on, how)
     hot = F.broadcast(hot_keys(rows.select(*on), on).select(*on, "_parts"))
