@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltmill import schemas
 from voltmill.config import EngineConfig
 from voltmill.operators import ingest, live, maintenance
-from voltmill.plans import testbed, views
+from voltmill.plans import catalog, testbed, views
 from voltmill.sources import archive, deliveries, fixtures
 from voltmill.sources import store as st
 from voltmill.sources.store import FACTS, Store
@@ -477,3 +477,18 @@ def test_dimensions_are_loaded_once(spark, tmp_path):
     one.commit()
     with pytest.raises(RuntimeError):
         two.commit()
+
+
+def test_a_feed_is_one_batch_of_many_files(spark, tmp_path):
+    """The feed of the catalog's stream is written by all tasks, not by one, and each feed still is one batch."""
+    store = Store(spark, str(tmp_path / "tables"))
+    for k in range(2):
+        lines = [(message(f"d{k}{i}", [("a", T1, float(i), f"2014-01-13T{9 + k:02d}:00:{i:02d}Z")]),) for i in range(6)]
+        catalog._fed(store, spark.createDataFrame(lines, "value string").repartition(3), str(tmp_path))
+        assert len(list((tmp_path / "in").glob("part-*"))) == 3 * (k + 1)
+        assert list(store.state()["batches"].values()) == [k] and store.read("batch_log").count() == 6 * (k + 1)
+    assert kwh(store) == {("a", 1): 5.0}
+
+
+def test_partitions_of_a_feed_follow_cores_and_rows():
+    assert catalog._parts(4, 1000) == 8 and catalog._parts(12, 1000) == 12 and catalog._parts(12, 200_000_000) == 50

@@ -598,6 +598,7 @@ joined AS (
     e.meter_id IS NOT NULL AND (c.meter_id IS NULL OR coalesce(e.received_at > c.received_at, false) OR (e.received_at IS NOT DISTINCT FROM c.received_at AND e.kwh IS DISTINCT FROM c.kwh)) AS wins
   FROM target c FULL JOIN incoming e ON c.meter_id = e.meter_id AND c.reading_time = e.reading_time)"""
 _STORES: dict[tuple[str, str], Store] = {}
+PART_ROWS = 4_000_000
 
 
 def _streamed(spark, sf) -> Store:
@@ -606,7 +607,8 @@ def _streamed(spark, sf) -> Store:
     if key in _STORES:
         return _STORES[key]
     own = spark.newSession()
-    for k, v in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.shuffle.partitions", "8"), ("spark.sql.streaming.stateStore.providerClass", STATE_STORE)):
+    parts = str(_parts(spark.sparkContext.defaultParallelism, t.table(spark, sf, "events").count()))
+    for k, v in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.shuffle.partitions", parts), ("spark.sql.streaming.stateStore.providerClass", STATE_STORE)):
         own.conf.set(k, v)
     base = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
@@ -621,12 +623,23 @@ def _streamed(spark, sf) -> Store:
     t0.append("homes", t.homes(own, sf))
     t0.commit()
     for messages in (first, second):
-        messages.coalesce(1).write.mode("append").text(f"{base}/in")
-        pipeline.start(deliveries.from_files(own, f"{base}/in", EngineConfig(files_per_trigger=1)), store.base, available_now=True, checkpoint=f"{base}/checkpoint").awaitTermination()
+        _fed(store, messages, base)
     _STORES[key] = store
     return store
 
 
+def _parts(cores: int, rows: int) -> int:
+    """Partitions of the stream and its state: all cores have one, and none has more than PART_ROWS rows of both batches, about."""
+    return max(8, cores, -(-rows // PART_ROWS))
+
+
+def _fed(store: Store, messages: DataFrame, base: str) -> None:
+    """Run the messages through the stream as one batch, in as many files as there are tasks that write them."""
+    messages.write.mode("append").text(f"{base}/in")
+    files = EngineConfig(files_per_trigger=sum(n.startswith("part-") for n in store.files.names(f"{base}/in")))
+    pipeline.start(deliveries.from_files(store.spark, f"{base}/in", files), store.base, available_now=True, checkpoint=f"{base}/checkpoint").awaitTermination()
+
+
 @query(f"WITH {_SENT} SELECT meter_id, reading_time, CASE WHEN wins THEN ek ELSE ck END AS kwh, CASE WHEN wins THEN er ELSE cr END AS received_at FROM joined")
 def stream_facts(spark, sf):
     return _streamed(spark, sf).facts().select("meter_id", "reading_time", "kwh", "received_at")
