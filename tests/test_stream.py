@@ -492,3 +492,34 @@ def test_a_feed_is_one_batch_of_many_files(spark, tmp_path):
 
 def test_partitions_of_a_feed_follow_cores_and_rows():
     assert catalog._parts(4, 1000) == 8 and catalog._parts(12, 1000) == 12 and catalog._parts(12, 200_000_000) == 50
+
+
+def test_each_file_of_facts_has_a_task(spark, tmp_path, monkeypatch):
+    """A month of many rows is written as so many files as it has ROWS_A_FILE, not as one by the task that got their hashes."""
+    monkeypatch.setattr(st, "ROWS_A_FILE", 100)
+    at = F.when(F.col("id") < 600, "2014-01-13 09:00:00").otherwise("2014-02-01 09:00:00").cast("timestamp")
+    rows = spark.range(650).select(F.concat(F.lit("m"), "id").alias("meter_id"), at.alias("reading_time"), F.lit("h").alias("household_id"), F.lit(1.0).alias("kwh"), at.alias("received_at"))
+    store = Store(spark, str(tmp_path))
+    t = store.begin()
+    t.merge(rows, ["meter_id"], F.lit(datetime(2024, 1, 1, tzinfo=UTC)))
+    t.commit()
+    files = lambda m: len(store.facts([m]).inputFiles())
+    assert (files("2014-01"), files("2014-02")) == (6, 1)
+    assert store.facts(["2014-01"]).count() == 600 and store.facts(["2014-02"]).count() == 50
+
+
+def test_a_batch_is_kept_once(spark, tmp_path, monkeypatch):
+    """The readings of a batch are kept for the whole of it, so the merge keeps no second copy, and only dead messages keep their text."""
+    kept, persist = [], type(spark.range(0)).persist
+
+    def counted(df, *level):
+        kept.append(df)
+        return persist(df, *level)
+
+    monkeypatch.setattr(type(spark.range(0)), "persist", counted)
+    batch = spark.createDataFrame([(message("d", [("a", T1, 1.0, T1)]), 0, False), ("dead", 0, False)], "value string, lane int, repeat boolean")
+    store = Store(spark, str(tmp_path))
+    pipeline.write_batch(batch, 0, store, "s")
+    assert [r["value"] for r in kept[0].collect() if r["value"] is not None] == ["dead"]
+    assert len([df for df in kept if "place" in df.columns]) == 1
+    assert kwh(store) == {("a", 1): 1.0} and [r["value"] for r in store.read("dead_letters").collect()] == ["dead"]

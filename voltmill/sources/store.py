@@ -4,6 +4,7 @@ import json
 import time
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
+from itertools import accumulate
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -224,10 +225,15 @@ class Transaction:
         return to
 
     def put_facts(self, rows: DataFrame, months: dict[str, int]) -> dict[str, str]:
-        """Rows with their _version as a folder for each month, in files of about ROWS_A_FILE rows, in order of time."""
+        """Rows with their _version as a folder for each month, in files of about ROWS_A_FILE rows, in order of time.
+
+        Each file has a task of its own.
+        """
         to = f"{FACTS}/{self.id}"
-        files = F.create_map(*[F.lit(x) for m, n in months.items() for x in (m, -(-n // ROWS_A_FILE))])[F.col("month")]
-        dealt = with_month(rows).repartition("month", F.pmod(F.xxhash64("meter_id"), F.greatest(files, F.lit(1))))
+        files = {m: max(1, -(-n // ROWS_A_FILE)) for m, n in months.items()}
+        own = lambda held: F.create_map(*[F.lit(x) for pair in held for x in pair])[F.col("month")]
+        place = own(zip(files, accumulate(files.values(), initial=0))) + F.pmod(F.xxhash64("meter_id"), own(files.items()))
+        dealt = with_month(rows).repartitionById(sum(files.values()), place.cast("int"))
         dealt.sortWithinPartitions("month", "reading_time", "meter_id").write.mode("overwrite").partitionBy("month").parquet(f"{self.store.base}/{to}")
         return {m: f"{to}/month={m}" for m in months}
 
@@ -294,15 +300,19 @@ class Transaction:
 
         self.changes.append(change)
 
-    def merge(self, batch: DataFrame, order: list[str], now: Column, then: Callable[[DataFrame], None] | None = None) -> None:
+    def merge(self, batch: DataFrame, order: list[str], now: Column, then: Callable[[DataFrame], None] | None = None, held: bool = False) -> None:
         """Merge readings into the facts, and log the values that gave way; `then` gets the rows that change, while they are held.
 
+        The batch is read twice, so it is kept meanwhile, unless its rows are `held` already.
+
         Only the months of the batch are read, of them only rows between its first and last time, and only rows that
         change are written; readers take the last version of a key. A null meter or time leaves. RuntimeError at the
         commit if another batch has come between in one of the months: the batch then has to be run again.
         """
         store = self.store
-        keyed = batch.filter("meter_id is not null and reading_time is not null").persist()
+        keyed = batch.filter("meter_id is not null and reading_time is not null")
+        if not held:
+            keyed.persist()
         try:
             spans = with_month(keyed).groupBy("month").agg(F.min("reading_time").alias("lo"), F.max("reading_time").alias("hi"), F.count("*").alias("n")).collect()
             if not spans:
@@ -321,7 +331,8 @@ class Transaction:
             finally:
                 merged.unpersist()
         finally:
-            keyed.unpersist()
+            if not held:
+                keyed.unpersist()
         written = set(store.files.names(f"{store.base}/{FACTS}/{self.id}"))
 
         def change(state: dict) -> None:

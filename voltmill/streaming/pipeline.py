@@ -80,7 +80,7 @@ def write_batch(marked: DataFrame, epoch: int, store: Store, stream: str, config
         return
     at = now or datetime.now(UTC)
     now = F.lit(at)
-    parsed = parse_deliveries(marked).persist()
+    parsed = parse_deliveries(marked).withColumn("value", F.when(F.col("dead"), F.col("value"))).persist()  # the text of others is not needed again
     readings, invalid = None, 0
     try:
         t = store.begin()
@@ -98,7 +98,7 @@ def write_batch(marked: DataFrame, epoch: int, store: Store, stream: str, config
             if invalid:
                 number = F.xxhash64(F.lit(t.id), F.monotonically_increasing_id())
                 t.append_days(REJECTS, rejected.withColumns({"id": number, "rejected_at": now, "archived": F.lit(False)}), "rejected_at")
-            t.merge(valid, ["ingest_time", "delivery_id", "place"], now, lambda merged: update_live(store, t, merged, now))
+            t.merge(valid, ["ingest_time", "delivery_id", "place"], now, lambda merged: update_live(store, t, merged, now), held=True)
             try:
                 t.replace("meter_lag_stats", lag.upsert_lag(store.read("meter_lag_stats"), lag.lag_stats(valid), config.ewma_keep).withColumn("updated_at", now))
             except Exception:
