@@ -491,7 +491,7 @@ def test_a_feed_is_one_batch_of_many_files(spark, tmp_path):
 
 
 def test_partitions_of_a_feed_follow_cores_and_rows():
-    assert catalog._parts(4, 1000) == 8 and catalog._parts(12, 1000) == 12 and catalog._parts(12, 200_000_000) == 50
+    assert catalog._parts(4, 1000) == 8 and catalog._parts(12, 1000) == 12 and catalog._parts(8, 36_000_000) == 16 and catalog._parts(12, 200_000_000) == 60
 
 
 def test_each_file_of_facts_has_a_task(spark, tmp_path, monkeypatch):

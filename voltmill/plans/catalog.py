@@ -629,8 +629,8 @@ def _streamed(spark, sf) -> Store:
 
 
 def _parts(cores: int, rows: int) -> int:
-    """Partitions of the stream and its state: all cores have one, and none has more than PART_ROWS rows of both batches, about."""
-    return max(8, cores, -(-rows // PART_ROWS))
+    """Partitions of the stream and its state: as many for each core, none with more than PART_ROWS rows of both batches, about."""
+    return max(8, cores * -(-rows // (PART_ROWS * cores)))
 
 
 def _fed(store: Store, messages: DataFrame, base: str) -> None:
